@@ -1,0 +1 @@
+"""Operators of the temporal knowledge-graph engine."""

@@ -1,0 +1 @@
+"""Plans of the temporal knowledge-graph engine."""

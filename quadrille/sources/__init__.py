@@ -1,0 +1 @@
+"""Sources of the temporal knowledge-graph engine."""

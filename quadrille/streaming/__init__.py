@@ -1,0 +1 @@
+"""Streaming of the temporal knowledge-graph engine."""

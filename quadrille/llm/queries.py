@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_sources
 from .neardup import near_duplicates
 from .session import read_table
+from .sharding import shard_documents
 
 NEAR_PERCENT = 75
 SHINGLE = 5
@@ -15,8 +17,22 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=SHINGLE, percent=NEAR_PERCENT)
 
 
+SHARDS = 40
+MIX_SEED = 42
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=SHARDS)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"), seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_neardup": op2_neardup,
+    "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES = {

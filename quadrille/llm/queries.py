@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .leaks import benchmark_hits
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .session import read_table
@@ -29,10 +30,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"), seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it repeats; clean documents have none."""
+    return benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_neardup": op2_neardup,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {

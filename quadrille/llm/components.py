@@ -13,11 +13,10 @@ MAX_ROUNDS = 200
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the smallest id reachable.
 
-    Each round gives every vertex its smallest neighbour, follows that pointer once
-    more, and relabels the links with it; links inside a label vanish.  Stars and
-    cliques end after one or two rounds, a path after a logarithmic number.  A hub
-    is pre-aggregated by ``min`` before its rows are shuffled, and nothing is
-    collected but one count a round.  Nulls and self links are dropped.
+    Each round gives every vertex its smallest neighbour (or itself) and relabels the links
+    with it; links inside a label vanish.  Stars end after one or two rounds, a path after
+    a logarithmic number.  A hub is pre-aggregated by ``min`` before its rows are shuffled,
+    and nothing is collected but one flag a round.  Nulls and self links are dropped.
     """
     edges = checkpointed(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -28,21 +27,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if edges.isEmpty():
             break
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(
-            edges.select(F.col("b").alias("v"), F.col("a").alias("u"))
-        )
-        near = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p"))
-        near = checkpointed(near)
-        jump = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = checkpointed(near.join(jump, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u"))))
+        near = edges.select(ends.alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u"))
+        near = checkpointed(near.select("v", F.least("v", "u").alias("p")))
         if labels is None:
-            labels = step.select(F.col("v").alias("id"), F.col("p").alias("component"))
+            labels = near.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:
-            moved = step.select(F.col("v").alias("component"), F.col("p").alias("to"))
+            moved = near.select(F.col("v").alias("component"), F.col("p").alias("to"))
             labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = checkpointed(labels)
-        left = step.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        right = step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        left = near.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+        right = near.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         edges = checkpointed(
             edges.join(left, "a")
             .join(right, "b")
@@ -54,4 +48,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+    return checkpointed(labels)

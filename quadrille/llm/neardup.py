@@ -14,7 +14,7 @@ What keeps it linear on groups of copies of any size:
 * equal sets are one vertex, found by a 128-bit digest, before any branching;
 * nodes of one member end at the first level, nodes with equal members are one;
 * a large node's sets are linked to the node's smallest set (a star) and confirmed;
-  a large node all of whose members are connected has nothing more to give and ends.
+  a node all of whose members are linked so has nothing more to give and ends.
   Only other large nodes branch on.
 
 Every link is confirmed on the full shingle sets.
@@ -110,7 +110,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _compare_node(doc: np.ndarray, sig: np.ndarray, members: list, percent: int, cut: float) -> Iterator[tuple[int, int]]:
-    """Confirmed links of a node, but for those inside what it has connected already."""
+    """The groups that confirmed links make of a node's members, each as links to its smallest."""
     sets: dict[int, np.ndarray] = {}
 
     def of(i: int) -> np.ndarray:
@@ -132,34 +132,56 @@ def _compare_node(doc: np.ndarray, sig: np.ndarray, members: list, percent: int,
         i, j = int(left[k]), int(right[k])
         if root[i] != root[j] and _alike(of(i), of(j), percent):
             root[root == root[j]] = root[i]
-            yield int(doc[i]), int(doc[j])
+    for r in np.unique(root):
+        group = doc[root == r]
+        for d in group[group != group.min()]:
+            yield int(d), int(group.min())
 
 
-def _compare_sorted(batches: Iterator[pa.RecordBatch], percent: int, cut: float) -> Iterator[pa.RecordBatch]:
-    """Nodes come as runs of rows with one path; no run is longer than a small node."""
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by path, as tables of whole nodes; no node is longer than a small one."""
     rest: pa.Table | None = None
-
-    def nodes(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        path, doc = table.column("path").to_numpy(), table.column("doc").to_numpy()
-        flat = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        sig, members = flat.reshape(len(doc), WIDTH), table.column("members")
-        edge = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
-        found = [x for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1 for x in _compare_node(doc[i:j], sig[i:j], members[int(i) : int(j)], percent, cut)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
     for batch in batches:
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
         path = table.column("path").to_numpy()
-        if not len(path):
-            continue
-        last = int(np.searchsorted(path, path[-1])) if np.all(path[1:] >= path[:-1]) else int(np.flatnonzero(path != path[-1])[-1]) + 1 if (path != path[-1]).any() else 0
+        last = int(np.searchsorted(path, path[-1]))
         if last:
-            yield nodes(table.slice(0, last))
+            yield table.slice(0, last).combine_chunks()
         rest = table.slice(last)
     if rest is not None:
-        yield nodes(rest)
+        yield rest.combine_chunks()
+
+
+def _edges(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Documents, their tokens, and the bounds of the nodes with two members or more."""
+    path, doc = table.column("path").to_numpy(), table.column("doc").to_numpy()
+    flat = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
+    return doc, flat.reshape(len(doc), WIDTH), [(int(i), int(j)) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
+
+
+def _plausible_members(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
+    """Of each node the members whose tokens agree with another member's on a part of ``cut``."""
+    for table in _nodes(batches):
+        _, sig, nodes = _edges(table)
+        keep = np.zeros(len(sig), bool)
+        for i, j in nodes:
+            for k in range(i, j - 1):
+                like = (sig[k + 1 : j] == sig[k]).mean(axis=1) >= cut
+                keep[k] |= like.any()
+                keep[k + 1 : j] |= like
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
+def _compare_sorted(batches: Iterator[pa.RecordBatch], percent: int, cut: float) -> Iterator[pa.RecordBatch]:
+    for table in _nodes(batches):
+        doc, sig, nodes = _edges(table)
+        members = table.column("members")
+        found = [x for i, j in nodes for x in _compare_node(doc[i:j], sig[i:j], members[i:j], percent, cut)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +199,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, small: int = 64, chosen: int = 2, max_depth: int = 24, shingle: int = 5) -> DataFrame:
+def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, small: int = 256, chosen: int = 2, max_depth: int = 24, shingle: int = 5) -> DataFrame:
     """Links (a, b) that connect whatever a chosen-path join finds alike.
 
     ``sets_by_doc``: one row (doc, sig) for each different set; ``texts``: (doc, text) of the same
@@ -189,41 +211,44 @@ def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, t
     cut = share - SKETCH_MARGIN * (share * (1 - share) / WIDTH) ** 0.5
     roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("v")) for i in range(min(WIDTH, trees * chosen))])
     level = sets_by_doc.select("doc", F.explode(roots).alias("x")).select("doc", F.xxhash64("x.i", "x.v").alias("path"))
-    level = _shared(level)
-    level = checkpointed(level)
-    active = level.select("doc").distinct()
-    sets = checkpointed(full_sets(texts.join(active, "doc", "left_semi").select("doc", "text"), shingle))
-    sigs = checkpointed(sets_by_doc.join(active, "doc", "left_semi").select("doc", "sig"))
-    links = None
+    level = checkpointed(_shared(level))
+    parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = sets_by_doc
+    sets = links = None
     for depth in range(1, max_depth + 1):
         few = level.where(F.col("n") <= small)
         once = few.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("who")).groupBy("n", "who").agg(F.min("path").alias("path"))
-        node_rows = few.select("path", "doc").join(once.select("path"), "path", "left_semi").join(sigs, "doc").join(sets, "doc").select("path", "doc", "sig", "members")
-        parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        near = node_rows.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")
+        members = few.select("path", "doc").join(once.select("path"), "path", "left_semi").join(sigs, "doc").select("path", "doc", "sig")
+        members = members.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda b: _plausible_members(b, cut), "path long, doc long, sig array<int>")
+        members = checkpointed(members)
+        if sets is None:
+            active = members.select("doc").unionAll(level.where(F.col("n") > small).select("doc")).distinct()
+            sets = checkpointed(full_sets(texts.join(active, "doc", "left_semi").select("doc", "text"), shingle))
+        near = members.join(sets, "doc").select("path", "doc", "sig", "members")
+        near = near.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")
         near = checkpointed(near)
         links = near if links is None else links.unionAll(near)
         many = level.where(F.col("n") > small)
-        if many.isEmpty():
-            break
         rows = many.select("path", "doc").join(sigs, "doc")
         hubs = rows.groupBy("path").agg(F.min(F.struct("doc", "sig")).alias("hub"))
+        rows = checkpointed(rows.join(hubs, "path").select("path", "doc", "sig", "hub"))
+        if rows.isEmpty():
+            break
         same = F.aggregate(F.zip_with("sig", "hub.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        stars = rows.join(hubs, "path").where("doc <> hub.doc").where(same >= cut * WIDTH).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
-        links = links.unionAll(checkpointed(_confirm(stars, sets, percent)))
-        labels = connected_components(links)
-        known = rows.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = known.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path")
-        going = checkpointed(known.join(mixed, "path", "left_semi"))
+        stars = rows.where("doc <> hub.doc").where(same >= cut * WIDTH).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
+        star = checkpointed(_confirm(stars, sets, percent))
+        links = links.unionAll(star)
         if depth == max_depth:
-            a = going.select("path", F.col("doc").alias("a"), F.col("component").alias("ca"))
-            b = going.select("path", F.col("doc").alias("b"), F.col("component").alias("cb"))
+            labels = connected_components(links).select(F.col("id").alias("doc"), "component")
+            known = rows.select("path", "doc").join(labels, "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
+            a, b = known.toDF("path", "a", "ca"), known.toDF("path", "b", "cb")
             rest = a.join(b, "path").where("a < b and ca <> cb").select("a", "b").distinct()
             links = links.unionAll(checkpointed(_confirm(rest, sets, percent)))
             break
+        loose = rows.where("doc <> hub.doc").join(star, (F.col("doc") == F.col("a")) & (F.col("hub.doc") == F.col("b")), "left_anti").select("path").distinct()
         at = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(chosen)]
         next_paths = F.array(*[F.xxhash64("path", i, F.get("sig", i)) for i in at])
-        level = checkpointed(_shared(going.select("doc", F.explode(next_paths).alias("path"))))
+        level = checkpointed(_shared(rows.join(loose, "path", "left_semi").select("doc", F.explode(next_paths).alias("path"))))
     return links.select("a", "b")
 
 
@@ -234,7 +259,7 @@ def _shared(level: DataFrame) -> DataFrame:
     return level.join(sizes, "path")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     * null, empty or wordless text: n_shingles 0, its own component, kept;

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .leaks import benchmark_hits
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .session import read_table
 from .sharding import shard_documents
+from .vectors import nearest
 
 NEAR_PERCENT = 75
 SHINGLE = 5
@@ -22,6 +25,14 @@ SHARDS = 40
 MIX_SEED = 42
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=SHARDS)
 
@@ -37,12 +48,49 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_neardup": op2_neardup,
+    "op6_ann": op6_ann,
+    "op7_linededup": op7_linededup,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
+    "op7_linededup": r"""
+WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+win AS (
+  SELECT doc_id, i - 1 AS pos, array_to_string(l[i:i+2], chr(10)) AS w FROM lined, unnest(range(1, len(l) - 1)) AS u(i)
+  WHERE trim(l[i], ' ') <> '' OR trim(l[i+1], ' ') <> '' OR trim(l[i+2], ' ') <> ''
+), marked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM win),
+covered AS (SELECT DISTINCT doc_id, pos + d AS pos FROM marked, unnest([0, 1, 2]) AS u(d) WHERE k > 1),
+kept AS (
+  SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.i) FILTER (WHERE c.pos IS NULL) AS text, count(c.pos) AS gone
+  FROM (SELECT doc_id, i - 1 AS i, l[i] AS line FROM lined, unnest(range(1, len(l) + 1)) AS u(i)) x
+  LEFT JOIN covered c ON c.doc_id = x.doc_id AND c.pos = x.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed
+FROM lined d LEFT JOIN kept k USING (doc_id)
+""",
+    "op8_sharding": r"""
+WITH RECURSIVE step AS (
+  SELECT i, 0 AS r, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, r + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE r < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE r = 8),
+byte AS (
+  SELECT doc_id, text, list_transform(range(1, length(hex(encode(text))), 2), lambda i: CAST('0x' || substr(hex(encode(text)), i, 2) AS BIGINT)) AS b FROM documents
+), base AS (
+  SELECT doc_id, CAST(coalesce(len(b), 0) + 16 AS BIGINT) AS size, b, t FROM byte, crc
+), summed AS (
+  SELECT doc_id, size, CAST(CASE WHEN b IS NULL THEN NULL ELSE xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) END AS BIGINT) AS text_crc32 FROM base
+), placed AS (
+  SELECT doc_id, size, text_crc32, substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS part,
+    arg_max(s, (substr(md5(concat(doc_id, '/', s)), 1, 13), -s)) FILTER (WHERE s < 40) AS shard,
+    arg_max(s, (substr(md5(concat(doc_id, '/', s)), 1, 13), -s)) AS grown_shard
+  FROM summed, range(41) AS r(s) GROUP BY ALL
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM placed
+""",
     "op2_neardup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents

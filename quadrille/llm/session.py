@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where neither the
-    setting nor a folder set by the caller exists (tests on one machine) is a
-    folder of our own used.
+    That cuts the lineage, survives lost executors, and gives later joins true sizes.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Only where neither that setting
+    nor a folder set by the caller exists (tests on one machine) is a folder of our own
+    used.  Tables stay until the folder is emptied, as results are lazy.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/quadrille-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import held_out, identify, train_languages
 from .leaks import benchmark_hits
 from .lines import dedup_lines
 from .mixing import mix_sources
@@ -25,6 +26,12 @@ SHARDS = 40
 MIX_SEED = 42
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_languages(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -48,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_neardup": op2_neardup,
+    "op5_langid": op5_langid,
     "op6_ann": op6_ann,
     "op7_linededup": op7_linededup,
     "op8_sharding": op8_sharding,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extract import extract_pages
 from .language import held_out, identify, train_languages
 from .leaks import benchmark_hits
 from .lines import dedup_lines
@@ -18,6 +19,10 @@ NEAR_PERCENT = 75
 SHINGLE = 5
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=SHINGLE, percent=NEAR_PERCENT)
 
@@ -54,6 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extract": op1_extract,
     "op2_neardup": op2_neardup,
     "op5_langid": op5_langid,
     "op6_ann": op6_ann,

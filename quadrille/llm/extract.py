@@ -254,6 +254,7 @@ def _labelled() -> list[str]:
         f"<body><table><tr><td><a>-{w(1)}</a></td><td><a>-{w(2)}</a></td><td><a>-{w(1)}</a></td></tr></table><h1>+{w(5)}</h1><p>+{w(40)}</p><p>+{w(25)}</p><p>+{w(6)}</p><p>+{w(55)}</p><p>+{w(12)}<a>{w(2)}</a></p><p>+{w(28)}</p><p><a>-{w(3)}</a></p><p><a>-{w(2)}</a></p><p>-{w(4)}</p>",
         f"<body><p><a>-{w(2)}</a></p><p><a>-{w(1)}</a></p><p>-{w(3)}</p><h2>+{w(4)}</h2><p>+{w(30)}</p><p>+{w(4)}</p><p>+{w(20)}</p><p>+{w(16)}</p><p><a>-{w(9)}</a></p><p><a>-{w(12)}</a></p><p>-{w(5)}</p>",
         f"<body><div><a>-{w(3)}</a> <a>{w(4)}</a></div><p>+{w(70)}</p><p>+{w(15)}</p><p>+{w(33)}</p><div>-{w(2)} <a>{w(2)}</a></div><div><a>-{w(15)}</a></div>",
+        f"<body><header><p>-{w(12)}</p></header><nav><p>-{w(2)}</p></nav><h1>+{w(7)}</h1><p>+{w(40)}</p><p>+{w(9)}</p><aside><p>-{w(30)}</p></aside><p>+{w(20)}</p><div class=cookie>-{w(18)}</div><p>+{w(13)}</p><form>-{w(5)}</form><footer>-{w(15)}</footer>",
         f"<body><h1>+{w(6)}</h1><p>+{w(19)}</p><p>+{w(26)}</p><p>+{w(8)}</p><p>+{w(31)}</p>",
         f"<body><p>+{w(12)}</p><p>+{w(5)}</p>",
         f"<body><p>+{w(24)}</p>",

@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .session import read_table
 from .sharding import shard_documents
+from .tokens import DEFAULT_VOCABULARY, read_vocabulary, token_counts
 from .vectors import nearest
 
 NEAR_PERCENT = 75
@@ -31,6 +32,10 @@ SHARDS = 40
 MIX_SEED = 42
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(DEFAULT_VOCABULARY))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = train_languages(docs.where(~held_out(F.col("doc_id"))))
@@ -61,6 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_neardup": op2_neardup,
+    "op4_tokens": op4_tokens,
     "op5_langid": op5_langid,
     "op6_ann": op6_ann,
     "op7_linededup": op7_linededup,

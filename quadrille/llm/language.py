@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .session import free_name
 
 UNDETERMINED = "und"
 
@@ -207,6 +210,28 @@ def train_languages(labelled: DataFrame, params: LangParams = LangParams()) -> L
     return LangModel(languages, scores, allowed, params)
 
 
+def _predict(m: LangModel, texts: list[str]) -> Iterator[tuple[str, float, np.ndarray]]:
+    """(language, share of letters, word labels) of each text."""
+    if not m.languages:
+        yield from ((UNDETERMINED, 0.0, np.zeros(0, np.int64)) for _ in texts)
+        return
+    w = _Words(texts, m.params.buckets)
+    for t, (path, _) in enumerate(m._paths(w)):
+        if not len(path):
+            yield UNDETERMINED, 0.0, path
+            continue
+        letters = np.bincount(path, weights=(w.end - w.start)[w.at[t] : w.at[t + 1]], minlength=len(m.languages))
+        k = int(letters.argmax())
+        yield m.languages[k], float(letters[k] / letters.sum()), path
+
+
+def _span_edges(path: np.ndarray) -> list[tuple[int, int]]:
+    if not len(path):
+        return []
+    edge = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
 def identify(docs: DataFrame, model: LangModel, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (and spans) for every row of ``docs`` (doc_id, text).
 
@@ -224,24 +249,11 @@ def identify(docs: DataFrame, model: LangModel, spans: bool = False) -> DataFram
         with np.errstate(over="ignore"):
             for batch in batches:
                 for first, part in _runs(batch.column("text").to_pylist(), m.params.chunk):
-                    pred, score, cut = [], [], []
-                    w = _Words(part, m.params.buckets) if m.languages else None
-                    for t, (path, _) in enumerate(m._paths(w) if w else [(np.zeros(0, int), None)] * len(part)):
-                        if not len(path):
-                            pred.append(UNDETERMINED)
-                            score.append(0.0)
-                            cut.append([])
-                            continue
-                        letters = np.bincount(path, weights=(w.end - w.start)[w.at[t] : w.at[t + 1]], minlength=len(m.languages))
-                        k = int(letters.argmax())
-                        pred.append(m.languages[k])
-                        score.append(float(letters[k] / letters.sum()))
-                        if spans:
-                            edge = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
-                            cut.append([{"lang": m.languages[path[a]], "first": a, "words": b - a} for a, b in zip(edge[:-1], edge[1:], strict=True)])
-                    cols = [batch.column("doc_id").slice(first, len(part)), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                    found = list(_predict(m, part))
+                    cols = [batch.column("doc_id").slice(first, len(part)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                     names = ["doc_id", "lang_pred", "score"]
                     if spans:
+                        cut = [[{"lang": m.languages[p[a]], "first": a, "words": b - a} for a, b in _span_edges(p)] for _, _, p in found]
                         cols.append(pa.array(cut, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))))
                         names.append("spans")
                     yield pa.RecordBatch.from_arrays(cols, names)
@@ -249,6 +261,27 @@ def identify(docs: DataFrame, model: LangModel, spans: bool = False) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
+    """All columns of ``docs`` and its lang_pred and lang_score (underscores added to taken names)."""
+    names = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        m = shared.value
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                pred, score = [], []
+                for _, part in _runs(batch.column(text_at).cast(pa.string()).to_pylist(), m.params.chunk):
+                    for lang, share, _ in _predict(m, part):
+                        pred.append(lang)
+                        score.append(share)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*batch.schema, pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the CRC-32 of the id as text leaves 1 when divided by 3 (a null id: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

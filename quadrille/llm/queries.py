@@ -11,6 +11,7 @@ from .leaks import benchmark_hits
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .quality import score_quality, train_quality
 from .session import read_table
 from .sharding import shard_documents
 from .tokens import DEFAULT_VOCABULARY, read_vocabulary, token_counts
@@ -32,6 +33,11 @@ SHARDS = 40
 MIX_SEED = 42
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(DEFAULT_VOCABULARY))
 
@@ -66,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_neardup": op2_neardup,
+    "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op5_langid": op5_langid,
     "op6_ann": op6_ann,

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed
 
 MAX_ROUNDS = 200
+#: A contracted graph of at most so many links is finished by one task.
+LAST_LINKS = 1 << 14
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, p): each end of the few links left and the smallest id it reaches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in list(root)], pa.int64())], ["v", "p"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,37 +37,38 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round gives every vertex its smallest neighbour (or itself) and relabels the links
     with it; links inside a label vanish.  Stars end after one or two rounds, a path after
-    a logarithmic number.  A hub is pre-aggregated by ``min`` before its rows are shuffled,
-    and nothing is collected but one flag a round.  Nulls and self links are dropped.
+    a logarithmic number.  A hub is pre-aggregated by ``min`` before its rows are shuffled.
+    Once at most ``LAST_LINKS`` links are left, one task joins their ends.  Nothing is
+    collected but one count a round.  Nulls and self links are dropped.
     """
     edges = checkpointed(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a is not null and b is not null and a <> b")
         .distinct()
     )
-    labels = None
+    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
     for _ in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
             break
-        ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u"))))
-        near = edges.select(ends.alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u"))
-        near = checkpointed(near.select("v", F.least("v", "u").alias("p")))
-        if labels is None:
-            labels = near.select(F.col("v").alias("id"), F.col("p").alias("component"))
+        last = left <= LAST_LINKS
+        if last:
+            near = edges.coalesce(1).mapInArrow(_finish, "v long, p long")
         else:
-            moved = near.select(F.col("v").alias("component"), F.col("p").alias("to"))
-            labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        left = near.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        right = near.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+            ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u"))))
+            near = edges.select(ends.alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("p"))
+        near = checkpointed(near)
+        moved = near.select(F.col("v").alias("component"), F.col("p").alias("to"))
+        labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        if last:
+            break
         edges = checkpointed(
-            edges.join(left, "a")
-            .join(right, "b")
+            edges.join(near.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
+            .join(near.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
             .where("pa <> pb")
             .select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b"))
             .distinct()
         )
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return checkpointed(labels)

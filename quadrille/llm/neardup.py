@@ -1,21 +1,21 @@
 """MinHash near-duplicate groups by a chosen-path set similarity join.
 
 Each text becomes its set of distinct word shingles and a vector of ``WIDTH``
-minwise tokens.  A tree's root chooses some positions of that vector and sends each
+minwise tokens.  A tree's root chooses two positions of that vector and sends each
 set to one node per position, keyed by its token there; a node of more than
-``small`` sets chooses positions anew (by a hash of its path) and branches again.
+``small`` sets chooses positions anew by a hash of its path (1 / similarity of them on
+average, so that a similar pair stays together once on average) and branches again.
 Sets of a small node are compared exhaustively.  ``trees`` independent trees are
-grown at once; with two positions chosen per node, two sets of similarity s meet in
-none of the first level's nodes with probability (1 - s) ** (2 * trees): 6e-8 at 0.75
-and six trees.
+grown at once: two sets of similarity s share none of the first level's nodes with
+probability (1 - s) ** (2 * trees), 6e-8 at 0.75 and six trees.
 
 What keeps it linear on groups of copies of any size:
 
 * equal sets are one vertex, found by a 128-bit digest, before any branching;
 * nodes of one member end at the first level, nodes with equal members are one;
 * a large node's sets are linked to the node's smallest set (a star) and confirmed;
-  a node all of whose members are linked so has nothing more to give and ends.
-  Only other large nodes branch on.
+  a node all of whose members are linked so has nothing more to give and ends.  Stars
+  are tried at the first and every fourth level; all other large nodes branch on.
 
 Every link is confirmed on the full shingle sets.
 """
@@ -34,9 +34,12 @@ from .session import checkpointed
 from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
+#: At most so many sets are compared exhaustively: what one task holds at a time.
+SMALL = 2048
 #: A pair below this share of equal minwise tokens is not looked at on full sets: at
 #: similarity 0.75 and 64 tokens that is 4.6 standard deviations.
 SKETCH_MARGIN = 4.6
+STAR_EVERY = 4
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -123,15 +126,22 @@ def _compare_node(doc: np.ndarray, sig: np.ndarray, members: list, percent: int,
         if (sig[0] == sig[1]).mean() >= cut and _alike(of(0), of(1), percent):
             yield int(doc[0]), int(doc[1])
         return
-    like = np.zeros((m, m), np.float32)
+    like = np.zeros((m, m), np.uint8)
     for i in range(m - 1):
-        like[i, i + 1 :] = (sig[i + 1 :] == sig[i]).mean(axis=1)
-    left, right = np.nonzero(like >= cut)
+        like[i, i + 1 :] = (sig[i + 1 :] == sig[i]).sum(axis=1)
+    left, right = np.nonzero(like >= max(1, cut * WIDTH))
+    order = np.argsort(-like[left, right].astype(np.int16), kind="stable")
+    left, right = left[order], right[order]
     root = np.arange(m)
-    for k in np.argsort(-like[left, right], kind="stable"):
-        i, j = int(left[k]), int(right[k])
-        if root[i] != root[j] and _alike(of(i), of(j), percent):
-            root[root == root[j]] = root[i]
+    step, at = 64, 0
+    while at < len(left):
+        some = slice(at, at + step)
+        at, step = at + step, min(2 * step, 4096)
+        for i, j in zip(left[some].tolist(), right[some].tolist(), strict=True):
+            if root[i] != root[j] and _alike(of(i), of(j), percent):
+                root[root == root[j]] = root[i]
+        apart = root[left[at:]] != root[right[at:]]
+        left, right, at = left[at:][apart], right[at:][apart], 0
     for r in np.unique(root):
         group = doc[root == r]
         for d in group[group != group.min()]:
@@ -199,67 +209,77 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, small: int = 256, chosen: int = 2, max_depth: int = 24, shingle: int = 5) -> DataFrame:
+def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24, shingle: int = 5) -> DataFrame:
     """Links (a, b) that connect whatever a chosen-path join finds alike.
 
     ``sets_by_doc``: one row (doc, sig) for each different set; ``texts``: (doc, text) of the same
-    documents.  Links between members that earlier links connect are left out, no
-    others.  A node that is still large after ``max_depth`` levels is compared
-    completely, by a join of its members that are not yet connected.
+    documents.  Links between members that a node's other links connect are left out, no
+    others.  Large nodes are tried as stars at the first and every ``STAR_EVERY``-th level.  A node
+    that is still large after ``max_depth`` levels is compared completely, by a join of
+    its members that are not yet connected.
     """
     share = percent / 100
     cut = share - SKETCH_MARGIN * (share * (1 - share) / WIDTH) ** 0.5
-    roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("v")) for i in range(min(WIDTH, trees * chosen))])
-    level = sets_by_doc.select("doc", F.explode(roots).alias("x")).select("doc", F.xxhash64("x.i", "x.v").alias("path"))
-    level = checkpointed(_shared(level))
-    parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = sets_by_doc
-    sets = links = None
+    roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("v")) for i in range(min(WIDTH, 2 * trees))])
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = _shared(sets_by_doc.select("doc", F.explode(roots).alias("x")).select("doc", F.xxhash64("x.i", "x.v").alias("path")), small)
+    level = checkpointed(level.join(sets_by_doc, "doc"))
+    links, sets = [], None
     for depth in range(1, max_depth + 1):
-        few = level.where(F.col("n") <= small)
-        once = few.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("who")).groupBy("n", "who").agg(F.min("path").alias("path"))
-        members = few.select("path", "doc").join(once.select("path"), "path", "left_semi").join(sigs, "doc").select("path", "doc", "sig")
-        members = members.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda b: _plausible_members(b, cut), "path long, doc long, sig array<int>")
-        members = checkpointed(members)
+        few = level.where(F.col("n") <= small).repartition(parts, "path").sortWithinPartitions("path").select("path", "doc", "sig")
+        members = checkpointed(few.mapInArrow(lambda b: _plausible_members(b, cut), "path long, doc long, sig array<int>"))
+        many = level.where(F.col("n") > small)
         if sets is None:
-            active = members.select("doc").unionAll(level.where(F.col("n") > small).select("doc")).distinct()
+            active = members.select("doc").unionAll(many.select("doc")).distinct()
             sets = checkpointed(full_sets(texts.join(active, "doc", "left_semi").select("doc", "text"), shingle))
-        near = members.join(sets, "doc").select("path", "doc", "sig", "members")
-        near = near.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")
-        near = checkpointed(near)
-        links = near if links is None else links.unionAll(near)
-        many = level.where(F.col("n") > small)
-        rows = many.select("path", "doc").join(sigs, "doc")
-        hubs = rows.groupBy("path").agg(F.min(F.struct("doc", "sig")).alias("hub"))
-        rows = checkpointed(rows.join(hubs, "path").select("path", "doc", "sig", "hub"))
-        if rows.isEmpty():
+        near = members.join(sets, "doc").select("path", "doc", "sig", "members").repartition(parts, "path").sortWithinPartitions("path")
+        links.append(checkpointed(near.mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")))
+        if many.isEmpty():
             break
-        same = F.aggregate(F.zip_with("sig", "hub.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        stars = rows.where("doc <> hub.doc").where(same >= cut * WIDTH).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
-        star = checkpointed(_confirm(stars, sets, percent))
-        links = links.unionAll(star)
+        going = many
+        if depth % STAR_EVERY == 1 or depth == max_depth:
+            hubs = many.groupBy("path").agg(F.min(F.struct("doc", "sig")).alias("hub"))
+            rows = checkpointed(many.join(hubs, "path").where("doc <> hub.doc").select("path", "doc", "sig", "hub"))
+            same = F.aggregate(F.zip_with("sig", "hub.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+            star = checkpointed(_confirm(rows.where(same >= cut * WIDTH).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), sets, percent))
+            links.append(star)
+            loose = rows.join(star, (F.col("doc") == F.col("a")) & (F.col("hub.doc") == F.col("b")), "left_anti").select("path").distinct()
+            going = many.join(loose, "path", "left_semi")
         if depth == max_depth:
-            labels = connected_components(links).select(F.col("id").alias("doc"), "component")
-            known = rows.select("path", "doc").join(labels, "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
+            labels = connected_components(_united(links)).select(F.col("id").alias("doc"), "component")
+            known = going.select("path", "doc").join(labels, "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
             a, b = known.toDF("path", "a", "ca"), known.toDF("path", "b", "cb")
             rest = a.join(b, "path").where("a < b and ca <> cb").select("a", "b").distinct()
-            links = links.unionAll(checkpointed(_confirm(rest, sets, percent)))
+            links.append(checkpointed(_confirm(rest, sets, percent)))
             break
-        loose = rows.where("doc <> hub.doc").join(star, (F.col("doc") == F.col("a")) & (F.col("hub.doc") == F.col("b")), "left_anti").select("path").distinct()
-        at = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(chosen)]
-        next_paths = F.array(*[F.xxhash64("path", i, F.get("sig", i)) for i in at])
-        level = checkpointed(_shared(rows.join(loose, "path", "left_semi").select("doc", F.explode(next_paths).alias("path"))))
-    return links.select("a", "b")
-
-
-def _shared(level: DataFrame) -> DataFrame:
-    """The rows of nodes with two members or more, with the node's size n."""
-    level = level.distinct()
-    sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    return level.join(sizes, "path")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = 256) -> DataFrame:
+        # One position, and with the chance that makes it 1 / similarity on average a second one.
+        one, two = (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in (0, 1))
+        more = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1000)) < round(1000 * (1 / share - 1))
+        first, second = (F.xxhash64("path", i, F.get("sig", i)) for i in (one, two))
+        next_paths = F.when(more & (one != two), F.array(first, second)).otherwise(F.array(first))
+        branched = checkpointed(going.select("doc", "sig", F.explode(next_paths).alias("path")))
+        level = checkpointed(_shared(branched, small))
+    return _united(links)
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def _shared(rows: DataFrame, small: int) -> DataFrame:
+    """The rows (path, doc, …) of nodes with two members or more, with the node's size n; of small nodes
+    with the same members only one.  A document is once in a node."""
+    who = F.xxhash64("doc")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("n > 1")
+    own = F.when(F.col("n") > small, F.col("path")).otherwise(F.lit(0))
+    once = sizes.groupBy("n", "x", "lo", "hi", own.alias("own")).agg(F.min("path").alias("path")).select("path", "n")
+    return rows.join(once, "path")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     * null, empty or wordless text: n_shingles 0, its own component, kept;

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import retrieval_queries
+
+QUERIES: dict = {**retrieval_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES}

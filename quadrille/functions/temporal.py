@@ -78,8 +78,12 @@ def time_expression(text: Column) -> Column:
 
     Digits in ``D-M-YYYY`` are month first unless that is impossible; a two-digit year is in
     1969-2068; an English expression's granularity is its number of space-separated parts."""
+    # Bound once by a lambda: inlined at each use the expression would outgrow a compiled method.
     hit = F.nullif(F.regexp_extract(text, TIME_PATTERN, 0), F.lit(""))
+    return F.get(F.transform(F.array(hit), _expression), F.lit(0))
 
+
+def _expression(hit: Column) -> Column:
     def num(pattern: str, i: int) -> Column:
         return F.nullif(F.regexp_extract(hit, pattern, i), F.lit("")).cast("int")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries
+from . import evidence_queries, retrieval_queries, text_queries
 
-QUERIES: dict = {**retrieval_queries.QUERIES}
-ORACLES: dict[str, str] = {**retrieval_queries.ORACLES}
+QUERIES: dict = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **evidence_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **text_queries.ORACLES, **evidence_queries.ORACLES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +53,16 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 
 def parse_iso(text: Column) -> Column:
     """Y, Y-M or Y-M-D as the first day of that period; null if it is none."""
-    t = F.trim(text)
+    return once(F.trim(text), _iso_period)
+
+
+def once(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` bound by a lambda: a long body that names its input often, inlined at each
+    use, would outgrow a compiled method."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _iso_period(t: Column) -> Column:
     year, month, day = (F.nullif(F.regexp_extract(t, r"^(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$", i), F.lit("")).cast("int") for i in (1, 2, 3))
     return _iso(year, F.coalesce(month, F.lit(1)), F.coalesce(day, F.lit(1)))
 
@@ -59,7 +70,10 @@ def parse_iso(text: Column) -> Column:
 def parse_text_date(text: Column) -> Column:
     """The first date in a text: ``[D] Month YYYY``, then ``YYYY-MM[-DD]``, then ``in|on YYYY``.
     An impossible day becomes day 1."""
+    return once(text, _named_or_iso)
+
 
+def _named_or_iso(text: Column) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
@@ -78,9 +92,7 @@ def time_expression(text: Column) -> Column:
 
     Digits in ``D-M-YYYY`` are month first unless that is impossible; a two-digit year is in
     1969-2068; an English expression's granularity is its number of space-separated parts."""
-    # Bound once by a lambda: inlined at each use the expression would outgrow a compiled method.
-    hit = F.nullif(F.regexp_extract(text, TIME_PATTERN, 0), F.lit(""))
-    return F.get(F.transform(F.array(hit), _expression), F.lit(0))
+    return once(F.nullif(F.regexp_extract(text, TIME_PATTERN, 0), F.lit("")), _expression)
 
 
 def _expression(hit: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.temporal import compare, matches, parse_iso, render_fact
+from ..functions.temporal import compare, matches, once, parse_iso, render_fact
 from ..functions.text import none_to_null
 from .graph import ordered
 
@@ -28,7 +28,7 @@ def prepare(questions: DataFrame) -> DataFrame:
         none_to_null(F.col("object")).alias("o"),
         none_to_null(F.col("reference_target")).alias("ref"),
         parse_iso(F.get("time", F.lit(0))).alias("t"),
-        F.lower("question").alias("low"),
+        once(F.col("question"), F.lower).alias("low"),
     )
 
 
@@ -201,8 +201,14 @@ def strict_as_of(q: DataFrame, facts: DataFrame, order: str = "time") -> DataFra
 
 
 def retrieve(questions: DataFrame, candidates: DataFrame, facts: DataFrame, entities: DataFrame, order: str = "time", limit: int = 10, compat: bool = False) -> DataFrame:
-    """All query types; rows as in ``OUT``.  Questions with an unknown type or entity give none."""
-    q = fan_out(valid_questions(questions, entities), candidates)
+    """All query types; rows as in ``OUT``.  Questions with an unknown type or entity give none.
+
+    By time all types share one plan: anchors once, a join for each known side, one shuffle on
+    (quid, rel).  By ingest order each type is planned by itself.  The prepared questions, which all
+    branches read, are cached (recomputed if lost); facts are not."""
+    q = fan_out(valid_questions(questions, entities), candidates).persist()
+    if order == "time":
+        return _fused(q, facts, entities, limit, compat)
     bounded = with_boundary(q.where("qtype in ('before_after', 'before_last', 'after_first')"), facts, entities, order)
     same, same_q = equal_multi_same(q, facts, order)
     parts = [
@@ -224,6 +230,63 @@ def retrieve(questions: DataFrame, candidates: DataFrame, facts: DataFrame, enti
     return out
 
 
+# What a question takes of its pool: all, the facts of the first or last day, one fact, or a few.
+_TAKES = """case
+ when qtype = 'equal' and answer_type = 'time' and s is not null and o is not null then 'lines'
+ when qtype = 'equal' and answer_type = 'entity' then 'all'
+ when qtype = 'equal_multi' and low like '%the same%' then 'all'
+ when qtype = 'equal_multi' and (low like '%first%' or low like '%last%') then 'one'
+ when qtype = 'first_last' and (low like '%first%' or low like '%last%') then 'day'
+ when qtype = 'before_after' and (low like '%before%' or low like '%after%') then 'few'
+ when qtype in ('before_last', 'after_first') and ((low like '%before%' and low like '%last%') or (low like '%after%' and low like '%first%')) then 'day'
+ end"""
+_BOUNDED = "qtype in ('before_after', 'before_last', 'after_first')"
+_TIMED = "size(coalesce(time, array())) > 0"
+
+
+def _fused(q: DataFrame, facts: DataFrame, entities: DataFrame, limit: int, compat: bool) -> DataFrame:
+    q = q.withColumn("takes", once(F.expr(_TAKES), lambda x: x)).where("takes is not null or " + _BOUNDED)
+    same = "(qtype = 'equal_multi' and low like '%the same%')"
+    refs = entities.select(F.col("name").alias("ref")).distinct().withColumn("known", F.lit(True))
+    q = q.join(refs, "ref", "left")
+    asks = q.where(f"{same} or ({_BOUNDED} and known and not {_TIMED})")
+    q = q.join(anchors(asks, facts), ["quid", "rel"], "left")
+    before = F.expr("low like '%before%' and (qtype = 'before_after' or low like '%last%')")
+    last = F.when(F.expr(_BOUNDED), before & (F.col("qtype") != "before_after")).otherwise(~F.col("low").contains("first"))
+    at = F.when(F.expr(same), F.col("a_d")).when(F.expr(_BOUNDED), F.when(F.expr(_TIMED), F.col("t")).otherwise(F.col("a_d"))).otherwise(F.col("t"))
+    free = F.expr(f"qtype = 'first_last' or takes = 'lines' or (qtype = 'equal' and s is not null and not {_TIMED})")
+    nothing = F.expr(f"qtype = 'equal' and s is not null and {_TIMED}") & F.lit(compat) & (F.col("takes") == "all")
+    side = F.when(free, F.lit(None)).when(F.expr(_BOUNDED), F.when(before, F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
+    q = q.select("*", *[once(x, lambda v: v).alias(name) for name, x in (("at", at), ("side", side), ("take_last", last), ("nothing", nothing))]).persist()
+    anchored = q.where(f"a_d is not null and ({same} or {_BOUNDED})")
+
+    f = facts.select(F.col("s").alias("fs"), F.col("r").alias("fr"), F.col("o").alias("fo"), F.col("d").alias("fd"), F.col("ts").alias("fts"), "line_no")
+    asked = q.where("takes is not null and not nothing").select("quid", "cand_rank", "rel", "s", "o", "takes", "answer_type", "time_level", "at", "side", "take_last")
+    sub = asked.where("s is not null and o is null and answer_type = 'entity' or (s is not null and o is null and takes = 'few')")
+    obj = asked.where("o is not null and s is null and answer_type = 'entity' or (o is not null and s is null and takes = 'few')")
+    both = asked.where("s is not null and o is not null and answer_type = 'time' and side is null")
+    timed = f.where("fts is not null")
+    rows = (
+        sub.join(timed, (F.col("s") == F.col("fs")) & (F.col("rel") == F.col("fr")))
+        .unionAll(obj.join(timed, (F.col("o") == F.col("fo")) & (F.col("rel") == F.col("fr"))))
+        .unionAll(both.join(f, (F.col("s") == F.col("fs")) & (F.col("rel") == F.col("fr")) & (F.col("o") == F.col("fo"))).where("takes = 'lines' or fts is not null"))
+    )
+    hit = F.when(F.col("side").isNull(), F.lit(True)).when(F.col("side") == 0, matches(F.col("fd"), F.col("at"), F.col("time_level"))).otherwise(compare(F.col("fd"), F.col("at"), F.col("time_level")) == F.col("side"))
+    rows = rows.where(hit)
+    line = F.when(F.col("takes") == "lines", F.lit(None)).otherwise(F.col("fts"))
+    day = F.datediff("fd", F.lit("1970-01-01").cast("date"))
+    sign = F.when(F.col("take_last"), F.lit(-1)).otherwise(F.lit(1))
+    # The rank key: the day, for one fact also its time and line; nothing where all are taken.
+    second = F.hour("fts") * 3600 + F.minute("fts") * 60 + F.second("fts")
+    keyed = rows.select(
+        "*", line.alias("by_time"), F.when(F.col("takes").isin("day", "one"), day * sign).alias("k1"), F.when(F.col("takes") == "one", second * sign).alias("k2"), F.when(F.col("takes") == "one", F.col("line_no") * sign).alias("k3")
+    )
+    w = W.partitionBy("quid", "rel")
+    best = keyed.withColumn("rk", F.rank().over(w.orderBy("k1", "k2", "k3"))).where("rk = 1")
+    numbered = best.withColumn("pos", F.row_number().over(w.orderBy("by_time", "line_no")).cast("int")).where((F.col("takes") != "few") | (F.col("pos") <= limit))
+    return _shape(numbered).unionByName(_qfacts(anchored))
+
+
 def empty_questions(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Questions of a known type for which no fact was retrieved (lone qfacts do not count)."""
     known = questions.where(F.col("qtype").isin(*ROUTES)).select("quid", "question")

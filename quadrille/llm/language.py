@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import free_name
+from .session import bounded_batches, free_name
 
 UNDETERMINED = "und"
 
@@ -201,7 +201,7 @@ def train_languages(labelled: DataFrame, params: LangParams = LangParams()) -> L
                     key = np.concatenate([np.flatnonzero(grams), buckets + np.flatnonzero(scripts)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), l, np.int32)), pa.array(key.astype(np.int32)), pa.array(np.concatenate([grams, scripts])[key])], ["l", "k", "n"])
 
-    counts = drawn.mapInArrow(count, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    counts = bounded_batches(drawn).mapInArrow(count, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((buckets + len(SCRIPTS), len(languages)))
     table[counts["k"].to_numpy(), counts["l"].to_numpy()] = counts["n"].to_numpy()
     grams, scripts = table[:buckets] + params.smoothing, table[buckets:]
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: LangModel, spans: bool = False) -> DataFram
                         names.append("spans")
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -279,7 +279,7 @@ def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
                         score.append(share)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*batch.schema, pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]))
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .words import word_hashes
 
 K1, B = 1.2, 0.75
@@ -213,6 +214,6 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
                             cols = [pa.array([f[j] for f in found], kind) for j, kind in enumerate([pa.int64(), pa.float64(), pa.float64(), pa.float64()], 1)]
                             yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        hits = rows.mapInArrow(run, schema)
+        hits = bounded_batches(rows).mapInArrow(run, schema)
         out = hits if out is None else out.unionAll(hits)
     return out

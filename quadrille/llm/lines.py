@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
+
 WINDOW = 3
 
 
@@ -59,4 +61,4 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cover = repeated_windows(base, window).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     d, c = base.alias("d"), cover.alias("c")
     joined = d.join(c, F.expr("d.doc_id <=> c.doc_id and d.th = c.th"), "left").select("d.doc_id", "d.text", "c.starts")
-    return joined.mapInArrow(lambda b: _strip(b, window), "doc_id long, text string, n_lines long, n_removed long")
+    return bounded_batches(joined).mapInArrow(lambda b: _strip(b, window), "doc_id long, text string, n_lines long, n_removed long")

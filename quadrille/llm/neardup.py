@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import checkpointed
+from .session import bounded_batches, checkpointed
 from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield from _sign(batches, shingle)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -98,7 +98,7 @@ def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                         [batch.column("doc").slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc", "members"]
                     )
 
-    return docs.mapInArrow(run, "doc long, members binary")
+    return bounded_batches(docs).mapInArrow(run, "doc long, members binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .words import CHUNK_BYTES, _pieces, hashes, mix, spans, text_bytes
 
 TARGETS = ("good", "toxic")
@@ -263,7 +264,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
                     )
 
     sample = rows.join(ids, "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "good", "toxic")
-    found = sample.mapInArrow(run, "doc_id long, t binary, m binary, good int, toxic int").toPandas().sort_values(["doc_id", "t"], kind="stable")
+    found = bounded_batches(sample).mapInArrow(run, "doc_id long, t binary, m binary, good int, toxic int").toPandas().sort_values(["doc_id", "t"], kind="stable")
 
     def arrays(column) -> list[np.ndarray]:
         return [np.frombuffer(x, np.int32).astype(np.int64) for x in column]
@@ -291,4 +292,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                     keep = (good >= m.params.keep_good) & (toxic < m.params.keep_toxic)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(good), pa.array(toxic), pa.array(good * (1 - toxic)), pa.array(keep)], ["doc_id", "good", "toxic", "score", "keep"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, good double, toxic double, score double, keep boolean")
+    return bounded_batches(_columns(docs)).mapInArrow(run, "doc_id long, good double, toxic double, score double, keep boolean")

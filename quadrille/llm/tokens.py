@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .words import _pieces, hashes, spans, text_bytes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -130,4 +131,4 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

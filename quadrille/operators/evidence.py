@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..config import EngineConfig
 from ..functions.temporal import kappa, parse_iso, parse_text_date
 from ..functions.text import CUES, infer_cue, none_to_null, normalise_answer, question_reference
+from .union import united
 
 SENTENCE = r"^(.+)\s+in\s+(\d{4}-\d{2}-\d{2})\s*$"
 KEEPS_EARLIEST = ("after", "first")
@@ -123,7 +124,7 @@ def prededup_or_all(facts: DataFrame, cues: DataFrame) -> DataFrame:
     """prededup, but a question whose facts all disagree keeps them all."""
     kept = prededup(facts, cues).drop("class_pos")
     lost = facts.join(kept.select("quid").distinct(), "quid", "left_anti").select("quid", "pos", "s", "r", "o", "d")
-    return kept.unionByName(lost)
+    return united(kept, lost)
 
 
 def ordinal_rank(facts: DataFrame, cues: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def stage2(representatives: DataFrame, targets: DataFrame | None = None) -> Data
     if targets is None:
         return chosen
     broken = connected(chosen, targets).where("not connected").select("quid")
-    return chosen.join(broken, "quid", "left_anti").unionByName(representatives.join(broken, "quid", "left_semi"))
+    return united(chosen.join(broken, "quid", "left_anti"), representatives.join(broken, "quid", "left_semi"))
 
 
 def identity_verdicts(questions: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
         stats = stats.join(verdicts.select("quid", "accepted"), "quid", "left")
     stats = stats.withColumn("verifier_accepted", F.when(F.col("verifier_triggered"), F.coalesce("accepted", F.lit(False)))).drop("accepted")
     refused = stats.where("verifier_triggered and not verifier_accepted").select("quid")
-    final = chosen.join(refused, "quid", "left_anti").unionByName(reps.join(refused, "quid", "left_semi"))
+    final = united(chosen.join(refused, "quid", "left_anti"), reps.join(refused, "quid", "left_semi"))
     columns = ["quid", "pos", "s", "r", "o", "d", "out_pos"]
     return final.select(*columns), stats
 
@@ -212,9 +213,9 @@ def filter_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
     hot = facts.join(gate.where("triggered").select("quid"), "quid", "left_semi")
     selected, _ = select_evidence(prededup_or_all(hot, cues), cues, config, targets, verdicts)
     cold = facts.join(gate.where("not triggered").select("quid"), "quid", "left_semi")
-    final = selected.select("quid", F.col("out_pos").alias("pos"), "s", "r", "o", "d").unionByName(cold.select("quid", "pos", "s", "r", "o", "d"))
-    left = final.groupBy("quid").agg(F.count("*").alias("m"))
-    counts = gate.join(left, "quid", "left").select("quid", F.col("n").cast("int").alias("original_fact_num"), F.coalesce("m", F.lit(0)).cast("int").alias("final_fact_num"), "triggered")
+    final = united(selected.select("quid", F.col("out_pos").alias("pos"), "s", "r", "o", "d"), cold.select("quid", "pos", "s", "r", "o", "d"))
+    tally = gate.select("quid", "n", "triggered", F.lit(0).alias("m")).unionAll(final.select("quid", F.lit(None).cast("long"), F.lit(None).cast("boolean"), F.lit(1)))
+    counts = tally.groupBy("quid").agg(F.max("n").cast("int").alias("original_fact_num"), F.sum("m").cast("int").alias("final_fact_num"), F.max("triggered").alias("triggered"))
     return final, counts.withColumn("filtered", F.col("original_fact_num") != F.col("final_fact_num"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .union import united
+
 
 def timed(facts: DataFrame) -> DataFrame:
     return facts.where("ts is not null")
@@ -83,4 +85,4 @@ def pools(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     f = facts.select("s", "r", "o", "d", "ts", "line_no")
     by_s = wanted.where("s is not null and o is null").drop("o").join(f, ["s", "r"], "left")
     by_o = wanted.where("o is not null and s is null").drop("s").join(f, ["r", "o"], "left")
-    return by_s.unionByName(by_o)
+    return united(by_s, by_o)

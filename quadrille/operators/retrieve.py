@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.temporal import compare, matches, once, parse_iso, render_fact
 from ..functions.text import none_to_null
 from .graph import ordered
+from .union import united
 
 ROUTES = ("equal", "equal_multi", "first_last", "before_after", "before_last", "after_first")
 OUT = ("quid", "cand_rank", "rel", "kind", "pos", "s", "r", "o", "d")
@@ -176,7 +177,7 @@ def with_boundary(q: DataFrame, facts: DataFrame, entities: DataFrame, order: st
     names = entities.select(F.col("name").alias("ref")).distinct()
     open_ = q.where("size(coalesce(time, array())) = 0").join(names, "ref", "left_semi")
     found = open_.join(anchors(open_, facts, order), ["quid", "rel"]).withColumn("boundary", F.col("a_d"))
-    return own.unionByName(found).where("boundary is not null")
+    return united(own, found).where("boundary is not null")
 
 
 def before_after(q: DataFrame, facts: DataFrame, limit: int = 10, order: str = "time") -> DataFrame:
@@ -224,10 +225,7 @@ def retrieve(questions: DataFrame, candidates: DataFrame, facts: DataFrame, enti
         strict_as_of(bounded, facts, order),
         _qfacts(bounded.where("a_d is not null")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return united(*parts)
 
 
 # What a question takes of its pool: all, the facts of the first or last day, one fact, or a few.
@@ -284,7 +282,7 @@ def _fused(q: DataFrame, facts: DataFrame, entities: DataFrame, limit: int, comp
     w = W.partitionBy("quid", "rel")
     best = keyed.withColumn("rk", F.rank().over(w.orderBy("k1", "k2", "k3"))).where("rk = 1")
     numbered = best.withColumn("pos", F.row_number().over(w.orderBy("by_time", "line_no")).cast("int")).where((F.col("takes") != "few") | (F.col("pos") <= limit))
-    return _shape(numbered).unionByName(_qfacts(anchored))
+    return united(_shape(numbered), _qfacts(anchored))
 
 
 def empty_questions(questions: DataFrame, retrieved: DataFrame) -> DataFrame:

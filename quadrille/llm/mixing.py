@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -99,11 +101,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     * rows with equal doc_id, source and size are taken or left together.
 
     A hot source costs no task more than its share: documents are counted by source,
-    length and hash part first, a source is fitted on its table of lengths alone, and only
+    length and hash part first (words are counted once and written), a source is fitted on its table of lengths alone, and only
     the one part in which a length's cut falls is ranked."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
     rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int"))
+    rows = checkpointed(rows)
     counted = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     table = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = source_targets(table.select("source", (F.col("size") * F.col("n")).alias("size")), weights, max_repeats)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ class LeakParams:
     over the texts, as long as items have ``max_bytes`` of text in all.  More items are
     taken in several passes."""
 
-    window: int = 192
-    stride: int = 64
+    window: int = 256
+    stride: int = 128
     share: float = 0.6
     question: float = 0.75
     answer: float = 0.75
@@ -134,9 +135,14 @@ def _coverage(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[float,
     return best
 
 
+def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hashed words of texts in lower case, without the signs around them."""
+    return word_hashes(pc.utf8_lower(column), bare=True)
+
+
 def _build(ids: list[int], texts: list[str], params: LeakParams) -> list[Index]:
     items: list[np.ndarray] = []
-    for _, h, at in word_hashes(pa.array(texts, pa.string())):
+    for _, h, at in _words(pa.array(texts, pa.string())):
         items += [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     kept = [(i, x) for i, x in zip(ids, items, strict=True) if len(x) and i is not None]
     step = params.index_items
@@ -187,7 +193,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
     """(doc_id, item_id, score, question_overlap, answer_overlap), one row for each text and leaked item.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text).  Null, empty or wordless texts and
-    items take no part, nor do items without item_id; an item's case does not matter.  A
+    items take no part, nor do items without item_id; case and the signs around
+    words do not matter.  A
     repeated text gives its rows again; a repeated item is an item of its own.  An empty
     benchmark gives no rows.  The benchmark is read to the driver in parts of ``max_bytes``
     of text, each part one pass over ``docs``; that bounds what an executor holds."""
@@ -207,7 +214,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
         def run(batches, shared=shared):
             with np.errstate(over="ignore"):
                 for batch in batches:
-                    for first, h, at in word_hashes(batch.column("text")):
+                    for first, h, at in _words(batch.column("text")):
                         found = list(_hits(h, at, shared.value, params))
                         if found:
                             ids = batch.column("doc_id").take(pa.array([first + f[0] for f in found]))

@@ -75,6 +75,18 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+_SOLID = np.zeros(256, bool)
+_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def trimmed(raw: np.ndarray, start: np.ndarray, end: np.ndarray, signs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Words without up to ``signs`` ASCII signs at either end; a word always keeps one byte."""
+    for _ in range(signs):
+        start = start + ((end - start > 1) & ~_SOLID[raw[start]])
+        end = end - ((end - start > 1) & ~_SOLID[raw[end - 1]])
+    return start, end
+
+
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of raw[start:end] for each word: sums of bytes times powers of
     an odd base, moved to the word's start by the inverse power, then mixed."""
@@ -113,12 +125,18 @@ def _pieces(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, hashes, offsets of texts in them) for runs of whole texts."""
+def word_hashes(column: pa.Array, lower: bool = True, bare: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hashes, offsets of texts in them) for runs of whole texts.
+
+    ``bare``: of words without the signs around them; a word of signs alone is none."""
     raw, at = text_bytes(column)
     held: list[np.ndarray] = []
     for i, j, part, offsets in _pieces(raw, at):
         start, end = spans(part, offsets)
+        if bare:
+            start, end = trimmed(part, start, end)
+            solid = _SOLID[part[start]]
+            start, end = start[solid], end[solid]
         h = hashes(part, start, end, lower)
         if j == i + 1 and at[j] - at[i] > CHUNK_BYTES:
             held.append(h)

@@ -2,11 +2,7 @@ import random
 
 import pytest
 
-WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups".split()
-
-
-def sentence(rng, n):
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
+from llm_helpers import sentence
 
 
 @pytest.fixture(scope="session")

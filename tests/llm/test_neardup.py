@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import sentence
+from llm_helpers import sentence
 
 from quadrille.llm import neardup
 from quadrille.llm.components import connected_components

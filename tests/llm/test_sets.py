@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import sentence
+from llm_helpers import sentence
 from pyspark.sql import functions as F
 
 from quadrille.llm import leaks, mixing, sharding, vectors

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import sentence
+from llm_helpers import sentence
 from pyspark.sql import functions as F
 
 from quadrille.llm import extract, language, lines, quality, tokens, words

@@ -30,6 +30,8 @@ FRINGE_ROLES = frozenset("navigation banner contentinfo complementary search men
 # Words in class and id names.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion related recommended".split())
 FRINGE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side rail widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot copyright legal disclaimer cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login share sharing social toolbar pagination pager popup modal overlay tags hidden".split())
+#: Inside an article these name its own title block, not the page's.
+CORE_HEADS = frozenset(["header"])
 CORE_WORDS = frozenset("article articlebody post entry story content maincontent main body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
@@ -87,7 +89,7 @@ def _frame(tag: str, attrs: str, inside_core: bool) -> _Frame:
                 names = {x.lower() for x in _NAME.findall(value)}
                 if names & COMMENT_WORDS:
                     f.fringe = 2
-                elif names & FRINGE_WORDS and tag not in ("article", "main") and not (inside_core and tag == "header"):
+                elif names & FRINGE_WORDS - (CORE_HEADS if inside_core else frozenset()) and tag not in ("article", "main"):
                     f.fringe = max(f.fringe, 1)
                 elif names & CORE_WORDS:
                     f.soft = 1

@@ -48,7 +48,6 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base = 0
         for first, h, at in word_hashes(batch.column("text")):
             sets = list(shingle_sets(h, at, shingle))
             n = np.array([len(s) for s in sets], np.int64)
@@ -70,7 +69,6 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
                 [batch.column("doc_id").slice(first, len(sets)), pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), np.concatenate([[0], np.cumsum(size)]))],
                 ["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
-            base += len(sets)
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:

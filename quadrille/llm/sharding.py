@@ -64,15 +64,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", weig
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k"),
     )
-    shard, newer, part = (rendezvous(F.col("k"), shards, weights), _draw(F.col("k"), F.lit(shards)), F.substring(F.md5(F.col("k").cast("binary")), 1, slot_digits))
-    grown = rendezvous(F.col("k"), shards + 1, None if weights is None else [*weights, grown_weight])
-    if weights is None:
-        placed = narrow.withColumn("shard", shard)
-        grown = F.when(newer > _draw(F.col("k"), F.col("shard")), F.lit(shards)).otherwise(F.col("shard"))
-        placed = placed.withColumn("grown_shard", grown)
+    k = F.col("k")
+    placed = narrow.withColumn("shard", rendezvous(k, shards, weights)).withColumn("part", F.substring(F.md5(k.cast("binary")), 1, slot_digits))
+    if weights is None:  # equal shards: the new one's draw against the winner's
+        grown = F.when(_draw(k, F.lit(shards)) > _draw(k, F.col("shard")), F.lit(shards)).otherwise(F.col("shard"))
     else:
-        placed = narrow.withColumn("shard", shard).withColumn("grown_shard", grown)
-    placed = placed.withColumn("part", part)
+        grown = rendezvous(k, shards + 1, [*weights, grown_weight])
+    placed = placed.withColumn("grown_shard", grown)
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = "sum(n) over (partition by shard order by part rows between unbounded preceding and 1 preceding)"
     starts = counts.select("shard", "part", F.coalesce(F.expr(before), F.lit(0)).alias("start"))

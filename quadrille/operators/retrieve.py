@@ -52,9 +52,11 @@ def valid_questions(questions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def fan_out(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each question and candidate relation (quid, cand_rank, rel); a repeated relation
-    counts once, at its first rank."""
-    once = candidates.groupBy("quid", "rel").agg(F.min("cand_rank").alias("cand_rank"))
-    return prepare(questions).join(once, "quid")
+    counts once, at its first rank.
+
+    The result is cached: every query type reads it more than once, and it is small beside the facts."""
+    first = candidates.groupBy("quid", "rel").agg(F.min("cand_rank").alias("cand_rank"))
+    return prepare(questions).join(first, "quid").persist()
 
 
 def _facts(facts: DataFrame, order: str) -> DataFrame:
@@ -207,7 +209,7 @@ def retrieve(questions: DataFrame, candidates: DataFrame, facts: DataFrame, enti
     By time all types share one plan: anchors once, a join for each known side, one shuffle on
     (quid, rel).  By ingest order each type is planned by itself.  The prepared questions, which all
     branches read, are cached (recomputed if lost); facts are not."""
-    q = fan_out(valid_questions(questions, entities), candidates).persist()
+    q = fan_out(valid_questions(questions, entities), candidates)
     if order == "time":
         return _fused(q, facts, entities, limit, compat)
     bounded = with_boundary(q.where("qtype in ('before_after', 'before_last', 'after_first')"), facts, entities, order)

@@ -134,6 +134,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
         "p.*", F.col("l.part").alias("last_part"), F.col("l.draw").alias("last_draw"), F.col("l.doc_id").alias("last_id")
     )
     within = F.expr("more > 0 and (r.part < last_part or (r.part = last_part and (r.draw < last_draw or (r.draw = last_draw and r.doc_id <=> last_id) or (r.draw = last_draw and r.doc_id < last_id))))")
-    joined = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source and r.size = p.size"))
+    # The plan is spread over the parts that have rows: a hot source and length is met in PARTS pieces.
+    spread = counted.select("source", "size", "part").alias("c").join(plan.alias("p"), F.expr("c.source <=> p.source and c.size = p.size")).select("c.part", "p.*")
+    joined = rows.alias("r").join(spread.alias("p"), F.expr("r.source <=> p.source and r.size = p.size and r.part = p.part"))
     times = F.col("passes") + F.coalesce(within, F.lit(False)).cast("long")
     return joined.select("r.doc_id", "r.source", "r.size", "source_size", "target", (F.col("r.size") * times).alias("taken"))

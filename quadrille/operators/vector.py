@@ -1,4 +1,4 @@
-"""Dense retrieval: inner products, exact top-k in blocks, inverted-file cells, encoders."""
+"""Dense retrieval: inner products, exact top-k in blocks or by inverted-file cells, encoders."""
 
 from __future__ import annotations
 
@@ -28,6 +28,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, larger_id_first: b
     nq, nc = max(1, -(-counts[0] // query_rows)), max(1, -(-counts[1] // corpus_rows))
     q = queries.select("quid", "vector", F.pmod(F.xxhash64("quid"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
     c = corpus.select("fact_id", "vector", F.pmod(F.xxhash64("fact_id"), F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    part = _best_of_blocks(q, c, k, larger_id_first)
+    return rank_in(part, ["quid"], [F.desc("score"), F.desc("fact_id") if larger_id_first else F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
+
+
+def _best_of_blocks(q: DataFrame, c: DataFrame, k: int, larger_id_first: bool = False) -> DataFrame:
+    """(quid, fact_id, score): the ``k`` best of each query in each group (qb, cb), by one matrix product a group."""
     sign = -1 if larger_id_first else 1
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -38,8 +44,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, larger_id_first: b
         order = np.lexsort((np.broadcast_to(sign * ids, score.shape), -score), axis=-1)[:, :k]
         return pd.DataFrame({"quid": np.repeat(a["quid"].to_numpy(np.int64), order.shape[1]), "fact_id": ids[order].reshape(-1), "score": np.take_along_axis(score, order, axis=1).reshape(-1)})
 
-    part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "quid long, fact_id long, score double")
-    return rank_in(part, ["quid"], [F.desc("score"), F.desc("fact_id") if larger_id_first else F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "quid long, fact_id long, score double")
 
 
 def gather(hits: DataFrame, facts: DataFrame) -> DataFrame:
@@ -61,30 +66,71 @@ def cell_centres(corpus: DataFrame, cells: int, sample: int = 20_000, rounds: in
     return centre
 
 
-def top_k_cells(queries: DataFrame, corpus: DataFrame, k: int = 20, cells: int = 64, probes: int = 16, centres: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: each query is compared with the vectors of its ``probes`` best cells.
+def top_k_cells(queries: DataFrame, corpus: DataFrame, k: int = 20, cells: int = 64, probes: int = 16, centres: np.ndarray | None = None, query_rows: int = 4096, corpus_rows: int = 65_536) -> DataFrame:
+    """Exact top-k by cells: a query meets its ``probes`` best cells, then every other cell that may hold one of its best.
 
-    Every vector is in a cell; cells meet queries in an equi-join on the cell's number."""
+    No vector of a cell scores above query . centre + |query| * radius, the radius being the largest distance
+    of the cell's vectors from its centre; a cell whose bound is under the query's k-th score is left out.
+    Every vector is in a cell; large cells are several blocks, so groups are of bounded size."""
     centre = cell_centres(corpus, cells) if centres is None else centres
     shared = corpus.sparkSession.sparkContext.broadcast(centre)
 
-    def assign(id_col: str, n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def near(x: np.ndarray) -> np.ndarray:
+        c = shared.value
+        return x @ c.T - 0.5 * (c * c).sum(axis=1)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["vector"].to_list()).astype(float)
+                cell = np.argmax(near(x), axis=1)
+                yield pd.DataFrame({"fact_id": b["fact_id"], "cell": cell.astype(np.int32), "away": np.linalg.norm(x - shared.value[cell], axis=1), "vector": b["vector"]})
+
+    assigned = corpus.select("fact_id", "vector").mapInPandas(own, "fact_id long, cell int, away double, vector array<float>")
+    radius, blocks = np.full(len(centre), -np.inf), np.zeros(len(centre), int)
+    for r in assigned.groupBy("cell").agg(F.max("away").alias("away"), F.count("*").alias("n")).collect():
+        radius[r.cell], blocks[r.cell] = r.away, -(-r.n // corpus_rows)
+    start = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+
+    def asked(later: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """The blocks of each query's best cells, or those of the others that its k-th score does not rule out."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                c = shared.value
-                near = np.argsort(-(np.stack(b["vector"].to_list()).astype(float) @ c.T - 0.5 * (c * c).sum(axis=1)), axis=1, kind="stable")[:, :n]
-                out = pd.DataFrame({id_col: np.repeat(b[id_col].to_numpy(), near.shape[1]), "cell": near.reshape(-1).astype(np.int32)})
-                out["vector"] = [v for v in b["vector"] for _ in range(near.shape[1])]
-                yield out
+                x = np.stack(b["vector"].to_list()).astype(float)
+                place = np.argsort(np.argsort(-near(x), axis=1, kind="stable"), axis=1)
+                wanted = place < probes
+                if later:
+                    least = b["least"].to_numpy(float)[:, None]
+                    bound = x @ shared.value.T + np.linalg.norm(x, axis=1)[:, None] * radius
+                    slack = 1e-9 * (1 + np.abs(np.where(np.isnan(least), 0, least)))
+                    wanted = ~wanted & (np.isnan(least) | (bound >= least - slack))
+                row, cell = np.nonzero(wanted & (blocks > 0))
+                n = blocks[cell]
+                cb = np.repeat(start[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(row, n)
+                yield pd.DataFrame({"quid": b["quid"].to_numpy()[row], "cb": cb.astype(np.int32), "vector": b["vector"].to_numpy()[row]})
 
         return run
 
-    c = corpus.select("fact_id", "vector").mapInPandas(assign("fact_id", 1), "fact_id long, cell int, vector array<float>")
-    q = queries.select("quid", "vector").mapInPandas(assign("quid", probes), "quid long, cell int, vector array<float>")
-    pairs = q.withColumnRenamed("vector", "qv").join(c, "cell").select("quid", "fact_id", dot(F.col("qv"), F.col("vector")).alias("score"))
-    return rank_in(pairs, ["quid"], [F.desc("score"), F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
+    nq = max(1, -(-queries.count() // query_rows))
+    first_block, in_cell = (F.array(*[F.lit(int(v)) for v in values]) for values in (start, blocks))
+    cb = F.get(first_block, F.col("cell")) + F.pmod(F.xxhash64("fact_id"), F.get(in_cell, F.col("cell"))).cast("int")
+    c = assigned.select("fact_id", "vector", cb.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def meet(rows: DataFrame, later: bool) -> DataFrame:
+        q = rows.mapInPandas(asked(later), "quid long, cb int, vector array<float>").withColumn("qb", F.pmod(F.xxhash64("quid"), F.lit(nq)).cast("int"))
+        return _best_of_blocks(q, c, k)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rank_in(rows, ["quid"], [F.desc("score"), F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
+
+    first = meet(queries.select("quid", "vector"), False)
+    least = ranked(first).where(F.col("rank") == k).select("quid", F.col("score").alias("least"))
+    second = meet(queries.select("quid", "vector").join(least, "quid", "left"), True)
+    return ranked(first.unionByName(second))
 
 
 Encoder = Callable[[list[str]], np.ndarray]

@@ -167,3 +167,19 @@ def test_exact_and_cell_search(spark):
         assert [exact[i, k] for k in (1, 2, 3)] == np.argsort(-(y @ y[i]))[:3].tolist()
     near = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, df, 3, cells=8, probes=8).collect()}
     assert near == exact
+
+
+def test_cell_search_is_exact_with_few_probes(spark):
+    """One probe of 16 cells: what the probed cell lacks comes from the cells whose bound is not under the k-th score."""
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "fact_id long, vector array<float>")
+    q = df.where("fact_id < 20").select(F.col("fact_id").alias("quid"), "vector")
+    exact = {(r.quid, r.rank): r.fact_id for r in vector.top_k(q, df, 10).collect()}
+    for rows in (65_536, 7):
+        near = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, df, 10, cells=16, probes=1, corpus_rows=rows, query_rows=rows).collect()}
+        assert near == exact
+    few = df.where("fact_id < 30")
+    got = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, few, 40, cells=16, probes=1).collect()}
+    assert got == {(r.quid, r.rank): r.fact_id for r in vector.top_k(q, few, 40).collect()} and len(got) == 20 * 30

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .ground import rank_in
 
+#: At most so many scores are held at a time.
+SCORES = 4_000_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, JVM-side."""
@@ -39,10 +42,17 @@ def _best_of_blocks(q: DataFrame, c: DataFrame, k: int, larger_id_first: bool =
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"quid": pd.Series(dtype="int64"), "fact_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        score = np.stack(a["vector"].to_list()).astype(float) @ np.stack(b["vector"].to_list()).astype(float).T
-        ids = b["fact_id"].to_numpy(np.int64)
-        order = np.lexsort((np.broadcast_to(sign * ids, score.shape), -score), axis=-1)[:, :k]
-        return pd.DataFrame({"quid": np.repeat(a["quid"].to_numpy(np.int64), order.shape[1]), "fact_id": ids[order].reshape(-1), "score": np.take_along_axis(score, order, axis=1).reshape(-1)})
+        x, y, ids = np.stack(a["vector"].to_list()).astype(float), np.stack(b["vector"].to_list()).astype(float).T, b["fact_id"].to_numpy(np.int64)
+        out, least, step = [], max(0, len(ids) - k), max(1, SCORES // len(ids))
+        for i in range(0, len(x), step):
+            score = x[i : i + step] @ y
+            row, col = np.nonzero(score >= np.partition(score, least, axis=1)[:, least, None])  # the k best and ties of the last
+            order = np.lexsort((sign * ids[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[kept], col[kept]
+            out.append(pd.DataFrame({"quid": a["quid"].to_numpy(np.int64)[i + row], "fact_id": ids[col], "score": score[row, col]}))
+        return pd.concat(out)
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "quid long, fact_id long, score double")
 

@@ -286,9 +286,7 @@ def encode_texts(spark, sf_dir):
 
 @query("semantic_search")
 def semantic_search(spark, sf_dir):
-    f = V.facts_ev(spark, sf_dir)
-    facts = files.fact_sentences(f.where("line_no % 10 = 0"))
-    return vector.semantic_search(V.questions(spark, sf_dir), facts)
+    return vector.semantic_search(V.questions(spark, sf_dir), files.fact_sentences(V.facts_ev(spark, sf_dir)))
 
 
 @query("rank_relations")

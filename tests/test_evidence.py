@@ -183,3 +183,24 @@ def test_cell_search_is_exact_with_few_probes(spark):
     few = df.where("fact_id < 30")
     got = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, few, 40, cells=16, probes=1).collect()}
     assert got == {(r.quid, r.rank): r.fact_id for r in vector.top_k(q, few, 40).collect()} and len(got) == 20 * 30
+
+
+def test_semantic_query_searches_all_facts(spark, tmp_path):
+    import numpy as np
+
+    from quadrille.plans import views
+    from quadrille.plans.text_queries import QUERIES
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 30), i % 9, ("view", "buy", "click")[i % 3], '{"k": %d}' % (i % 8)) for i in range(1, 90)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    encode = vector.hashing_encoder()
+    facts = {r.line_no: r.fact for r in files.fact_sentences(views.facts_ev(spark, str(tmp_path))).collect()}
+    asked = {r.quid: r.question for r in views.questions(spark, str(tmp_path)).collect()}
+    score = encode(list(asked.values())).astype(float) @ encode(list(facts.values())).astype(float).T
+    ids = np.array(list(facts))
+    want = {q: ids[np.lexsort((ids, -s))[:20]].tolist() for q, s in zip(asked, score, strict=True)}
+    got = {}
+    for r in QUERIES["semantic_search"](spark, str(tmp_path)).orderBy("quid", "rank").collect():
+        got.setdefault(r.quid, []).append(r.fact_id)
+        assert r.fact == facts[r.fact_id]
+    assert len(got) == 2 and got == want

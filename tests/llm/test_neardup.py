@@ -75,6 +75,19 @@ def test_large_nodes_branch_and_stay_exact(spark):
     check(spark.createDataFrame(_variants(2, 4, 60), "doc_id long, text string"), small=12, trees=8)
 
 
+def test_pairs_of_one_template_stay_together_over_many_levels(spark):
+    """Texts of 0.6 mutual similarity, so that nodes stay large for several levels, in pairs of 0.752."""
+    rng, rows = random.Random(7), []
+    shared = sentence(rng, 94)
+    for _ in range(120):
+        own = sentence(rng, 30).split()
+        rows += [" ".join([shared, *own]), " ".join([shared, *own[:13], sentence(rng, 17)])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sum(c != d for d, (_, c) in brute(list(enumerate(rows))).items()) == 120
+    check(df, small=6, trees=6)
+
+
 def test_components_of_paths_and_hubs(spark, monkeypatch):
     from quadrille.llm import components
 

@@ -101,12 +101,23 @@ class Index:
 
 
 def _coverage(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[float, int, int]:
-    """The largest share of the positions of ``part`` that its shingles found in one stretch of
-    ``text`` of about its own length cover, and that stretch.  A short part's shingles have
-    three quarters of its words, so that one changed word at an end is borne."""
+    """The largest share of ``_stretches`` and its stretch, the first of equal ones."""
+    best = (0.0, 0, 0)
+    for found in _stretches(text, part, shingle):
+        if found[0] > best[0]:
+            best = found
+    return best
+
+
+def _stretches(text: np.ndarray, part: np.ndarray, shingle: int) -> Iterator[tuple[float, int, int]]:
+    """The share of the positions of ``part`` that its shingles found in one stretch of ``text`` of
+    about its own length cover, and that stretch, from each place where a shingle of it stands.  A
+    short part's shingles have three quarters of its words, so that one changed word at an end is borne."""
     width = min(shingle, max(1, 3 * len(part) // 4)) if len(part) else 0
+    if not len(part):
+        yield 1.0, 0, 0
     if not width or len(text) < width:
-        return (1.0, 0, 0) if not len(part) else (0.0, 0, 0)
+        return
 
     def grams(x: np.ndarray) -> np.ndarray:
         g = np.zeros(len(x) - width + 1, np.uint64)
@@ -117,11 +128,10 @@ def _coverage(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[float,
     want, have = grams(part), grams(text)
     at = np.flatnonzero(np.isin(have, want))
     if not len(at):
-        return 0.0, 0, 0
+        return
     places = defaultdict(list)
     for k, g in enumerate(want):
         places[g].append(k)
-    best = (0.0, 0, 0)
     reach = len(part) + len(part) // 4
     for i, a in enumerate(at):
         j = int(np.searchsorted(at, a + reach, side="right"))
@@ -129,9 +139,20 @@ def _coverage(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[float,
         for g in have[at[i:j]]:
             for k in places[g]:
                 hit[k : k + width] = True
-        share = float(hit.mean())
-        if share > best[0]:
-            best = (share, int(a), int(at[j - 1]) + width)
+        yield float(hit.mean()), int(a), int(at[j - 1]) + width
+
+
+def _overlap(words: np.ndarray, item: np.ndarray, p: LeakParams) -> tuple[float, float] | None:
+    """Question and answer share of the best stretch that reaches both thresholds: the answer is looked for
+    near every stretch that repeats enough of the question."""
+    cut, best = split_item(item), None
+    for q, a, _ in _stretches(words, item[:cut], p.shingle):
+        if q < p.question or (best and q + 1.0 <= sum(best)):
+            continue
+        span = words[max(0, a - len(item)) : a + 2 * len(item) + p.shingle]
+        r = _coverage(span, item[cut:], p.shingle)[0]
+        if r >= p.answer and (best is None or q + r > sum(best)):
+            best = (q, r)
     return best
 
 
@@ -174,14 +195,10 @@ def _hits(h: np.ndarray, at: np.ndarray, indexes: list[Index], p: LeakParams) ->
         for passage, i, score in index.retrieve(owner, term, total, p.block):
             t, item = int(text_of[passage]), index.items[i]
             words = h[begin[passage] : min(int(end[passage]) + len(item), int(at[t + 1]))]
-            cut = split_item(item)
-            q, a, _ = _coverage(words, item[:cut], p.shingle)
-            if q < p.question:
-                continue
-            span = words[max(0, a - len(item)) : a + 2 * len(item) + p.shingle]
-            r = _coverage(span, item[cut:], p.shingle)[0]
-            if r < p.answer:
+            overlap = _overlap(words, item, p)
+            if overlap is None:
                 continue
+            q, r = overlap
             key_ = (t, i)
             if key_ not in found or (q + r, score) > (sum(found[key_][1:]), found[key_][0]):
                 found[key_] = (score, q, r)

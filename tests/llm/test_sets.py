@@ -149,6 +149,17 @@ def test_leaks_found_and_clean_left(spark, edge_docs, no_docs):
     assert leaks.benchmark_hits(docs, bench.limit(0)).collect() == []
 
 
+def test_leak_after_a_question_without_its_answer(spark):
+    """One passage holds the question alone and, further on, the question with its answer."""
+    rng = random.Random(9)
+    item = sentence(rng, 40)
+    question = " ".join(item.split()[:30])
+    rows = [(1, f"{question} {sentence(rng, 90)} {item}"), (2, f"{question} {sentence(rng, 90)} {question}"), (3, f"{item} {sentence(rng, 90)} {question}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.question_overlap, r.answer_overlap) for r in leaks.benchmark_hits(docs, bench).collect()}
+    assert got == {1: (1.0, 1.0), 3: (1.0, 1.0)}
+
+
 def test_block_bounds_lose_nothing():
     """Retrieval by block bounds against scoring every item."""
     rng = np.random.default_rng(5)

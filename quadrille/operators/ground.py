@@ -6,28 +6,33 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import strip_fences
 
-LONGEST_NAME_WORDS = 12
 
+def _bare_words(text: str) -> Column:
+    """The words of a text in lower case; signs between and around words are spaces."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[\s?!.,;:\"]+", " ")), " "), lambda w: w != "")
 
-def dictionary_entities(questions: DataFrame, entities: DataFrame, longest: int = LONGEST_NAME_WORDS) -> DataFrame:
+
+def dictionary_entities(questions: DataFrame, entities: DataFrame, longest: int | None = None) -> DataFrame:
     """(quid, entity): the longest dictionary name (ties: the first by code point) that stands in the
     question as whole words.
 
-    Runs of up to ``longest`` words meet the dictionary in an equi-join on lower-cased text."""
-    words = F.split(F.trim(F.regexp_replace("question", r"[\s?!.,;:\"]+", " ")), " ")
-    q = questions.select("quid", words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    found = q.where(F.size("w") > 0).select("quid", F.explode(runs).alias("run")).select("quid", F.lower("run").alias("key")).distinct()
-    names = entities.select(F.lower("name").alias("key"), F.col("name").alias("entity"))
+    Runs of as many words as dictionary names have (at most ``longest``, if given) meet the
+    dictionary in an equi-join on lower-cased text without signs."""
+    names = entities.select(F.array_join(_bare_words("name"), " ").alias("key"), F.size(_bare_words("name")).alias("n"), F.col("name").alias("entity")).where("n > 0")
+    lengths = sorted(r.n for r in names.select("n").distinct().collect() if longest is None or r.n <= longest)
+    q = questions.select("quid", _bare_words("question").alias("w"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("w"))
+    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
+    found = q.select("quid", F.explode(runs).alias("key")).distinct()
     hits = found.join(names, "key")
     longest_hit = hits.groupBy("quid").agg(F.max(F.length("entity")).alias("n"))
-    return hits.join(longest_hit, "quid").where(F.length("entity") == F.col("n")).groupBy("quid").agg(F.min("entity").alias("entity"))
+    return hits.drop("n").join(longest_hit, "quid").where(F.length("entity") == F.col("n")).groupBy("quid").agg(F.min("entity").alias("entity"))
 
 
 def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, max_entities: int = 200_000) -> DataFrame:

@@ -204,3 +204,13 @@ def test_semantic_query_searches_all_facts(spark, tmp_path):
         got.setdefault(r.quid, []).append(r.fact_id)
         assert r.fact == facts[r.fact_id]
     assert len(got) == 2 and got == want
+
+
+def test_long_names_and_names_with_signs(spark):
+    long = "Ministry of " + " and ".join(f"Part {i}" for i in range(8))
+    names = spark.createDataFrame([(long,), ("A.B. Bardhan",), ("ATCO Ltd.",), ("Ltd",), ("?!",), ("Iran",), (None,)], "name string")
+    asked = [f"Who met the {long}?", 'Did "A.B. Bardhan" visit Iran?', "when did ATCO Ltd. sell?", "who", "?", None, "Iran"]
+    q = spark.createDataFrame(list(enumerate(asked)), "quid long, question string")
+    assert {r.quid: r.entity for r in ground.dictionary_entities(q, names).collect()} == {0: long, 1: "A.B. Bardhan", 2: "ATCO Ltd.", 6: "Iran"}
+    assert {r.quid for r in ground.dictionary_entities(q, names, longest=12).collect()} == {1, 2, 6}
+    assert ground.dictionary_entities(q, names.limit(0)).collect() == []

@@ -177,8 +177,8 @@ def test_cell_search_is_exact_with_few_probes(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "fact_id long, vector array<float>")
     q = df.where("fact_id < 20").select(F.col("fact_id").alias("quid"), "vector")
     exact = {(r.quid, r.rank): r.fact_id for r in vector.top_k(q, df, 10).collect()}
-    for rows in (65_536, 7):
-        near = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, df, 10, cells=16, probes=1, corpus_rows=rows, query_rows=rows).collect()}
+    for blocks in ({}, {"corpus_rows": 7, "query_rows": 7}):
+        near = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, df, 10, cells=16, probes=1, **blocks).collect()}
         assert near == exact
     few = df.where("fact_id < 30")
     got = {(r.quid, r.rank): r.fact_id for r in vector.top_k_cells(q, few, 40, cells=16, probes=1).collect()}

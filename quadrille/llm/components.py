@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, discard
 
 MAX_ROUNDS = 200
 #: A contracted graph of at most so many links is finished by one task.
@@ -41,6 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Once at most ``LAST_LINKS`` links are left, one task joins their ends.  Nothing is
     collected but one count a round.  Nulls and self links are dropped.
     """
+    used = []
     edges = checkpointed(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a is not null and b is not null and a <> b")
@@ -58,6 +59,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u"))))
             near = edges.select(ends.alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("p"))
         near = checkpointed(near)
+        used += [edges, near]
         moved = near.select(F.col("v").alias("component"), F.col("p").alias("to"))
         labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         if last:
@@ -71,4 +73,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return checkpointed(labels)
+    out = checkpointed(labels)
+    discard(edges, *used)
+    return out

@@ -15,10 +15,10 @@ positions chosen independently, over the spread of agreement on 64 tokens).
 What keeps it linear on groups of copies of any size:
 
 * equal sets are one vertex, found by a 128-bit digest, before any branching;
-* nodes of one member end at the first level, nodes with equal members are one;
-* a large node's sets are linked to the node's smallest set (a star) and confirmed;
-  a node all of whose members are linked so has nothing more to give and ends.  Stars
-  are tried at the first and every fourth level; all other large nodes branch on.
+* nodes of one member end, nodes with equal members are one, and so are groups of members
+  that agree on enough tokens, whatever nodes they were found in;
+* a large node all of whose members agree with one of a few hubs is a star: it ends if each
+  member is like a hub and the hubs are linked; else it branches on.
 
 Every link is confirmed on the full shingle sets.
 """
@@ -33,43 +33,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import bounded_batches, checkpointed
+from .session import bounded_batches, checkpointed, discard
 from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
 #: At most so many sets are compared exhaustively: what one task holds at a time.
-SMALL = 2048
+SMALL = 512
 #: A pair below this share of equal minwise tokens is not looked at on full sets: at
 #: similarity 0.75 and 64 tokens that is 4.6 standard deviations.
 SKETCH_MARGIN = 4.6
 STAR_EVERY = 4
+#: Members that stand for a large node's group, and members compared with them in one part.
+HUBS = 4
+STAR_PART = 512
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+def _minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """The ``WIDTH`` minwise tokens of each of some non-empty sets."""
+    sig = np.zeros((len(sets), WIDTH), np.int32)
+    if sets:
+        u = np.concatenate(sets)
+        begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+        for p in range(WIDTH):
+            f = np.uint64(mix(np.array([p], np.uint64), 77)[0] | np.uint64(1))
+            least = np.minimum.reduceat((u ^ (f >> np.uint64(7))) * f, begin)
+            sig[:, p] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return sig
+
+
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each set, in two numbers; 0 for an empty one."""
+    k1, k2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        u = np.concatenate([sets[i] for i in full])
+        begin = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
+        k1[full] = np.add.reduceat(mix(u, 1001), begin).view(np.int64)
+        k2[full] = np.add.reduceat(mix(u, 1002), begin).view(np.int64)
+    return k1, k2
+
+
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, h, at in word_hashes(batch.column("text")):
             sets = list(shingle_sets(h, at, shingle))
             n = np.array([len(s) for s in sets], np.int64)
-            k1, k2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-            full = np.flatnonzero(n)
-            sig = np.zeros((len(full), WIDTH), np.int32)
-            if len(full):
-                u = np.concatenate([sets[i] for i in full])
-                begin = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                k1[full] = np.add.reduceat(mix(u, 1001), begin).view(np.int64)
-                k2[full] = np.add.reduceat(mix(u, 1002), begin).view(np.int64)
-                for p in range(WIDTH):
-                    f = np.uint64(mix(np.array([p], np.uint64), 77)[0] | np.uint64(1))
-                    least = np.minimum.reduceat((u ^ (f >> np.uint64(7))) * f, begin)
-                    sig[:, p] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            size = np.zeros(len(sets), np.int64)
-            size[full] = WIDTH
+            k1, k2 = _digests(sets)
+            sig = _minwise([s for s in sets if len(s)])
+            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, WIDTH, 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(sets)), pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), np.concatenate([[0], np.cumsum(size)]))],
+                [batch.column("doc_id").slice(first, len(sets)), pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), offsets)],
                 ["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
 
@@ -87,19 +104,30 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return bounded_batches(rows).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
-def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc, members): the sorted distinct shingle hashes, eight bytes each."""
+def full_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """(v, sig, members) of rows (v, k1, k2, text): minwise tokens and the sorted distinct shingle
+    hashes, eight bytes each, of those texts whose set has the digest (k1, k2); each v once a task."""
 
     def run(batches):
+        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
+                wanted = [batch.column(c).to_numpy() for c in ("v", "k1", "k2")]
                 for first, h, at in word_hashes(batch.column("text")):
-                    sets = [s.tobytes() for s in shingle_sets(h, at, shingle)]
+                    sets = list(shingle_sets(h, at, shingle))
+                    v, *want = (w[first : first + len(sets)] for w in wanted)
+                    good = np.logical_and.reduce([a == b for a, b in zip(_digests(sets), want, strict=True)])
+                    use = []
+                    for i in np.flatnonzero(good).tolist():
+                        if len(sets[i]) and int(v[i]) not in seen:
+                            seen.add(int(v[i]))
+                            use.append(i)
+                    sig = _minwise([sets[i] for i in use])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc").slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc", "members"]
+                        [pa.array(v[use]), _lists(sig.reshape(-1), np.arange(len(use) + 1) * WIDTH), pa.array([sets[i].tobytes() for i in use], pa.binary())], ["v", "sig", "members"]
                     )
 
-    return bounded_batches(docs).mapInArrow(run, "doc long, members binary")
+    return bounded_batches(rows).mapInArrow(run, "v long, sig array<int>, members binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -149,15 +177,15 @@ def _compare_node(doc: np.ndarray, sig: np.ndarray, members: list, percent: int,
             yield int(d), int(group.min())
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by path, as tables of whole nodes; no node is longer than a small one."""
+def _nodes(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``key``, as tables of whole nodes; no node is longer than a small one."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        path = table.column("path").to_numpy()
+        path = table.column(key).to_numpy()
         last = int(np.searchsorted(path, path[-1]))
         if last:
             yield table.slice(0, last).combine_chunks()
@@ -166,101 +194,201 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def _edges(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Documents, their tokens, and the bounds of the nodes with two members or more."""
-    path, doc = table.column("path").to_numpy(), table.column("doc").to_numpy()
-    flat = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    edge = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
-    return doc, flat.reshape(len(doc), WIDTH), [(int(i), int(j)) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
-
-
-def _plausible_members(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
-    """Of each node the members whose tokens agree with another member's on a part of ``cut``."""
-    for table in _nodes(batches):
-        _, sig, nodes = _edges(table)
-        keep = np.zeros(len(sig), bool)
-        for i, j in nodes:
-            for k in range(i, j - 1):
-                like = (sig[k + 1 : j] == sig[k]).mean(axis=1) >= cut
-                keep[k] |= like.any()
-                keep[k + 1 : j] |= like
-        yield from table.filter(pa.array(keep)).to_batches()
+def _edges(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+def _tokens(table: pa.Table) -> np.ndarray:
+    return table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, WIDTH)
+
+
+def _groups(sig: np.ndarray, cut: float) -> np.ndarray:
+    """For each member of a node the smallest one it reaches over pairs that agree on a part of ``cut``."""
+    root = np.arange(len(sig))
+    for k in range(len(sig) - 1):
+        like = np.flatnonzero((sig[k + 1 :] == sig[k]).mean(axis=1) >= cut) + k + 1
+        if len(like):
+            met = np.unique(root[np.append(like, k)])
+            root[np.isin(root, met)] = met[0]
+    return root
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
+    """(key, v): each node's groups of members whose tokens agree, named by a hash of their members, so
+    that a group that many nodes hold has one name."""
+    with np.errstate(over="ignore"):
+        for table in _nodes(batches, "path"):
+            v, sig, edge = table.column("v").to_numpy(), _tokens(table), _edges(table.column("path").to_numpy())
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            two = two[(sig[two] == sig[two + 1]).mean(axis=1) >= cut]
+            row, group = [np.stack([two, two + 1], axis=1).reshape(-1)], [np.repeat(two, 2)]
+            for i, j in zip(edge[:-1][size > 2].tolist(), edge[1:][size > 2].tolist(), strict=True):
+                root = _groups(sig[i:j], cut)
+                full = np.flatnonzero(np.bincount(root, minlength=j - i)[root] > 1)
+                row.append(full + i)
+                group.append(root[full] + i)
+            row, group = np.concatenate(row), np.concatenate(group)
+            own = mix(v[row].view(np.uint64), 5)
+            total = np.zeros(table.num_rows, np.uint64)
+            np.add.at(total, group, own)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(total[group], 6).view(np.int64)), pa.array(v[row])], ["key", "v"])
 
 
 def _compare_sorted(batches: Iterator[pa.RecordBatch], percent: int, cut: float) -> Iterator[pa.RecordBatch]:
-    for table in _nodes(batches):
-        doc, sig, nodes = _edges(table)
+    for table in _nodes(batches, "key"):
+        v, sig, edge = table.column("v").to_numpy(), _tokens(table), _edges(table.column("key").to_numpy())
         members = table.column("members")
-        found = [x for i, j in nodes for x in _compare_node(doc[i:j], sig[i:j], members[i:j], percent, cut)]
+        found = [x for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if j - i > 1 for x in _compare_node(v[i:j], sig[i:j], members[i:j], percent, cut)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [_alike(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent) for i in range(len(x))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a").join(
-        sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b"
-    )
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def similar_links(sets_by_doc: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24, shingle: int = 5) -> DataFrame:
+def _compare_stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(star, a, b): each member of a part of a star linked to a hub, b null where no hub of the main
+    group of hubs is like it.  Hubs stand before members."""
+    for table in _nodes(batches, "part"):
+        edge, v, star = _edges(table.column("part").to_numpy()), table.column("v").to_numpy(), table.column("star").to_numpy()
+        hub, members = table.column("hub").to_numpy(zero_copy_only=False), table.column("members")
+        out: list[tuple[int, int, int | None]] = []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            heads: dict[int, np.ndarray] = {}
+            for k in range(i, j):
+                if hub[k]:
+                    heads.setdefault(int(v[k]), np.frombuffer(members[k].as_py(), np.uint64))
+            names = sorted(heads)
+            root = {x: x for x in names}
+            for x in names:
+                for y in names:
+                    if x < y and root[x] != root[y] and _alike(heads[x], heads[y], percent):
+                        old = root[y]
+                        root = {z: root[x] if r == old else r for z, r in root.items()}
+                        out.append((int(star[i]), y, x))
+            main = max(names, key=lambda x: (sum(r == root[x] for r in root.values()), -root[x]))
+            inside = [x for x in names if root[x] == root[main]]
+            out += [(int(star[i]), x, None) for x in names if x not in inside]
+            for k in range(i, j):
+                if not hub[k] and int(v[k]) not in heads:
+                    own = np.frombuffer(members[k].as_py(), np.uint64)
+                    out.append((int(star[i]), int(v[k]), next((x for x in inside if _alike(own, heads[x], percent)), None)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], ["star", "a", "b"])
+
+
+def _dealt(rows: DataFrame, key: str, *then: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bounded_batches(rows.repartition(parts, key).sortWithinPartitions(key, *then))
+
+
+def _in_blocks(rows: DataFrame, small: int) -> DataFrame:
+    """Nodes of any size as small nodes that hold each pair of a node's members in one of them: members are
+    dealt into blocks of a quarter of ``small``, and each pair of blocks is a node."""
+    blocks = F.ceil(F.col("n") / F.lit(max(1, small // 4))).cast("int")
+    mine = F.pmod(F.xxhash64("v", F.lit(3)), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("path", F.least(b, F.col("mine")), F.greatest(b, F.col("mine"))))
+    return rows.withColumn("blocks", blocks).withColumn("mine", mine).select(F.explode(others).alias("path"), "v", "sig")
+
+
+def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24, shingle: int = 5) -> DataFrame:
     """Links (a, b) that connect whatever a chosen-path join finds alike.
 
-    ``sets_by_doc``: one row (doc, sig) for each different set; ``texts``: (doc, text) of the same
-    documents.  Links between members that a node's other links connect are left out, no
-    others.  Large nodes are tried as stars at the first and every ``STAR_EVERY``-th level.  A node
-    that is still large after ``max_depth`` levels is compared completely, by a join of
-    its members that are not yet connected.
+    ``groups``: one row (v, doc, k1, k2, sig) for each different set, ``v`` its number and ``doc`` a document
+    that has it; ``docs``: (doc_id, text).  Links between members that a node's other links connect
+    are left out, no others.  Branching needs tokens alone, so full sets are made once, for the sets
+    that agree with another on enough tokens, and met once for all levels.  A large node all of whose members agree with
+    one of its hubs waits as a star for the full sets; if some member is like no hub, it branches on and is not
+    tried again for ``STAR_EVERY`` levels.  What is still large after ``max_depth`` levels is compared in pairs of blocks.
     """
     share = percent / 100
     cut = share - SKETCH_MARGIN * (share * (1 - share) / WIDTH) ** 0.5
-    roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("v")) for i in range(min(WIDTH, 2 * trees))])
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = _shared(sets_by_doc.select("doc", F.explode(roots).alias("x")).select("doc", F.xxhash64("x.i", "x.v").alias("path")), small)
-    level = checkpointed(level.join(sets_by_doc, "doc"))
-    links, sets = [], None
-    for depth in range(1, max_depth + 1):
-        few = level.where(F.col("n") <= small).repartition(parts, "path").sortWithinPartitions("path").select("path", "doc", "sig")
-        members = checkpointed(few.mapInArrow(lambda b: _plausible_members(b, cut), "path long, doc long, sig array<int>"))
-        many = level.where(F.col("n") > small)
+    roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("t")) for i in range(min(WIDTH, 2 * trees))])
+    rooted = groups.select("v", F.explode(roots).alias("x")).select("v", F.xxhash64("x.i", "x.t").alias("path"))
+    level = checkpointed(_shared(rooted, small).join(groups.select("v", "sig"), "v").withColumn("lev", F.lit(1)).withColumn("hold", F.lit(1)))
+    links: list[DataFrame] = []
+    written: list[DataFrame] = []
+    sets: DataFrame | None = None
+    while level is not None:
+        found: list[DataFrame] = []
+        stars: list[DataFrame] = []
+        while level is not None:
+            few = level.where(F.col("n") <= small).select("path", "v", "sig")
+            deep = level.where((F.col("n") > small) & (F.col("lev") >= max_depth))
+            near = _dealt(few.unionAll(_in_blocks(deep, small)), "path").mapInArrow(lambda b: _plausible(b, cut), "key long, v long")
+            found.append(checkpointed(near.distinct()))
+            many = level.where((F.col("n") > small) & (F.col("lev") < max_depth))
+            star, many = (None, None) if many.isEmpty() else _stars(many, cut)
+            if star is not None:
+                stars.append(star)
+            step = None if many is None else _branched(many, share, small)
+            discard(level, many)
+            level = step
+        keyed = found[0] if len(found) == 1 else _united(found).distinct()
+        starred = _united(stars) if stars else None
         if sets is None:
-            active = members.select("doc").unionAll(many.select("doc")).distinct()
-            sets = checkpointed(full_sets(texts.join(active, "doc", "left_semi").select("doc", "text"), shingle))
-        near = members.join(sets, "doc").select("path", "doc", "sig", "members").repartition(parts, "path").sortWithinPartitions("path")
-        links.append(checkpointed(near.mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")))
-        if many.isEmpty():
-            break
-        going = many
-        if depth % STAR_EVERY == 1 or depth == max_depth:
-            hubs = many.groupBy("path").agg(F.min(F.struct("doc", "sig")).alias("hub"))
-            rows = checkpointed(many.join(hubs, "path").where("doc <> hub.doc").select("path", "doc", "sig", "hub"))
-            same = F.aggregate(F.zip_with("sig", "hub.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-            star = checkpointed(_confirm(rows.where(same >= cut * WIDTH).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), sets, percent))
-            links.append(star)
-            loose = rows.join(star, (F.col("doc") == F.col("a")) & (F.col("hub.doc") == F.col("b")), "left_anti").select("path").distinct()
-            going = many.join(loose, "path", "left_semi")
-        if depth == max_depth:
-            labels = connected_components(_united(links)).select(F.col("id").alias("doc"), "component")
-            known = going.select("path", "doc").join(labels, "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
-            a, b = known.toDF("path", "a", "ca"), known.toDF("path", "b", "cb")
-            rest = a.join(b, "path").where("a < b and ca <> cb").select("a", "b").distinct()
-            links.append(checkpointed(_confirm(rest, sets, percent)))
-            break
-        # One position, and a second one with the chance that makes it the average of this level.
-        one, two = (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in (0, 1))
-        more = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1000)) < round(1000 * ((1 + 2 / depth) / share - 1))
-        first, second = (F.xxhash64("path", i, F.get("sig", i)) for i in (one, two))
-        next_paths = F.when(more & (one != two), F.array(first, second)).otherwise(F.array(first))
-        branched = checkpointed(going.select("doc", "sig", F.explode(next_paths).alias("path")))
-        level = checkpointed(_shared(branched, small))
-    return _united(links)
+            active = keyed.select("v") if starred is None else keyed.select("v").unionAll(starred.select("v"))
+            wanted = groups.select("v", "doc", "k1", "k2").join(active.distinct(), "v", "left_semi")
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+            sets = checkpointed(full_sets(texts.join(wanted, "doc").select("v", "k1", "k2", "text"), shingle))
+        met = _dealt(keyed.join(sets, "v").select("key", "v", "sig", "members"), "key")
+        written.append(checkpointed(met.mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")))
+        links.append(written[-1])
+        if starred is not None:
+            judged = checkpointed(_judged(starred, sets, percent))
+            written.append(judged)
+            links.append(judged.where("b is not null").select("a", "b"))
+            open_ = judged.where("b is null").select("star", F.col("a").alias("v")).distinct()
+            paths = starred.join(open_, ["star", "v"], "left_semi").select("path").distinct()
+            going = starred.join(paths, "path", "left_semi")
+            if not going.isEmpty():
+                level = _branched(going.withColumn("hold", F.col("lev") + STAR_EVERY), share, small)
+        discard(*found, *stars)
+    out = checkpointed(_united(links).distinct())
+    discard(sets, *written)
+    return out
+
+
+def _stars(many: DataFrame, cut: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Large nodes that may be stars (with the star's number and hubs), and the others.
+
+    Hubs are a node's first members in each of ``HUBS`` hash orders, so nodes with the same group have the
+    same hubs and are one star."""
+    tried = many.where("lev >= hold")
+    order = [F.xxhash64("v", F.lit(k), F.expr(f"lev div {STAR_EVERY}")) for k in range(HUBS)]
+    hubs = tried.groupBy("path").agg(F.array_distinct(F.array(*[F.min_by(F.struct("v", "sig"), o) for o in order])).alias("hubs"))
+
+    def agreed(sig):
+        return F.aggregate(F.zip_with("sig", sig, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+    like = F.exists("hubs", lambda h: agreed(h["sig"]) >= cut * WIDTH)
+    rows = checkpointed(many.join(hubs, "path", "left").select("path", "v", "sig", "n", "lev", "hold", F.col("hubs.v").alias("hubs"), F.coalesce(like, F.lit(False)).alias("like")))
+    alike = rows.groupBy("path").agg(F.min("like").alias("whole"))
+    parted = checkpointed(rows.drop("like").join(alike, "path").withColumn("star", F.xxhash64(F.array_sort("hubs"))))
+    discard(rows)
+    star, other = parted.where("whole"), parted.where(~F.col("whole")).drop("whole", "star", "hubs")
+    (other if star.isEmpty() else star).checkpoint_path = parted.checkpoint_path
+    return None if star.isEmpty() else star, None if other.isEmpty() else other
+
+
+def _branched(rows: DataFrame, share: float, small: int) -> DataFrame:
+    """The next level: one position, and a second one with the chance that makes it the average of this level."""
+    one, two = (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in (0, 1))
+    more = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1000)) < F.round(1000 * ((1 + 2 / F.col("lev")) / share - 1))
+    first, second = (F.xxhash64("path", i, F.get("sig", i)) for i in (one, two))
+    paths = F.when(more & (one != two), F.array(first, second)).otherwise(F.array(first))
+    children = checkpointed(rows.select("v", "sig", (F.col("lev") + 1).alias("lev"), "hold", F.explode(paths).alias("path")))
+    out = checkpointed(_shared(children, small))
+    discard(children)
+    return out
+
+
+def _judged(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(star, a, b) of ``_compare_stars`` for all stars, each in parts of at most about ``STAR_PART`` members."""
+    rows = starred.select("star", "v", "hubs").groupBy("star", "v").agg(F.first("hubs").alias("hubs"))
+    sizes = rows.groupBy("star").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"), F.first("hubs").alias("hubs"))
+    own = rows.select("star", "v").join(sizes.select("star", "parts"), "star").select("star", F.pmod(F.xxhash64("v", F.lit(4)), F.col("parts")).cast("int").alias("k"), "v", F.lit(False).alias("hub"))
+    heads = sizes.select("star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "hubs").select("star", "k", F.explode("hubs").alias("v"), F.lit(True).alias("hub"))
+    met = own.unionAll(heads).join(sets.select("v", "members"), "v").select(F.xxhash64("star", "k").alias("part"), "star", "v", "hub", "members")
+    by = _dealt(met.withColumn("last", ~F.col("hub")), "part", "last").drop("last")
+    return by.mapInArrow(lambda b: _compare_stars(b, percent), "star long, a long, b long")
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -271,9 +399,9 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 
 
 def _shared(rows: DataFrame, small: int) -> DataFrame:
-    """The rows (path, doc, …) of nodes with two members or more, with the node's size n; of small nodes
-    with the same members only one.  A document is once in a node."""
-    who = F.xxhash64("doc")
+    """The rows (path, v, …) of nodes with two members or more, with the node's size n; of small nodes
+    with the same members only one.  A set is once in a node."""
+    who = F.xxhash64("v")
     sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("n > 1")
     own = F.when(F.col("n") > small, F.col("path")).otherwise(F.lit(0))
     once = sizes.groupBy("n", "x", "lo", "hi", own.alias("own")).agg(F.min("path").alias("path")).select("path", "n")
@@ -286,6 +414,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees:
     * null, empty or wordless text: n_shingles 0, its own component, kept;
     * fewer words than ``shingle``: the whole sequence is the only shingle;
     * equal sets are linked whatever their texts; a repeated row gives a row each;
+    * rows that share a doc_id but not a text are judged each by its own text;
     * a null doc_id has component_id null and kept false;
     * component_id is the smallest doc_id reachable over links with
       100 * intersection >= percent * union; kept marks doc_id = component_id.
@@ -293,13 +422,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees:
     Other columns of ``docs`` are neither read nor returned.
     """
     signed = checkpointed(signatures(docs, shingle))
-    filled = signed.where("n_shingles > 0")
-    groups = checkpointed(filled.where("doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    links = similar_links(groups.select("doc", "sig"), texts, percent=percent, trees=trees, small=small, shingle=shingle)
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    grouped = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    groups = checkpointed(grouped.withColumn("v", F.monotonically_increasing_id()))
+    links = similar_links(groups, docs, percent=percent, trees=trees, small=small, shingle=shingle)
     labels = connected_components(links)
-    named = groups.select("k1", "k2", "n_shingles", "doc").join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left")
-    named = named.select("k1", "k2", "n_shingles", F.coalesce("component", "doc").alias("component"))
-    out = signed.drop("sig").join(named, ["k1", "k2", "n_shingles"], "left")
+    held = groups.select("k1", "k2", "n_shingles", "doc", F.col("v").alias("id")).join(labels, "id")
+    least = held.groupBy("component").agg(F.min("doc").alias("least"))
+    named = checkpointed(held.join(least, "component").select("k1", "k2", "n_shingles", "least"))
+    discard(links, labels)
+    single = groups.select("k1", "k2", "n_shingles", "doc")
+    single = single.join(named, ["k1", "k2", "n_shingles"], "left").select("k1", "k2", "n_shingles", F.coalesce("least", "doc").alias("component"))
+    out = signed.drop("sig").join(single, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -38,7 +38,7 @@ from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
 #: At most so many sets are compared exhaustively: what one task holds at a time.
-SMALL = 512
+SMALL = 2048
 #: A pair below this share of equal minwise tokens is not looked at on full sets: at
 #: similarity 0.75 and 64 tokens that is 4.6 standard deviations.
 SKETCH_MARGIN = 4.6

@@ -1,32 +1,39 @@
 """Nearest neighbours by few stable projections, a kd-tree on them, and a chi-square stop.
 
 Largest inner product becomes smallest distance by one more coordinate: a candidate x gets
-sqrt(M * M - |x|^2), a query 0.  Projections on normal vectors keep distance d as
-d * sqrt(chi-square with as many degrees of freedom).  A query takes the kd-tree's leaves
-in order of their projected distance and verifies their vectors exactly, until a neighbour
-nearer than its k-th best would have shown up already with probability ``confidence``.
+sqrt(M * M - |x|^2), a query 0.  Projections on orthonormalised normal vectors keep a distance d, by
+their scale, as d * sqrt(chi-square with as many degrees of freedom) or closer.  A kd-tree on projected points,
+fitted on a bounded sample, deals all candidates into cells.  A query takes points by projected distance
+and verifies their vectors exactly, until the next one's squared projected distance is above the chi-square
+quantile ``confidence`` times its k-th best squared distance: a nearer neighbour would have shown up already with that
+probability.  It starts in its own cell; what it finds there bounds the cells it goes to next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .session import bounded_batches, checkpointed, discard
 
 
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 20
-    #: An even number: the chi-square test has a closed form then.
-    projections: int = 8
-    leaf: int = 128
-    confidence: float = 0.98
-    #: Candidates that share a tree, and queries that ask it in one task.
-    candidate_rows: int = 8192
-    query_rows: int = 8192
+    #: An even number: the chi-square test has a closed form then.  Fewer where vectors are shorter.
+    projections: int = 24
+    confidence: float = 0.9
+    #: Points that a query verifies first, and about so many candidates of a cell in one group.
+    first: int = 64
+    cell_rows: int = 8192
+    #: About so many rows fit the kd-tree (all rows are indexed by it).
+    sample: int = 32_768
     seed: int = 42
 
 
@@ -37,108 +44,229 @@ def usable(vector: Column, dim: int | None = None) -> Column:
     return F.coalesce(good if dim is None else good & (F.size(vector) == dim), F.lit(False))
 
 
-class KdTree:
-    """Leaves of at most ``leaf`` points, split at the median of the widest coordinate.
-    Equal points are split by their order, so a leaf is never larger."""
+def _tail(x: float, degrees: int) -> float:
+    """P(chi-square > x) for even degrees of freedom."""
+    half, term, total = x / 2, 1.0, 1.0
+    for i in range(1, degrees // 2):
+        term *= half / i
+        total += term
+    return float(np.exp(-half) * total)
+
+
+def chi_square_quantile(p: float, degrees: int) -> float:
+    low, high = 0.0, 40.0 * degrees
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _tail(mid, degrees) > 1 - p else (low, mid)
+    return high
+
+
+@dataclass
+class ProjectionIndex:
+    """Projections, the largest squared norm, the stop, and the kd-tree's cells as boxes."""
+
+    normal: np.ndarray
+    most: float
+    stop: float
+    #: Splits by node: axis (-1: a leaf), value, and left child (the right one follows) or cell.
+    axis: np.ndarray
+    value: np.ndarray
+    child: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-    def __init__(self, points: np.ndarray, leaf: int):
-        self.leaves: list[np.ndarray] = []
-        todo = [np.arange(len(points))]
+    @staticmethod
+    def fit(sample: np.ndarray, dim: int, most: float, cells: int, p: AnnParams) -> ProjectionIndex:
+        m = max(2, min(p.projections, (dim + 1) // 2 * 2))
+        q, _ = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((max(m, dim + 1), m)))
+        normal = q[: dim + 1] * np.sqrt(max(m, dim + 1))
+        index = ProjectionIndex(normal, most, chi_square_quantile(p.confidence, m), *[np.zeros(0)] * 5)
+        points = index.project(sample)
+        axis, value, child, boxes = [-1], [0.0], [0], []
+        todo = [(0, np.arange(len(points)), cells, np.full(m, -np.inf), np.full(m, np.inf))]
         while todo:
-            ids = todo.pop()
-            if len(ids) <= leaf:
-                self.leaves.append(ids)
-                continue
+            node, ids, share, low, high = todo.pop()
             own = points[ids]
-            order = np.argpartition(own[:, np.argmax(own.max(axis=0) - own.min(axis=0))], len(ids) // 2)
-            todo += [ids[order[: len(ids) // 2]], ids[order[len(ids) // 2 :]]]
-        self.low = np.array([points[i].min(axis=0) for i in self.leaves])
-        self.high = np.array([points[i].max(axis=0) for i in self.leaves])
+            spread = own.max(axis=0) - own.min(axis=0) if len(ids) else np.zeros(m)
+            a = int(spread.argmax())
+            if share < 2 or len(ids) < 8 or not spread[a]:
+                child[node] = len(boxes)
+                boxes.append((low, high))
+                continue
+            values = np.sort(own[:, a])
+            cut = float(values[len(values) * (share // 2) // share])
+            cut = cut if cut > values[0] else float(values[values > values[0]][0])
+            axis[node], value[node], child[node] = a, cut, len(axis)
+            axis += [-1, -1]
+            value += [0.0, 0.0]
+            child += [0, 0]
+            below, above = high.copy(), low.copy()
+            below[a], above[a] = cut, cut
+            todo += [(child[node], ids[own[:, a] < cut], share // 2, low, below), (child[node] + 1, ids[own[:, a] >= cut], share - share // 2, above, high)]
+        index.axis, index.value, index.child = np.array(axis), np.array(value), np.array(child)
+        index.low, index.high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+        return index
 
-    def squared(self, q: np.ndarray) -> np.ndarray:
-        """Least squared distance of each query to each leaf's box."""
-        out = np.zeros((len(q), len(self.leaves)))
-        for j in range(q.shape[1]):
-            x = q[:, j : j + 1]
-            out += np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0) ** 2
-        return out
+    def project(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        out = x @ self.normal[:-1]
+        return out if query else out + np.sqrt(np.maximum(self.most - (x * x).sum(axis=1), 0))[:, None] * self.normal[-1]
 
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        while True:
+            inner = np.flatnonzero(self.axis[node] >= 0)
+            if not len(inner):
+                return self.child[node]
+            at = node[inner]
+            node[inner] = self.child[at] + (points[inner, self.axis[at]] >= self.value[at])
 
-def _tail(x: np.ndarray, degrees: int) -> np.ndarray:
-    """P(chi-square > x) for even degrees of freedom."""
-    half, term, total = x / 2, np.ones_like(x), np.ones_like(x)
-    for i in range(1, degrees // 2):
-        term = term * half / i
-        total = total + term
-    return np.where(np.isinf(x), 0.0, np.exp(-np.minimum(half, 700)) * total)
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids), each query's best ``k`` of the block, -inf where there are fewer."""
-    top = np.full((len(q), p.k), -np.inf)
-    who = np.full((len(q), p.k), np.iinfo(np.int64).max)
-    square = (c * c).sum(axis=1)
-    most = square.max()
-    normal = np.random.default_rng(p.seed).standard_normal((c.shape[1] + 1, p.projections))
-    tree = KdTree(c @ normal[:-1] + np.sqrt(np.maximum(most - square, 0))[:, None] * normal[-1], p.leaf)
-    gap = tree.squared(q @ normal[:-1])
-    order = np.argsort(gap, axis=1, kind="stable")
-    near = np.take_along_axis(gap, order, axis=1)
-    own = (q * q).sum(axis=1)
-    active, step, taken = np.arange(len(q)), 1, 0
-    while len(active) and taken < order.shape[1]:
-        wave = order[active, taken : taken + step]
-        taken += wave.shape[1]
-        for leaf in np.unique(wave):
-            rows = active[(wave == leaf).any(axis=1)]
-            ids = tree.leaves[leaf]
-            score = q[rows] @ c[ids].T
-            score[qid[rows][:, None] == cid[ids][None, :]] = -np.inf
-            better = (score >= top[rows, -1:]).any(axis=1)
-            rows, score = rows[better], score[better]
-            if not len(rows):
-                continue
-            s = np.concatenate([top[rows], score], axis=1)
-            i = np.concatenate([who[rows], np.broadcast_to(cid[ids], score.shape)], axis=1)
-            best = np.lexsort((i, -s), axis=-1)[:, : p.k]
-            top[rows], who[rows] = np.take_along_axis(s, best, axis=1), np.take_along_axis(i, best, axis=1)
-        if taken >= order.shape[1]:
+    def within(self, point: np.ndarray, squared: float) -> np.ndarray:
+        """The cells whose box is within the stop's reach of a query with that k-th squared distance."""
+        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+        return np.flatnonzero((gap * gap).sum(axis=1) <= self.stop * squared)
+
+
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best by score, then id; of a repeated id the best only."""
+    order = np.lexsort((ids, -score))
+    ids, score = ids[order], score[order]
+    _, at = np.unique(ids, return_index=True)
+    at = np.sort(at)[:k]
+    return ids[at], score[at]
+
+
+def search(index: ProjectionIndex, q: np.ndarray, qid: int, kth: float, c: np.ndarray, points: np.ndarray, cid: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(ids, scores, k-th squared distance, vectors verified): the best ``k`` of the candidates that are not farther
+    than ``kth``, the squared distance already known to hold k neighbours."""
+    gap = points - index.project(q[None], query=True)
+    gap = np.einsum("ij,ij->i", gap, gap)
+    far = float(q @ q) + index.most
+    ids, score, verified = np.zeros(0, np.int64), np.zeros(0), 0
+    done, wave = -1.0, p.first
+    while True:
+        todo = np.flatnonzero((gap > done) & (gap <= index.stop * kth))
+        if not len(todo):
+            break
+        upto = np.inf
+        if len(todo) > wave:
+            upto = np.partition(gap[todo], wave - 1)[wave - 1]
+            todo = todo[gap[todo] <= upto]
+        verified += len(todo)
+        todo = todo[cid[todo] != qid]
+        mine = c[todo] @ q
+        near = far - 2 * mine <= kth
+        ids, score = _best(np.concatenate([ids, cid[todo][near]]), np.concatenate([score, mine[near]]), p.k)
+        if len(ids) == p.k:
+            kth = min(kth, max(far - 2 * float(score[-1]), 0.0) * (1 + 1e-12) + 1e-300)
+        if upto == np.inf:
             break
-        far = np.maximum(own[active] + most - 2 * top[active, -1], 1e-300)
-        active = active[_tail(near[active, taken] / far, p.projections) > 1 - p.confidence]
-        step = min(2 * step, 16)
-    return top, who
+        done, wave = upto, wave * 4
+    return ids, score, kth, verified
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+_FOUND = "query_id long, vec_id long, score double, verified long, cell int, part int, v array<{kind}>, kth double"
+_NAMES = ["query_id", "vec_id", "score", "verified", "cell", "part", "v", "kth"]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], index: ProjectionIndex, p: AnnParams) -> Iterator[pa.RecordBatch]:
+    """Groups (cell, part) of rows in order, candidates before queries, which stream by: for each query its best
+    candidates, and one row with what it verified, its vector and its k-th squared distance."""
+    group, held, c = None, [], None
+    for batch in batches:
+        cell, part, role = (batch.column(x).to_numpy() for x in ("cell", "part", "role"))
+        ids, kth, v = batch.column("id").to_numpy(), batch.column("kth").to_numpy(zero_copy_only=False), batch.column("v")
+        edge = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1 if len(cell) else []
+        for i, j in zip([0, *edge], [*edge, len(cell)], strict=True):
+            if i == j:
+                continue
+            if group != (cell[i], part[i]):
+                group, held, c = (cell[i], part[i]), [], None
+            x = _vectors(v.slice(i, j - i))
+            if not role[i]:
+                held.append((ids[i:j], x))
+                continue
+            if c is None:
+                cid = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
+                c = np.concatenate([h[1] for h in held]) if held else np.zeros((0, x.shape[1]))
+                points = index.project(c)
+            out = [search(index, x[n], int(ids[i + n]), float(kth[i + n]), c, points, cid, p) for n in range(j - i)]
+            size = np.array([len(o[0]) for o in out])
+            total = int(size.sum())
+            none = lambda kind, n: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids[i:j], size)), pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), none(pa.int64(), total), none(pa.int32(), total), none(pa.int32(), total), none(v.type, total), none(pa.float64(), total)],
+                _NAMES,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[i:j]), none(pa.int64(), j - i), none(pa.float64(), j - i), pa.array([o[3] for o in out], pa.int64()), pa.array(cell[i:j]), pa.array(part[i:j]), v.slice(i, j - i), pa.array([o[2] for o in out], pa.float64())],
+                _NAMES,
+            )
 
 
 def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` found for each row of ``vectors`` with ``is_query``.
+    """query_id, rank, vec_id, score, verified: the ``k`` found for each row of ``vectors`` with ``is_query``,
+    and how many candidates the query compared in full.
 
     Every other row is a candidate; rows with the query's own id are not.  Order: score (inner
     product in double precision) down, then id.  Rows with a null id, or a vector that is null, empty,
     zero, or has null or non-finite components, or is not as long as most are, take no part.
     A repeated id gives one list of results for each of its rows' best, merged.
 
-    Candidates are dealt into blocks of about ``candidate_rows`` by a hash of id and vector,
-    queries into blocks of ``query_rows``; each pair of blocks is one group, so a task's
-    memory is bounded at any size and all rows are indexed."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null").where(usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq")).orderBy(F.desc("n"), "dim").first()
-    dim, n, nq = (sizes.dim, sizes.n, sizes.nq) if sizes else (0, 0, 0)
+    A sample of about ``sample`` rows fits the tree; every row is dealt to a cell, a cell above ``cell_rows`` into parts
+    (so equal vectors make no large group).  Candidates are shuffled twice: to meet the queries of their own part, and to
+    meet those that the stop does not keep from their cell.  Queries stream by a group's candidates, so a task's memory is
+    bounded."""
+    kind = "double" if dict(vectors.dtypes)[vector_col] != "array<float>" else "float"
+    v = F.col(vector_col) if kind == "float" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null").where(usable(F.col("v")))
+    square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("most")).orderBy(F.desc("n"), "dim").first()
+    dim, n, most = (sizes.dim, sizes.n, sizes.most) if sizes else (1, 0, 1.0)
     rows = rows.where(F.size("v") == dim)
-    cb, qb = max(1, -(-n // params.candidate_rows)), max(1, -(-nq // params.query_rows))
-    deal = F.xxhash64("id", "v")
-    candidates = rows.select("id", "v", F.pmod(deal, F.lit(cb)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    queries = rows.where("q").select("id", "v", F.pmod(deal, F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        top, who = search_block(a["id"].to_numpy(np.int64), np.stack(a["v"].to_list()), b["id"].to_numpy(np.int64), np.stack(b["v"].to_list()), params)
-        query = np.repeat(a["id"].to_numpy(np.int64), params.k).reshape(top.shape)
-        keep = top > -np.inf
-        return pd.DataFrame({"query_id": query[keep], "vec_id": who[keep], "score": top[keep]})
-
-    found = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "qb")).applyInPandas(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(params.seed), "id", "v"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, params.sample / max(n, 1))))
+    sample = np.array([r.v for r in drawn.select("v").collect()], float).reshape(-1, dim)
+    index = vectors.sparkSession.sparkContext.broadcast(ProjectionIndex.fit(sample, dim, most * (1 + 1e-12), max(1, -(-n // params.cell_rows)), params))
+
+    def deal(batches):
+        for batch in batches:
+            x = _vectors(batch.column("v"))
+            cell = index.value.cell(index.value.project(x)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["id", "v", "q", "cell"])
+
+    dealt = checkpointed(bounded_batches(rows).mapInArrow(deal, f"id long, v array<{kind}>, q boolean, cell int"))
+    cells = checkpointed(dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(params.cell_rows)).cast("int").alias("parts")))
+    placed = dealt.join(cells, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), "id", "v", "q")
+    candidates = placed.select("cell", "part", F.lit(0).alias("role"), "id", "v", F.lit(float("inf")).alias("kth"))
+
+    def met(queries: DataFrame) -> DataFrame:
+        both = candidates.unionAll(queries.select("cell", "part", F.lit(1).alias("role"), "id", "v", "kth"))
+        groups = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "part").sortWithinPartitions("cell", "part", "role")
+        return checkpointed(bounded_batches(groups).mapInArrow(lambda b: _searched(b, index.value, params), _FOUND.format(kind=kind)))
+
+    home = met(placed.where("q").withColumn("kth", F.lit(float("inf"))))
+
+    def onward(batches):
+        for batch in batches:
+            x, kth = _vectors(batch.column("v")), batch.column("kth").to_numpy()
+            point = index.value.project(x, query=True) if batch.num_rows else x
+            cell = [index.value.within(point[i], kth[i]).astype(np.int32) for i in range(len(kth))]
+            size = np.array([len(c) for c in cell], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(cell) if len(cell) else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "kth", "own_cell", "own_part", "to"])
+
+    asked = home.where("v is not null").select(F.col("query_id").alias("id"), "v", "kth", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"))
+    sent = bounded_batches(asked).mapInArrow(onward, f"id long, v array<{kind}>, kth double, own_cell int, own_part int, to array<int>").withColumn("cell", F.explode("to"))
+    sent = sent.join(cells, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("cell <> own_cell or part <> own_part")
+    more = met(sent)
+    discard(dealt)
+    found = home.select("query_id", "vec_id", "score", "verified").unionAll(more.select("query_id", "vec_id", "score", "verified"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("verified").alias("verified"))
+    mine = W.partitionBy("query_id")
+    ranked = found.withColumn("all", F.coalesce(F.sum("verified").over(mine), F.lit(0))).where("vec_id is not null")
+    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy(F.desc("score"), "vec_id")).cast("int")).where(F.col("rank") <= params.k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.col("all").alias("verified"))

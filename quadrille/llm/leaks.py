@@ -1,12 +1,12 @@
-"""Benchmark decontamination: BM25 index of test items, block-max pruning, overlap check.
-
-The index holds the test items' terms with BM25 weights.  Items are kept in blocks, and
-each term keeps its largest weight per block.  Every passage of every text is a query: the
-sum of its terms' block maxima bounds the score of all items in the block, blocks whose
-bound is under the threshold are skipped, and only items of the other blocks are scored.
-This is block-max WAND over all passages of a batch at once instead of one after another.
-A retrieved item counts as leaked if the passage's text repeats enough of its question and
-of its answer in word order.
+"""Benchmark decontamination: BM25 index of test items, block-max WAND, overlap check.
+
+The index is an inverted one over the words of the items' questions: postings (item, weight) by term, and for each
+term the largest weight in each block of items that has it.  Every passage of every text is a query.  Its terms
+come in order of how common they are; up to the pivot their largest weights stay below the least threshold, so an item
+that has none of the terms behind it is never looked at.  Blocks that the terms behind the pivot name are bounded by
+block maxima, and only items of blocks whose bound reaches their threshold are scored.  All passages of a batch go
+through these steps together.  A retrieved item counts as leaked if the passage's text repeats enough of its
+question and of its answer in word order.
 """
 
 from __future__ import annotations
@@ -25,134 +25,248 @@ from .session import bounded_batches
 from .words import word_hashes
 
 K1, B = 1.2, 0.75
+#: About so many runs of postings are looked at together.
+RUNS = 1 << 19
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``window`` words a passage, a new one every ``stride``; an item longer than
-    window - stride words is looked for by its first window - stride words.
+    """``window`` words a passage, a new one every half of it; items whose question needs longer passages
+    have an index of their own with windows twice, four times, … as long, so each stretch that may hold a question is
+    within one passage.
 
-    ``share``: BM25 threshold as a part of the item's score against itself.
     ``question`` and ``answer``: least shares of the item's question and answer words that
-    one stretch of the text must repeat.  ``block`` items share a bound; ``index_items``
-    items make an index; further items make further indexes, all asked in the same pass
-    over the texts, as long as items have ``max_bytes`` of text in all.  More items are
-    taken in several passes."""
+    one stretch of the text must repeat.  The items carry no mark between the two: the last 1 / ``answer_part``
+    of an item is its answer.  ``shingle``: words in a row that count as repeated.  ``block`` items share a bound.
+    An index is made of at most ``max_bytes`` of item text; more items are taken in several passes over the texts."""
 
     window: int = 256
-    stride: int = 128
-    share: float = 0.6
     question: float = 0.75
     answer: float = 0.75
+    answer_part: int = 4
     shingle: int = 5
     block: int = 16
-    index_items: int = 512
     max_bytes: int = 32 << 20
 
 
-def split_item(h: np.ndarray) -> int:
-    """How many of an item's words are its question: all but the last quarter, or all of
-    one to three words.  The items carry no mark between question and answer."""
-    return len(h) - len(h) // 4
+def split_item(h: np.ndarray, part: int = 4) -> int:
+    """How many of an item's words are its question: all but the last 1 / ``part``, or all of less than ``part`` words."""
+    return len(h) - len(h) // part
 
 
-class Index:
-    """BM25 weights of at most ``index_items`` items over their own terms."""
-
-    def __init__(self, ids: list[int], items: list[np.ndarray], params: LeakParams):
-        self.ids, self.items, n = ids, items, len(items)
-        self.terms = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
-        lengths = np.array([len(x) for x in items], float)
-        mean = lengths.mean() if n else 1.0
-        weight = np.zeros((len(self.terms), n), np.float32)
-        for i, x in enumerate(items):
-            term, tf = np.unique(x, return_counts=True)
-            weight[np.searchsorted(self.terms, term), i] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean))
-        df = (weight > 0).sum(axis=1)
-        weight *= np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)[:, None]
-        self.weight = weight
-        blocks = -(-n // params.block)
-        self.best = np.stack([weight[:, k * params.block : (k + 1) * params.block].max(axis=1) for k in range(blocks)], axis=1) if n else weight
-        head = params.window - params.stride
-        self.need = np.array([params.share * float(weight[np.searchsorted(self.terms, np.unique(x[:head])), i].sum()) for i, x in enumerate(items)], np.float32)
-        self.least = np.array([self.need[k * params.block : (k + 1) * params.block].min() for k in range(blocks)], np.float32)
-
-    def retrieve(self, owner: np.ndarray, term: np.ndarray, passages: int, block: int) -> list[tuple[int, int, float]]:
-        """(passage, item, score) of all items that reach their threshold.
-
-        ``owner``, ``term``: each passage's different index terms, in order of passages."""
-        if not len(owner):
-            return []
-        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        who = owner[edge]
-        out = []
-        for k in range(self.best.shape[1]):
-            bound = np.add.reduceat(self.best[term, k], edge)
-            open_ = np.flatnonzero(bound >= self.least[k] * np.float32(0.9999))
-            if not len(open_):
-                continue
-            stop = np.concatenate([edge[1:], [len(owner)]])
-            items = slice(k * block, (k + 1) * block)
-            for p in open_:
-                score = self.weight[term[edge[p] : stop[p]], items].sum(axis=0)
-                for i in np.flatnonzero(score >= self.need[items] * np.float32(0.9999)):
-                    out.append((int(who[p]), k * block + int(i), float(score[i])))
-        return out
-
-
-def _coverage(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[float, int, int]:
-    """The largest share of ``_stretches`` and its stretch, the first of equal ones."""
-    best = (0.0, 0, 0)
-    for found in _stretches(text, part, shingle):
-        if found[0] > best[0]:
-            best = found
-    return best
+def _width(n: int, shingle: int) -> int:
+    """Words in a row that count as repeated in a part of n words: three quarters of a short one, so that one
+    changed word at an end is borne."""
+    return min(shingle, max(1, 3 * n // 4)) if n else 0
+
+
+def _reach(n: int) -> int:
+    """How far apart the first words of a stretch's shingles may be."""
+    return n + n // 4
 
 
-def _stretches(text: np.ndarray, part: np.ndarray, shingle: int) -> Iterator[tuple[float, int, int]]:
-    """The share of the positions of ``part`` that its shingles found in one stretch of ``text`` of
-    about its own length cover, and that stretch, from each place where a shingle of it stands.  A
-    short part's shingles have three quarters of its words, so that one changed word at an end is borne."""
-    width = min(shingle, max(1, 3 * len(part) // 4)) if len(part) else 0
-    if not len(part):
-        yield 1.0, 0, 0
-    if not width or len(text) < width:
-        return
+def _least_score(weight: np.ndarray, count: np.ndarray, missing: int) -> float:
+    """The least sum of the weights of different words if ``missing`` positions of the question are not repeated:
+    the words that are heaviest by position go, the last in part."""
+    order = np.argsort(-(weight / count), kind="stable")
+    before = np.concatenate([[0], np.cumsum(count[order])[:-1]])
+    gone = np.clip((missing - before) / count[order], 0, 1)
+    return float((weight[order] * (1 - gone)).sum())
+
+
+def _up(x: np.ndarray) -> np.ndarray:
+    """In two bytes, rounded up: bounds stay bounds."""
+    half = x.astype(np.float16)
+    return np.where(half < x, np.nextafter(half, np.float16(np.inf)), half)
+
+
+class Index:
+    """BM25 weights of the questions of some items: terms numbered from the most common on, sparse postings by term
+    and item, and the largest weight of each run of a term's postings within a block of items.  Items stand in order of
+    their thresholds, so blocks have like ones.
+
+    A word of an item takes four bytes, a posting ten (six in a small index), a run six, a term 20: less than the text."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray], params: LeakParams, window: int):
+        n = len(items)
+        self.params, self.window, self.n = params, window, n
+        cuts = [split_item(x, params.answer_part) for x in items]
+        every = np.unique(np.concatenate(items))
+        lengths = np.array(cuts, float)
+        words = [np.unique(np.searchsorted(every, x[:c]), return_counts=True) for x, c in zip(items, cuts, strict=True)]
+        df = np.bincount(np.concatenate([w for w, _ in words]), minlength=len(every))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        weights = [idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean())) for i, (w, tf) in enumerate(words)]
+        need = np.array([_least_score(weights[i], tf, int((1 - params.question) * cuts[i] + 1e-9)) for i, (_, tf) in enumerate(words)])
+        turn = np.argsort(need, kind="stable")
+        self.ids, self.cuts, self.need = [ids[i] for i in turn], [cuts[i] for i in turn], (need[turn] * 0.9999).astype(np.float32)
+        self.hashes, self.number = every, np.empty(len(every), np.int32)
+        self.number[np.argsort(-df, kind="stable")] = np.arange(len(every), dtype=np.int32)
+        self.items = [self.number[np.searchsorted(every, items[i])] for i in turn]
+        term = self.number[np.concatenate([words[i][0] for i in turn])]
+        item = np.repeat(np.arange(n), [len(words[i][0]) for i in turn])
+        weight = np.concatenate([weights[i] for i in turn])
+        order = np.lexsort((item, term))
+        term, item, self.weight = term[order], item[order], _up(weight[order])
+        self.posting = term.astype(np.int64) * n + item
+        if len(every) * n < 1 << 31:
+            self.posting = self.posting.astype(np.int32)
+        self.run = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (item[1:] // params.block != item[:-1] // params.block)])).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.weight, self.run)
+        self.run_at = np.searchsorted(term[self.run], np.arange(len(every) + 1)).astype(np.int32)
+        self.most = np.zeros(len(every), np.float32)
+        np.maximum.at(self.most, term, self.weight.astype(np.float32))
+        self.least = np.minimum.reduceat(self.need, np.arange(0, n, params.block))
+
+    def nbytes(self) -> int:
+        parts = (self.hashes, self.number, self.posting, self.weight, self.run, self.run_most, self.run_at, self.most, self.need, self.least, *self.items)
+        return sum(x.nbytes for x in parts) + 16 * self.n
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for one that is in no item."""
+        place = np.searchsorted(self.hashes, h)
+        place[place == len(self.hashes)] = 0
+        return np.where(self.hashes[place] == h, self.number[place], -1)
+
+    def _blocks(self, run: np.ndarray) -> np.ndarray:
+        return self.posting[self.run[run]] % self.n // self.params.block
+
+    def _find_runs(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The run of each term within each block, -1 where it has none."""
+        key = term.astype(np.int64) * self.n + block * self.params.block
+        end = np.minimum(key + self.params.block, (term.astype(np.int64) + 1) * self.n)
+        at = np.searchsorted(self.posting, key)
+        there = at < len(self.posting)
+        there[there] = self.posting[at[there]] < end[there]
+        return np.where(there, np.searchsorted(self.run, at), -1)
+
+    def retrieve(self, owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passages, items, scores) of all items that reach their threshold.
+
+        ``owner``, ``term``: each passage's different terms, in order of passage and term."""
+        held = self.run_at[term + 1] > self.run_at[term]
+        owner, term = owner[held], term[held]
+        if not len(owner):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        size = np.diff(np.append(start, len(owner)))
+        most = self.most[term].astype(np.float64)
+        upto = np.cumsum(most)
+        upto -= np.repeat(upto[start] - most[start], size)
+        # Behind the pivot: up to it no item can reach even the least threshold.
+        behind = upto >= self.need[0]
+        extra = np.add.reduceat(np.where(behind, 0.0, most), start)
+        runs = np.add.reduceat(np.where(behind, self.run_at[term + 1] - self.run_at[term], 0), start)
+        slots = np.flatnonzero(runs)
+        step = np.cumsum(runs[slots]) // RUNS
+        found = [self._search(some, owner, term, start, size, behind, extra) for some in np.split(slots, np.flatnonzero(np.diff(step)) + 1) if len(some)]
+        found = [f for some in found for f in some]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+    def _search(self, slots, owner, term, start, size, behind, extra) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Passages ``slots``: the blocks that terms behind the pivot name, bounded by these and what the others may add."""
+        which, rows = _ranges(start[slots], start[slots] + size[slots])
+        which, rows = which[behind[rows]], rows[behind[rows]]
+        pick, run = _ranges(self.run_at[term[rows]], self.run_at[term[rows] + 1])
+        key, inverse = np.unique(slots[which[pick]] * len(self.least) + self._blocks(run), return_inverse=True)
+        bound = np.bincount(inverse, self.run_most[run].astype(np.float64), len(key))
+        slot, block = key // len(self.least), key % len(self.least)
+        some = bound + extra[slot] >= self.least[block]
+        slot, block = slot[some], block[some]
+        step = max(1, RUNS // int(size.max()))
+        for a in range(0, len(slot), step):
+            yield self._score(owner[start], slot[a : a + step], block[a : a + step], start, size, term)
+
+    def _score(self, passage, slot, block, start, size, term) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores by postings for the passages (``slot``) and blocks whose bound by all their terms reaches a threshold."""
+        pick, at = _ranges(start[slot], start[slot] + size[slot])
+        run = self._find_runs(term[at], block[pick])
+        pick, run = pick[run >= 0], run[run >= 0]
+        bound = np.bincount(pick, self.run_most[run].astype(np.float64), len(slot))
+        good = (bound >= self.least[block])[pick]
+        pick, run = pick[good], run[good]
+        end = np.append(self.run, len(self.posting))
+        row, post = _ranges(self.run[run], end[run + 1])
+        key, inverse = np.unique(pick[row] * self.n + self.posting[post] % self.n, return_inverse=True)
+        score = np.bincount(inverse, self.weight[post].astype(np.float64), len(key))
+        hit = score >= self.need[key % self.n]
+        return passage[slot[key[hit] // self.n]], key[hit] % self.n, score[hit]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of all numbers in the ranges low to high - 1."""
+    size = (high - low).astype(np.int64)
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low.astype(np.int64), size)
+
+
+def _stretches(text: np.ndarray, part: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, shares): from each place where a shingle of ``part`` stands in ``text``, the share of part's
+    positions that its shingles cover which stand in a stretch of about its own length from there.
+
+    A window slides over the places.  A different shingle counts once, as long as it is within; when it comes or goes, its
+    positions do, so the work is linear in the text also where words repeat.  Words are numbers, -1 for
+    those that are in no item."""
+    m, width = len(part), _width(len(part), shingle)
+    if not m or len(text) < width:
+        return np.zeros(0, np.int64), np.zeros(0)
 
     def grams(x: np.ndarray) -> np.ndarray:
         g = np.zeros(len(x) - width + 1, np.uint64)
-        for k in range(width):
-            g += x[k : k + len(g)] * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                g = (g + (x[k : k + len(g)].astype(np.int64) + 2).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         return g
 
     want, have = grams(part), grams(text)
-    at = np.flatnonzero(np.isin(have, want))
+    kinds, kind = np.unique(want, return_inverse=True)
+    place = np.minimum(np.searchsorted(kinds, have), len(kinds) - 1)
+    at = np.flatnonzero(kinds[place] == have)
     if not len(at):
-        return
-    places = defaultdict(list)
-    for k, g in enumerate(want):
-        places[g].append(k)
-    reach = len(part) + len(part) // 4
-    for i, a in enumerate(at):
-        j = int(np.searchsorted(at, a + reach, side="right"))
-        hit = np.zeros(len(part), bool)
-        for g in have[at[i:j]]:
-            for k in places[g]:
-                hit[k : k + width] = True
-        yield float(hit.mean()), int(a), int(at[j - 1]) + width
-
-
-def _overlap(words: np.ndarray, item: np.ndarray, p: LeakParams) -> tuple[float, float] | None:
-    """Question and answer share of the best stretch that reaches both thresholds: the answer is looked for
-    near every stretch that repeats enough of the question."""
-    cut, best = split_item(item), None
-    for q, a, _ in _stretches(words, item[:cut], p.shingle):
-        if q < p.question or (best and q + 1.0 <= sum(best)):
-            continue
-        span = words[max(0, a - len(item)) : a + 2 * len(item) + p.shingle]
-        r = _coverage(span, item[cut:], p.shingle)[0]
-        if r >= p.answer and (best is None or q + r > sum(best)):
-            best = (q, r)
+        return at, np.zeros(0)
+    sort = np.argsort(kind, kind="stable")
+    edge = np.searchsorted(kind[sort], np.arange(len(kinds) + 1))
+    covers: dict[int, np.ndarray] = {}
+    count, cover, covered = defaultdict(int), np.zeros(m, np.int64), 0
+    share, j, g = np.zeros(len(at)), 0, place[at].tolist()
+    last = np.searchsorted(at, at + _reach(m), side="right")
+    for i in range(len(at)):
+        for j in range(j, int(last[i])):  # noqa: B020
+            x = g[j]
+            count[x] += 1
+            if count[x] == 1:
+                if x not in covers:
+                    covers[x] = np.unique((sort[edge[x] : edge[x + 1]][:, None] + np.arange(width)).reshape(-1))
+                covered += int((cover[covers[x]] == 0).sum())
+                cover[covers[x]] += 1
+        j = int(last[i])
+        share[i] = covered / m
+        x = g[i]
+        count[x] -= 1
+        if not count[x]:
+            cover[covers[x]] -= 1
+            covered -= int((cover[covers[x]] == 0).sum())
+    return at, share
+
+
+def _overlap(words: np.ndarray, item: np.ndarray, cut: int, p: LeakParams) -> tuple[float, float] | None:
+    """Question and answer share of the best pair of stretches that reach both thresholds, the answer's beginning
+    at most an item's length before the question's or two behind it; None if there is no such pair."""
+    at, q = _stretches(words, item[:cut], p.shingle)
+    at, q = at[q >= p.question], q[q >= p.question]
+    if not len(at):
+        return None
+    if cut == len(item):
+        return float(q.max()), 1.0
+    there, r = _stretches(words, item[cut:], p.shingle)
+    low, high = np.searchsorted(there, at - len(item)), np.searchsorted(there, at + 2 * len(item), side="right")
+    best = None
+    for i in np.argsort(-q, kind="stable").tolist():
+        if best and q[i] + 1 <= sum(best):
+            break
+        most = float(r[low[i] : high[i]].max()) if high[i] > low[i] else 0.0
+        if most >= p.answer and (best is None or q[i] + most > sum(best)):
+            best = (float(q[i]), most)
     return best
 
 
@@ -161,47 +275,49 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     return word_hashes(pc.utf8_lower(column), bare=True)
 
 
+def _window(words: int, p: LeakParams) -> int:
+    """The passage length, of the doubled ones, half of which holds any stretch for a question of so many words."""
+    window = p.window
+    while window // 2 < _reach(words) + p.shingle:
+        window *= 2
+    return window
+
+
 def _build(ids: list[int], texts: list[str], params: LeakParams) -> list[Index]:
+    """An index for each passage length that the items need."""
     items: list[np.ndarray] = []
     for _, h, at in _words(pa.array(texts, pa.string())):
         items += [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    kept = [(i, x) for i, x in zip(ids, items, strict=True) if len(x) and i is not None]
-    step = params.index_items
-    return [Index([i for i, _ in kept[k : k + step]], [x for _, x in kept[k : k + step]], params) for k in range(0, len(kept), step)]
+    by_window = defaultdict(list)
+    for i, x in zip(ids, items, strict=True):
+        if len(x) and i is not None:
+            by_window[_window(split_item(x, params.answer_part), params)].append((i, x))
+    return [Index([i for i, _ in some], [x for _, x in some], params, w) for w, some in sorted(by_window.items())]
 
 
 def _hits(h: np.ndarray, at: np.ndarray, indexes: list[Index], p: LeakParams) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item id, score, question share, answer share) of confirmed leaks."""
-    count = np.diff(at)
-    n_pass = np.where(count > 0, 1 + np.maximum(0, -(-(count - p.window) // p.stride)), 0)
-    first = np.concatenate([[0], np.cumsum(n_pass)])
-    total = int(first[-1])
-    if not total:
-        return
-    text_of = np.repeat(np.arange(len(count)), n_pass)
-    begin = at[text_of] + (np.arange(total) - first[text_of]) * p.stride
-    end = np.minimum(begin + p.window, at[text_of + 1])
+    words = np.diff(at)
     for index in indexes:
-        place = np.searchsorted(index.terms, h)
-        place[place == len(index.terms)] = 0
-        known = np.flatnonzero(index.terms[place] == h)
-        lo, hi = np.searchsorted(known, begin), np.searchsorted(known, end)
-        size = hi - lo
-        owner = np.repeat(np.arange(total), size)
-        take = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        key = np.unique(owner.astype(np.int64) * len(index.terms) + place[known[take]])
-        owner, term = key // len(index.terms), key % len(index.terms)
+        stride = index.window // 2
+        n_pass = np.where(words > 0, 1 + np.maximum(0, -(-(words - index.window) // stride)), 0)
+        total = int(n_pass.sum())
+        if not total:
+            continue
+        text_of, number = _ranges(np.zeros(len(words), np.int64), n_pass)
+        begin = at[text_of] + number * stride
+        end = np.minimum(begin + index.window, at[text_of + 1])
+        numbers = index.numbers(h)
+        known = np.flatnonzero(numbers >= 0)
+        owner, take = _ranges(np.searchsorted(known, begin), np.searchsorted(known, end))
+        key = np.unique(owner * len(index.hashes) + numbers[known[take]])
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for passage, i, score in index.retrieve(owner, term, total, p.block):
+        for passage, i, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.hashes), key % len(index.hashes))), strict=True):
             t, item = int(text_of[passage]), index.items[i]
-            words = h[begin[passage] : min(int(end[passage]) + len(item), int(at[t + 1]))]
-            overlap = _overlap(words, item, p)
-            if overlap is None:
-                continue
-            q, r = overlap
-            key_ = (t, i)
-            if key_ not in found or (q + r, score) > (sum(found[key_][1:]), found[key_][0]):
-                found[key_] = (score, q, r)
+            span = numbers[max(int(begin[passage]) - len(item), int(at[t])) : min(int(end[passage]) + 2 * len(item) + p.shingle, int(at[t + 1]))]
+            overlap = _overlap(span, item, index.cuts[i], p)
+            if overlap and ((t, i) not in found or (sum(overlap), score) > (sum(found[t, i][1:]), found[t, i][0])):
+                found[t, i] = (score, *overlap)
         for (t, i), (score, q, r) in sorted(found.items()):
             yield t, index.ids[i], score, q, r
 
@@ -213,8 +329,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
     items take no part, nor do items without item_id; case and the signs around
     words do not matter.  A
     repeated text gives its rows again; a repeated item is an item of its own.  An empty
-    benchmark gives no rows.  The benchmark is read to the driver in parts of ``max_bytes``
-    of text, each part one pass over ``docs``; that bounds what an executor holds."""
+    benchmark gives no rows.  An item's threshold is the least score that a passage can have in which ``question`` of its
+    question's words are repeated, so retrieval loses no leak; every passage that reaches it is verified.  The benchmark
+    is read to the driver in parts of ``max_bytes`` of text, each part one pass over ``docs``; an index is about two
+    and a half times as large as its text, which bounds what an executor holds."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")

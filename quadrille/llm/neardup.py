@@ -408,7 +408,7 @@ def _shared(rows: DataFrame, small: int) -> DataFrame:
     return rows.join(once, "path")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     * null, empty or wordless text: n_shingles 0, its own component, kept;
@@ -425,7 +425,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees:
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     grouped = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     groups = checkpointed(grouped.withColumn("v", F.monotonically_increasing_id()))
-    links = similar_links(groups, docs, percent=percent, trees=trees, small=small, shingle=shingle)
+    links = similar_links(groups, docs, percent=percent, trees=trees, small=small, max_depth=max_depth, shingle=shingle)
     labels = connected_components(links)
     held = groups.select("k1", "k2", "n_shingles", "doc", F.col("v").alias("id")).join(labels, "id")
     least = held.groupBy("component").agg(F.min("doc").alias("least"))
@@ -433,6 +433,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees:
     discard(links, labels)
     single = groups.select("k1", "k2", "n_shingles", "doc")
     single = single.join(named, ["k1", "k2", "n_shingles"], "left").select("k1", "k2", "n_shingles", F.coalesce("least", "doc").alias("component"))
+    # Written first, so that a set with very many copies is a skewed join of two tables, which Spark splits.
+    single = checkpointed(single)
+    discard(named, groups)
     out = signed.drop("sig").join(single, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

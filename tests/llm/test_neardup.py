@@ -52,6 +52,21 @@ def test_edges(edge_docs, no_docs):
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
+def test_one_id_with_two_texts(spark):
+    """Rows that share a doc_id are judged each by its own text; a repeated row gives a row each."""
+    rng = random.Random(5)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    near = b.split()
+    near[30] = "other"
+    rows = [(5, a), (5, b), (5, b), (3, " ".join(near)), (7, c), (7, c), (8, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, True), (8, 5, False)]
+
+
+def test_nodes_that_stay_large_are_compared_in_blocks(spark):
+    check(spark.createDataFrame(_variants(6, 3, 40), "doc_id long, text string").coalesce(1), small=12, trees=4, max_depth=2)
+
+
 def _variants(seed, groups, size):
     rng = random.Random(seed)
     rows = []
@@ -79,13 +94,13 @@ def test_pairs_of_one_template_stay_together_over_many_levels(spark):
     """Texts of 0.6 mutual similarity, so that nodes stay large for several levels, in pairs of 0.752."""
     rng, rows = random.Random(7), []
     shared = sentence(rng, 94)
-    for _ in range(120):
+    for _ in range(60):
         own = sentence(rng, 30).split()
         rows += [" ".join([shared, *own]), " ".join([shared, *own[:13], sentence(rng, 17)])]
     rng.shuffle(rows)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert sum(c != d for d, (_, c) in brute(list(enumerate(rows))).items()) == 120
-    check(df, small=6, trees=6)
+    assert sum(c != d for d, (_, c) in brute(list(enumerate(rows))).items()) == 60
+    check(df, small=16, trees=6)
 
 
 def test_components_of_paths_and_hubs(spark, monkeypatch):

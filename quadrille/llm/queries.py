@@ -14,18 +14,22 @@ from .neardup import near_duplicates
 from .quality import score_quality, train_quality
 from .session import read_table
 from .sharding import shard_documents
-from .tokens import DEFAULT_VOCABULARY, read_vocabulary, token_counts
+from .tokens import read_vocabulary, token_counts
 from .vectors import nearest
 
 NEAR_PERCENT = 75
 SHINGLE = 5
+#: The vocabulary file where the session names none; it is read on the driver only.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=SHINGLE, percent=NEAR_PERCENT)
 
 
@@ -34,33 +38,41 @@ MIX_SEED = 42
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality and toxicity score for every document, learned from the labels."""
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
-def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(DEFAULT_VOCABULARY))
+def op4_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Words and word pieces of every document, by the vocabulary file of the session's ``quadrille.vocabulary``."""
+    path = vocabulary or spark.conf.get("quadrille.vocabulary", VOCABULARY)
+    return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(path))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     model = train_languages(docs.where(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours of each vector whose id is divisible by 20, among all others."""
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of three-line windows that stand earlier in the table."""
     return dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every document."""
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=SHARDS)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, and its source's target."""
     return mix_sources(read_table(spark, sf_dir, "documents"), seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -4,7 +4,8 @@ The vocabulary is a trie of byte strings; a piece that begins a word begins with
 Where a word cannot go on in the trie, greedy matching would pop one piece or more and start
 anew behind them: the failure link leads to the node of what is left, and the number of
 pieces popped on the way is kept with it.  So a word takes one step a byte and one failure
-a piece, and no piece is ever built.
+a piece, and no piece is ever built.  Many short words take their steps together, a long one
+(text without white space, say) takes its own.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches
 from .words import _pieces, hashes, spans, text_bytes
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Words of at most so many bytes are stepped together, in so many steps a chunk.
+SHORT = 64
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -72,6 +73,33 @@ class Automaton:
 
     def count(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces of each word raw[start:end]; a word that cannot be matched is one unknown piece."""
+        short = end - start <= SHORT
+        total = np.zeros(len(start), np.int64)
+        total[short] = self._count_together(raw, start[short], end[short])
+        for i in np.flatnonzero(~short):
+            total[i] = self._count_one(raw[start[i] : end[i]].tobytes())
+        return total
+
+    def _count_one(self, word: bytes) -> int:
+        if not hasattr(self, "_scalar"):
+            self._scalar = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        edges, fail, pops = self._scalar
+        step, state, got = edges.get, 0, 0
+        for b in b" " + word:
+            to = step(state * 256 + b)
+            while to is None:
+                got += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return 1
+                to = step(state * 256 + b)
+            state = to
+        while state > 0:
+            got += pops[state]
+            state = fail[state]
+        return got if state == 0 else 1
+
+    def _count_together(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(start)
         total = np.zeros(n, np.int64)
         if not n or not len(self.keys):
@@ -131,4 +159,4 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches, free_name
+from .session import free_name
 
 UNDETERMINED = "und"
 
@@ -46,6 +46,8 @@ class LangParams:
     #: What a change of language between two words costs, in nats.
     penalty: float = 12.0
     smoothing: float = 0.5
+    #: More different languages are an error: the model is ``buckets`` numbers for each, and is broadcast.
+    most_languages: int = 1000
     #: A language uses a script from this share of its training letters on.
     script_share: float = 0.01
     chunk: int = 1 << 19
@@ -55,25 +57,33 @@ _table: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark on one."""
+    """Of each code point: 2 for a letter, 1 for a mark (which belongs to the letters beside it), else 0."""
     if not _table:
-        _table.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
+        _table.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.int8))
     return _table[0]
 
 
 class _Words:
     """A run of texts: code points, each word's end, letters and script, and trigram buckets.
 
-    A word is a maximal run of letters; everything else parts words."""
+    A word is a maximal run of letters and marks with a letter in it; everything else parts words."""
 
     def __init__(self, texts: list[str], buckets: int):
         joined = " ".join(texts).lower() + " "
         cp = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        letter = _letters()[np.minimum(cp, 0x10FFFF)]
+        kind = _letters()[np.minimum(cp, 0x10FFFF)]
+        letter = kind > 0
         lengths = np.array([len(t.lower()) for t in texts]) + 1
         first = letter & ~np.concatenate([[False], letter[:-1]])
         last = letter & ~np.concatenate([letter[1:], [False]])
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if len(start):
+            full = np.maximum.reduceat(kind, start) == 2
+            if not full.all():  # runs of marks alone are no words
+                letter = letter.copy()
+                letter[letter] = full[(np.cumsum(first) - 1)[letter]]
+                start, end = start[full], end[full]
+        self.start, self.end = start, end
         self.at = np.searchsorted(self.start, np.concatenate([[0], np.cumsum(lengths)]))
         x = np.where(letter, cp, 0).astype(np.uint64)
         before, after = np.concatenate([[np.uint64(0)], x[:-1]]), np.concatenate([x[1:], [np.uint64(0)]])
@@ -178,7 +188,9 @@ def train_languages(labelled: DataFrame, params: LangParams = LangParams()) -> L
     hash of doc_id and text (the documented bound); counts are summed on executors, and the driver
     receives at most ``buckets`` counts a language."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(params.most_languages + 1).collect()}
+    if len(sizes) > params.most_languages:
+        raise ValueError(f"more than {params.most_languages} different languages")
     languages = sorted(sizes)
     if not languages:
         return LangModel([], np.zeros((params.buckets, 0)), np.zeros((len(SCRIPTS), 0), bool), params)
@@ -201,7 +213,7 @@ def train_languages(labelled: DataFrame, params: LangParams = LangParams()) -> L
                     key = np.concatenate([np.flatnonzero(grams), buckets + np.flatnonzero(scripts)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), l, np.int32)), pa.array(key.astype(np.int32)), pa.array(np.concatenate([grams, scripts])[key])], ["l", "k", "n"])
 
-    counts = bounded_batches(drawn).mapInArrow(count, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    counts = drawn.mapInArrow(count, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((buckets + len(SCRIPTS), len(languages)))
     table[counts["k"].to_numpy(), counts["l"].to_numpy()] = counts["n"].to_numpy()
     grams, scripts = table[:buckets] + params.smoothing, table[buckets:]
@@ -258,7 +270,7 @@ def identify(docs: DataFrame, model: LangModel, spans: bool = False) -> DataFram
                         names.append("spans")
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -279,7 +291,7 @@ def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
                         score.append(share)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*batch.schema, pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]))
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

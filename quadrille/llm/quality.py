@@ -10,14 +10,17 @@ The same is done for toxicity; a document is kept if it is good and not toxic.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches
+
+from .session import checkpointed, discard
 from .words import _pieces, hashes, mix, spans, text_bytes, trimmed
 
 TARGETS = ("good", "toxic")
@@ -177,46 +180,44 @@ class QualityModel:
         return _sigmoid(z[0] * c[0] + z[1] * c[1] + c[2])
 
 
-def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: dict[str, np.ndarray], pool_text: list[np.ndarray], pool_meta: list[np.ndarray], params: QualityParams) -> QualityModel:
-    """Co-trains both views; a fifth of the labelled rows, drawn by a seed, is kept aside for calibration.
+def cotrain(target: str, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, pool_text: list[np.ndarray], pool_meta: list[np.ndarray], params: QualityParams) -> QualityModel:
+    """Co-trains both views on one target; a fifth of the labelled rows, drawn by a seed, is kept aside for calibration.
 
-    A target without rows of both classes in the training part gets the base rate as its score."""
+    Without rows of both classes in the training part the base rate is the score."""
     size = params.buckets + TEXT_STYLES * STYLE_BINS
     n = len(text)
     aside = np.random.default_rng(5).permutation(n) % 5 == 4
     model = QualityModel({}, {}, {}, {}, params, {})
-    for target in TARGETS:
-        y = labels[target].astype(float)
-        learn, check = np.flatnonzero(~aside), np.flatnonzero(aside)
-        if len(set(y[learn].tolist())) < 2:
-            model.combination[target] = np.array([y.mean() if n else 0.5 if target == "good" else 0.0])
-            continue
-        views = ((text, pool_text, size), (meta, pool_meta, META_BUCKETS))
-        extra: list[dict[int, float]] = [{}, {}]
-        weights: list[np.ndarray] = []
-        exchanged = []
-        for turn in range(params.rounds + 1):
-            weights = []
-            for v, (own, pool, width) in enumerate(views):
-                rows = [own[i] for i in learn] + [pool[i] for i in extra[v]]
-                weights.append(fit_view(rows, np.concatenate([y[learn], list(extra[v].values())]), width, params))
-            if turn == params.rounds or not pool_text:
-                break
-            for v, (_, pool, _) in enumerate(views):
-                p = _sigmoid(_Rows(pool).dot(weights[v][:-1]) + weights[v][-1])
-                other = extra[1 - v]
-                rate = y[learn].mean()
-                for value, sure, share in ((1.0, p, rate), (0.0, 1 - p, 1 - rate)):
-                    best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= params.confident and i not in other]
-                    other.update({int(i): value for i in best[: max(1, round(2 * params.given * share))]})
-            exchanged.append(len(extra[0]) + len(extra[1]))
-        z = [_Rows([own[i] for i in check]).dot(weights[v][:-1]) + weights[v][-1] for v, (own, _, _) in enumerate(views)]
-        calibration = tuple(_platt(zi[:, None], y[check]) for zi in z)
-        both = np.stack([zi * c[0] + c[1] for zi, c in zip(z, calibration, strict=True)], axis=1)
-        model.text[target], model.meta[target] = weights
-        model.calibration[target] = calibration
-        model.combination[target] = _platt(both, y[check])
-        model.exchanged[target] = exchanged
+    learn, check = np.flatnonzero(~aside), np.flatnonzero(aside)
+    if len(set(y[learn].tolist())) < 2:
+        model.combination[target] = np.array([y.mean() if n else 0.5 if target == "good" else 0.0])
+        return model
+    views = ((text, pool_text, size), (meta, pool_meta, META_BUCKETS))
+    extra: list[dict[int, float]] = [{}, {}]
+    weights: list[np.ndarray] = []
+    exchanged = []
+    for turn in range(params.rounds + 1):
+        weights = []
+        for v, (own, pool, width) in enumerate(views):
+            rows = [own[i] for i in learn] + [pool[i] for i in extra[v]]
+            weights.append(fit_view(rows, np.concatenate([y[learn], list(extra[v].values())]), width, params))
+        if turn == params.rounds or not pool_text:
+            break
+        for v, (_, pool, _) in enumerate(views):
+            p = _sigmoid(_Rows(pool).dot(weights[v][:-1]) + weights[v][-1])
+            other = extra[1 - v]
+            rate = y[learn].mean()
+            for value, sure, share in ((1.0, p, rate), (0.0, 1 - p, 1 - rate)):
+                best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= params.confident and i not in other]
+                other.update({int(i): value for i in best[: max(1, round(2 * params.given * share))]})
+        exchanged.append(len(extra[0]) + len(extra[1]))
+    z = [_Rows([own[i] for i in check]).dot(weights[v][:-1]) + weights[v][-1] for v, (own, _, _) in enumerate(views)]
+    calibration = tuple(_platt(zi[:, None], y[check]) for zi in z)
+    both = np.stack([zi * c[0] + c[1] for zi, c in zip(z, calibration, strict=True)], axis=1)
+    model.text[target], model.meta[target] = weights
+    model.calibration[target] = calibration
+    model.combination[target] = _platt(both, y[check])
+    model.exchanged[target] = exchanged
     return model
 
 
@@ -237,16 +238,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
 
     Labels that repeat for a doc_id count as bad if one is and toxic if one is; null labels and
     labels of unknown documents are not used.  About ``labelled`` labelled and ``pool`` unlabelled
-    documents are drawn by a hash of doc_id and brought to the driver as feature numbers."""
+    documents are drawn by a hash of doc_id before their texts are shuffled.  Each target is trained by a task of
+    its own, on that bounded sample; the driver gets the weights."""
     rows = _columns(docs).where("doc_id is not null and text is not null")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and good is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic"))
     known, total = marks.count(), rows.select("doc_id").count()
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
-    drawn_marks = marks.where(draw < int(1_000_000 * min(1.0, params.labelled / max(known, 1))))
-    others = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, params.pool / max(total - known, 1)))
-    docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")  # empty parts would break the join above
-    ids = drawn_marks.unionByName(rows.where(others).select("doc_id").join(marks, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), F.lit(None).cast("int").alias("toxic")).distinct())
+
+    def drawn(seed: int, wanted: int, of: int):
+        return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(of, 1)))
+
+    marked, unmarked = drawn(11, params.labelled, known), drawn(12, params.pool, total - known)
+    met = rows.where(marked | unmarked).join(marks, "doc_id", "left")
+    sample = met.where(F.when(F.col("good").isNull(), unmarked).otherwise(marked))
     buckets = params.buckets
 
     def run(batches):
@@ -260,15 +264,28 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
                         ["doc_id", "t", "m", "good", "toxic"],
                     )
 
-    sample = rows.join(ids, "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "good", "toxic")
-    found = bounded_batches(sample).mapInArrow(run, "doc_id long, t binary, m binary, good int, toxic int").toPandas().sort_values(["doc_id", "t"], kind="stable")
+    found = checkpointed(sample.select("doc_id", "text", "source", "lang", "n_chars", "good", "toxic").mapInArrow(run, "doc_id long, t binary, m binary, good int, toxic int"))
 
     def arrays(column) -> list[np.ndarray]:
         return [np.frombuffer(x, np.int32).astype(np.int64) for x in column]
 
-    with_labels, pool = found[found["good"].notna()], found[found["good"].isna()]
-    targets = {"good": (with_labels["good"] > 0).to_numpy(), "toxic": (with_labels["toxic"] > 0).to_numpy()}
-    return cotrain(arrays(with_labels["t"]), arrays(with_labels["m"]), targets, arrays(pool["t"]), arrays(pool["m"]), params)
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "t"], kind="stable")
+        own, pool = pdf[pdf["good"].notna()], pdf[pdf["good"].isna()]
+        target = str(pdf["target"].iloc[0])
+        model = cotrain(target, arrays(own["t"]), arrays(own["m"]), (own[target] > 0).to_numpy().astype(float), arrays(pool["t"]), arrays(pool["m"]), params)
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    by_target = found.withColumn("target", F.explode(F.array(*[F.lit(t) for t in TARGETS]))).groupBy("target").applyInPandas(fit, "model binary")
+    parts = [pickle.loads(bytes(r.model)) for r in by_target.collect()]
+    discard(found)
+    missing = [t for t in TARGETS if not any(t in p.combination for p in parts)]
+    parts += [cotrain(t, [], [], np.zeros(0), [], [], params) for t in missing]
+    merged = QualityModel({}, {}, {}, {}, params, {})
+    for p in parts:
+        for name in ("text", "meta", "calibration", "combination", "exchanged"):
+            getattr(merged, name).update(getattr(p, name))
+    return merged
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -289,4 +306,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                     keep = (good >= m.params.keep_good) & (toxic < m.params.keep_toxic)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(good), pa.array(toxic), pa.array(good * (1 - toxic)), pa.array(keep)], ["doc_id", "good", "toxic", "score", "keep"])
 
-    return bounded_batches(_columns(docs)).mapInArrow(run, "doc_id long, good double, toxic double, score double, keep boolean")
+    return _columns(docs).mapInArrow(run, "doc_id long, good double, toxic double, score double, keep boolean")

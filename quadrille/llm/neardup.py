@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import bounded_batches, checkpointed, discard
+from .session import checkpointed, discard
 from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield from _sign(batches, shingle)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
 def full_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
@@ -127,7 +127,7 @@ def full_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
                         [pa.array(v[use]), _lists(sig.reshape(-1), np.arange(len(use) + 1) * WIDTH), pa.array([sets[i].tobytes() for i in use], pa.binary())], ["v", "sig", "members"]
                     )
 
-    return bounded_batches(rows).mapInArrow(run, "v long, sig array<int>, members binary")
+    return rows.mapInArrow(run, "v long, sig array<int>, members binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -276,7 +276,7 @@ def _compare_stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
 
 def _dealt(rows: DataFrame, key: str, *then: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bounded_batches(rows.repartition(parts, key).sortWithinPartitions(key, *then))
+    return rows.repartition(parts, key).sortWithinPartitions(key, *then)
 
 
 def _in_blocks(rows: DataFrame, small: int) -> DataFrame:

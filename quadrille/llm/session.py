@@ -45,20 +45,6 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
-#: Bytes of an Arrow batch between Spark and Python, where the session sets no limit itself.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, in whose session Arrow batches of rows are bounded by bytes as well as by rows.
-
-    Ten thousand long texts would else be one batch.  A limit that the session has stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key, None) is None:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .session import bounded_batches, checkpointed, discard
+from .session import checkpointed, discard
 
 
 @dataclass(frozen=True)
@@ -238,7 +238,7 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
             cell = index.value.cell(index.value.project(x)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["id", "v", "q", "cell"])
 
-    dealt = checkpointed(bounded_batches(rows).mapInArrow(deal, f"id long, v array<{kind}>, q boolean, cell int"))
+    dealt = checkpointed(rows.mapInArrow(deal, f"id long, v array<{kind}>, q boolean, cell int"))
     cells = checkpointed(dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(params.cell_rows)).cast("int").alias("parts")))
     placed = dealt.join(cells, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), "id", "v", "q")
     candidates = placed.select("cell", "part", F.lit(0).alias("role"), "id", "v", F.lit(float("inf")).alias("kth"))
@@ -246,7 +246,7 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
     def met(queries: DataFrame) -> DataFrame:
         both = candidates.unionAll(queries.select("cell", "part", F.lit(1).alias("role"), "id", "v", "kth"))
         groups = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "part").sortWithinPartitions("cell", "part", "role")
-        return checkpointed(bounded_batches(groups).mapInArrow(lambda b: _searched(b, index.value, params), _FOUND.format(kind=kind)))
+        return checkpointed(groups.mapInArrow(lambda b: _searched(b, index.value, params), _FOUND.format(kind=kind)))
 
     home = met(placed.where("q").withColumn("kth", F.lit(float("inf"))))
 
@@ -260,7 +260,7 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "kth", "own_cell", "own_part", "to"])
 
     asked = home.where("v is not null").select(F.col("query_id").alias("id"), "v", "kth", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"))
-    sent = bounded_batches(asked).mapInArrow(onward, f"id long, v array<{kind}>, kth double, own_cell int, own_part int, to array<int>").withColumn("cell", F.explode("to"))
+    sent = asked.mapInArrow(onward, f"id long, v array<{kind}>, kth double, own_cell int, own_part int, to array<int>").withColumn("cell", F.explode("to"))
     sent = sent.join(cells, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("cell <> own_cell or part <> own_part")
     more = met(sent)
     discard(dealt)

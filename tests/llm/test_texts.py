@@ -1,5 +1,6 @@
 """Extraction, token counts, language spans, quality, line windows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -115,7 +116,23 @@ def test_token_counts_are_greedy(edge_docs, no_docs):
     assert tokens.token_counts(no_docs, sorted(vocabulary)).collect() == []
 
 
-def test_automaton_on_random_vocabularies():
+def test_long_words_are_fast():
+    import time
+
+    rng = random.Random(3)
+    word = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000)).encode()
+    vocabulary = {bytes([b]) for b in range(256)} | {word[i : i + k] for i in range(0, 3000, 3) for k in (2, 3, 6)}
+    a = tokens.Automaton.build(sorted(vocabulary))
+    raw, ends = np.frombuffer(word, np.uint8), np.array([0, len(word)])
+    a.count(raw[:300], np.array([0]), np.array([300]))
+    start = time.time()
+    got = int(a.count(raw, ends[:1], ends[1:])[0])
+    assert len(word) / (time.time() - start) > 2e6
+    assert a.count(raw[:3000], np.array([0]), np.array([3000])).tolist() == [_greedy(word[:3000], vocabulary)] and got > 100_000
+
+
+def test_automaton_on_random_vocabularies(monkeypatch):
+    monkeypatch.setattr(tokens, "SHORT", 6)
     rng = random.Random(4)
     for _ in range(150):
         vocabulary = {bytes(rng.choice(b"ab c" if k == 0 else b"abc") for k in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 14))}
@@ -153,6 +170,29 @@ def test_language_held_out_and_spans(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in language.identify(edge_docs, empty).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_letters(spark):
+    docs, _, _ = _labelled(spark)
+    model = language.train_languages(docs)
+    rows = [(1, "\u0301\u0302 12 \u0308"), (2, "\u0301 the and not \u0302 with"), (3, "e\u0301"), (4, "")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == ("und", 0.0) and got[2] == ("en", 1.0) and got[3][0] != "und" and got[4] == ("und", 0.0)
+
+
+def test_viterbi_like_all_labellings():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, k, penalty = int(rng.integers(1, 7)), int(rng.integers(1, 4)), float(rng.uniform(0, 3))
+        s = rng.standard_normal((n, k)) * 2
+        worth = {p: sum(s[t, x] for t, x in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:])) for p in itertools.product(range(k), repeat=n)}
+        assert abs(worth[tuple(language.viterbi(s, penalty).tolist())] - max(worth.values())) < 1e-9
+
+
+def test_too_many_languages(spark):
+    docs = spark.range(5).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        language.train_languages(docs, language.LangParams(most_languages=4))
+
+
 def test_shortcut_paths_are_best_paths(spark):
     docs, de, en = _labelled(spark)
     model = language.train_languages(docs)

@@ -322,6 +322,17 @@ def _hits(h: np.ndarray, at: np.ndarray, indexes: list[Index], p: LeakParams) ->
             yield t, index.ids[i], score, q, r
 
 
+def _indexes(benchmark: DataFrame, params: LeakParams) -> Iterator:
+    """Broadcast indexes of the benchmark's parts of at most about ``max_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // params.max_bytes))
+    for k in range(parts):
+        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        got = sorted((r.item_id, r.text) for r in mine.collect())
+        yield benchmark.sparkSession.sparkContext.broadcast(_build([g[0] for g in got], [g[1] for g in got], params))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap), one row for each text and leaked item.
 
@@ -333,18 +344,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
     question's words are repeated, so retrieval loses no leak; every passage that reaches it is verified.  The benchmark
     is read to the driver in parts of ``max_bytes`` of text, each part one pass over ``docs``; an index is about two
     and a half times as large as its text, which bounds what an executor holds."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-total // params.max_bytes))
     out = None
-    for k in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        got = sorted((r.item_id, r.text) for r in mine.collect())
-        with np.errstate(over="ignore"):
-            shared = spark.sparkContext.broadcast(_build([g[0] for g in got], [g[1] for g in got], params))
+    for shared in _indexes(benchmark, params):
 
         def run(batches, shared=shared):
             with np.errstate(over="ignore"):
@@ -354,8 +357,27 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: LeakParams = L
                         if found:
                             ids = batch.column("doc_id").take(pa.array([first + f[0] for f in found]))
                             cols = [pa.array([f[j] for f in found], kind) for j, kind in enumerate([pa.int64(), pa.float64(), pa.float64(), pa.float64()], 1)]
-                            yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                            yield pa.RecordBatch.from_arrays([ids, *cols], names)
 
-        hits = rows.mapInArrow(run, schema)
+        hits = rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = hits if out is None else out.unionAll(hits)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
+    """The rows of ``docs`` whose text repeats no item, with all their columns; each row is judged by its own text,
+    whatever its doc_id, and none is shuffled.  Null, empty or wordless texts stay."""
+    text_at = [c.lower() for c in docs.columns].index("text")
+    out = docs
+    for shared in _indexes(benchmark, params):
+
+        def run(batches, shared=shared):
+            with np.errstate(over="ignore"):
+                for batch in batches:
+                    keep = np.ones(batch.num_rows, bool)
+                    for first, h, at in _words(batch.column(text_at).cast(pa.string())):
+                        keep[[first + f[0] for f in _hits(h, at, shared.value, params)]] = False
+                    yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -186,6 +186,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     return marked.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it."""
+    marked, times = mix_marks(docs, weights, max_repeats, seed)
+    return marked.select(F.explode(F.array_repeat("row", times.cast("int"))).alias("row")).select("row.*")
+
+
 def mix_marks(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 42, carry: bool = True) -> tuple[DataFrame, Column]:
     """Rows with their plan, and how often the mix takes each: with ``carry`` all columns of ``docs``, packed in
     ``row``, else doc_id, source, size and the plan's source_size and target."""
@@ -194,11 +200,13 @@ def mix_marks(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: in
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id").alias("row")
     source = F.col("source").cast("string")
     rows = docs.select(kept, source.alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("draw"), F.xxhash64("doc_id", text, F.lit(seed + 1)).alias("tie"))
-    rows = checkpointed(rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")).withColumn("sk", F.concat(F.lit("s"), "source")).fillna("n", ["sk"]))
+    rows = rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    if not carry:  # words are counted once; whole rows are rather counted twice than written
+        rows = checkpointed(rows)
     counted = checkpointed(rows.groupBy("source", "sk", "size", "part").agg(F.count("*").alias("n")))
     table = counted.groupBy("source", "sk", "size").agg(F.sum("n").alias("n"))
     targets = source_targets(table.select("source", (F.col("size") * F.col("n")).alias("size")), weights, max_repeats)
-    targets = targets.withColumn("sk", F.concat(F.lit("s"), "source")).fillna("n", ["sk"]).drop("source")
+    targets = targets.withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = int(pdf["source_size"].iloc[0])

@@ -85,14 +85,12 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             k1, k2 = _digests(sets)
             sig = _minwise([s for s in sets if len(s)])
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, WIDTH, 0))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(sets)), pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), offsets)],
-                ["doc_id", "n_shingles", "k1", "k2", "sig"],
-            )
+            own = [batch.column(c).slice(first, len(sets)) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), offsets)], ["doc_id", "text_key", "n_shingles", "k1", "k2", "sig"])
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (k1, k2) and its ``WIDTH`` minwise tokens.
+    """doc_id, text_key (a hash of the text), n_shingles, the set's digest (k1, k2) and its ``WIDTH`` minwise tokens.
 
     A null or wordless text has no shingles and no tokens."""
 
@@ -100,8 +98,8 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
         with np.errstate(over="ignore"):
             yield from _sign(batches, shingle)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
 def full_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
@@ -421,21 +419,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, trees:
 
     Other columns of ``docs`` are neither read nor returned.
     """
+    return near_groups(docs, shingle, percent, trees, small, max_depth).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24) -> DataFrame:
+    """What ``near_duplicates`` returns, with text_key (a hash of the row's text) and group_id: the same number for all
+    rows of linked texts, and for no others; null for a text without shingles and for a row without doc_id."""
     signed = checkpointed(signatures(docs, shingle))
+    key = ["k1", "k2", "n_shingles"]
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    grouped = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    grouped = filled.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     groups = checkpointed(grouped.withColumn("v", F.monotonically_increasing_id()))
     links = similar_links(groups, docs, percent=percent, trees=trees, small=small, max_depth=max_depth, shingle=shingle)
     labels = connected_components(links)
-    held = groups.select("k1", "k2", "n_shingles", "doc", F.col("v").alias("id")).join(labels, "id")
+    held = groups.select(*key, "doc", F.col("v").alias("id")).join(labels, "id")
     least = held.groupBy("component").agg(F.min("doc").alias("least"))
-    named = checkpointed(held.join(least, "component").select("k1", "k2", "n_shingles", "least"))
+    named = checkpointed(held.join(least, "component").select(*key, "least", "component"))
     discard(links, labels)
-    single = groups.select("k1", "k2", "n_shingles", "doc")
-    single = single.join(named, ["k1", "k2", "n_shingles"], "left").select("k1", "k2", "n_shingles", F.coalesce("least", "doc").alias("component"))
+    single = groups.select(*key, "doc", "v").join(named, key, "left").select(*key, F.coalesce("least", "doc").alias("least"), F.coalesce("component", "v").alias("group_id"))
     # Written first, so that a set with very many copies is a skewed join of two tables, which Spark splits.
     single = checkpointed(single)
     discard(named, groups)
-    out = signed.drop("sig").join(single, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = signed.drop("sig").join(single, key, "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(known, F.col("group_id")).alias("group_id"))
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` that stay if one row of each near-duplicate group does.
+
+    Of a group the row with the smallest doc_id stays, of rows that share it the one whose text has the smaller
+    hash; rows without doc_id come behind all others.  Rows with the same doc_id and text are one: the
+    first by its other columns stays.  Texts without shingles are no copies of each other.  Rows that
+    share a doc_id but not a text are judged each by its text."""
+    names = docs.columns
+    text = F.col("text").cast("string")
+    late = F.lit(1 << 62).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), late).alias("id"), F.xxhash64(text).alias("text_key"))
+    found = checkpointed(near_groups(docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc_id"), text.alias("text")), **params))
+    first = found.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key")
+    stay = first.unionAll(found.where("group_id is null").select("doc_id", "text_key")).distinct().select(F.col("doc_id").alias("id"), "text_key")
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in names if c.lower() != "text"], F.lit(0)))
+    rows = packed.join(stay, ["id", "text_key"]).groupBy("id", "text_key").agg(F.min_by("row", others).alias("row"))
+    return rows.select("row.*")

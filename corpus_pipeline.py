@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.language import UNDETERMINED, held_out, train_languages, with_language
-from quadrille.llm.leaks import benchmark_hits
-from quadrille.llm.mixing import mix_sources
-from quadrille.llm.neardup import near_duplicates
+from quadrille.llm.leaks import without_leaks
+from quadrille.llm.mixing import mixed_rows
+from quadrille.llm.neardup import one_of_each
 from quadrille.llm.session import checkpointed, read_table
 from quadrille.llm.sharding import shard_documents
 
@@ -33,25 +33,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group, once; rows without id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    """Keeps one row of each near-duplicate group, that with the smallest id; each row is judged by its own text, also
+    where ids repeat or are missing."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that repeat a benchmark item."""
-    leaked = benchmark_hits(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows whose text repeats a benchmark item, whatever their ids."""
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a source below its target repeats, up to 3 times."""
-    taken = mix_sources(docs, seed=SEED).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    joined = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id"))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("turn_")).select(*docs.columns)
+    """Each row as often as the mix takes it: a source below its target repeats, up to 3 times; a text without words goes."""
+    return mixed_rows(docs, seed=SEED)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every row, by its doc_id; rows without one share a shard."""
     return shard_documents(docs, shards=SHARDS)
 
 

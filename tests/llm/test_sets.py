@@ -326,3 +326,32 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert all(abs(taken[s] - want[s]) <= 60 for s in want)
     assert Counter(kept[4]) == Counter(kept[3])
     assert P.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Rows without an id, ids with two texts, repeated rows, and columns named like inner ones."""
+    import corpus_pipeline as P
+
+    rng = random.Random(22)
+    items, bench = _bench(spark)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = "turn_ int, text_key long, row string, id long, part int, size long, place int, group_id long"
+    clean, other, third = (sentence(rng, 60) for _ in range(3))
+    leak = items[2][1] + " " + sentence(rng, 30)
+    rows = [(1, clean), (1, leak), (None, leak + " end"), (None, clean), (None, third), (2, other), (2, other), (2, sentence(rng, 50)), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, f"l{k}", "s", 1, *[k] * 2, "x", *[k] * 5) for k, (d, t) in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    kept = P.near_dedup(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(1, clean), (1, leak), (None, third), (2, other), (2, rows[7][1]), (3, None), (4, "")])
+    assert {r.lang for r in kept.collect() if r.text == other} == {"l5"}
+    left = P.decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(x for x in rows if not (x[1] or "").startswith(items[2][1]))
+    mixed = P.mixing(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    times = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert set(times) <= {x for x in rows if x[1]} and sum(n * len(t.split()) for (_, t), n in times.items()) == sum(len((t or "").split()) for _, t in rows)
+    assert P.sharding(spark, docs, str(tmp_path)).count() == len(rows)
+    for stage in (P.language_id, P.near_dedup, P.decontamination, P.mixing, P.sharding):
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []

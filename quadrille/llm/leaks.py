@@ -1,12 +1,12 @@
 """Benchmark decontamination: BM25 index of test items, block-max WAND, overlap check.
 
-The index is an inverted one over the words of the items' questions: postings (item, weight) by term, and for each
-term the largest weight in each block of items that has it.  Every passage of every text is a query.  Its terms
-come in order of how common they are; up to the pivot their largest weights stay below the least threshold, so an item
-that has none of the terms behind it is never looked at.  Blocks that the terms behind the pivot name are bounded by
-block maxima, and only items of blocks whose bound reaches their threshold are scored.  All passages of a batch go
-through these steps together.  A retrieved item counts as leaked if the passage's text repeats enough of its
-question and of its answer in word order.
+The index is an inverted one over the words of the items' questions.  An item's threshold puts a pivot into its terms:
+up to it, from the lightest on, the terms stay below the threshold by so much that a passage must have a fixed weight
+of the heavier ones, so only these have postings.  Items stand in blocks, and a term keeps its largest weight in each
+block that has it.  Every passage of every text is a query: block maxima of its terms bound the blocks they name, postings
+the items of blocks whose bound is high enough, and only items that pass are scored with all their terms.
+All passages of a batch go through these steps together.  A retrieved item counts as leaked if the passage's text repeats
+enough of its question and of its answer in word order.
 """
 
 from __future__ import annotations
@@ -81,116 +81,95 @@ def _up(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """BM25 weights of the questions of some items: terms numbered from the most common on, sparse postings by term
-    and item, and the largest weight of each run of a term's postings within a block of items.  Items stand in order of
-    their thresholds, so blocks have like ones.
+    """BM25 weights of the questions of some items: sparse postings by term and item for the terms behind the items'
+    pivots, the largest weight of each run of a term's postings within a block, and each item's own terms.  Items stand in
+    order of their thresholds, so blocks have like ones.
 
-    A word of an item takes four bytes, a posting ten (six in a small index), a run six, a term 20: less than the text."""
+    A word of an item takes four bytes, a different one six more, a posting six, a run six, a term 24."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray], params: LeakParams, window: int):
         n = len(items)
         self.params, self.window, self.n = params, window, n
         cuts = [split_item(x, params.answer_part) for x in items]
-        every = np.unique(np.concatenate(items))
+        self.hashes = np.unique(np.concatenate(items))
         lengths = np.array(cuts, float)
-        words = [np.unique(np.searchsorted(every, x[:c]), return_counts=True) for x, c in zip(items, cuts, strict=True)]
-        df = np.bincount(np.concatenate([w for w, _ in words]), minlength=len(every))
+        words = [np.unique(np.searchsorted(self.hashes, x[:c]), return_counts=True) for x, c in zip(items, cuts, strict=True)]
+        df = np.bincount(np.concatenate([w for w, _ in words]), minlength=len(self.hashes))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weights = [idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean())) for i, (w, tf) in enumerate(words)]
-        need = np.array([_least_score(weights[i], tf, int((1 - params.question) * cuts[i] + 1e-9)) for i, (_, tf) in enumerate(words)])
+        weights = [_up(idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean()))) for i, (w, tf) in enumerate(words)]
+        need = np.array([_least_score(weights[i].astype(float), tf, int((1 - params.question) * cuts[i] + 1e-9)) for i, (_, tf) in enumerate(words)])
         turn = np.argsort(need, kind="stable")
         self.ids, self.cuts, self.need = [ids[i] for i in turn], [cuts[i] for i in turn], (need[turn] * 0.9999).astype(np.float32)
-        self.hashes, self.number = every, np.empty(len(every), np.int32)
-        self.number[np.argsort(-df, kind="stable")] = np.arange(len(every), dtype=np.int32)
-        self.items = [self.number[np.searchsorted(every, items[i])] for i in turn]
-        term = self.number[np.concatenate([words[i][0] for i in turn])]
-        item = np.repeat(np.arange(n), [len(words[i][0]) for i in turn])
-        weight = np.concatenate([weights[i] for i in turn])
+        self.items = [np.searchsorted(self.hashes, items[i]).astype(np.int32) for i in turn]
+        self.own = [words[i][0].astype(np.int32) for i in turn]
+        self.own_weight = [weights[i] for i in turn]
+        # The pivot: the heaviest terms, up to a weight of which a quarter of the threshold cannot be missed.
+        item, term, weight, self.behind = [], [], [], np.zeros(n, np.float32)
+        for i in range(n):
+            order = np.argsort(-self.own_weight[i].astype(float), kind="stable")
+            upto = np.cumsum(self.own_weight[i][order].astype(float))
+            missed = upto[-1] - self.need[i]
+            k = min(len(order), int(np.searchsorted(upto, missed + 0.25 * self.need[i])) + 1)
+            self.behind[i] = upto[k - 1] - missed
+            item.append(np.full(k, i))
+            term.append(self.own[i][order[:k]])
+            weight.append(self.own_weight[i][order[:k]])
+        item, term, weight = (np.concatenate(x) for x in (item, term, weight))
         order = np.lexsort((item, term))
-        term, item, self.weight = term[order], item[order], _up(weight[order])
-        self.posting = term.astype(np.int64) * n + item
-        if len(every) * n < 1 << 31:
-            self.posting = self.posting.astype(np.int32)
-        self.run = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (item[1:] // params.block != item[:-1] // params.block)])).astype(np.int32)
-        self.run_most = np.maximum.reduceat(self.weight, self.run)
-        self.run_at = np.searchsorted(term[self.run], np.arange(len(every) + 1)).astype(np.int32)
-        self.most = np.zeros(len(every), np.float32)
-        np.maximum.at(self.most, term, self.weight.astype(np.float32))
-        self.least = np.minimum.reduceat(self.need, np.arange(0, n, params.block))
+        term, self.item, self.weight = term[order], item[order].astype(np.int32), weight[order]
+        block = self.item // params.block
+        edge = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.run, self.run_most, self.run_block = np.append(edge, len(term)).astype(np.int32), np.maximum.reduceat(self.weight, edge), block[edge].astype(np.int32)
+        self.run_at = np.searchsorted(term[edge], np.arange(len(self.hashes) + 1)).astype(np.int32)
+        self.least = np.minimum.reduceat(self.behind, np.arange(0, n, params.block))
 
     def nbytes(self) -> int:
-        parts = (self.hashes, self.number, self.posting, self.weight, self.run, self.run_most, self.run_at, self.most, self.need, self.least, *self.items)
+        parts = (self.hashes, self.item, self.weight, self.run, self.run_most, self.run_block, self.run_at, self.need, self.behind, self.least, *self.items, *self.own, *self.own_weight)
         return sum(x.nbytes for x in parts) + 16 * self.n
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for one that is in no item."""
         place = np.searchsorted(self.hashes, h)
         place[place == len(self.hashes)] = 0
-        return np.where(self.hashes[place] == h, self.number[place], -1)
-
-    def _blocks(self, run: np.ndarray) -> np.ndarray:
-        return self.posting[self.run[run]] % self.n // self.params.block
-
-    def _find_runs(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """The run of each term within each block, -1 where it has none."""
-        key = term.astype(np.int64) * self.n + block * self.params.block
-        end = np.minimum(key + self.params.block, (term.astype(np.int64) + 1) * self.n)
-        at = np.searchsorted(self.posting, key)
-        there = at < len(self.posting)
-        there[there] = self.posting[at[there]] < end[there]
-        return np.where(there, np.searchsorted(self.run, at), -1)
-
-    def retrieve(self, owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passages, items, scores) of all items that reach their threshold.
-
-        ``owner``, ``term``: each passage's different terms, in order of passage and term."""
-        held = self.run_at[term + 1] > self.run_at[term]
-        owner, term = owner[held], term[held]
-        if not len(owner):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        size = np.diff(np.append(start, len(owner)))
-        most = self.most[term].astype(np.float64)
-        upto = np.cumsum(most)
-        upto -= np.repeat(upto[start] - most[start], size)
-        # Behind the pivot: up to it no item can reach even the least threshold.
-        behind = upto >= self.need[0]
-        extra = np.add.reduceat(np.where(behind, 0.0, most), start)
-        runs = np.add.reduceat(np.where(behind, self.run_at[term + 1] - self.run_at[term], 0), start)
-        slots = np.flatnonzero(runs)
-        step = np.cumsum(runs[slots]) // RUNS
-        found = [self._search(some, owner, term, start, size, behind, extra) for some in np.split(slots, np.flatnonzero(np.diff(step)) + 1) if len(some)]
-        found = [f for some in found for f in some]
-        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-
-    def _search(self, slots, owner, term, start, size, behind, extra) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Passages ``slots``: the blocks that terms behind the pivot name, bounded by these and what the others may add."""
-        which, rows = _ranges(start[slots], start[slots] + size[slots])
-        which, rows = which[behind[rows]], rows[behind[rows]]
-        pick, run = _ranges(self.run_at[term[rows]], self.run_at[term[rows] + 1])
-        key, inverse = np.unique(slots[which[pick]] * len(self.least) + self._blocks(run), return_inverse=True)
-        bound = np.bincount(inverse, self.run_most[run].astype(np.float64), len(key))
-        slot, block = key // len(self.least), key % len(self.least)
-        some = bound + extra[slot] >= self.least[block]
-        slot, block = slot[some], block[some]
-        step = max(1, RUNS // int(size.max()))
-        for a in range(0, len(slot), step):
-            yield self._score(owner[start], slot[a : a + step], block[a : a + step], start, size, term)
-
-    def _score(self, passage, slot, block, start, size, term) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by postings for the passages (``slot``) and blocks whose bound by all their terms reaches a threshold."""
-        pick, at = _ranges(start[slot], start[slot] + size[slot])
-        run = self._find_runs(term[at], block[pick])
-        pick, run = pick[run >= 0], run[run >= 0]
-        bound = np.bincount(pick, self.run_most[run].astype(np.float64), len(slot))
-        good = (bound >= self.least[block])[pick]
-        pick, run = pick[good], run[good]
-        end = np.append(self.run, len(self.posting))
-        row, post = _ranges(self.run[run], end[run + 1])
-        key, inverse = np.unique(pick[row] * self.n + self.posting[post] % self.n, return_inverse=True)
-        score = np.bincount(inverse, self.weight[post].astype(np.float64), len(key))
-        hit = score >= self.need[key % self.n]
-        return passage[slot[key[hit] // self.n]], key[hit] % self.n, score[hit]
+        return np.where(self.hashes[place] == h, place, -1)
+
+    def retrieve(self, numbers: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) of all items that reach their threshold; passages are runs begin to end of ``numbers``."""
+        held = np.flatnonzero(numbers >= 0)
+        held = held[self.run_at[numbers[held] + 1] > self.run_at[numbers[held]]]
+        owner, take = _ranges(np.searchsorted(held, begin), np.searchsorted(held, end))
+        key = np.unique(owner * len(self.hashes) + numbers[held[take]])
+        owner, term = key // len(self.hashes), key % len(self.hashes)
+        low, high = self.run_at[term], self.run_at[term + 1]
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+        step = np.cumsum(np.add.reduceat(high - low, start)) // RUNS if len(owner) else owner
+        cuts = np.append(start[np.flatnonzero(np.diff(step, prepend=-1))], len(owner)) if len(owner) else owner
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for passage, i in zip(*self._candidates(owner[a:b], low[a:b], high[a:b]), strict=True):
+                there = np.isin(self.own[i], numbers[begin[passage] : end[passage]])
+                score = float(self.own_weight[i][there].astype(np.float64).sum())
+                if score >= self.need[i]:
+                    yield passage, i, score
+
+    def _candidates(self, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list[int], list[int]]:
+        """(passages, items) whose terms behind the pivot reach the weight that they must have: blocks by the maxima
+        of runs, then items by postings."""
+        pick, run = _ranges(low, high)
+        key = owner[pick] * len(self.least) + self.run_block[run]
+        order = np.argsort(key, kind="stable")
+        key, run = key[order], run[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        bound = np.add.reduceat(self.run_most[run].astype(np.float64), edge)
+        size = np.diff(np.append(edge, len(key)))
+        good = np.repeat(bound >= self.least[key[edge] % len(self.least)] * 0.9999, size)
+        key, run = key[good], run[good]
+        if not len(key):
+            return [], []
+        pick, post = _ranges(self.run[run], self.run[run + 1])
+        pair, inverse = np.unique(key[pick] // len(self.least) * self.n + self.item[post], return_inverse=True)
+        weight = np.bincount(inverse, self.weight[post].astype(np.float64), len(pair))
+        pair = pair[weight >= self.behind[pair % self.n] * 0.9999]
+        return (pair // self.n).tolist(), (pair % self.n).tolist()
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,11 +287,8 @@ def _hits(h: np.ndarray, at: np.ndarray, indexes: list[Index], p: LeakParams) ->
         begin = at[text_of] + number * stride
         end = np.minimum(begin + index.window, at[text_of + 1])
         numbers = index.numbers(h)
-        known = np.flatnonzero(numbers >= 0)
-        owner, take = _ranges(np.searchsorted(known, begin), np.searchsorted(known, end))
-        key = np.unique(owner * len(index.hashes) + numbers[known[take]])
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for passage, i, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.hashes), key % len(index.hashes))), strict=True):
+        for passage, i, score in index.retrieve(numbers, begin, end):
             t, item = int(text_of[passage]), index.items[i]
             span = numbers[max(int(begin[passage]) - len(item), int(at[t])) : min(int(end[passage]) + 2 * len(item) + p.shingle, int(at[t + 1]))]
             overlap = _overlap(span, item, index.cuts[i], p)

@@ -135,11 +135,20 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[at], score[at]
 
 
-def search(index: ProjectionIndex, q: np.ndarray, qid: int, kth: float, c: np.ndarray, points: np.ndarray, cid: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray, float, int]:
+#: Queries whose projected distances to a group's candidates are worked out together.
+TOGETHER = 32
+
+
+def projected_gaps(index: ProjectionIndex, q: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared projected distances of queries to points."""
+    mine = index.project(q, query=True)
+    gap = (mine * mine).sum(axis=1)[:, None] - 2 * (mine @ points.T) + (points * points).sum(axis=1)[None, :]
+    return np.maximum(gap, 0)
+
+
+def search(index: ProjectionIndex, q: np.ndarray, qid: int, kth: float, c: np.ndarray, gap: np.ndarray, cid: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(ids, scores, k-th squared distance, vectors verified): the best ``k`` of the candidates that are not farther
-    than ``kth``, the squared distance already known to hold k neighbours."""
-    gap = points - index.project(q[None], query=True)
-    gap = np.einsum("ij,ij->i", gap, gap)
+    than ``kth``, the squared distance already known to hold k neighbours; ``gap``: their squared projected distances."""
     far = float(q @ q) + index.most
     ids, score, verified = np.zeros(0, np.int64), np.zeros(0), 0
     done, wave = -1.0, p.first
@@ -194,7 +203,10 @@ def _searched(batches: Iterator[pa.RecordBatch], index: ProjectionIndex, p: AnnP
                 cid = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
                 c = np.concatenate([h[1] for h in held]) if held else np.zeros((0, x.shape[1]))
                 points = index.project(c)
-            out = [search(index, x[n], int(ids[i + n]), float(kth[i + n]), c, points, cid, p) for n in range(j - i)]
+            out = []
+            for a in range(0, j - i, TOGETHER):
+                gaps = projected_gaps(index, x[a : a + TOGETHER], points)
+                out += [search(index, x[a + n], int(ids[i + a + n]), float(kth[i + a + n]), c, gap, cid, p) for n, gap in enumerate(gaps)]
             size = np.array([len(o[0]) for o in out])
             total = int(size.sum())
             none = lambda kind, n: pa.nulls(n, kind)

@@ -214,25 +214,31 @@ def test_leak_after_a_question_without_its_answer(spark):
     assert got == {1: (1.0, 1.0), 3: (1.0, 1.0)}
 
 
+def _dense(index):
+    out = np.zeros((len(index.hashes), index.n))
+    for i in range(index.n):
+        out[index.own[i], i] = index.own_weight[i]
+    return out
+
+
 def test_blocks_and_pivots_lose_nothing(monkeypatch):
     """Retrieval against scoring every item, also in many small steps."""
     rng = np.random.default_rng(5)
     items = [(rng.zipf(1.2, rng.integers(5, 40)) % 3000).astype(np.uint64) for _ in range(90)]
     index = leaks.Index(list(range(90)), items, leaks.LeakParams(block=3), 256)
-    passages = [np.unique(np.concatenate([rng.zipf(1.2, 60) % 3000, items[i % 90][: rng.integers(0, 30)]])).astype(np.uint64) for i in range(120)]
-    owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(passages)])
-    number = index.numbers(np.concatenate(passages))
-    key = np.unique(owner[number >= 0] * len(index.hashes) + number[number >= 0])
-    owner, term = key // len(index.hashes), key % len(index.hashes)
-    dense = np.zeros((len(index.hashes), 90))
-    dense[index.posting // 90, index.posting % 90] = index.weight
-    score = np.stack([dense[term[owner == p]].sum(axis=0) for p in range(120)])
+    passages = [np.concatenate([rng.zipf(1.2, 60) % 3000, items[i % 90][: rng.integers(0, 30)]]).astype(np.uint64) for i in range(120)] + [np.zeros(0, np.uint64)]
+    numbers = index.numbers(np.concatenate(passages))
+    end = np.cumsum([len(p) for p in passages])
+    begin = end - [len(p) for p in passages]
+    dense = _dense(index)
+    score = np.stack([dense[np.unique(own[own >= 0])].sum(axis=0) for own in (numbers[a:b] for a, b in zip(begin, end))])
     want = set(zip(*np.nonzero(score >= index.need)))
     assert 20 < len(want) < 8000
     for runs in (1 << 19, 50):
         monkeypatch.setattr(leaks, "RUNS", runs)
-        p, i, s = index.retrieve(owner, term)
-        assert set(zip(p.tolist(), i.tolist())) == want and np.allclose(s, score[p, i])
+        got = list(index.retrieve(numbers, begin, end))
+        assert {(p, i) for p, i, _ in got} == want and len(got) == len(want)
+        assert all(abs(score[p, i] - s) < 1e-6 for p, i, s in got)
 
 
 def test_threshold_is_below_every_leak():
@@ -240,8 +246,7 @@ def test_threshold_is_below_every_leak():
     rng = np.random.default_rng(6)
     items = [(rng.zipf(1.5, rng.integers(4, 60)) % 90).astype(np.uint64) for _ in range(40)]
     index = leaks.Index(list(range(40)), items, leaks.LeakParams(), 256)
-    dense = np.zeros((len(index.hashes), 40))
-    dense[index.posting // 40, index.posting % 40] = index.weight
+    dense = _dense(index)
     for i, (item, cut) in enumerate(zip(index.items, index.cuts)):
         for _ in range(30):
             gone = rng.choice(cut, cut // 4, replace=False)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.temporal import render_fact
 from .graph import ordered
+from .place import placed
 
 COLUMNS = ("src", "dst", "edge_key", "cue", "relation", "time_1", "time_2", "fact_1", "fact_2", "center", "mode", "write_seq")
 
@@ -16,23 +16,18 @@ def after_edges(facts: DataFrame, mode: str = "obj", order: str = "time") -> Dat
     """An edge from each fact of a (centre, relation) group to the next in time.
 
     mode "obj": groups by object, edges between subjects; "subj": the reverse.  Within a group
-    write_seq orders the edges as they are written: group, place, 0 for after and 1 for before."""
+    write_seq orders the edges as they are written: group, place, 0 for after and 1 for before.
+    Facts meet their successor by place, so a hub's group is in no task as a whole."""
     center, end = ("o", "s") if mode == "obj" else ("s", "o")
-    base = ordered(facts, order).withColumn("fact", render_fact(F.col("s"), F.col("r"), F.col("o"), F.col("d"))).withColumn("t", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
-    group = W.partitionBy(center, "r")
-    run = group.orderBy("ts", "ord")
-    paired = base.select(
-        F.col(center).alias("center"),
-        F.col("r").alias("relation"),
-        F.col(end).alias("src"),
-        F.lead(end).over(run).alias("dst"),
-        F.col("t").alias("time_1"),
-        F.lead("t").over(run).alias("time_2"),
-        F.col("fact").alias("fact_1"),
-        F.lead("fact").over(run).alias("fact_2"),
-        F.min("ord").over(group).alias("group_seq"),
-        F.row_number().over(run).alias("place"),
-    ).where("time_2 is not null")
+    base = ordered(facts, order).select(
+        F.col(center).alias("center"), F.col("r").alias("relation"), F.col(end).alias("end"), "ts", "ord",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), render_fact(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"),
+    )
+    numbered = placed(base, ["center", "relation"], ["ts", "ord"])
+    here = numbered.select("center", "relation", "place", F.col("end").alias("src"), F.col("time").alias("time_1"), F.col("fact").alias("fact_1"))
+    then = numbered.select("center", "relation", (F.col("place") - 1).alias("place"), F.col("end").alias("dst"), F.col("time").alias("time_2"), F.col("fact").alias("fact_2"))
+    groups = numbered.groupBy("center", "relation").agg(F.min("ord").alias("group_seq"))
+    paired = here.join(then, ["center", "relation", "place"]).join(groups, ["center", "relation"])
     return paired.select(
         "src", "dst", F.concat_ws("_", "relation", "time_1", "time_2").alias("edge_key"), F.lit("after").alias("cue"), "relation",
         "time_1", "time_2", "fact_1", "fact_2", "center", F.lit(mode).alias("mode"), F.struct("group_seq", "place", F.lit(0).alias("side")).alias("write_seq"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .place import placed
 from .union import united
 
 
@@ -33,12 +34,15 @@ def ordered(facts: DataFrame, order: str = "time") -> DataFrame:
     return timed(facts).withColumn("ord", F.struct("ts", "line_no"))
 
 
-def index(facts: DataFrame, keys: tuple[str, str], order: str = "time") -> DataFrame:
-    """keys, size and facts: each pool's facts (ord, s, r, o, d, line_no) in order.
+def index(facts: DataFrame, keys: tuple[str, str], order: str = "time", rows: int = 4096) -> DataFrame:
+    """keys, part, first, size and facts: each pool's facts (ord, s, r, o, d, line_no) in order.
 
-    A pool is one row here, as in a hash index; retrieval joins the fact table instead."""
-    rows = F.sort_array(F.collect_list(F.struct("ord", "s", "r", "o", "d", "line_no")))
-    return ordered(facts, order).groupBy(*keys).agg(F.count("*").alias("size"), rows.alias("facts"))
+    A pool is a row, as in a hash index, or several: part 0, 1, … of at most ``rows`` facts each, ``first`` being the
+    place of a part's first fact, so a hub's pool is in no task as a whole.  Retrieval joins the fact table instead."""
+    numbered = placed(ordered(facts, order), keys, ["ord"])
+    part = F.expr(f"cast((place - 1) div {rows} as int)")
+    held = F.sort_array(F.collect_list(F.struct("ord", "s", "r", "o", "d", "line_no")))
+    return numbered.groupBy(*keys, part.alias("part")).agg((F.min("place") - 1).alias("first"), F.count("*").alias("size"), held.alias("facts"))
 
 
 def subject_index(facts: DataFrame, order: str = "time") -> DataFrame:

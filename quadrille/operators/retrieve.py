@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.temporal import compare, matches, once, parse_iso, render_fact
 from ..functions.text import none_to_null
+from ..sources.scratch import stored
 from .graph import ordered
 from .union import united
 
@@ -52,11 +53,9 @@ def valid_questions(questions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def fan_out(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each question and candidate relation (quid, cand_rank, rel); a repeated relation
-    counts once, at its first rank.
-
-    The result is cached: every query type reads it more than once, and it is small beside the facts."""
+    counts once, at its first rank."""
     first = candidates.groupBy("quid", "rel").agg(F.min("cand_rank").alias("cand_rank"))
-    return prepare(questions).join(first, "quid").persist()
+    return prepare(questions).join(first, "quid")
 
 
 def _facts(facts: DataFrame, order: str) -> DataFrame:
@@ -207,8 +206,8 @@ def retrieve(questions: DataFrame, candidates: DataFrame, facts: DataFrame, enti
     """All query types; rows as in ``OUT``.  Questions with an unknown type or entity give none.
 
     By time all types share one plan: anchors once, a join for each known side, one shuffle on
-    (quid, rel).  By ingest order each type is planned by itself.  The prepared questions, which all
-    branches read, are cached (recomputed if lost); facts are not."""
+    (quid, rel).  By ingest order each type is planned by itself.  The prepared questions with their anchors, which all
+    branches read, are written as a table; they are small beside the facts."""
     q = fan_out(valid_questions(questions, entities), candidates)
     if order == "time":
         return _fused(q, facts, entities, limit, compat)
@@ -257,7 +256,7 @@ def _fused(q: DataFrame, facts: DataFrame, entities: DataFrame, limit: int, comp
     free = F.expr(f"qtype = 'first_last' or takes = 'lines' or (qtype = 'equal' and s is not null and not {_TIMED})")
     nothing = F.expr(f"qtype = 'equal' and s is not null and {_TIMED}") & F.lit(compat) & (F.col("takes") == "all")
     side = F.when(free, F.lit(None)).when(F.expr(_BOUNDED), F.when(before, F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
-    q = q.select("*", *[once(x, lambda v: v).alias(name) for name, x in (("at", at), ("side", side), ("take_last", last), ("nothing", nothing))]).persist()
+    q = stored(q.select("*", *[once(x, lambda v: v).alias(name) for name, x in (("at", at), ("side", side), ("take_last", last), ("nothing", nothing))]))
     anchored = q.where(f"a_d is not null and ({same} or {_BOUNDED})")
 
     f = facts.select(F.col("s").alias("fs"), F.col("r").alias("fr"), F.col("o").alias("fo"), F.col("d").alias("fd"), F.col("ts").alias("fts"), "line_no")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.temporal import render_sentence
 from ..schema import QUESTIONS
+from .scratch import stored
 
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?$"
 
@@ -26,18 +30,31 @@ def parse_quads(lines: DataFrame, names: str = "space") -> DataFrame:
         return F.translate(F.get("c", F.lit(i)), "_", " ") if names == "space" else F.get("c", F.lit(i))
 
     raw = F.get("c", F.lit(3))
-    padded = F.when(raw.rlike(ISO_TIME), F.rpad(F.translate(raw, "T", " "), 19, " "))
-    stamp = F.coalesce(F.try_to_timestamp(F.trim(padded), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.trim(padded), F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp(F.trim(padded), F.lit("yyyy-MM-dd")))
+    # One template: what a short time lacks of ``yyyy-MM-dd HH:mm:ss`` is filled from its end.
+    full = F.concat(F.translate(raw, "T", " "), F.expr("substring(' 00:00:00', length(c[3]) - 9)"))
+    stamp = F.when(raw.rlike(ISO_TIME), F.try_to_timestamp(full, F.lit("yyyy-MM-dd HH:mm:ss")))
     out = rows.select(
         "line_no", name(0).alias("s"), name(1).alias("r"), name(2).alias("o"), raw.alias("ts_raw"), stamp.cast("timestamp_ntz").alias("ts"), F.size("c").alias("n")
     ).where("n >= 3 and s <> '' and o <> '' and (ts_raw is null or ts is not null)")
     return out.select("line_no", "s", "r", "o", "ts_raw", "ts", F.col("ts").cast("date").alias("d"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of text files, lines numbered from 1 by file name and place in the file.
+
+    Text is read once, into a table with each line's file, block and place in its task; the blocks' line counts, one row
+    a block, say where each begins.  All of it is columns; no task but the one over these counts sees more than its block."""
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = stored(raw.withColumn("id", F.monotonically_increasing_id()))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line_no"), "line")
+
+
 def read_quads(spark: SparkSession, path: str, names: str = "space") -> DataFrame:
     """Facts of a tab-separated file, lines numbered from 1 in file order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return parse_quads(spark.createDataFrame(numbered, "line_no long, line string"), names)
+    return parse_quads(numbered_lines(spark, path), names)
 
 
 def sentence_corpus(lines: DataFrame) -> DataFrame:
@@ -69,9 +86,11 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return parse_dictionary(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
-def read_questions(spark: SparkSession, path: str, schema: T.StructType = QUESTIONS) -> DataFrame:
-    """Questions of a JSON array file, or of JSON lines; absent fields are null."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_questions(spark: SparkSession, path: str, schema: T.StructType = QUESTIONS, lines: bool | None = None) -> DataFrame:
+    """Questions of a JSON array file (one task a file) or, with ``lines`` or a path that ends so, of JSON lines,
+    which are read in blocks; absent fields are null."""
+    by_line = path.rstrip("/").endswith((".jsonl", ".ndjson")) if lines is None else lines
+    return spark.read.schema(schema).json(path, multiLine=not by_line)
 
 
 def last_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -94,8 +113,6 @@ def append_results(results: DataFrame, path: str, key: str = "quid") -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         left = results
-    from pyspark.sql import Observation
-
     seen = Observation()
     left.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(seen.get["n"])
@@ -106,6 +123,25 @@ def write_results(df: DataFrame, path: str, interchange: bool = False) -> None:
     (df.write.mode("overwrite").json if interchange else df.write.mode("overwrite").parquet)(path)
 
 
+def write_json_array(df: DataFrame, path: str, indent: int = 4) -> int:
+    """One UTF-8 file with a JSON array of the rows, for tools that read such files; returns the number of rows.
+
+    Rows come to the driver one partition at a time and are not held."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    n = 0
+    try:
+        for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json")).toLocalIterator():
+            text = json.dumps(json.loads(row.json), ensure_ascii=False, indent=indent)
+            out.write(bytearray((",\n" if n else "[\n").encode() + text.encode()))
+            n += 1
+        out.write(bytearray(b"\n]\n" if n else b"[]\n"))
+    finally:
+        out.close()
+    return n
+
+
 def write_facts(facts: DataFrame, path: str) -> None:
     """The graph, clustered by year so that readers prune by date."""
     facts.withColumn("year", F.year("d")).repartition("year", F.pmod(F.xxhash64("s", "r"), F.lit(16))).sortWithinPartitions("s", "r", "ts").write.mode("overwrite").partitionBy("year").parquet(path)

@@ -25,5 +25,5 @@ class EngineConfig:
     #: "always": filtered evidence overrides; "triggered_only": only where the filter ran.
     override: str = "always"
     answerer: str = "extractive"
-    #: Rows of a side that may be broadcast; above it joins shuffle.
-    broadcast_rows: int = 200_000
+    #: Whether a generator, where there is one, also traces evidence that the ratio gate doubts.
+    verify: bool = True

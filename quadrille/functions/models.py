@@ -9,12 +9,34 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 Generator = Callable[[str], str]
 
 
+class Batched:
+    """A model that answers lists of at most ``size`` prompts at once."""
+
+    def __init__(self, call: Callable[[list[str]], list[str]], size: int):
+        self.call, self.size = call, size
+
+    def replies(self, prompts: list[str], retries: int, base: float) -> list[str]:
+        """Replies in order; an empty prompt has an empty one.  A list that fails is tried again, then prompt by
+        prompt, so that one prompt's failure is its own."""
+        out, asked = [""] * len(prompts), [i for i, p in enumerate(prompts) if p]
+        for k in range(0, len(asked), self.size):
+            some = asked[k : k + self.size]
+            try:
+                got = self.call([prompts[i] for i in some])
+            except Exception:
+                single = with_retry(lambda p: self.call([p])[0], retries, base)
+                got = [single(prompts[i]) for i in some]
+            for i, reply in zip(some, got, strict=True):
+                out[i] = reply or ""
+        return out
+
+
 def with_retry(call: Generator, retries: int = 2, base: float = 1.5, sleep: Callable[[float], None] = time.sleep) -> Generator:
     """``call`` tried again up to ``retries`` times, waiting base ** attempt seconds; then empty text."""
 
@@ -30,12 +52,17 @@ def with_retry(call: Generator, retries: int = 2, base: float = 1.5, sleep: Call
     return run
 
 
-def generate(prompts: DataFrame, make: Callable[[], Generator], concurrency: int = 32, retries: int = 2, base: float = 1.5) -> DataFrame:
-    """(quid, raw) of (quid, prompt): one client for each partition, ``concurrency`` calls at a time,
-    replies in order.  A null prompt has an empty reply."""
+def generate(prompts: DataFrame, make: Callable[[], Generator | Batched], concurrency: int = 32, retries: int = 2, base: float = 1.5) -> DataFrame:
+    """(quid, raw) of (quid, prompt): one client for each partition, ``concurrency`` calls (or lists of a
+    batched model's size) at a time, replies in order.  A null prompt has an empty reply."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(make(), retries, base)
+        model = make()
+        if isinstance(model, Batched):
+            for b in batches:
+                yield pd.DataFrame({"quid": b["quid"], "raw": model.replies([p or "" for p in b["prompt"]], retries, base)})
+            return
+        call = with_retry(model, retries, base)
         with ThreadPoolExecutor(concurrency) as pool:
             for b in batches:
                 raw = list(pool.map(lambda p: call(p) if p else "", b["prompt"]))
@@ -61,14 +88,18 @@ def http_generator(url: str, model: str, key: str = "", temperature: float = 0.0
     return make
 
 
-def local_generator(load: Callable[[], Callable[[list[str]], list[str]]]) -> Callable[[], Generator]:
-    """A model that is loaded once for each Python worker by ``load`` and called with lists of one."""
+def local_generator(load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8) -> Callable[[], Batched]:
+    """A model that is loaded once for each partition by ``load`` and called with lists of at most ``batch`` prompts."""
+    return lambda: Batched(load(), batch)
 
-    def make() -> Generator:
-        model = load()
-        return lambda prompt: model([prompt])[0]
 
-    return make
+def with_rates(replies: DataFrame, write: Callable[[DataFrame], object], clock: Callable[[], float] = time.monotonic) -> dict[str, float]:
+    """Writes (quid, raw) by ``write`` and counts on the way: total, answered, failed (empty), seconds, per_second."""
+    seen = Observation()
+    start = clock()
+    write(replies.observe(seen, F.count(F.lit(1)).alias("total"), F.count(F.nullif(F.col("raw"), F.lit(""))).alias("answered")))
+    seconds, got = max(clock() - start, 1e-9), seen.get
+    return {"total": got["total"], "answered": got["answered"], "failed": got["total"] - got["answered"], "seconds": seconds, "per_second": got["total"] / seconds}
 
 
 def listing_generator() -> Callable[[], Generator]:

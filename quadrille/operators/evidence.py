@@ -6,13 +6,16 @@ Facts stay columns from stage to stage and are rendered once, at the sink.  Per
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import EngineConfig
-from ..functions.temporal import kappa, parse_iso, parse_text_date
-from ..functions.text import CUES, infer_cue, none_to_null, normalise_answer, question_reference
+from ..functions.models import generate
+from ..functions.temporal import kappa, parse_iso, parse_text_date, render_sentence
+from ..functions.text import CUES, infer_cue, none_to_null, normalise_answer, question_reference, strip_fences
 from .union import united
 
 SENTENCE = r"^(.+)\s+in\s+(\d{4}-\d{2}-\d{2})\s*$"
@@ -182,11 +185,42 @@ def mutual_entailment(traces: DataFrame) -> DataFrame:
     return traces.select("quid", same.alias("accepted"))
 
 
-def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = EngineConfig(), targets: DataFrame | None = None, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+TRACE_PROMPT = "List the facts that matter for the question, word by word and in order of time, with their days. Reply with JSON alone: {{\"trace\": [{{\"event\": ..., \"ts\": ...}}]}}.\nQuestion: {question}\nFacts: {facts}"
+
+
+def trace_prompts(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """(quid, prompt): asks for the trace of each question's fact set, facts in order of day."""
+    text = F.struct("d", "pos", render_sentence(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"))
+    lists = facts.groupBy("quid").agg(F.to_json(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["fact"])).alias("facts"))
+    head, tail = TRACE_PROMPT.replace("{{", "{").replace("}}", "}").split("{question}")
+    return lists.join(questions.select("quid", "question"), "quid").select("quid", F.concat(F.lit(head), F.coalesce("question", F.lit("")), F.lit(tail.split("{facts}")[0]), "facts").alias("prompt"))
+
+
+def parse_traces(replies: DataFrame) -> DataFrame:
+    """(quid, trace): the events and days of model replies (quid, raw), as an array of texts; unreadable JSON is an
+    empty trace."""
+    got = F.from_json(strip_fences(F.col("raw")), "struct<trace:array<struct<event:string,ts:string>>>")["trace"]
+    steps = F.transform(F.filter(got, lambda x: x["event"].isNotNull()), lambda x: F.concat_ws("\t", x["event"], F.coalesce(x["ts"], F.lit(""))))
+    return replies.select("quid", F.coalesce(steps, F.array().cast("array<string>")).alias("trace"))
+
+
+def trace_verifier(questions: DataFrame, make: Callable, **limits) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A verifier for ``select_evidence``: a generator traces both sets, and the smaller is accepted if the traces hold
+    the same steps.  It is asked only about the questions that it is given."""
+
+    def verify(full: DataFrame, small: DataFrame) -> DataFrame:
+        a, b = (parse_traces(generate(trace_prompts(questions, facts), make, **limits)).withColumnRenamed("trace", name) for name, facts in (("a", full), ("b", small)))
+        return mutual_entailment(a.join(b, "quid"))
+
+    return verify
+
+
+def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = EngineConfig(), targets: DataFrame | None = None, verdicts: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(final facts, statistics) of both stages and the ratio gate.
 
     A verdict (quid, accepted) is asked for where representatives outnumber the selection by more
-    than ``verify_ratio``; without one the smaller set is not accepted."""
+    than ``verify_ratio``: of a table, or of a verifier that is given both sets of these questions.  Without one the
+    smaller set is not accepted."""
     reps = stage1(facts, cues, config.delta_days)
     chosen = stage2(reps, targets)
     n = facts.join(cues.select("quid"), "quid", "left_semi").groupBy("quid").agg(F.count("*").alias("n_input"))
@@ -197,6 +231,9 @@ def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
     if verdicts is None:
         stats = stats.withColumn("accepted", F.lit(False))
     else:
+        if callable(verdicts):
+            doubtful = stats.where("verifier_triggered").select("quid")
+            verdicts = verdicts(reps.join(doubtful, "quid", "left_semi"), chosen.join(doubtful, "quid", "left_semi"))
         stats = stats.join(verdicts.select("quid", "accepted"), "quid", "left")
     stats = stats.withColumn("verifier_accepted", F.when(F.col("verifier_triggered"), F.coalesce("accepted", F.lit(False)))).drop("accepted")
     refused = stats.where("verifier_triggered and not verifier_accepted").select("quid")
@@ -205,7 +242,7 @@ def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
     return final.select(*columns), stats
 
 
-def filter_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = EngineConfig(), targets: DataFrame | None = None, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = EngineConfig(), targets: DataFrame | None = None, verdicts: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(final facts, counts): sets above the trigger are reduced and selected, others pass unchanged.
 
     counts: quid, original_fact_num, final_fact_num, triggered, filtered."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.temporal import is_date_entity
 from ..functions.text import strip_fences
 
 
@@ -35,31 +36,108 @@ def dictionary_entities(questions: DataFrame, entities: DataFrame, longest: int
     return hits.drop("n").join(longest_hit, "quid").where(F.length("entity") == F.col("n")).groupBy("quid").agg(F.min("entity").alias("entity"))
 
 
-def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, max_entities: int = 200_000) -> DataFrame:
-    """(name, entity, distance): the dictionary name with the least edit distance, ties by code point.
+def recognise(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(quid, entities, spans): all dictionary names that stand in the question as whole words and are no dates, longest
+    first and without overlap, in order of their place; spans: first word (at), words (n) and name of each."""
+    key = F.array_join(_bare_words("name"), " ")
+    names = entities.select(key.alias("key"), F.size(_bare_words("name")).alias("n"), F.col("name").alias("entity")).where("n > 0").where(~is_date_entity(F.col("name")))
+    names = names.groupBy("key", "n").agg(F.min("entity").alias("entity"))
+    lengths = sorted(r.n for r in names.select("n").distinct().collect())
+    q = questions.select("quid", _bare_words("question").alias("w"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("w"))
+    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("key")))))
+    hits = q.select("quid", F.explode(runs).alias("x")).select("quid", "x.*").join(names, "key")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("size"), "at", "n", "entity")))
+    none = F.array().cast("array<struct<size:int,at:int,n:int,entity:string>>")
 
-    The dictionary travels as one array whose size is checked; a larger one is not accepted."""
-    n = entities.count()
-    if n > max_entities:
-        raise ValueError(f"{n} entities; at most {max_entities} are compared by edit distance")
-    one = entities.agg(F.sort_array(F.collect_set("name")).alias("all"))
-    near = F.array_min(F.transform("all", lambda e: F.struct(F.levenshtein("name", e).alias("distance"), e.alias("entity"))))
-    return names.select("name").distinct().join(F.broadcast(one)).select("name", near.alias("x")).select("name", "x.entity", "x.distance")
+    def free(kept: Column, x: Column) -> Column:
+        return ~F.exists(kept, lambda y: (x["at"] < y["at"] + y["n"]) & (y["at"] < x["at"] + x["n"]))
 
+    kept = F.aggregate(F.col("hits"), none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    placed = hits.groupBy("quid").agg(ranked.alias("hits")).select("quid", F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["entity"].alias("entity")))).alias("found"))
+    return placed.select("quid", F.transform("found", lambda x: x["entity"]).alias("entities"), F.col("found").alias("spans"))
 
-def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, max_entities: int = 200_000) -> DataFrame:
-    """(name, entity): difflib's closest name with at least the cutoff's ratio, else null."""
-    listed = [r.name for r in entities.select("name").distinct().orderBy("name").limit(max_entities + 1).collect()]
-    if len(listed) > max_entities:
-        raise ValueError(f"more than {max_entities} entities")
-    shared = names.sparkSession.sparkContext.broadcast(listed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [difflib.get_close_matches(x, shared.value, n=1, cutoff=cutoff) if x else [] for x in b["name"]]
-            yield pd.DataFrame({"name": b["name"], "entity": [f[0] if f else None for f in found]})
+def _blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Names and dictionary names, each dealt so that every block of one meets every block of the other (nb, eb)."""
+    nn, ne = (max(1, -(-df.count() // rows)) for df, rows in ((names, name_rows), (entities, entity_rows)))
+    a = names.select("name", F.pmod(F.xxhash64("name"), F.lit(nn)).cast("int").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(ne - 1))).alias("eb"))
+    b = entities.select("name", F.pmod(F.xxhash64("name"), F.lit(ne)).cast("int").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(nn - 1))).alias("nb"))
+    return a, b
+
+
+def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, block: int = 4096) -> DataFrame:
+    """(name, entity, distance): the dictionary name with the least edit distance, ties by code point.
 
-    return names.select("name").distinct().mapInPandas(run, "name string, entity string")
+    Names at distance 0 or 1 are found by an equi-join: two such names share themselves or a form with one letter
+    less.  The others meet the dictionary in blocks, as arrays of at most about ``block`` names, and only dictionary names
+    whose length does not already rule them out are compared, up to the best distance so far."""
+    asked = names.select("name").where("name is not null").distinct()
+    known = entities.select("name").where("name is not null").distinct()
+
+    def forms(df: DataFrame, as_: str) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name"))), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.expr("name").substr(i + 1, F.length("name"))))
+        return df.select(F.struct("name").alias("x"), F.explode(F.array_distinct(F.concat(F.array("name"), less))).alias("form")).select(F.col("x.name").alias(as_), "form")
+
+    close = forms(asked, "asked").join(forms(known, "entity"), "form").select(F.col("asked").alias("name"), "entity").distinct().withColumn("distance", F.levenshtein("name", "entity")).where("distance <= 1")
+    close = close.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x"))
+    left, dictionary = _blocks(asked.join(close, "name", "left_anti"), known, block, block)
+    by_length = F.array_sort(F.collect_list(F.struct(F.length("name").alias("n"), F.col("name").alias("entity"))))
+    arrays = dictionary.groupBy("nb", "eb").agg(by_length.alias("all"))
+
+    def better(best: Column, e: Column) -> Column:
+        least = F.abs(F.length("name") - e["n"])
+        found = F.struct(F.levenshtein("name", e["entity"]).alias("distance"), e["entity"].alias("entity"))
+        return F.when(best.isNull() | (least <= best["distance"]), F.least(best, found)).otherwise(best)
+
+    none = F.lit(None).cast("struct<distance:int,entity:string>")
+    far = left.join(arrays, ["nb", "eb"]).select("name", F.aggregate("all", none, better).alias("x")).groupBy("name").agg(F.min("x").alias("x"))
+    return close.unionAll(far).select("name", "x.entity", "x.distance")
+
+
+def _letters_of(texts: list[str], width: int = 64) -> np.ndarray:
+    """How often each (hashed) letter stands in each text."""
+    out = np.zeros((len(texts), width), np.int16)
+    for i, t in enumerate(texts):
+        for c in t:
+            out[i, ord(c) % width] += 1
+    return out
+
+
+def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, name_rows: int = 1024, entity_rows: int = 8192) -> DataFrame:
+    """(name, entity): the dictionary name with the largest difflib ratio of at least ``cutoff`` (ties: the last by code
+    point), else null.
+
+    Blocks of names meet blocks of the dictionary, which may have any size.  In a pair of blocks the letters that two names share
+    bound their ratio, and only pairs whose bound is not below the best ratio so far are compared."""
+    asked = names.select("name").where("name is not null").distinct()
+    known = entities.select("name").where("name is not null").distinct()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        listed = sorted(b["name"])
+        letters, size = _letters_of(listed), np.array([len(x) for x in listed], float)
+        rows = []
+        for name in a["name"]:
+            if not listed or not name:
+                continue
+            both = np.minimum(letters, _letters_of([name])).sum(axis=1)
+            bound = 2 * both / (size + len(name))
+            best, match = (cutoff, ""), difflib.SequenceMatcher()
+            match.set_seq2(name)
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < best[0]:
+                    break
+                match.set_seq1(listed[i])
+                if match.quick_ratio() >= best[0]:
+                    best = max(best, (match.ratio(), listed[i]))
+            if best[1]:
+                rows.append((name, *best))
+        return pd.DataFrame(rows, columns=["name", "ratio", "entity"])
+
+    left, right = _blocks(asked, known, name_rows, entity_rows)
+    found = left.groupBy("nb", "eb").cogroup(right.groupBy("nb", "eb")).applyInPandas(run, "name string, ratio double, entity string")
+    best = found.groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")).select("name", "x.entity")
+    return asked.join(best, "name", "left")
 
 
 def choose_entity(scored: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .ground import rank_in
 
 #: At most so many scores are held at a time.
@@ -147,15 +148,16 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
-    """The offline encoder: hashed words and character trigrams, unit length; deterministic."""
+    """The offline encoder: hashed words and character trigrams, unit length; deterministic.  The first four hex digits
+    of a gram's MD5 name its place, the fifth its sign."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for i, t in enumerate(texts):
             low = (t or "").lower()
             for g in re.findall(r"\w+", low) + [low[k : k + 3] for k in range(len(low) - 2)]:
-                h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(g.encode()).hexdigest()
+                out[i, int(h[:4], 16) % dim] += 1.0 if h[4] >= "8" else -1.0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -183,9 +185,28 @@ def rank_relations(relations: DataFrame, names: DataFrame, k: int = 3, encoder:
     return hits.join(q.select("quid", "relation"), "quid").join(c.select("fact_id", F.col("name").alias("rel")), "fact_id").select("relation", F.col("rank").alias("cand_rank"), "rel")
 
 
-def semantic_search(questions: DataFrame, facts: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None) -> DataFrame:
-    """(quid, rank, fact_id, score, fact): encode, search and gather; ``only`` (quid) limits the questions."""
+def fact_vectors(facts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """(fact_id, fact, vector) of (line_no, fact): what a run keeps, so that facts are encoded once."""
+    return encode_texts(facts.select(F.col("line_no").alias("fact_id"), "fact"), "fact", encoder)
+
+
+def search_vectors(questions: DataFrame, known: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None) -> DataFrame:
+    """(quid, rank, fact_id, score, fact): the ``k`` best of ``known`` (fact_id, fact, vector) for each question; ``only``
+    (quid) limits the questions.  Above one block of facts the search is by cells, about as many as the
+    square root of the facts' number unless given; both are exact."""
     asked = questions if only is None else questions.join(only.select("quid"), "quid", "left_semi")
-    q = encode_texts(asked.select("quid", "question"), "question", encoder)
-    c = encode_texts(facts.select(F.col("line_no").alias("fact_id"), "fact"), "fact", encoder)
-    return gather(top_k(q.select("quid", "vector"), c.select("fact_id", "vector"), k), c.select("fact_id", "fact"))
+    q = encode_texts(asked.select("quid", "question"), "question", encoder).select("quid", "vector")
+    corpus = known.select("fact_id", "vector")
+    if cells is None:
+        n = corpus.count()
+        cells = 0 if n <= 65_536 else min(1024, int(n**0.5))
+    if cells:  # read several times
+        known = stored(known)
+        corpus = known.select("fact_id", "vector")
+    hits = top_k_cells(q, corpus, k, cells=cells, probes=max(1, cells // 8)) if cells else top_k(q, corpus, k)
+    return gather(hits, known.select("fact_id", "fact"))
+
+
+def semantic_search(questions: DataFrame, facts: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None) -> DataFrame:
+    """Encodes facts (line_no, fact) and searches them, as ``search_vectors``."""
+    return search_vectors(questions, fact_vectors(facts, encoder), k, encoder, only, cells)

@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.models import Generator, generate
 from ..functions.temporal import render_sentence
-from ..operators import answer, evaluate, evidence, ground, retrieve, vector
+from ..operators import answer, evaluate, evidence, ground, retrieve, understand, vector
 from ..sources import files
 
-STEPS = ("ground", "graph", "retrieve", "filter", "answer", "evaluate")
+#: Steps by number (from 1) and the tables that each makes.
+STEPS = {
+    "understand": ("entities", "relations", "mismatches", "arbitration_errors", "questions"),
+    "graph": ("facts_table", "fact_vectors"),
+    "retrieve": ("candidates", "retrieved", "empty", "semantic"),
+    "filter": ("evidence", "counts"),
+    "answer": ("facts", "replies", "predictions"),
+    "evaluate": ("scores", "wrong"),
+}
 
 
 @dataclass
@@ -28,17 +36,23 @@ class Inputs:
     relations: DataFrame
 
 
-def run(inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int = 1, causal: bool = True, out: str | None = None, generator: Callable[[], Generator] | None = None, encoder: vector.Encoder | None = None) -> dict[str, DataFrame]:
+def run(
+    inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int = 1, causal: bool = True, out: str | None = None, generator: Callable[[], Generator] | None = None,
+    encoder: vector.Encoder | None = None, understand_questions: bool = False,
+) -> dict[str, DataFrame]:
     """All steps as lazy tables by name; with ``out`` each is written there and read again, and
     ``start_step`` takes the tables of earlier steps from there.
 
-    candidates: relations for each question; retrieved: graph facts; semantic: similar facts;
-    evidence: filtered facts; counts; predictions; scores."""
-    q, spark = inputs.questions, inputs.facts.sparkSession
+    understand (if asked for; else the questions must have their fields): entities, relations, questions.
+    graph: with ``out``, the fact table clustered by year and the facts' vectors, both kept for later runs.
+    retrieve: candidates (relations for each question), retrieved (graph facts), empty (questions without), semantic.
+    filter: evidence, counts.  answer: facts, predictions.  evaluate: scores, wrong."""
+    spark = inputs.facts.sparkSession
     tables: dict[str, DataFrame] = {}
+    number = {table: k for k, made in enumerate(STEPS.values(), 1) for table in made}
 
-    def step(number: int, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if out and number < start_step:
+    def step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if out and number[name] < start_step:
             tables[name] = spark.read.parquet(f"{out}/{name}")
             return tables[name]
         df = build()
@@ -48,48 +62,78 @@ def run(inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int =
         tables[name] = df
         return df
 
+    q, facts = inputs.questions, inputs.facts
+    if understand_questions:
+        built = {} if out and start_step > 1 else understand.understand(q, inputs.entities, config, generator, encoder)
+        for name in ("entities", "relations", "mismatches", "arbitration_errors"):
+            if name in built:
+                step(name, lambda name=name: built[name])
+        q = step("questions", lambda: built["understood"])
+
+    def sentences() -> DataFrame:
+        text = render_sentence(F.col("s"), F.col("r"), F.col("o"), F.col("d"))
+        return facts.where("d is not null").select("line_no", text.alias("fact"))
+
+    if out and start_step <= 2:
+        files.write_facts(facts, f"{out}/facts_table")
+        files.write_results(vector.fact_vectors(sentences(), encoder), f"{out}/fact_vectors")
+    if out:
+        facts = spark.read.parquet(f"{out}/facts_table").drop("year")
+        known = spark.read.parquet(f"{out}/fact_vectors")
+    else:
+        known = vector.fact_vectors(sentences(), encoder)
+
     def candidates() -> DataFrame:
         ranked = vector.rank_relations(q.select("relation"), inputs.relations, config.relation_top_k, encoder)
         return ground.spread(q, ranked)
 
-    cand = step(1, "candidates", candidates)
-    found = step(3, "retrieved", lambda: retrieve.retrieve(q, cand, inputs.facts, inputs.entities, config.order, config.direction_limit))
-    corpus = inputs.facts.where("d is not null").select("line_no", render_sentence(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"))
-    semantic = step(3, "semantic", lambda: vector.semantic_search(q, corpus, config.semantic_top_k, encoder).select("quid", "rank", "fact_id", "score", "fact"))
+    cand = step("candidates", candidates)
+    found = step("retrieved", lambda: retrieve.retrieve(q, cand, facts, inputs.entities, config.order, config.direction_limit))
+    step("empty", lambda: retrieve.empty_questions(q, found))
+    semantic = step("semantic", lambda: vector.search_vectors(q, known, config.semantic_top_k, encoder).select("quid", "rank", "fact_id", "score", "fact"))
     if causal:
-        pool = evidence.facts_of_ids(semantic, inputs.facts)
+        pool = evidence.facts_of_ids(semantic, facts)
         lookup = q.select("quid", "cue", "time", "reference_target")
         cues = evidence.infer_cue_and_anchor(q, lookup, pool)
-        kept, counts = evidence.filter_evidence(pool, cues, config)
-        kept = step(4, "evidence", lambda: kept)
-        counts = step(4, "counts", lambda: counts)
+        verdicts = evidence.trace_verifier(q, generator) if generator is not None and config.verify else None
+        kept, counts = evidence.filter_evidence(pool, cues, config, verdicts=verdicts)
+        kept = step("evidence", lambda: kept)
+        counts = step("counts", lambda: counts)
         filtered = kept.join(counts.select("quid", "triggered"), "quid").select("quid", "pos", render_sentence(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"), "triggered")
     else:
         filtered = semantic.limit(0).select("quid", F.lit(1).alias("pos"), "fact", F.lit(False).alias("triggered"))
-    facts = step(5, "facts", lambda: answer.cascade(found, semantic, filtered, config.override))
+    shown_facts = step("facts", lambda: answer.cascade(found, semantic, filtered, config.override))
 
     def predictions() -> DataFrame:
         if generator is None:
             usable = found.where("kind = 'retrieved'").select("quid", "s", "o", "d")
             return answer.predictions(q, usable).withColumn("answerer", F.lit("extractive"))
-        replies = answer.parse_answers(generate(answer.prompts(q, facts), generator))
+        replies = step("replies", lambda: generate(answer.prompts(q, shown_facts), generator))
         shown = q.select("quid", "question", "qtype", "qlabel", "answer_type", F.col("answers").alias("ground_truth"), "time_level")
-        return shown.join(replies, "quid").withColumn("answerer", F.lit(config.answerer))
+        return shown.join(answer.parse_answers(replies), "quid").withColumn("answerer", F.lit(config.answerer))
 
-    given = step(5, "predictions", predictions)
-    step(6, "scores", lambda: evaluate.report(given, config.hit_k))
+    given = step("predictions", predictions)
+    step("scores", lambda: evaluate.report(given, config.hit_k))
+    step("wrong", lambda: evaluate.wrong_cases(given, config.hit_k))
     return tables
 
 
+def export(tables: dict[str, DataFrame], folder: str, indent: int = 4) -> dict[str, int]:
+    """The result tables as JSON arrays, one file each, and their numbers of rows."""
+    return {name: files.write_json_array(tables[name], f"{folder}/{name}.json", indent) for name in ("retrieved", "empty", "semantic", "evidence", "predictions", "wrong") if name in tables}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Answer and score temporal questions over a fact graph.")
     parser.add_argument("--facts", help="tab-separated quads")
-    parser.add_argument("--questions", help="JSON array of questions")
+    parser.add_argument("--questions", help="JSON array of questions, or .jsonl")
     parser.add_argument("--entities", help="dictionary: name<tab>id")
     parser.add_argument("--relations", help="dictionary: JSON object or name<tab>id")
     parser.add_argument("--out", required=True, help="folder of result tables")
     parser.add_argument("--start-step", type=int, default=1, choices=range(1, 7))
     parser.add_argument("--no-causal", action="store_true")
+    parser.add_argument("--understand", action="store_true", help="questions are raw text: find entities, relation and time first")
+    parser.add_argument("--json", metavar="FOLDER", help="write the result tables as JSON arrays, too")
     parser.add_argument("--order", default="time", choices=("time", "ingest"))
     parser.add_argument("--eval-only", metavar="PREDICTIONS", help="score a table of predictions")
     parser.add_argument("-k", type=int, default=1)
@@ -100,7 +144,10 @@ def main(argv: list[str] | None = None) -> None:
         return
     inputs = Inputs(files.read_quads(spark, args.facts), files.read_questions(spark, args.questions), files.read_dictionary(spark, args.entities), files.read_dictionary(spark, args.relations))
     config = replace(EngineConfig(), order=args.order, hit_k=args.k)
-    run(inputs, config, args.start_step, not args.no_causal, args.out)["scores"].orderBy("dimension", "value").show(100, False)
+    tables = run(inputs, config, args.start_step, not args.no_causal, args.out, understand_questions=args.understand)
+    if args.json:
+        export(tables, args.json)
+    tables["scores"].orderBy("dimension", "value").show(100, False)
 
 
 if __name__ == "__main__":

@@ -267,9 +267,14 @@ def mutual_entail(spark, sf_dir):
     return evidence.mutual_entailment(plain)
 
 
-@query("answers_equal", "SELECT s_suppkey AS quid, true AS equal FROM supplier")
+@query(
+    "answers_equal",
+    """WITH two AS (SELECT s_suppkey AS quid, range(1, s_suppkey % 4 + 2) AS a, list_transform(range(1, s_suppkey % 3 + 2), lambda i: i + s_suppkey % 5) AS b FROM supplier)
+ SELECT quid, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS equal FROM two""",
+)
 def answers_equal(spark, sf_dir):
-    return evidence.answers_equal(_two_sets(spark, sf_dir)).select("quid", "equal")
+    moved = F.transform(F.sequence(F.lit(1), F.col("quid") % 3 + 1), lambda i: F.concat(F.lit("x"), i + F.col("quid") % 5, F.lit("!")))
+    return evidence.answers_equal(_two_sets(spark, sf_dir).withColumn("b", moved)).select("quid", "equal")
 
 
 # Answering ------------------------------------------------------------------------------------------

@@ -27,8 +27,10 @@ FACTS = f"WITH {V.FACTS_EV}"
 
 def _pool_rows(keys):
     def run(spark, sf_dir):
-        rows = graph.index(V.facts_ev(spark, sf_dir), keys)
-        return rows.select(*keys, "size", F.posexplode("facts").alias("pos", "f")).select(*keys, "size", F.col("pos").alias("pos"), F.col("f.line_no").alias("line_no"))
+        rows = graph.index(V.facts_ev(spark, sf_dir), keys, rows=16)
+        whole = rows.groupBy(*keys).agg(F.sum("size").alias("size"))
+        placed = rows.select(*keys, "first", F.posexplode("facts").alias("pos", "f")).select(*keys, (F.col("first") + F.col("pos")).cast("int").alias("pos"), F.col("f.line_no").alias("line_no"))
+        return placed.join(whole, list(keys))
 
     return run
 

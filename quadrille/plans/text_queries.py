@@ -8,6 +8,8 @@ from ..functions import temporal as T
 from ..functions import text as X
 from ..operators import ground, vector
 from ..sources import files
+from ..sources.scratch import scratch_path
+from ..streaming import ingest
 from . import views as V
 
 QUERIES: dict = {}
@@ -63,6 +65,33 @@ def kg_scan(spark, sf_dir):
     return files.parse_quads(_lines(spark, sf_dir)).select("line_no", "s", "r", "o", "ts_raw", "d", F.hour("ts").alias("h"))
 
 
+@query(
+    "read_quads",
+    f"""{LINES}, typed AS (SELECT row_number() OVER (ORDER BY line_no) AS line_no, replace(c[1], '_', ' ') AS s, replace(c[2], '_', ' ') AS r, replace(c[3], '_', ' ') AS o, c[4] AS ts_raw,
+ CASE WHEN regexp_full_match(c[4], '\\d{{4}}-\\d{{2}}-\\d{{2}}(T\\d{{2}}:\\d{{2}})?') THEN TRY_CAST(c[4] AS TIMESTAMP) END AS ts, len(c) AS n FROM cut)
+ SELECT line_no, s, r, o, ts_raw, CAST(ts AS DATE) AS d FROM typed WHERE n >= 3 AND s <> '' AND o <> '' AND (ts_raw IS NULL OR ts IS NOT NULL)""",
+)
+def read_quads(spark, sf_dir):
+    """Through a text folder of several files: written in order, read and numbered again."""
+    path = scratch_path(spark)
+    _lines(spark, sf_dir).repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    return files.read_quads(spark, path).select("line_no", "s", "r", "o", "ts_raw", "d")
+
+
+@query(
+    "stream_counts",
+    f"""WITH {V.FACTS_EV} SELECT CAST(DATE '1970-01-01' + CAST((d - DATE '1970-01-01') // 30 * 30 AS INTEGER) AS DATE) AS start, r, count(*) AS n FROM facts GROUP BY ALL""",
+)
+def stream_counts(spark, sf_dir):
+    """Events as a stream of files, appended exactly once (the second run finds nothing new), counted by window."""
+    out, state = scratch_path(spark), scratch_path(spark)
+    events = spark.readStream.schema(V.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    for _ in range(2):
+        ingest.write_stream(V.as_facts(events), out, state).awaitTermination()
+    counts = ingest.windowed_counts(spark.read.parquet(out))
+    return counts.select(F.col("start").cast("date").alias("start"), "r", "n")
+
+
 @query("fact_sentences", f"{LINES} SELECT line_no, replace(c[1] || ' ' || c[2] || ' ' || c[3] || ' in ' || c[4], '_', ' ') AS fact FROM cut WHERE len(c) >= 4")
 def fact_sentences(spark, sf_dir):
     return files.sentence_corpus(_lines(spark, sf_dir))
@@ -231,14 +260,14 @@ def entity_fuzzy(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
+    """Every 25th vector, turned round, as a query; all vectors as the corpus."""
     e = V.table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("quid"), F.col("embedding").alias("vector"))
-    c = e.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"))
-    return q, c
+    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("quid"), F.reverse("embedding").alias("vector"))
+    return q, e.select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"))
 
 
-VECTORS = """WITH pairs AS (SELECT a.vec_id AS quid, b.vec_id AS fact_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS score
- FROM embeddings a JOIN embeddings b ON b.vec_id % 25 <> 0 WHERE a.vec_id % 25 = 0)"""
+VECTORS = """WITH pairs AS (SELECT a.vec_id AS quid, b.vec_id AS fact_id, list_sum(list_transform(list_zip(list_reverse(a.embedding), b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS score
+ FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0)"""
 
 
 def _top(k: int, where: str = "true", order: str = "fact_id") -> str:
@@ -257,9 +286,9 @@ def vec_topk(spark, sf_dir):
     return vector.top_k(*_vectors(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
 
 
-@query("vec_topk_ivf")
+@query("vec_topk_ivf", f"{VECTORS} {_top(20)}")
 def vec_topk_ivf(spark, sf_dir):
-    return vector.top_k_cells(*_vectors(spark, sf_dir), 20)
+    return vector.top_k_cells(*_vectors(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
 
 
 @query("vec_gather", f"{VECTORS}, top AS ({_top(20)}) SELECT quid, rank, fact_id, 'fact ' || label || ' of ' || vec_id AS fact FROM top JOIN embeddings ON vec_id = fact_id WHERE label <> 3")
@@ -279,9 +308,18 @@ def entity_top1(spark, sf_dir):
     return vector.top_k(*_vectors(spark, sf_dir), 1).withColumn("score", F.round("score", 6))
 
 
-@query("encode_texts")
+def _grams(table: str, key: str, text: str) -> str:
+    """CTEs that encode texts as the offline encoder does: ``enc`` (key, dim, value) without zeros."""
+    return f"""low AS (SELECT DISTINCT {key} AS key, lower({text}) AS t FROM {table}),
+ gram AS (SELECT key, unnest(regexp_extract_all(t, '\\w+')) AS g FROM low UNION ALL SELECT key, substr(t, CAST(i AS INTEGER), 3) FROM low, unnest(range(1, length(t) - 1)) AS u(i)),
+ part_of AS (SELECT key, CAST('0x' || substr(md5(g), 1, 4) AS INTEGER) % 256 AS dim, sum(CASE WHEN substr(md5(g), 5, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS v FROM gram GROUP BY ALL),
+ enc AS (SELECT key, dim, v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS value FROM part_of WHERE v <> 0)"""
+
+
+@query("encode_texts", f"WITH {_grams('part', 'p_partkey', 'p_name')} SELECT key AS p_partkey, CAST(dim AS INTEGER) AS dim, round(value, 3) AS value FROM enc")
 def encode_texts(spark, sf_dir):
-    return vector.encode_texts(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    v = vector.encode_texts(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    return v.select("p_partkey", F.posexplode("vector").alias("dim", "value")).where("value <> 0").select("p_partkey", "dim", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("semantic_search")
@@ -289,11 +327,17 @@ def semantic_search(spark, sf_dir):
     return vector.semantic_search(V.questions(spark, sf_dir), files.fact_sentences(V.facts_ev(spark, sf_dir)))
 
 
-@query("rank_relations")
+@query(
+    "rank_relations",
+    f"""WITH asked AS (SELECT DISTINCT event_type || 'ed' AS name FROM events), known AS (SELECT DISTINCT event_type AS name FROM events), every AS (FROM asked UNION FROM known),
+ {_grams('every', 'name', 'name')}, score AS (SELECT a.key AS relation, b.key AS rel, sum(a.value * b.value) AS score FROM enc a JOIN enc b USING (dim) WHERE a.key IN (FROM asked) AND b.key IN (FROM known) GROUP BY ALL)
+ SELECT asked.name AS relation, CAST(row_number() OVER (PARTITION BY asked.name ORDER BY round(coalesce(score, 0), 6) DESC, length(known.name) * 1000 + ascii(known.name) DESC) AS INTEGER) AS cand_rank, known.name AS rel
+ FROM asked CROSS JOIN known LEFT JOIN score ON score.relation = asked.name AND score.rel = known.name QUALIFY cand_rank <= 3""",
+)
 def rank_relations(spark, sf_dir):
     f = V.facts_ev(spark, sf_dir)
     names = f.select(F.col("r").alias("name")).distinct()
-    return vector.rank_relations(f.select(F.concat("r", F.lit("ed")).alias("relation")), names.withColumn("id", F.xxhash64("name")))
+    return vector.rank_relations(f.select(F.concat("r", F.lit("ed")).alias("relation")), names.withColumn("id", F.length("name") * 1000 + F.ascii("name")))
 
 
 def _scored(spark, sf_dir):

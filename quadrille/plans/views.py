@@ -1,8 +1,7 @@
 """Logical views over the test tables, as DataFrames and as SQL for the oracle.
 
-facts_ev: events as (user, event type, key, day).  facts_li: order lines as (supplier, flags, brand, ship
-day), first lines only.  questions: every 37th event as a question about itself.  pools: facts_li by
-supplier, with a cue and an anchor each.
+facts_ev: events as (user, event type, key, day).  questions: every 37th event as a question about itself.
+pools: all order lines as (supplier, flags, brand, ship day) by supplier, with a cue and an anchor each.
 """
 
 from __future__ import annotations
@@ -17,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_facts(table(spark, sf_dir, "events"))
+
+
+def as_facts(events: DataFrame) -> DataFrame:
     d = F.col("ts").cast("date")
-    return e.select(
+    return events.select(
         F.col("event_id").alias("line_no"), F.concat(F.lit("user_"), "user_id").alias("s"), F.col("event_type").alias("r"),
         F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("o"), d.cast("timestamp_ntz").alias("ts"), d.alias("d"),
     )
@@ -106,9 +108,9 @@ ENTITIES = """ents AS (SELECT DISTINCT name FROM (SELECT s AS name FROM facts UN
 
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(quid, pos, s, r, o, d): the supplier's first order lines, in order of order, part and ship day."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    place = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
+    """(quid, pos, s, r, o, d): the supplier's order lines, in order of order, line, part and ship day."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    place = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
     return l.select(
         F.col("l_suppkey").alias("quid"), F.row_number().over(place).cast("int").alias("pos"), F.concat(F.lit("S"), "l_suppkey").alias("s"),
         F.concat("l_returnflag", "l_linestatus").alias("r"), F.col("p_brand").alias("o"), F.col("l_shipdate").cast("date").alias("d"),
@@ -123,7 +125,7 @@ def pool_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("quid", cue.alias("cue"), anchor.alias("anchor"), F.when(F.col("quid") % 7 == 0, F.lit("NO")).alias("target"))
 
 
-POOLS = """WITH pool AS (SELECT l_suppkey AS quid, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_shipdate, l_quantity) AS INTEGER) AS pos,
- 'S' || l_suppkey AS s, l_returnflag || l_linestatus AS r, p_brand AS o, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+POOLS = """WITH pool AS (SELECT l_suppkey AS quid, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity) AS INTEGER) AS pos,
+ 'S' || l_suppkey AS s, l_returnflag || l_linestatus AS r, p_brand AS o, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
 cues AS (SELECT s_suppkey AS quid, ['before','after','first','last','same'][s_suppkey % 6 + 1] AS cue,
  CASE WHEN s_suppkey % 5 <> 0 THEN DATE '1995-01-01' + CAST(s_suppkey * 37 % 1500 - 700 AS INTEGER) END AS anchor, CASE WHEN s_suppkey % 7 = 0 THEN 'NO' END AS target FROM supplier)"""

@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import discard
+from ..sources.scratch import stored as checkpointed
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpointed", "discard", "free_name", "read_table"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder and read again.
-
-    That cuts the lineage, survives lost executors, and gives later joins true sizes.
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where neither that setting
-    nor a folder set by the caller exists (tests on one machine) is a folder of our own
-    used, and elsewhere it is an error.  Tables that a lazy result reads stay until the folder is
-    emptied; others go by ``discard``.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/quadrille-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.checkpoint_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Removes tables that ``checkpointed`` wrote, once all that is made from them is written too."""
-    for df in tables:
-        path = getattr(df, "checkpoint_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -40,8 +40,9 @@ def run(
     inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int = 1, causal: bool = True, out: str | None = None, generator: Callable[[], Generator] | None = None,
     encoder: vector.Encoder | None = None, understand_questions: bool = False,
 ) -> dict[str, DataFrame]:
-    """All steps as lazy tables by name; with ``out`` each is written there and read again, and
-    ``start_step`` takes the tables of earlier steps from there.
+    """All steps as lazy tables by name; with ``out`` each is written there, as a new version of the table, and read
+    again, and ``start_step`` takes the newest complete versions of earlier steps from there.  The tables of the run
+    before stay readable.
 
     understand (if asked for; else the questions must have their fields): entities, relations, questions.
     graph: with ``out``, the fact table clustered by year and the facts' vectors, both kept for later runs.
@@ -53,12 +54,13 @@ def run(
 
     def step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if out and number[name] < start_step:
-            tables[name] = spark.read.parquet(f"{out}/{name}")
+            tables[name] = spark.read.parquet(files.current_version(spark, f"{out}/{name}"))
             return tables[name]
         df = build()
         if out:
-            files.write_results(df, f"{out}/{name}")
-            df = spark.read.schema(df.schema).parquet(f"{out}/{name}")
+            path = files.new_version(spark, f"{out}/{name}")
+            files.write_results(df, path)
+            df = spark.read.schema(df.schema).parquet(path)
         tables[name] = df
         return df
 
@@ -75,11 +77,11 @@ def run(
         return facts.where("d is not null").select("line_no", text.alias("fact"))
 
     if out and start_step <= 2:
-        files.write_facts(facts, f"{out}/facts_table")
-        files.write_results(vector.fact_vectors(sentences(), encoder), f"{out}/fact_vectors")
+        files.write_facts(facts, files.new_version(spark, f"{out}/facts_table"))
+        files.write_results(vector.fact_vectors(sentences(), encoder), files.new_version(spark, f"{out}/fact_vectors"))
     if out:
-        facts = spark.read.parquet(f"{out}/facts_table").drop("year")
-        known = spark.read.parquet(f"{out}/fact_vectors")
+        facts = spark.read.parquet(files.current_version(spark, f"{out}/facts_table")).drop("year")
+        known = spark.read.parquet(files.current_version(spark, f"{out}/fact_vectors"))
     else:
         known = vector.fact_vectors(sentences(), encoder)
 
@@ -140,7 +142,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.eval_only:
-        evaluate.report(spark.read.parquet(args.eval_only), args.k).orderBy("dimension", "value").show(100, False)
+        evaluate.report(spark.read.parquet(files.current_version(spark, args.eval_only)), args.k).orderBy("dimension", "value").show(100, False)
         return
     inputs = Inputs(files.read_quads(spark, args.facts), files.read_questions(spark, args.questions), files.read_dictionary(spark, args.entities), files.read_dictionary(spark, args.relations))
     config = replace(EngineConfig(), order=args.order, hit_k=args.k)

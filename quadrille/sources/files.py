@@ -123,6 +123,35 @@ def write_results(df: DataFrame, path: str, interchange: bool = False) -> None:
     (df.write.mode("overwrite").json if interchange else df.write.mode("overwrite").parquet)(path)
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[tuple[int, bool]]]:
+    """The file system of ``path`` and the versions there in order, each with whether it is complete."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(where) if x.isDirectory()] if system.exists(where) else []
+    numbers = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return system, [(n, system.exists(hadoop.Path(f"{path}/v{n}/_SUCCESS"))) for n in numbers]
+
+
+def new_version(spark: SparkSession, path: str) -> str:
+    """A folder for the next version of the table ``path``.
+
+    The newest complete version stays, so what was read from it stays readable and a run that dies while it writes
+    loses nothing; versions before it, and incomplete ones, are removed."""
+    system, versions = _versions(spark, path)
+    newest = max((n for n, complete in versions if complete), default=0)
+    for n, _ in versions:
+        if n != newest:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}"), True)
+    return f"{path}/v{max((n for n, _ in versions), default=0) + 1}"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete version of the table ``path``; ``path`` itself where it has no versions."""
+    complete = [n for n, complete in _versions(spark, path)[1] if complete]
+    return f"{path}/v{complete[-1]}" if complete else path
+
+
 def write_json_array(df: DataFrame, path: str, indent: int = 4) -> int:
     """One UTF-8 file with a JSON array of the rows, for tools that read such files; returns the number of rows.
 

@@ -188,3 +188,16 @@ def test_raw_questions_to_hits(spark, tmp_path):
     again = pipeline.run(inputs, config, start_step=3, out=out, understand_questions=True)
     assert sorted(map(str, again["predictions"].collect())) == sorted(map(str, tables["predictions"].collect()))
     assert pipeline.export(again, f"{tmp_path}/json")["predictions"] == 3
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    """The newest complete version is read; one that a run left half written is not, and goes with the older ones."""
+    path = f"{tmp_path}/t"
+    assert files.current_version(spark, path) == path
+    for n in range(3):
+        files.write_results(spark.range(n + 1), files.new_version(spark, path))
+        assert files.current_version(spark, path) == f"{path}/v{n + 1}"
+    assert files.new_version(spark, path) == f"{path}/v4" and sorted(x.name for x in (tmp_path / "t").iterdir()) == ["v3"]
+    (tmp_path / "t" / "v4").mkdir()
+    assert files.current_version(spark, path) == f"{path}/v3" and files.new_version(spark, path) == f"{path}/v5"
+    assert spark.read.parquet(files.current_version(spark, path)).count() == 3

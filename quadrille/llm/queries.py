@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_documents, encode_documents, read_ranks
 from .extract import extract_pages
 from .language import held_out, identify, train_languages
 from .leaks import benchmark_hits
+from .lexical import rank_documents
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -19,8 +22,11 @@ from .vectors import nearest
 
 NEAR_PERCENT = 75
 SHINGLE = 5
-#: The vocabulary file where the session names none; it is read on the driver only.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def vocabulary_path(spark: SparkSession) -> str:
+    """The file that the session's ``quadrille.vocabulary`` names, else that of the public package; it is read on the driver only."""
+    return spark.conf.get("quadrille.vocabulary", None) or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +51,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Words and word pieces of every document, by the vocabulary file of the session's ``quadrille.vocabulary``."""
-    path = vocabulary or spark.conf.get("quadrille.vocabulary", VOCABULARY)
-    return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(path))
+    return token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(vocabulary or vocabulary_path(spark)))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +86,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+RANKED = 50
+
+
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=RANKED)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Digests of every document's token ids and of the bytes that they decode to."""
+    ranks = read_ranks(vocabulary or vocabulary_path(spark))
+    coded = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_neardup": op2_neardup,
@@ -92,9 +113,29 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical": op11_lexical,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLES = {
+    "op11_lexical": r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), filled AS (SELECT row_number() OVER () AS d, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM found WHERE len(t) > 0),
+corpus AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS len FROM filled),
+items AS (
+  SELECT i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+), tf AS (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(t) AS t FROM filled) WHERE t IN (SELECT t FROM items) GROUP BY d, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), corpus
+), impacts AS (
+  SELECT d, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // len))) AS x FROM tf JOIN weights USING (t) JOIN filled USING (d), corpus
+), scored AS (SELECT i, item_id, d, doc_id, CAST(sum(x) AS BIGINT) AS score FROM items JOIN impacts USING (t) JOIN filled USING (d) GROUP BY ALL HAVING sum(x) > 0),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 50
+""",
     "op7_linededup": r"""
 WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 win AS (

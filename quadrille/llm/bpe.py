@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Texts are split in pieces of about so many characters.
 CHUNK = 1 << 16
-#: Pre-tokens of at most so many characters are remembered, so many a Python worker.
+#: Pre-tokens of at most so many characters are remembered, so many and those that came before them a Python worker.
 SHORT, REMEMBERED = 48, 1 << 18
 #: Ranks that share a word of the lower bitmap.
 LOW_BITS = 8
@@ -36,33 +36,49 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_BIT = [1 << i for i in range(LOW + 1)]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the pair of lowest rank, the leftmost of equal ones, is joined until none is left."""
+    """Token ids of one pre-token: the pair of lowest rank, the leftmost of equal ones, is joined until none is left.
+
+    A bucket with one position is that number, one with more a heap."""
     n = len(piece)
     kind = list if n <= 256 else lambda x: array("q", x)
     after, before, rank_at = kind(range(1, n + 1)), kind(range(-1, n)), kind([-1]) * n
-    buckets: dict[int, list[int]] = {}
+    buckets: dict[int, int | list[int]] = {}
     low: dict[int, int] = {}
-    top = 0
-    get = ranks.get
+    top, bit, get = 0, _BIT, ranks.get
+
+    def push(r: int, p: int) -> int:
+        """The rank's bit of the top level; the lower ones are set."""
+        rank_at[p] = r
+        if r in buckets:
+            bucket = buckets[r]
+            if bucket.__class__ is int:
+                buckets[r] = [bucket, p] if bucket < p else [p, bucket]
+            else:
+                heappush(bucket, p)
+            return 0
+        buckets[r] = p
+        high = r >> LOW_BITS
+        low[high] = low.get(high, 0) | bit[r & LOW]
+        return 1 << high
+
     for p in range(n - 1):
         r = get(piece[p : p + 2])
         if r is not None:
-            rank_at[p] = r
-            if r in buckets:
-                buckets[r].append(p)
-            else:
-                buckets[r] = [p]
-                high = r >> LOW_BITS
-                low[high] = low.get(high, 0) | 1 << (r & LOW)
-                top |= 1 << high
+            top |= push(r, p)
     while top:
         high = (top & -top).bit_length() - 1
         word = low[high]
         r = high << LOW_BITS | (word & -word).bit_length() - 1
         bucket = buckets[r]
-        p = heappop(bucket)
-        if not bucket:
+        if bucket.__class__ is int:
+            p = bucket
+        else:
+            p = heappop(bucket)
+        if bucket.__class__ is int or not bucket:
             del buckets[r]
             word &= word - 1
             low[high] = word
@@ -76,26 +92,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         rank_at[q] = rank_at[p] = -1
         if e < n:
             before[e] = p
+            r = get(piece[p : after[e]])
+            if r is not None:
+                top |= push(r, p)
         o = before[p]
-        for start, end in ((o, e) if o >= 0 else (-1, 0), (p, after[e]) if e < n else (-1, 0)):
-            if start < 0:
-                continue
-            r = get(piece[start:end])
-            if r is None:
-                rank_at[start] = -1
-                continue
-            rank_at[start] = r
-            if r in buckets:
-                heappush(buckets[r], start)
+        if o >= 0:
+            r = get(piece[o:e])
+            if r is not None:
+                top |= push(r, o)
             else:
-                buckets[r] = [start]
-                high = r >> LOW_BITS
-                low[high] = low.get(high, 0) | 1 << (r & LOW)
-                top |= 1 << high
+                rank_at[o] = -1
     ids, p = [], 0
     while p < n:
-        ids.append(ranks[piece[p : after[p]]])
-        p = after[p]
+        q = after[p]
+        ids.append(ranks[piece[p:q]])
+        p = q
     return ids
 
 
@@ -129,21 +140,23 @@ class Encoder:
     def ids(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, in lists."""
         if not hasattr(self, "_known"):
-            self._known, self._compiled = {}, regex.compile(self.pattern)
-        known = self._known
+            self._known, self._older, self._compiled = {}, {}, regex.compile(self.pattern)
         for chunk in _chunks(text):
             out: list[int] = []
+            known, older = self._known, self._older
             pieces = self._compiled.findall(chunk) if len(chunk) <= 4 * CHUNK else (m.group() for m in self._compiled.finditer(chunk))
             for piece in pieces:
                 ids = known.get(piece)
                 if ids is None:
-                    raw = piece.encode()
-                    whole = self.ranks.get(raw)
-                    ids = merge(raw, self.ranks) if whole is None else (whole,)
+                    ids = older.get(piece)
+                    if ids is None:
+                        raw = piece.encode()
+                        whole = self.ranks.get(raw)
+                        ids = tuple(merge(raw, self.ranks)) if whole is None else (whole,)
                     if len(piece) <= SHORT:
                         if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[piece] = tuple(ids)
+                            self._known, self._older = known, older = {}, known
+                        known[piece] = ids
                 out += ids
             yield out
 

@@ -11,8 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import scratch_path
 from .ground import rank_in
+from .vector_index import VectorIndex, cell_centres, kept_vectors, search_once
+
+__all__ = ["VectorIndex", "cell_centres", "kept_vectors"]
 
 #: At most so many scores are held at a time.
 SCORES = 4_000_000
@@ -63,101 +66,37 @@ def gather(hits: DataFrame, facts: DataFrame) -> DataFrame:
     return hits.join(facts, "fact_id")
 
 
-def cell_centres(corpus: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
-    """Centres of k-means cells, fitted on about ``sample`` vectors drawn by a hash of their ids."""
-    n = corpus.count()
-    drawn = corpus.where(F.pmod(F.xxhash64(F.lit(seed), "fact_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
-    x = np.array([r.vector for r in drawn.select("fact_id", "vector").orderBy("fact_id").collect()], float)
-    centre = x[np.random.default_rng(seed).permutation(len(x))[: min(cells, len(x))]]
-    for _ in range(rounds):
-        own = np.argmax(x @ centre.T - 0.5 * (centre * centre).sum(axis=1), axis=1)
-        total, count = np.zeros_like(centre), np.bincount(own, minlength=len(centre))
-        np.add.at(total, own, x)
-        centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
-    return centre
-
-
-def top_k_cells(queries: DataFrame, corpus: DataFrame, k: int = 20, cells: int = 64, probes: int = 16, centres: np.ndarray | None = None, query_rows: int = 4096, corpus_rows: int = 65_536) -> DataFrame:
-    """Exact top-k by cells: a query meets its ``probes`` best cells, then every other cell that may hold one of its best.
+def top_k_cells(queries: DataFrame, corpus: DataFrame, k: int = 20, cells: int = 64, probes: int = 16, centres: np.ndarray | None = None, query_rows: int = 16_384, corpus_rows: int = 65_536) -> DataFrame:
+    """Exact top-k by the cells of an index that is made for this search; to keep one, use ``VectorIndex``."""
+    return search_once(queries, corpus, scratch_path(corpus.sparkSession), k, cells, probes, centres, query_rows=query_rows, corpus_rows=corpus_rows)
 
-    No vector of a cell scores above query . centre + |query| * radius, the radius being the largest distance
-    of the cell's vectors from its centre; a cell whose bound is under the query's k-th score is left out.
-    Every vector is in a cell; large cells are several blocks, so groups are of bounded size."""
-    centre = cell_centres(corpus, cells) if centres is None else centres
-    shared = corpus.sparkSession.sparkContext.broadcast(centre)
 
-    def near(x: np.ndarray) -> np.ndarray:
-        c = shared.value
-        return x @ c.T - 0.5 * (c * c).sum(axis=1)
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b["vector"].to_list()).astype(float)
-                cell = np.argmax(near(x), axis=1)
-                yield pd.DataFrame({"fact_id": b["fact_id"], "cell": cell.astype(np.int32), "away": np.linalg.norm(x - shared.value[cell], axis=1), "vector": b["vector"]})
-
-    assigned = corpus.select("fact_id", "vector").mapInPandas(own, "fact_id long, cell int, away double, vector array<float>")
-    radius, blocks = np.full(len(centre), -np.inf), np.zeros(len(centre), int)
-    for r in assigned.groupBy("cell").agg(F.max("away").alias("away"), F.count("*").alias("n")).collect():
-        radius[r.cell], blocks[r.cell] = r.away, -(-r.n // corpus_rows)
-    start = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-
-    def asked(later: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        """The blocks of each query's best cells, or those of the others that its k-th score does not rule out."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["vector"].to_list()).astype(float)
-                place = np.argsort(np.argsort(-near(x), axis=1, kind="stable"), axis=1)
-                wanted = place < probes
-                if later:
-                    least = b["least"].to_numpy(float)[:, None]
-                    bound = x @ shared.value.T + np.linalg.norm(x, axis=1)[:, None] * radius
-                    slack = 1e-9 * (1 + np.abs(np.where(np.isnan(least), 0, least)))
-                    wanted = ~wanted & (np.isnan(least) | (bound >= least - slack))
-                row, cell = np.nonzero(wanted & (blocks > 0))
-                n = blocks[cell]
-                cb = np.repeat(start[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row = np.repeat(row, n)
-                yield pd.DataFrame({"quid": b["quid"].to_numpy()[row], "cb": cb.astype(np.int32), "vector": b["vector"].to_numpy()[row]})
-
-        return run
-
-    nq = max(1, -(-queries.count() // query_rows))
-    first_block, in_cell = (F.array(*[F.lit(int(v)) for v in values]) for values in (start, blocks))
-    cb = F.get(first_block, F.col("cell")) + F.pmod(F.xxhash64("fact_id"), F.get(in_cell, F.col("cell"))).cast("int")
-    c = assigned.select("fact_id", "vector", cb.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-
-    def meet(rows: DataFrame, later: bool) -> DataFrame:
-        q = rows.mapInPandas(asked(later), "quid long, cb int, vector array<float>").withColumn("qb", F.pmod(F.xxhash64("quid"), F.lit(nq)).cast("int"))
-        return _best_of_blocks(q, c, k)
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        return rank_in(rows, ["quid"], [F.desc("score"), F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
-
-    first = meet(queries.select("quid", "vector"), False)
-    least = ranked(first).where(F.col("rank") == k).select("quid", F.col("score").alias("least"))
-    second = meet(queries.select("quid", "vector").join(least, "quid", "left"), True)
-    return ranked(first.unionByName(second))
+Encoder = Callable[[list[str]], np.ndarray]
 
 
-Encoder = Callable[[list[str]], np.ndarray]
+#: Grams whose places an offline encoder remembers.
+REMEMBERED = 1 << 20
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
     """The offline encoder: hashed words and character trigrams, unit length; deterministic.  The first four hex digits
-    of a gram's MD5 name its place, the fifth its sign."""
+    of a gram's MD5 name its place, the fifth its sign.  A gram that comes again is not hashed again."""
+    places: dict[str, tuple[int, float]] = {}
+
+    def place(gram: str) -> tuple[int, float]:
+        h = hashlib.md5(gram.encode()).hexdigest()
+        if len(places) >= REMEMBERED:
+            places.clear()
+        return places.setdefault(gram, (int(h[:4], 16) % dim, 1.0 if h[4] >= "8" else -1.0))
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for i, t in enumerate(texts):
             low = (t or "").lower()
-            for g in re.findall(r"\w+", low) + [low[k : k + 3] for k in range(len(low) - 2)]:
-                h = hashlib.md5(g.encode()).hexdigest()
-                out[i, int(h[:4], 16) % dim] += 1.0 if h[4] >= "8" else -1.0
+            at = [places.get(g) or place(g) for g in re.findall(r"\w+", low) + [low[k : k + 3] for k in range(len(low) - 2)]]
+            if at:
+                where, sign = zip(*at, strict=True)
+                out[i] = np.bincount(where, sign, dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -185,25 +124,33 @@ def rank_relations(relations: DataFrame, names: DataFrame, k: int = 3, encoder:
     return hits.join(q.select("quid", "relation"), "quid").join(c.select("fact_id", F.col("name").alias("rel")), "fact_id").select("relation", F.col("rank").alias("cand_rank"), "rel")
 
 
-def fact_vectors(facts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """(fact_id, fact, vector) of (line_no, fact): what a run keeps, so that facts are encoded once."""
-    return encode_texts(facts.select(F.col("line_no").alias("fact_id"), "fact"), "fact", encoder)
+def fact_vectors(facts: DataFrame, encoder: Encoder | None = None, store: str | None = None, encoder_name: str = "hashing-256") -> DataFrame:
+    """(fact_id, fact, vector) of (line_no, fact).  With ``store``, a folder, only texts that the encoder of that name has not met
+    there are encoded, and kept for later runs."""
+    rows = facts.select(F.col("line_no").alias("fact_id"), "fact")
+    if store is None:
+        return encode_texts(rows, "fact", encoder)
+    return kept_vectors(rows, "fact", store, encoder_name, lambda new: encode_texts(new, "text", encoder))[0]
+
+
+def cells_for(n: int) -> int:
+    """Cells of an index of n vectors: about their square root."""
+    return max(1, min(1024, int(n**0.5)))
 
 
-def search_vectors(questions: DataFrame, known: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None) -> DataFrame:
+def search_vectors(questions: DataFrame, known: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None, index: VectorIndex | None = None) -> DataFrame:
     """(quid, rank, fact_id, score, fact): the ``k`` best of ``known`` (fact_id, fact, vector) for each question; ``only``
-    (quid) limits the questions.  Above one block of facts the search is by cells, about as many as the
-    square root of the facts' number unless given; both are exact."""
+    (quid) limits the questions.  ``index`` is the kept index of the same vectors; without one, above one block of facts the search
+    makes one of about as many cells as the square root of the facts' number unless given.  All ways are exact."""
     asked = questions if only is None else questions.join(only.select("quid"), "quid", "left_semi")
     q = encode_texts(asked.select("quid", "question"), "question", encoder).select("quid", "vector")
     corpus = known.select("fact_id", "vector")
-    if cells is None:
-        n = corpus.count()
-        cells = 0 if n <= 65_536 else min(1024, int(n**0.5))
-    if cells:  # read several times
-        known = stored(known)
-        corpus = known.select("fact_id", "vector")
-    hits = top_k_cells(q, corpus, k, cells=cells, probes=max(1, cells // 8)) if cells else top_k(q, corpus, k)
+    if index is not None:
+        hits = index.search(q, k, max(1, len(index.centre) // 8))
+    else:
+        n = corpus.count() if cells is None else 0
+        cells = (0 if n <= 65_536 else cells_for(n)) if cells is None else cells
+        hits = top_k_cells(q, corpus, k, cells=cells, probes=max(1, cells // 8)) if cells else top_k(q, corpus, k)
     return gather(hits, known.select("fact_id", "fact"))
 
 

@@ -14,11 +14,12 @@ from ..functions.models import Generator, generate
 from ..functions.temporal import render_sentence
 from ..operators import answer, evaluate, evidence, ground, retrieve, understand, vector
 from ..sources import files
+from ..sources.scratch import scratch_scope
 
 #: Steps by number (from 1) and the tables that each makes.
 STEPS = {
     "understand": ("entities", "relations", "mismatches", "arbitration_errors", "questions"),
-    "graph": ("facts_table", "fact_vectors"),
+    "graph": ("facts_table", "fact_vectors", "fact_index"),
     "retrieve": ("candidates", "retrieved", "empty", "semantic"),
     "filter": ("evidence", "counts"),
     "answer": ("facts", "replies", "predictions"),
@@ -38,14 +39,15 @@ class Inputs:
 
 def run(
     inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int = 1, causal: bool = True, out: str | None = None, generator: Callable[[], Generator] | None = None,
-    encoder: vector.Encoder | None = None, understand_questions: bool = False,
+    encoder: vector.Encoder | None = None, understand_questions: bool = False, encoder_name: str | None = None,
 ) -> dict[str, DataFrame]:
     """All steps as lazy tables by name; with ``out`` each is written there, as a new version of the table, and read
     again, and ``start_step`` takes the newest complete versions of earlier steps from there.  The tables of the run
     before stay readable.
 
     understand (if asked for; else the questions must have their fields): entities, relations, questions.
-    graph: with ``out``, the fact table clustered by year and the facts' vectors, both kept for later runs.
+    graph: with ``out``, the fact table clustered by year, the facts' vectors and an index of them, all kept for later runs; a
+    text that the encoder has met in an earlier run is not encoded again (an encoder of one's own needs a name for that).
     retrieve: candidates (relations for each question), retrieved (graph facts), empty (questions without), semantic.
     filter: evidence, counts.  answer: facts, predictions.  evaluate: scores, wrong."""
     spark = inputs.facts.sparkSession
@@ -56,11 +58,14 @@ def run(
         if out and number[name] < start_step:
             tables[name] = spark.read.parquet(files.current_version(spark, f"{out}/{name}"))
             return tables[name]
-        df = build()
         if out:
-            path = files.new_version(spark, f"{out}/{name}")
-            files.write_results(df, path)
+            with scratch_scope():
+                df = build()
+                path = files.new_version(spark, f"{out}/{name}")
+                files.write_results(df, path)
             df = spark.read.schema(df.schema).parquet(path)
+        else:
+            df = build()
         tables[name] = df
         return df
 
@@ -78,10 +83,17 @@ def run(
 
     if out and start_step <= 2:
         files.write_facts(facts, files.new_version(spark, f"{out}/facts_table"))
-        files.write_results(vector.fact_vectors(sentences(), encoder), files.new_version(spark, f"{out}/fact_vectors"))
+        store = f"{out}/vector_store" if encoder is None or encoder_name else None
+        path = files.new_version(spark, f"{out}/fact_vectors")
+        files.write_results(vector.fact_vectors(sentences(), encoder, store, encoder_name or "hashing-256"), path)
+        known = spark.read.parquet(path)
+        with scratch_scope():
+            vector.VectorIndex.build(known, files.new_version(spark, f"{out}/fact_index"), vector.cells_for(known.count()))
+    index = None
     if out:
         facts = spark.read.parquet(files.current_version(spark, f"{out}/facts_table")).drop("year")
         known = spark.read.parquet(files.current_version(spark, f"{out}/fact_vectors"))
+        index = vector.VectorIndex(spark, files.current_version(spark, f"{out}/fact_index"))
     else:
         known = vector.fact_vectors(sentences(), encoder)
 
@@ -92,7 +104,7 @@ def run(
     cand = step("candidates", candidates)
     found = step("retrieved", lambda: retrieve.retrieve(q, cand, facts, inputs.entities, config.order, config.direction_limit))
     step("empty", lambda: retrieve.empty_questions(q, found))
-    semantic = step("semantic", lambda: vector.search_vectors(q, known, config.semantic_top_k, encoder).select("quid", "rank", "fact_id", "score", "fact"))
+    semantic = step("semantic", lambda: vector.search_vectors(q, known, config.semantic_top_k, encoder, index=index).select("quid", "rank", "fact_id", "score", "fact"))
     if causal:
         pool = evidence.facts_of_ids(semantic, facts)
         lookup = q.select("quid", "cue", "time", "reference_target")

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folders: dict[str, str] = {}
+_scopes = threading.local()
+
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
@@ -17,8 +23,8 @@ def scratch_path(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        application = spark.sparkContext.applicationId
+        folder = _own_folders.get(application) or _own_folders.setdefault(application, tempfile.mkdtemp(prefix="quadrille-checkpoint-"))
     return f"{folder}/quadrille-{uuid.uuid4().hex}"
 
 
@@ -26,14 +32,27 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read again.
 
     That cuts the lineage, survives lost executors, and gives later joins true sizes.  Tables that a lazy
-    result reads stay until the folder is emptied; others go by ``discard``."""
+    result reads stay until the folder is emptied; others go by ``discard`` or with ``scratch_scope``."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.checkpoint_path = path
+    for tables in getattr(_scopes, "open", [])[-1:]:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables that ``stored`` writes inside (on this thread) go at the end; what is made from them is written by then."""
+    stack = _scopes.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        discard(*stack.pop())
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables that ``stored`` wrote, once all that is made from them is written too."""
     for df in tables:

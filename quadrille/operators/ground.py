@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from ..functions.temporal import is_date_entity
 from ..functions.text import strip_fences
+from ..sources.scratch import stored
+from .similar import within_distance, within_ratio, within_two
 
 
 def _bare_words(text: str) -> Column:
@@ -58,6 +60,10 @@ def recognise(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return placed.select("quid", F.transform("found", lambda x: x["entity"]).alias("entities"), F.col("found").alias("spans"))
 
 
+#: Ratios above which the letter pairs of a name leave few partners.
+CLOSE_RATIO = 0.9
+
+
 def _blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int) -> tuple[DataFrame, DataFrame]:
     """Names and dictionary names, each dealt so that every block of one meets every block of the other (nb, eb)."""
     nn, ne = (max(1, -(-df.count() // rows)) for df, rows in ((names, name_rows), (entities, entity_rows)))
@@ -70,7 +76,8 @@ def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, block: int = 4
     """(name, entity, distance): the dictionary name with the least edit distance, ties by code point.
 
     Names at distance 0 or 1 are found by an equi-join: two such names share themselves or a form with one letter
-    less.  The others meet the dictionary in blocks, as arrays of at most about ``block`` names, and only dictionary names
+    less.  Others meet the dictionary at distance 2 in the same way and then at 4 by their rarest letter pairs.  Only names that are like none, or too short for
+    that, meet the dictionary in blocks, as arrays of at most about ``block`` names, and of these only those
     whose length does not already rule them out are compared, up to the best distance so far."""
     asked = names.select("name").where("name is not null").distinct()
     known = entities.select("name").where("name is not null").distinct()
@@ -80,8 +87,14 @@ def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, block: int = 4
         return df.select(F.struct("name").alias("x"), F.explode(F.array_distinct(F.concat(F.array("name"), less))).alias("form")).select(F.col("x.name").alias(as_), "form")
 
     close = forms(asked, "asked").join(forms(known, "entity"), "form").select(F.col("asked").alias("name"), "entity").distinct().withColumn("distance", F.levenshtein("name", "entity")).where("distance <= 1")
-    close = close.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x"))
-    left, dictionary = _blocks(asked.join(close, "name", "left_anti"), known, block, block)
+    close = stored(close.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
+    rest = stored(asked.join(close, "name", "left_anti"))
+    for pairs in (within_two, lambda a, b: within_distance(a, b, 4)):
+        if rest.isEmpty():
+            break
+        met = stored(pairs(rest, known).groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
+        close, rest = close.unionAll(met), stored(rest.join(met, "name", "left_anti"))
+    left, dictionary = _blocks(rest, known, block, block)
     by_length = F.array_sort(F.collect_list(F.struct(F.length("name").alias("n"), F.col("name").alias("entity"))))
     arrays = dictionary.groupBy("nb", "eb").agg(by_length.alias("all"))
 
@@ -108,7 +121,8 @@ def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, na
     """(name, entity): the dictionary name with the largest difflib ratio of at least ``cutoff`` (ties: the last by code
     point), else null.
 
-    Blocks of names meet blocks of the dictionary, which may have any size.  In a pair of blocks the letters that two names share
+    Names with a ratio of ``CLOSE_RATIO`` or more are found by their rarest letter pairs.  Blocks of the others meet blocks of the
+    dictionary, which may have any size.  In a pair of blocks the letters that two names share
     bound their ratio, and only pairs whose bound is not below the best ratio so far are compared."""
     asked = names.select("name").where("name is not null").distinct()
     known = entities.select("name").where("name is not null").distinct()
@@ -134,9 +148,12 @@ def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, na
                 rows.append((name, *best))
         return pd.DataFrame(rows, columns=["name", "ratio", "entity"])
 
-    left, right = _blocks(asked, known, name_rows, entity_rows)
+    filled = asked.where("name <> ''")
+    high = max(cutoff, CLOSE_RATIO)
+    close = stored(within_ratio(filled, known, high).groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")))
+    left, right = _blocks(stored(filled.join(close, "name", "left_anti")), known, name_rows, entity_rows)
     found = left.groupBy("nb", "eb").cogroup(right.groupBy("nb", "eb")).applyInPandas(run, "name string, ratio double, entity string")
-    best = found.groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")).select("name", "x.entity")
+    best = found.groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")).unionAll(close).select("name", "x.entity")
     return asked.join(best, "name", "left")
 
 

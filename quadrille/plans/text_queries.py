@@ -240,23 +240,29 @@ def ner_dict(spark, sf_dir):
     return ground.dictionary_entities(q, n.select(F.col("n_name").alias("name")).union(r.select("r_name")).distinct())
 
 
-_MISSPELT = "concat(substr(n_name, 1, 2), substr(n_name, 4))"
+_MISSPELT = """CASE c_custkey % 4 WHEN 0 THEN concat(substr(c_name, 1, 2), substr(c_name, 4)) WHEN 1 THEN concat(substr(c_name, 1, 1), substr(c_name, 3, 4), substr(c_name, 8))
+ WHEN 2 THEN concat(substr(c_name, 3), 'x') ELSE concat('~', c_mktsegment, c_custkey % 100) END"""
+_NAMES = "names AS (SELECT DISTINCT {} AS name FROM customer), dict AS (SELECT c_name AS entity FROM customer UNION SELECT p_name FROM part)"
+
+
+def _misspelt(spark, sf_dir):
+    """Customers with one, two or three letters wrong, or names that are like none, and a dictionary of customers and parts."""
+    c = V.table(spark, sf_dir, "customer")
+    return c.select(F.expr(_MISSPELT).alias("name")), c.select(F.col("c_name").alias("name")).union(V.table(spark, sf_dir, "part").select("p_name"))
 
 
 @query(
     "entity_fuzzy_lev",
-    f"""WITH names AS (SELECT DISTINCT {_MISSPELT} AS name FROM nation), dict AS (SELECT n_name AS entity FROM nation UNION SELECT r_name FROM region)
+    f"""WITH {_NAMES.format(_MISSPELT)}
  SELECT name, entity, CAST(levenshtein(name, entity) AS INTEGER) AS distance FROM names, dict QUALIFY row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, entity), entity) = 1""",
 )
 def entity_fuzzy_lev(spark, sf_dir):
-    n, r = V.table(spark, sf_dir, "nation"), V.table(spark, sf_dir, "region")
-    return ground.nearest_by_levenshtein(n.select(F.expr(_MISSPELT).alias("name")), n.select(F.col("n_name").alias("name")).union(r.select("r_name")))
+    return ground.nearest_by_levenshtein(*_misspelt(spark, sf_dir))
 
 
 @query("entity_fuzzy")
 def entity_fuzzy(spark, sf_dir):
-    n = V.table(spark, sf_dir, "nation")
-    return ground.close_matches(n.select(F.expr(_MISSPELT).alias("name")), n.select(F.col("n_name").alias("name")))
+    return ground.close_matches(*_misspelt(spark, sf_dir))
 
 
 def _vectors(spark, sf_dir):
@@ -291,16 +297,27 @@ def vec_topk_ivf(spark, sf_dir):
     return vector.top_k_cells(*_vectors(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
 
 
+@query("vec_index_grow", f"{VECTORS} {_top(20)}")
+def vec_index_grow(spark, sf_dir):
+    """A kept index of the even labels' vectors takes the others, and some of the first again, and is searched."""
+    q, c = _vectors(spark, sf_dir)
+    e = V.table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"))
+    index = vector.VectorIndex.build(e, scratch_path(spark), cells=64)
+    index.add(c)
+    return index.search(q, 20).withColumn("score", F.round("score", 6))
+
+
 @query("vec_gather", f"{VECTORS}, top AS ({_top(20)}) SELECT quid, rank, fact_id, 'fact ' || label || ' of ' || vec_id AS fact FROM top JOIN embeddings ON vec_id = fact_id WHERE label <> 3")
 def vec_gather(spark, sf_dir):
     texts = V.table(spark, sf_dir, "embeddings").where("label <> 3").select(F.col("vec_id").alias("fact_id"), F.concat(F.lit("fact "), "label", F.lit(" of "), "vec_id").alias("fact"))
     return vector.gather(vector.top_k(*_vectors(spark, sf_dir), 20), texts).select("quid", "rank", "fact_id", "fact")
 
 
-@query("relation_topk", f"{VECTORS} {_top(3, 'fact_id < 251', 'fact_id DESC')}")
+@query("relation_topk", f"{VECTORS} {_top(3, 'fact_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)', 'fact_id DESC')}")
 def relation_topk(spark, sf_dir):
-    q, c = _vectors(spark, sf_dir)
-    return vector.top_k(q, c.where("fact_id < 251"), 3, larger_id_first=True).withColumn("score", F.round("score", 6))
+    """The dictionary is a vector for each label."""
+    names = V.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector")), "vec_id").alias("x")).select("x.*")
+    return vector.top_k(_vectors(spark, sf_dir)[0], names, 3, larger_id_first=True).withColumn("score", F.round("score", 6))
 
 
 @query("entity_top1", f"{VECTORS} {_top(1)}")

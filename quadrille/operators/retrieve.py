@@ -1,8 +1,8 @@
 """Graph retrieval: the six temporal query types, for all questions at once.
 
 Questions are spread over their candidate relations (``candidates``), the boundary of each is
-resolved, and pools come from equi-joins on (s, r), (r, o) or (s, r, o).  Time predicates are
-part of the same join; extremes are ranks inside (quid, rel).  Results are rows
+resolved, and facts come from equi-joins on (s, r), (r, o) or (s, r, o).  By time a question takes an interval of its
+pool's places (``asof``) and never meets the other facts; by ingest order the pool is joined and filtered.  Results are rows
 (quid, cand_rank, rel, kind, pos, s, r, o, d), kind "retrieved" or "qfact".
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.temporal import compare, matches, once, parse_iso, render_fact
 from ..functions.text import none_to_null
 from ..sources.scratch import stored
+from .asof import pool_rows
 from .graph import ordered
 from .union import united
 
@@ -71,6 +72,12 @@ def _one_sided(q: DataFrame, facts: DataFrame, order: str, keep: Column | None =
     return both if keep is None else both.where(keep)
 
 
+def _of_pool(q: DataFrame, facts: DataFrame, takes: str, at: Column, side: Column, take_last: Column | None = None, limit: int = 10) -> DataFrame:
+    """What each question takes of its pool, by time; ``side``, ``takes`` and ``take_last`` as in ``pool_rows``."""
+    asks = q.select("quid", "cand_rank", "rel", "s", "o", "time_level", at.alias("at"), side.cast("int").alias("side"), F.lit(takes).alias("takes"), F.coalesce(take_last if take_last is not None else F.lit(False), F.lit(False)).alias("take_last"))
+    return pool_rows(asks, facts, limit)
+
+
 def _two_sided(q: DataFrame, facts: DataFrame, order: str, static: bool = False) -> DataFrame:
     f = _facts(facts, order)
     if static:
@@ -107,9 +114,12 @@ def equal_entity(q: DataFrame, facts: DataFrame, order: str = "time", compat: bo
     Without a time, a subject's whole pool but nothing of an object's.  ``compat`` gives nothing for
     subjects with a time, as a parser given a list would."""
     asked = q.where("qtype = 'equal' and answer_type = 'entity'")
-    hit = matches(F.col("fd"), F.col("t"), F.col("time_level"))
     no_time = F.size(F.coalesce("time", F.array())) == 0
     subject = F.col("s").isNotNull()
+    if order == "time":
+        asked = asked.where(~(subject & ~no_time & F.lit(compat)))
+        return _shape(_number(_of_pool(asked, facts, "all", F.col("t"), F.when(~(subject & no_time), F.lit(0)))))
+    hit = matches(F.col("fd"), F.col("t"), F.col("time_level"))
     keep = F.when(subject & no_time, F.lit(True)).when(subject & F.lit(compat), F.lit(False)).otherwise(hit)
     return _shape(_number(_one_sided(asked, facts, order, keep)))
 
@@ -130,8 +140,11 @@ def equal_multi_same(q: DataFrame, facts: DataFrame, order: str = "time") -> tup
     asked = q.where("qtype = 'equal_multi' and low like '%the same%'")
     a = anchors(asked, facts, order)
     with_anchor = asked.join(a, ["quid", "rel"])
-    found = _number(_one_sided(with_anchor, facts, order, matches(F.col("fd"), F.col("a_d"), F.col("time_level"))))
-    return _shape(found), _qfacts(with_anchor)
+    if order == "time":
+        found = _of_pool(with_anchor, facts, "all", F.col("a_d"), F.lit(0))
+    else:
+        found = _one_sided(with_anchor, facts, order, matches(F.col("fd"), F.col("a_d"), F.col("time_level")))
+    return _shape(_number(found)), _qfacts(with_anchor)
 
 
 def _qfacts(q: DataFrame) -> DataFrame:
@@ -143,6 +156,8 @@ def equal_multi_end(q: DataFrame, facts: DataFrame, last: bool, order: str = "ti
     """"first" or "last" at a time: exactly one fact of the period."""
     asked = q.where("qtype = 'equal_multi' and low not like '%the same%'")
     asked = asked.where("low like '%last%' and low not like '%first%'" if last else "low like '%first%'")
+    if order == "time":
+        return _shape(_number(_of_pool(asked, facts, "one", F.col("t"), F.lit(0), F.lit(last))))
     found = _one_sided(asked, facts, order, matches(F.col("fd"), F.col("t"), F.col("time_level")))
     return _shape(_number(found, limit=1, descending=last))
 
@@ -156,6 +171,8 @@ def first_last_time(q: DataFrame, facts: DataFrame, order: str = "time") -> Data
 def first_last_entity(q: DataFrame, facts: DataFrame, order: str = "time") -> DataFrame:
     """One end known: the pool's facts on its first or last day."""
     asked = q.where("qtype = 'first_last' and answer_type = 'entity' and (low like '%first%' or low like '%last%')")
+    if order == "time":
+        return _shape(_number(_of_pool(asked, facts, "day", F.lit(None).cast("date"), F.lit(None), ~F.col("low").contains("first"))))
     return _shape(_number(_end(_one_sided(asked, facts, order), order)))
 
 
@@ -185,6 +202,8 @@ def before_after(q: DataFrame, facts: DataFrame, limit: int = 10, order: str = "
     """The first ``limit`` pool facts strictly before or after the boundary at the level; "before" wins."""
     asked = q.where("qtype = 'before_after' and (low like '%before%' or low like '%after%')")
     side = F.when(F.col("low").contains("before"), F.lit(-1)).otherwise(F.lit(1))
+    if order == "time":
+        return _shape(_number(_of_pool(asked, facts, "few", F.col("boundary"), side, limit=limit)))
     return _shape(_number(_one_sided(asked, facts, order, compare(F.col("fd"), F.col("boundary"), F.col("time_level")) == side), limit))
 
 
@@ -194,9 +213,10 @@ def strict_as_of(q: DataFrame, facts: DataFrame, order: str = "time") -> DataFra
     The period is cut at the level, the day is not."""
     asked = q.where("qtype in ('before_last', 'after_first') and ((low like '%before%' and low like '%last%') or (low like '%after%' and low like '%first%'))")
     before = F.col("low").contains("before") & F.col("low").contains("last")
-    rows = _one_sided(asked.withColumn("before_", before), facts, order, compare(F.col("fd"), F.col("boundary"), F.col("time_level")) == F.when(F.col("before_"), F.lit(-1)).otherwise(F.lit(1)))
+    side = F.when(before, F.lit(-1)).otherwise(F.lit(1))
     if order == "time":
-        return _shape(_number(_extreme(rows, F.col("before_"))))
+        return _shape(_number(_of_pool(asked, facts, "day", F.col("boundary"), side)))
+    rows = _one_sided(asked.withColumn("before_", before), facts, order, compare(F.col("fd"), F.col("boundary"), F.col("time_level")) == side)
     w = W.partitionBy("quid", "rel")
     end = F.when(F.col("before_"), F.max_by("fd", "ord").over(w)).otherwise(F.min_by("fd", "ord").over(w))
     return _shape(_number(rows.withColumn("end_day", end).where("fd = end_day").drop("end_day")))
@@ -261,28 +281,17 @@ def _fused(q: DataFrame, facts: DataFrame, entities: DataFrame, limit: int, comp
 
     f = facts.select(F.col("s").alias("fs"), F.col("r").alias("fr"), F.col("o").alias("fo"), F.col("d").alias("fd"), F.col("ts").alias("fts"), "line_no")
     asked = q.where("takes is not null and not nothing").select("quid", "cand_rank", "rel", "s", "o", "takes", "answer_type", "time_level", "at", "side", "take_last")
-    sub = asked.where("s is not null and o is null and answer_type = 'entity' or (s is not null and o is null and takes = 'few')")
-    obj = asked.where("o is not null and s is null and answer_type = 'entity' or (o is not null and s is null and takes = 'few')")
+    one = asked.where("(s is null) <> (o is null) and (answer_type = 'entity' or takes = 'few')").withColumn("take_last", F.coalesce("take_last", F.lit(False)))
     both = asked.where("s is not null and o is not null and answer_type = 'time' and side is null")
-    timed = f.where("fts is not null")
-    rows = (
-        sub.join(timed, (F.col("s") == F.col("fs")) & (F.col("rel") == F.col("fr")))
-        .unionAll(obj.join(timed, (F.col("o") == F.col("fo")) & (F.col("rel") == F.col("fr"))))
-        .unionAll(both.join(f, (F.col("s") == F.col("fs")) & (F.col("rel") == F.col("fr")) & (F.col("o") == F.col("fo"))).where("takes = 'lines' or fts is not null"))
-    )
-    hit = F.when(F.col("side").isNull(), F.lit(True)).when(F.col("side") == 0, matches(F.col("fd"), F.col("at"), F.col("time_level"))).otherwise(compare(F.col("fd"), F.col("at"), F.col("time_level")) == F.col("side"))
-    rows = rows.where(hit)
-    line = F.when(F.col("takes") == "lines", F.lit(None)).otherwise(F.col("fts"))
-    day = F.datediff("fd", F.lit("1970-01-01").cast("date"))
-    sign = F.when(F.col("take_last"), F.lit(-1)).otherwise(F.lit(1))
-    # The rank key: the day, for one fact also its time and line; nothing where all are taken.
-    second = F.hour("fts") * 3600 + F.minute("fts") * 60 + F.second("fts")
-    keyed = rows.select(
-        "*", line.alias("by_time"), F.when(F.col("takes").isin("day", "one"), day * sign).alias("k1"), F.when(F.col("takes") == "one", second * sign).alias("k2"), F.when(F.col("takes") == "one", F.col("line_no") * sign).alias("k3")
-    )
+    pairs = both.join(f, (F.col("s") == F.col("fs")) & (F.col("rel") == F.col("fr")) & (F.col("o") == F.col("fo"))).where("takes = 'lines' or fts is not null")
+    # All facts of a pair ("lines"), or those of its first or last day.
+    day = F.datediff("fd", F.lit("1970-01-01").cast("date")) * F.when(F.col("take_last"), F.lit(-1)).otherwise(F.lit(1))
     w = W.partitionBy("quid", "rel")
-    best = keyed.withColumn("rk", F.rank().over(w.orderBy("k1", "k2", "k3"))).where("rk = 1")
-    numbered = best.withColumn("pos", F.row_number().over(w.orderBy("by_time", "line_no")).cast("int")).where((F.col("takes") != "few") | (F.col("pos") <= limit))
+    pairs = pairs.withColumn("rk", F.rank().over(w.orderBy(F.when(F.col("takes") == "day", day)))).where("rk = 1")
+    columns = ["quid", "cand_rank", "rel", "takes", "fs", "fr", "fo", "fd", "fts", "line_no"]
+    rows = pool_rows(one, facts, limit).select(*columns).unionAll(pairs.select(*columns))
+    line = F.when(F.col("takes") != "lines", F.col("fts"))
+    numbered = rows.withColumn("pos", F.row_number().over(w.orderBy(line, "line_no")).cast("int"))
     return united(_shape(numbered), _qfacts(anchored))
 
 

@@ -16,8 +16,10 @@ from ..config import EngineConfig
 from ..functions.models import generate
 from ..functions.temporal import kappa, parse_iso, parse_text_date, render_sentence
 from ..functions.text import CUES, infer_cue, none_to_null, normalise_answer, question_reference, strip_fences
+from ..sources.scratch import stored
 from .union import united
 
+# The shape of a fact sentence.
 SENTENCE = r"^(.+)\s+in\s+(\d{4}-\d{2}-\d{2})\s*$"
 KEEPS_EARLIEST = ("after", "first")
 
@@ -220,9 +222,9 @@ def select_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
 
     A verdict (quid, accepted) is asked for where representatives outnumber the selection by more
     than ``verify_ratio``: of a table, or of a verifier that is given both sets of these questions.  Without one the
-    smaller set is not accepted."""
-    reps = stage1(facts, cues, config.delta_days)
-    chosen = stage2(reps, targets)
+    smaller set is not accepted.  Representatives and selection, which all that follows reads, are written as tables."""
+    reps = stored(stage1(facts, cues, config.delta_days))
+    chosen = stored(stage2(reps, targets))
     n = facts.join(cues.select("quid"), "quid", "left_semi").groupBy("quid").agg(F.count("*").alias("n_input"))
     d = reps.groupBy("quid").agg(F.count("*").alias("n_dedup"))
     c = chosen.groupBy("quid").agg(F.count("*").alias("n_select"))
@@ -246,10 +248,11 @@ def filter_evidence(facts: DataFrame, cues: DataFrame, config: EngineConfig = En
     """(final facts, counts): sets above the trigger are reduced and selected, others pass unchanged.
 
     counts: quid, original_fact_num, final_fact_num, triggered, filtered."""
-    gate = trigger_gate(facts, config).select("quid", "n", "triggered")
-    hot = facts.join(gate.where("triggered").select("quid"), "quid", "left_semi")
+    gate = stored(trigger_gate(facts, config).select("quid", "n", "triggered"))
+    marked = stored(facts.join(gate.select("quid", "triggered"), "quid"))
+    hot = marked.where("triggered").drop("triggered")
     selected, _ = select_evidence(prededup_or_all(hot, cues), cues, config, targets, verdicts)
-    cold = facts.join(gate.where("not triggered").select("quid"), "quid", "left_semi")
+    cold = marked.where("not triggered")
     final = united(selected.select("quid", F.col("out_pos").alias("pos"), "s", "r", "o", "d"), cold.select("quid", "pos", "s", "r", "o", "d"))
     tally = gate.select("quid", "n", "triggered", F.lit(0).alias("m")).unionAll(final.select("quid", F.lit(None).cast("long"), F.lit(None).cast("boolean"), F.lit(1)))
     counts = tally.groupBy("quid").agg(F.max("n").cast("int").alias("original_fact_num"), F.sum("m").cast("int").alias("final_fact_num"), F.max("triggered").alias("triggered"))

@@ -31,10 +31,10 @@ def global_entities(spark, sf_dir):
     return evidence.global_entities(V.questions(spark, sf_dir))
 
 
-@query("semantic_to_tab", f"WITH {V.FACTS_EV} SELECT line_no // 100 AS quid, CAST(line_no % 100 AS INTEGER) AS pos, s, r, o, d FROM facts WHERE line_no % 7 = 0")
+@query("semantic_to_tab", f"WITH {V.FACTS_EV} SELECT line_no // 100 AS quid, CAST(line_no % 100 AS INTEGER) AS pos, s, r, o, d FROM facts")
 def semantic_to_tab(spark, sf_dir):
     f = V.facts_ev(spark, sf_dir)
-    hits = f.where("line_no % 7 = 0").select(F.expr("line_no div 100").alias("quid"), (F.col("line_no") % 100).cast("int").alias("rank"), F.col("line_no").alias("fact_id"))
+    hits = f.select(F.expr("line_no div 100").alias("quid"), (F.col("line_no") % 100).cast("int").alias("rank"), F.col("line_no").alias("fact_id"))
     return evidence.facts_of_ids(hits, f)
 
 
@@ -161,7 +161,7 @@ def prededup_sro(spark, sf_dir):
     return evidence.prededup(V.pools(spark, sf_dir), V.pool_cues(spark, sf_dir)).drop("class_pos")
 
 
-@query("prededup_fallback", f"{V.POOLS}, {PREDEDUP} SELECT * FROM pre UNION ALL SELECT * FROM pool WHERE quid NOT IN (SELECT quid FROM pre)")
+@query("prededup_fallback", f"{V.POOLS}, {PREDEDUP} SELECT * FROM pre UNION ALL SELECT * FROM pool WHERE NOT EXISTS (FROM pre WHERE pre.quid = pool.quid)")
 def prededup_fallback(spark, sf_dir):
     return evidence.prededup_or_all(V.pools(spark, sf_dir), V.pool_cues(spark, sf_dir))
 
@@ -177,7 +177,7 @@ def _stages(pool: str) -> str:
  fd AS (SELECT quid, pos, s, r, o, d, cue, anchor, target, CAST(row_number() OVER (PARTITION BY quid ORDER BY d, pos) AS INTEGER) AS out_pos FROM ranked WHERE k = 1),
  cov AS (SELECT * FROM fd WHERE {_OK}),
  broken AS (SELECT quid FROM cov GROUP BY quid HAVING count(*) > 1 AND bool_or(target IS NOT NULL AND r <> target)),
- fc AS (SELECT * FROM cov WHERE quid NOT IN (SELECT quid FROM broken) UNION ALL SELECT * FROM fd WHERE quid IN (SELECT quid FROM broken))"""
+ fc AS (SELECT * FROM cov WHERE NOT EXISTS (FROM broken WHERE broken.quid = cov.quid) UNION ALL SELECT * FROM fd WHERE quid IN (SELECT quid FROM broken))"""
 
 
 @query("stage1_dedup", f"{V.POOLS}, {_stages('pool')} SELECT quid, pos, s, r, o, d, out_pos FROM fd")
@@ -220,7 +220,7 @@ def csef_stats(spark, sf_dir):
 @query(
     "csef_batch",
     f"""{V.POOLS}, {_stages('pool')}, {STATS.format(pool='pool')}, refused AS (SELECT quid FROM stats WHERE n_select > 0 AND CAST(n_dedup AS DOUBLE) / n_select > 3)
- SELECT quid, out_pos, s, r, o, d FROM fc WHERE quid NOT IN (SELECT quid FROM refused) UNION ALL SELECT quid, out_pos, s, r, o, d FROM fd WHERE quid IN (SELECT quid FROM refused)""",
+ SELECT quid, out_pos, s, r, o, d FROM fc WHERE NOT EXISTS (FROM refused WHERE refused.quid = fc.quid) UNION ALL SELECT quid, out_pos, s, r, o, d FROM fd WHERE quid IN (SELECT quid FROM refused)""",
 )
 def csef_batch(spark, sf_dir):
     cues = V.pool_cues(spark, sf_dir)
@@ -228,10 +228,10 @@ def csef_batch(spark, sf_dir):
     return final.select("quid", "out_pos", "s", "r", "o", "d")
 
 
-FILTERED = f"""{TRIGGER}, {PREDEDUP}, hot AS (SELECT * FROM pre UNION ALL SELECT * FROM pool WHERE quid NOT IN (SELECT quid FROM pre)),
+FILTERED = f"""{TRIGGER}, {PREDEDUP}, hot AS (SELECT * FROM pre UNION ALL SELECT * FROM pool WHERE NOT EXISTS (FROM pre WHERE pre.quid = pool.quid)),
  live AS (SELECT hot.* FROM hot JOIN gate USING (quid) WHERE gate.score > 0.75), {_stages('live').replace('SELECT p.*, cue, anchor, target,', 'SELECT p.*, cue, anchor, CAST(NULL AS VARCHAR) AS target,')},
  {STATS.format(pool='live')}, refused AS (SELECT quid FROM stats WHERE n_select > 0 AND CAST(n_dedup AS DOUBLE) / n_select > 3),
- final AS (SELECT quid, out_pos AS pos, s, r, o, d FROM fc WHERE quid NOT IN (SELECT quid FROM refused) UNION ALL SELECT quid, out_pos, s, r, o, d FROM fd WHERE quid IN (SELECT quid FROM refused)
+ final AS (SELECT quid, out_pos AS pos, s, r, o, d FROM fc WHERE NOT EXISTS (FROM refused WHERE refused.quid = fc.quid) UNION ALL SELECT quid, out_pos, s, r, o, d FROM fd WHERE quid IN (SELECT quid FROM refused)
   UNION ALL SELECT pool.quid, pool.pos, s, r, o, d FROM pool JOIN gate USING (quid) WHERE gate.score <= 0.75)"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,13 +107,14 @@ def run(
     step("empty", lambda: retrieve.empty_questions(q, found))
     semantic = step("semantic", lambda: vector.search_vectors(q, known, config.semantic_top_k, encoder, index=index).select("quid", "rank", "fact_id", "score", "fact"))
     if causal:
-        pool = evidence.facts_of_ids(semantic, facts)
-        lookup = q.select("quid", "cue", "time", "reference_target")
-        cues = evidence.infer_cue_and_anchor(q, lookup, pool)
-        verdicts = evidence.trace_verifier(q, generator) if generator is not None and config.verify else None
-        kept, counts = evidence.filter_evidence(pool, cues, config, verdicts=verdicts)
-        kept = step("evidence", lambda: kept)
-        counts = step("counts", lambda: counts)
+        with scratch_scope() if out else nullcontext():
+            pool = evidence.facts_of_ids(semantic, facts)
+            lookup = q.select("quid", "cue", "time", "reference_target")
+            cues = evidence.infer_cue_and_anchor(q, lookup, pool)
+            verdicts = evidence.trace_verifier(q, generator) if generator is not None and config.verify else None
+            kept, counts = evidence.filter_evidence(pool, cues, config, verdicts=verdicts)
+            kept = step("evidence", lambda: kept)
+            counts = step("counts", lambda: counts)
         filtered = kept.join(counts.select("quid", "triggered"), "quid").select("quid", "pos", render_sentence(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"), "triggered")
     else:
         filtered = semantic.limit(0).select("quid", F.lit(1).alias("pos"), "fact", F.lit(False).alias("triggered"))

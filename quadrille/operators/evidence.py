@@ -43,7 +43,7 @@ def facts_of_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     (``entities``: name, in lower case) that does, else the last word with a bracket behind it.
     Without all three: first word, middle, last word; fewer than three words give no row.
 
-    Known entities are found by an equi-join on the rest's suffixes, not by comparing all."""
+    Known entities are found by an equi-join on the rest's ends of a known name's length, not by comparing all."""
     text = F.trim("fact")
     base = sentences.select("quid", "pos", F.trim(F.regexp_extract(text, SENTENCE, 1)).alias("sro"), F.to_date(F.nullif(F.regexp_extract(text, SENTENCE, 2), F.lit(""))).alias("d"), "entities").where("d is not null")
     usable = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: e.isNotNull() & (e != "") & (e != "None"))
@@ -54,7 +54,10 @@ def facts_of_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     own = F.get(F.filter("cands", lambda e: (F.lower(e) != F.lower(F.col("ent"))) & F.lower("rest").endswith(F.lower(e))), F.lit(0))
     heads = heads.withColumn("own", own)
     low = F.lower("rest")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda i: F.substr(low, i)))
+    # Ends as long as some known name: their number does not grow with the text.
+    lengths = sorted(r.n for r in entities.select(F.length("name").alias("n")).distinct().collect() if r.n)
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("rest"))
+    suffix = F.explode(F.transform(fitting, lambda n: F.right(low, n)))
     known = heads.where("own is null and rest <> ''").select("quid", "pos", "k", suffix.alias("name")).join(entities, "name").groupBy("quid", "pos", "k").agg(F.max(F.length("name")).alias("n"))
     last = F.regexp_extract("rest", r"(\S+\s*\([^)]+\)|\S+)\s*$", 1)
     tail = F.when(F.col("own").isNotNull(), F.length("own")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.length(last))

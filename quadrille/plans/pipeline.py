@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import dataclass, replace
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.models import Generator, generate
+from ..functions.models import Generator, generate, with_rates
 from ..functions.temporal import render_sentence
 from ..operators import answer, evaluate, evidence, ground, retrieve, understand, vector
 from ..sources import files
 from ..sources.scratch import scratch_scope
 
+log = logging.getLogger(__name__)
+
 #: Steps by number (from 1) and the tables that each makes.
 STEPS = {
     "understand": ("entities", "relations", "mismatches", "arbitration_errors", "questions"),
@@ -55,7 +58,7 @@ def run(
     tables: dict[str, DataFrame] = {}
     number = {table: k for k, made in enumerate(STEPS.values(), 1) for table in made}
 
-    def step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def step(name: str, build: Callable[[], DataFrame], rated: bool = False) -> DataFrame:
         if out and number[name] < start_step:
             tables[name] = spark.read.parquet(files.current_version(spark, f"{out}/{name}"))
             return tables[name]
@@ -63,7 +66,11 @@ def run(
             with scratch_scope():
                 df = build()
                 path = files.new_version(spark, f"{out}/{name}")
-                files.write_results(df, path)
+                if rated:
+                    rates = with_rates(df, lambda x: files.write_results(x, path))
+                    log.info("%s: %d, %d without an answer, in %.1f s, %.2f a second", name, rates["total"], rates["failed"], rates["seconds"], rates["per_second"])
+                else:
+                    files.write_results(df, path)
             df = spark.read.schema(df.schema).parquet(path)
         else:
             df = build()
@@ -124,7 +131,7 @@ def run(
         if generator is None:
             usable = found.where("kind = 'retrieved'").select("quid", "s", "o", "d")
             return answer.predictions(q, usable).withColumn("answerer", F.lit("extractive"))
-        replies = step("replies", lambda: generate(answer.prompts(q, shown_facts), generator))
+        replies = step("replies", lambda: generate(answer.prompts(q, shown_facts), generator), rated=True)
         shown = q.select("quid", "question", "qtype", "qlabel", "answer_type", F.col("answers").alias("ground_truth"), "time_level")
         return shown.join(answer.parse_answers(replies), "quid").withColumn("answerer", F.lit(config.answerer))
 

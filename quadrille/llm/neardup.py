@@ -2,15 +2,15 @@
 
 Each text becomes its set of distinct word shingles and a vector of ``WIDTH``
 minwise tokens.  A tree's root chooses two positions of that vector and sends each
-set to one node per position, keyed by its token there; a node of more than
-``small`` sets chooses positions anew by a hash of its path and branches again: on
-average (1 + 2 / level) / similarity of them, at most two, so that a similar pair stays
-together more than once on average and is not lost level by level.  Sets of a small
-node are compared exhaustively.  ``trees`` independent trees are grown at once: two
-sets of similarity s share none of the first level's nodes with probability
-(1 - s) ** (2 * trees), 6e-8 at 0.75 and six trees.  That they share no small node is
-2e-4 after 8 more levels, 1.3e-3 after 16 and 4.6e-3 after 24 (calculated for
-positions chosen independently, over the spread of agreement on 64 tokens).
+set to one node per position, keyed by its token there.  ``trees`` independent trees are grown
+at once: two sets of similarity s share none of the first nodes with probability
+(1 - s) ** (2 * trees), 6e-8 at 0.75 and six trees.  Sets of a small node, of at most ``small`` sets, are compared
+exhaustively.  Sets of a larger node (a template, say) part in two ways:
+
+* at once, by every other position at which a set's token is rare, held by at most ``RARE`` of these: those that share it are a
+  small node.  (Not the sets of a star, below, which are alike.)  Against a background of similarity b a pair of similarity s shares about ``WIDTH`` * (s - b) of these;
+* level by level: a node chooses positions anew by a hash of its path and branches again, until its parts are small.  The first
+  levels choose two positions, as long as a set is then in no more than ``ROWS`` nodes, later ones one.
 
 What keeps it linear on groups of copies of any size:
 
@@ -37,12 +37,17 @@ from .session import checkpointed, discard
 from .words import mix, shingle_sets, word_hashes
 
 WIDTH = 64
+#: Nodes of a level that a set may be in.
+ROWS = 64
 #: At most so many sets are compared exhaustively: what one task holds at a time.
 SMALL = 2048
-#: A pair below this share of equal minwise tokens is not looked at on full sets: at
-#: similarity 0.75 and 64 tokens that is 4.6 standard deviations.
+#: A pair whose share of equal minwise tokens is by so many standard deviations below the similarity is not looked at on full sets.
 SKETCH_MARGIN = 4.6
 STAR_EVERY = 4
+#: A token that so many sets of large nodes have is rare.
+RARE = 64
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
 #: Members that stand for a large node's group, and members compared with them in one part.
 HUBS = 4
 STAR_PART = 512
@@ -86,11 +91,14 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             sig = _minwise([s for s in sets if len(s)])
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, WIDTH, 0))])
             own = [batch.column(c).slice(first, len(sets)) for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), offsets)], ["doc_id", "text_key", "n_shingles", "k1", "k2", "sig"])
+            sketch = iter(sig.astype(np.uint8))
+            sketches = pa.array([next(sketch).tobytes() if x else b"" for x in n.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(k1), pa.array(k2), _lists(sig.reshape(-1), offsets), sketches], ["doc_id", "text_key", "n_shingles", "k1", "k2", "sig", "sketch"])
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, the set's digest (k1, k2) and its ``WIDTH`` minwise tokens.
+    """doc_id, text_key (a hash of the text), n_shingles, the set's digest (k1, k2), its ``WIDTH`` minwise tokens (sig) and their
+    last bytes (sketch), by which a pair is looked at the first time.
 
     A null or wordless text has no shingles and no tokens."""
 
@@ -99,7 +107,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield from _sign(batches, shingle)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<int>, sketch binary")
 
 
 def full_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
@@ -197,6 +205,10 @@ def _edges(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, WIDTH)
+
+
 def _tokens(table: pa.Table) -> np.ndarray:
     return table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, WIDTH)
 
@@ -217,7 +229,7 @@ def _plausible(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.Rec
     that a group that many nodes hold has one name."""
     with np.errstate(over="ignore"):
         for table in _nodes(batches, "path"):
-            v, sig, edge = table.column("v").to_numpy(), _tokens(table), _edges(table.column("path").to_numpy())
+            v, sig, edge = table.column("v").to_numpy(), _sketches(table), _edges(table.column("path").to_numpy())
             size = np.diff(edge)
             two = edge[:-1][size == 2]
             two = two[(sig[two] == sig[two + 1]).mean(axis=1) >= cut]
@@ -283,24 +295,36 @@ def _in_blocks(rows: DataFrame, small: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.lit(max(1, small // 4))).cast("int")
     mine = F.pmod(F.xxhash64("v", F.lit(3)), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("path", F.least(b, F.col("mine")), F.greatest(b, F.col("mine"))))
-    return rows.withColumn("blocks", blocks).withColumn("mine", mine).select(F.explode(others).alias("path"), "v", "sig")
+    return rows.withColumn("blocks", blocks).withColumn("mine", mine).select(F.explode(others).alias("path"), "v")
 
 
 def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 6, small: int = SMALL, max_depth: int = 24, shingle: int = 5) -> DataFrame:
     """Links (a, b) that connect whatever a chosen-path join finds alike.
 
-    ``groups``: one row (v, doc, k1, k2, sig) for each different set, ``v`` its number and ``doc`` a document
+    ``groups``: one row (v, doc, k1, k2, sig, sketch) for each different set, ``v`` its number and ``doc`` a document
     that has it; ``docs``: (doc_id, text).  Links between members that a node's other links connect
     are left out, no others.  Branching needs tokens alone, so full sets are made once, for the sets
-    that agree with another on enough tokens, and met once for all levels.  A large node all of whose members agree with
+    that agree with another on enough tokens, and met once for all levels.  Rows of a level are a path and a number; tokens
+    are joined where they are looked at.  A large node all of whose members agree with
     one of its hubs waits as a star for the full sets; if some member is like no hub, it branches on and is not
     tried again for ``STAR_EVERY`` levels.  What is still large after ``max_depth`` levels is compared in pairs of blocks.
     """
     share = percent / 100
     cut = share - SKETCH_MARGIN * (share * (1 - share) / WIDTH) ** 0.5
-    roots = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("t")) for i in range(min(WIDTH, 2 * trees))])
-    rooted = groups.select("v", F.explode(roots).alias("x")).select("v", F.xxhash64("x.i", "x.t").alias("path"))
-    level = checkpointed(_shared(rooted, small).join(groups.select("v", "sig"), "v").withColumn("lev", F.lit(1)).withColumn("hold", F.lit(1)))
+    n_roots = min(WIDTH, 2 * trees)
+    sketches = groups.select("v", "sketch")
+
+    def level_of(rows: DataFrame, lev) -> DataFrame:
+        return checkpointed(_shared(rows, small).withColumn("lev", lev).withColumn("hold", F.lit(1)))
+
+    level = level_of(_at_positions(groups, range(n_roots)), F.lit(1))
+    large = level.where(F.col("n") > small)
+    wide: DataFrame | None = None
+    rare: DataFrame | None = None
+    if not large.isEmpty():
+        members = checkpointed(large.select("v").distinct())
+        wide = checkpointed(groups.select("v", "sig").join(_bounded(members), "v", "left_semi"))
+        discard(members)
     links: list[DataFrame] = []
     written: list[DataFrame] = []
     sets: DataFrame | None = None
@@ -308,24 +332,28 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
         found: list[DataFrame] = []
         stars: list[DataFrame] = []
         while level is not None:
-            few = level.where(F.col("n") <= small).select("path", "v", "sig")
+            few = level.where(F.col("n") <= small).select("path", "v")
             deep = level.where((F.col("n") > small) & (F.col("lev") >= max_depth))
-            near = _dealt(few.unionAll(_in_blocks(deep, small)), "path").mapInArrow(lambda b: _plausible(b, cut), "key long, v long")
+            few = _united([x for x in (few, _in_blocks(deep, small), rare) if x is not None])
+            near = _dealt(few.join(sketches, "v"), "path").mapInArrow(lambda b: _plausible(b, cut), "key long, v long")
             found.append(checkpointed(near.distinct()))
+            discard(rare)
             many = level.where((F.col("n") > small) & (F.col("lev") < max_depth))
-            star, many = (None, None) if many.isEmpty() else _stars(many, cut)
+            star, many = (None, None) if many.isEmpty() else _stars(many, wide, cut)
             if star is not None:
                 stars.append(star)
-            step = None if many is None else _branched(many, share, small)
+            step = None if many is None else _branched(many, wide, n_roots, small)
+            rare = None if many is None else _rare(many, wide, n_roots, small)
             discard(level, many)
             level = step
         keyed = found[0] if len(found) == 1 else _united(found).distinct()
         starred = _united(stars) if stars else None
         if sets is None:
             active = keyed.select("v") if starred is None else keyed.select("v").unionAll(starred.select("v"))
-            wanted = groups.select("v", "doc", "k1", "k2").join(active.distinct(), "v", "left_semi")
+            wanted = checkpointed(groups.select("v", "doc", "k1", "k2").join(active.distinct(), "v", "left_semi"))
             texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-            sets = checkpointed(full_sets(texts.join(wanted, "doc").select("v", "k1", "k2", "text"), shingle))
+            sets = checkpointed(full_sets(texts.join(_bounded(wanted), "doc").select("v", "k1", "k2", "text"), shingle))
+            discard(wanted)
         met = _dealt(keyed.join(sets, "v").select("key", "v", "sig", "members"), "key")
         written.append(checkpointed(met.mapInArrow(lambda b: _compare_sorted(b, percent, cut), "a long, b long")))
         links.append(written[-1])
@@ -337,27 +365,51 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
             paths = starred.join(open_, ["star", "v"], "left_semi").select("path").distinct()
             going = starred.join(paths, "path", "left_semi")
             if not going.isEmpty():
-                level = _branched(going.withColumn("hold", F.col("lev") + STAR_EVERY), share, small)
+                level = _branched(going.withColumn("hold", F.col("lev") + STAR_EVERY), wide, n_roots, small)
+                rare = _rare(going, wide, n_roots, small)
         discard(*found, *stars)
     out = checkpointed(_united(links).distinct())
-    discard(sets, *written)
+    discard(sets, wide, *written)
     return out
 
 
-def _stars(many: DataFrame, cut: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Large nodes that may be stars (with the star's number and hubs), and the others.
+def _bounded(rows: DataFrame) -> DataFrame:
+    """To be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _rare(many: DataFrame, wide: DataFrame, n_roots: int, small: int) -> DataFrame | None:
+    """(path, v): for the sets of some large nodes of the first level, nodes of the rare tokens at positions that no root has; none for
+    later levels, whose sets were all in these."""
+    first = many.where("lev = 1")
+    if first.isEmpty():
+        return None
+    own = wide.join(first.select("v").distinct(), "v", "left_semi")
+    return checkpointed(_shared(_at_positions(own, range(n_roots, WIDTH)), small).where(F.col("n") <= min(small, RARE)).select("path", "v"))
+
+
+def _at_positions(rows: DataFrame, positions: range) -> DataFrame:
+    """(v, path): each set (v, sig) in a node for each of some positions and its token there."""
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", i + 1).alias("t")) for i in positions])
+    return rows.select("v", F.explode(places).alias("x")).select("v", F.xxhash64("x.i", "x.t").alias("path"))
+
+
+def _stars(many: DataFrame, wide: DataFrame, cut: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Large nodes that may be stars (with the star's number and hubs), and the others; ``wide``: their members' tokens (v, sig).
 
     Hubs are a node's first members in each of ``HUBS`` hash orders, so nodes with the same group have the
     same hubs and are one star."""
     tried = many.where("lev >= hold")
     order = [F.xxhash64("v", F.lit(k), F.expr(f"lev div {STAR_EVERY}")) for k in range(HUBS)]
-    hubs = tried.groupBy("path").agg(F.array_distinct(F.array(*[F.min_by(F.struct("v", "sig"), o) for o in order])).alias("hubs"))
+    chosen = tried.groupBy("path").agg(F.array_distinct(F.array(*[F.min_by("v", o) for o in order])).alias("hubs"))
+    hubs = chosen.select("path", F.explode("hubs").alias("v")).join(wide, "v").groupBy("path").agg(F.collect_list(F.struct("v", "sig")).alias("hubs"))
 
     def agreed(sig):
         return F.aggregate(F.zip_with("sig", sig, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
     like = F.exists("hubs", lambda h: agreed(h["sig"]) >= cut * WIDTH)
-    rows = checkpointed(many.join(hubs, "path", "left").select("path", "v", "sig", "n", "lev", "hold", F.col("hubs.v").alias("hubs"), F.coalesce(like, F.lit(False)).alias("like")))
+    with_tokens = many.join(hubs, "path", "left").join(wide, "v")
+    rows = checkpointed(with_tokens.select("path", "v", "n", "lev", "hold", F.col("hubs.v").alias("hubs"), F.coalesce(like, F.lit(False)).alias("like")))
     alike = rows.groupBy("path").agg(F.min("like").alias("whole"))
     parted = checkpointed(rows.drop("like").join(alike, "path").withColumn("star", F.xxhash64(F.array_sort("hubs"))))
     discard(rows)
@@ -366,13 +418,23 @@ def _stars(many: DataFrame, cut: float) -> tuple[DataFrame | None, DataFrame | N
     return None if star.isEmpty() else star, None if other.isEmpty() else other
 
 
-def _branched(rows: DataFrame, share: float, small: int) -> DataFrame:
-    """The next level: one position, and a second one with the chance that makes it the average of this level."""
+def _growth(n_roots: int) -> list[float]:
+    """By how much rows grow from level to level, from the first on, until a set is in ``ROWS`` nodes; then they grow no more."""
+    out, rows = [], float(n_roots)
+    while rows < ROWS:
+        out.append(min(2.0, ROWS / rows))
+        rows *= out[-1]
+    return out
+
+
+def _branched(rows: DataFrame, wide: DataFrame, n_roots: int, small: int) -> DataFrame:
+    """The next level: one position, and a second one with the chance that makes the level's growth."""
     one, two = (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(WIDTH)).cast("int") for k in (0, 1))
-    more = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1000)) < F.round(1000 * ((1 + 2 / F.col("lev")) / share - 1))
+    growth = F.coalesce(F.get(F.array(*[F.lit(x) for x in [*_growth(n_roots), 1.0]]), F.col("lev") - 1), F.lit(1.0))
+    more = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1000)) < F.round(1000 * (growth - 1))
     first, second = (F.xxhash64("path", i, F.get("sig", i)) for i in (one, two))
     paths = F.when(more & (one != two), F.array(first, second)).otherwise(F.array(first))
-    children = checkpointed(rows.select("v", "sig", (F.col("lev") + 1).alias("lev"), "hold", F.explode(paths).alias("path")))
+    children = checkpointed(rows.select("v", "path", "lev", "hold").join(wide, "v").select("v", (F.col("lev") + 1).alias("lev"), "hold", F.explode(paths).alias("path")))
     out = checkpointed(_shared(children, small))
     discard(children)
     return out
@@ -428,7 +490,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int
     signed = checkpointed(signatures(docs, shingle))
     key = ["k1", "k2", "n_shingles"]
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    grouped = filled.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    grouped = filled.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     groups = checkpointed(grouped.withColumn("v", F.monotonically_increasing_id()))
     links = similar_links(groups, docs, percent=percent, trees=trees, small=small, max_depth=max_depth, shingle=shingle)
     labels = connected_components(links)
@@ -440,7 +502,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, trees: int
     # Written first, so that a set with very many copies is a skewed join of two tables, which Spark splits.
     single = checkpointed(single)
     discard(named, groups)
-    out = signed.drop("sig").join(single, key, "left")
+    out = signed.drop("sig", "sketch").join(single, key, "left")
     known = F.col("doc_id").isNotNull()
     component = F.when(known, F.coalesce("least", "doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(known, F.col("group_id")).alias("group_id"))

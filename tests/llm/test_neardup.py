@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from llm_helpers import sentence
 
 from quadrille.llm import neardup
@@ -103,6 +104,30 @@ def test_pairs_of_one_template_stay_together_over_many_levels(spark):
     check(df, small=16, trees=6)
 
 
+@pytest.mark.parametrize(("background", "shared", "same"), [(0.5, 64, 18), (0.6, 94, 13), (0.7, 144, 6)])
+def test_rows_of_a_large_template_are_bounded_and_its_pairs_found(spark, monkeypatch, background, shared, same):
+    """1,200 texts of one template, nodes of 25 (as 100,000 to 2,048), 100 pairs just above 0.75 among them."""
+    rng, texts = random.Random(shared), []
+    head = sentence(rng, shared)
+    for _ in range(100):
+        own = sentence(rng, 30).split()
+        texts += [" ".join([head, *own]), " ".join([head, *own[:same], sentence(rng, 30 - same)])]
+    texts += [" ".join([head, sentence(rng, 30)]) for _ in range(1000)]
+    like = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert 0.75 <= like(texts[0], texts[1]) < 0.77 and abs(like(texts[0], texts[2]) - background) < 0.01
+    rows, branched = [], neardup._branched
+
+    def counted(*args):
+        out = branched(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_branched", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=25).collect()}
+    assert sum(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(100)) >= 99
+    assert all(got[i] == i for i in range(200, 1200)) and rows and max(rows) <= 64 * 1200
+
+
 def test_components_of_paths_and_hubs(spark, monkeypatch):
     from quadrille.llm import components
 

@@ -43,7 +43,7 @@ class Inputs:
 
 def run(
     inputs: Inputs, config: EngineConfig = EngineConfig(), start_step: int = 1, causal: bool = True, out: str | None = None, generator: Callable[[], Generator] | None = None,
-    encoder: vector.Encoder | None = None, understand_questions: bool = False, encoder_name: str | None = None,
+    encoder: vector.Encoder | None = None, understand_questions: bool = False, encoder_name: str | None = None, evidence_source: str = "semantic",
 ) -> dict[str, DataFrame]:
     """All steps as lazy tables by name; with ``out`` each is written there, as a new version of the table, and read
     again, and ``start_step`` takes the newest complete versions of earlier steps from there.  The tables of the run
@@ -53,7 +53,7 @@ def run(
     graph: with ``out``, the fact table clustered by year, the facts' vectors and an index of them, all kept for later runs; a
     text that the encoder has met in an earlier run is not encoded again (an encoder of one's own needs a name for that).
     retrieve: candidates (relations for each question), retrieved (graph facts), empty (questions without), semantic.
-    filter: evidence, counts.  answer: facts, predictions.  evaluate: scores, wrong."""
+    filter: evidence, counts; of semantic facts or, with ``evidence_source`` "graph", of retrieved ones.  answer: facts, predictions.  evaluate: scores, wrong."""
     spark = inputs.facts.sparkSession
     tables: dict[str, DataFrame] = {}
     number = {table: k for k, made in enumerate(STEPS.values(), 1) for table in made}
@@ -115,7 +115,7 @@ def run(
     semantic = step("semantic", lambda: vector.search_vectors(q, known, config.semantic_top_k, encoder, index=index).select("quid", "rank", "fact_id", "score", "fact"))
     if causal:
         with scratch_scope() if out else nullcontext():
-            pool = evidence.facts_of_ids(semantic, facts)
+            pool = evidence.facts_of_ids(semantic, facts) if evidence_source == "semantic" else evidence.collect_graph_facts(found)
             lookup = q.select("quid", "cue", "time", "reference_target")
             cues = evidence.infer_cue_and_anchor(q, lookup, pool)
             verdicts = evidence.trace_verifier(q, generator) if generator is not None and config.verify else None
@@ -155,6 +155,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="folder of result tables")
     parser.add_argument("--start-step", type=int, default=1, choices=range(1, 7))
     parser.add_argument("--no-causal", action="store_true")
+    parser.add_argument("--evidence", default="semantic", choices=("semantic", "graph"), help="which facts the filter reduces")
     parser.add_argument("--understand", action="store_true", help="questions are raw text: find entities, relation and time first")
     parser.add_argument("--json", metavar="FOLDER", help="write the result tables as JSON arrays, too")
     parser.add_argument("--order", default="time", choices=("time", "ingest"))
@@ -167,7 +168,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     inputs = Inputs(files.read_quads(spark, args.facts), files.read_questions(spark, args.questions), files.read_dictionary(spark, args.entities), files.read_dictionary(spark, args.relations))
     config = replace(EngineConfig(), order=args.order, hit_k=args.k)
-    tables = run(inputs, config, args.start_step, not args.no_causal, args.out, understand_questions=args.understand)
+    tables = run(inputs, config, args.start_step, not args.no_causal, args.out, understand_questions=args.understand, evidence_source=args.evidence)
     if args.json:
         export(tables, args.json)
     tables["scores"].orderBy("dimension", "value").show(100, False)

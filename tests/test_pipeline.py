@@ -63,3 +63,36 @@ def test_stream_appends_once(spark, folder, tmp_path):
         assert spark.read.parquet(out).count() == total
     counts = ingest.windowed_counts(spark.read.parquet(out)).agg(F.sum("n")).first()[0]
     assert counts == 150
+
+
+def test_evidence_of_graph_facts(spark, folder):
+    inputs = pipeline.Inputs(files.read_quads(spark, f"{folder}/full.txt"), files.read_questions(spark, f"{folder}/test.json"), files.read_dictionary(spark, f"{folder}/ent_id"), files.read_dictionary(spark, f"{folder}/relation2id.json"))
+    tables = pipeline.run(inputs, EngineConfig(relation_top_k=1, trigger_tau=0.1), evidence_source="graph")
+    retrieved = {(r.quid, r.s, r.r, r.o, r.d) for r in tables["retrieved"].collect()}
+    kept = {(r.quid, r.s, r.r, r.o, r.d) for r in tables["evidence"].collect()}
+    assert kept and kept <= retrieved
+    assert {r.quid: r.original_fact_num for r in tables["counts"].collect()} == {q: sum(x[0] == q for x in map(tuple, tables["retrieved"].collect())) for q in {x[0] for x in retrieved}}
+
+
+def test_answers_by_chunk_are_written_once(spark, tmp_path):
+    source, out, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
+    asked = []
+
+    def answer(df):
+        asked.extend(r.quid for r in df.select("quid").collect())
+        return df.select("quid", F.concat(F.lit("a"), "question").alias("raw"))
+
+    def put(*rows):
+        spark.createDataFrame(rows, "quid long, question string").coalesce(1).write.mode("append").parquet(source)
+
+    stream = lambda: spark.readStream.schema("quid long, question string").parquet(source)
+    put((1, "x"), (2, "y"), (2, "y"))
+    ingest.answer_stream(stream(), answer, out, state).awaitTermination()
+    put((3, "z"), (1, "x"))
+    for _ in range(2):
+        ingest.answer_stream(stream(), answer, out, state).awaitTermination()
+    assert sorted(asked) == [1, 1, 2, 3]
+    # As if a run had died before it noted its chunk: the same chunk again.
+    ingest.answer_chunk(spark.createDataFrame([(3, "z"), (1, "x")], "quid long, question string"), 1, answer, out)
+    assert sorted(map(tuple, ingest.answers(spark, out).collect())) == [(1, "ax"), (2, "ay"), (3, "az")]
+    assert spark.read.parquet(out).count() == 4

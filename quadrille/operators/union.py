@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: More partitions than any union has, so that none are put together.
+AS_THEY_ARE = 1 << 20
+
 
 def united(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows, by column name.
 
-    The session stops taking a union's partitioning from its parts: if a part turns out empty
-    at run time its number of partitions changes, and a join above the union fails to plan."""
-    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    The union's partitioning is not taken from its parts: if a part turns out empty
+    at run time its number of partitions changes, and a join above the union fails to plan.  A coalesce to more
+    partitions than there are changes no partition, but its partitioning is unknown to the planner."""
     for df in others:
         first = first.unionByName(df)
-    return first
+    return first.coalesce(AS_THEY_ARE)

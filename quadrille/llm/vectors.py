@@ -6,7 +6,8 @@ their scale, as d * sqrt(chi-square with as many degrees of freedom) or closer.
 fitted on a bounded sample, deals all candidates into cells.  A query takes points by projected distance
 and verifies their vectors exactly, until the next one's squared projected distance is above the chi-square
 quantile ``confidence`` times its k-th best squared distance: a nearer neighbour would have shown up already with that
-probability.  It starts in its own cell; what it finds there bounds the cells it goes to next.
+probability.  It starts in its own cell; what it finds there bounds the cells it goes to next.  Within a cell the tree goes
+on down to leaves of some 64 points, opened by the distance of their boxes.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ class AnnParams:
     #: An even number: the chi-square test has a closed form then.  Fewer where vectors are shorter.
     projections: int = 24
     confidence: float = 0.9
-    #: Points that a query verifies first, and about so many candidates of a cell in one group.
-    first: int = 64
+    #: Points that a query verifies before it first looks at the stop.
+    first: int = 32
+    #: About so many candidates make a cell of the kd-tree, which one task holds, and at most so many a leaf within it.
     cell_rows: int = 8192
+    leaf_rows: int = 64
     #: About so many rows fit the kd-tree (all rows are indexed by it).
     sample: int = 32_768
     seed: int = 42
@@ -135,42 +138,97 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[at], score[at]
 
 
-#: Queries whose projected distances to a group's candidates are worked out together.
-TOGETHER = 32
+@dataclass
+class Leaves:
+    """A kd-tree over one group's projected points: points in leaf order, where each leaf begins, and its tight box."""
+
+    points: np.ndarray
+    #: For each place in leaf order the row it came from.
+    row: np.ndarray
+    start: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def grow(points: np.ndarray, size: int) -> Leaves:
+        """Splits at the median of the widest axis down to ``size`` points; equal points may part anywhere."""
+        todo, done = ([np.arange(len(points))] if len(points) else []), []
+        while todo:
+            ids = todo.pop()
+            own = points[ids]
+            spread = own.max(axis=0) - own.min(axis=0)
+            axis, half = int(spread.argmax()), len(ids) // 2
+            if len(ids) <= size or not spread[axis]:
+                done.append(ids)
+                continue
+            order = ids[np.argpartition(own[:, axis], half)]
+            todo += [order[half:], order[:half]]
+        row = np.concatenate(done) if done else np.zeros(0, np.int64)
+        start = np.cumsum([0, *[len(ids) for ids in done]])
+        points, at = points[row], start[:-1]
+        low, high = (f.reduceat(points, at, axis=0) if done else points for f in (np.minimum, np.maximum))
+        return Leaves(points, row, start, low, high)
+
+    def nearest_first(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves by the squared distance of their box, and these distances with an infinite one at the end."""
+        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+        reach = (gap * gap).sum(axis=1)
+        order = np.argsort(reach, kind="stable")
+        return order, np.append(reach[order], np.inf)
+
+    def opened(self, leaves: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared projected distances of the leaves' points, and their rows."""
+        at = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in leaves])
+        gap = self.points[at] - point
+        return (gap * gap).sum(axis=1), self.row[at]
+
+
+@dataclass
+class Found:
+    """What one query found in one group: the k-th squared distance, how many vectors it verified and points it projected on."""
 
+    ids: np.ndarray
+    score: np.ndarray
+    kth: float
+    verified: int
+    opened: int
 
-def projected_gaps(index: ProjectionIndex, q: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Squared projected distances of queries to points."""
-    mine = index.project(q, query=True)
-    gap = (mine * mine).sum(axis=1)[:, None] - 2 * (mine @ points.T) + (points * points).sum(axis=1)[None, :]
-    return np.maximum(gap, 0)
 
+def search(index: ProjectionIndex, tree: Leaves, q: np.ndarray, qid: int, kth: float, c: np.ndarray, cid: np.ndarray, p: AnnParams) -> Found:
+    """The best ``k`` of a group's candidates that are not farther than ``kth``, the squared distance already known to hold
+    k neighbours.
 
-def search(index: ProjectionIndex, q: np.ndarray, qid: int, kth: float, c: np.ndarray, gap: np.ndarray, cid: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(ids, scores, k-th squared distance, vectors verified): the best ``k`` of the candidates that are not farther
-    than ``kth``, the squared distance already known to hold k neighbours; ``gap``: their squared projected distances."""
+    Leaves open by the distance of their box, and a point is verified once no unopened box is nearer than it; so points
+    come in order of projected distance.  The stop is looked at before each wave of an eighth of what was verified."""
     far = float(q @ q) + index.most
-    ids, score, verified = np.zeros(0, np.int64), np.zeros(0), 0
-    done, wave = -1.0, p.first
+    point = index.project(q[None, :], query=True)[0]
+    order, reach = tree.nearest_first(point)
+    out = Found(np.zeros(0, np.int64), np.zeros(0), kth, 0, 0)
+    gap, row, at = np.zeros(0), np.zeros(0, np.int64), 0
     while True:
-        todo = np.flatnonzero((gap > done) & (gap <= index.stop * kth))
-        if not len(todo):
-            break
-        upto = np.inf
-        if len(todo) > wave:
-            upto = np.partition(gap[todo], wave - 1)[wave - 1]
-            todo = todo[gap[todo] <= upto]
-        verified += len(todo)
-        todo = todo[cid[todo] != qid]
-        mine = c[todo] @ q
-        near = far - 2 * mine <= kth
-        ids, score = _best(np.concatenate([ids, cid[todo][near]]), np.concatenate([score, mine[near]]), p.k)
-        if len(ids) == p.k:
-            kth = min(kth, max(far - 2 * float(score[-1]), 0.0) * (1 + 1e-12) + 1e-300)
-        if upto == np.inf:
-            break
-        done, wave = upto, wave * 4
-    return ids, score, kth, verified
+        nearest = gap.min(initial=np.inf)
+        if min(nearest, reach[at]) > index.stop * out.kth or (at == len(order) and not len(gap)):
+            return out
+        if reach[at] <= nearest and at < len(order):
+            upto = max(at + 1, int(np.searchsorted(reach, nearest if np.isfinite(nearest) else reach[at], side="right")))
+            upto = min(upto, len(order))
+            more, rows = tree.opened(order[at:upto], point)
+            gap, row, at = np.concatenate([gap, more]), np.concatenate([row, rows]), upto
+            out.opened += len(more)
+            continue
+        ready = np.flatnonzero(gap <= min(reach[at], index.stop * out.kth))
+        wave = max(p.first, out.verified // 8)
+        if len(ready) > wave:
+            ready = ready[np.argpartition(gap[ready], wave - 1)[:wave]]
+        rows = row[ready]
+        gap, row = np.delete(gap, ready), np.delete(row, ready)
+        out.verified += len(rows)
+        rows = rows[cid[rows] != qid]
+        mine = c[rows] @ q
+        near = far - 2 * mine <= out.kth
+        out.ids, out.score = _best(np.concatenate([out.ids, cid[rows][near]]), np.concatenate([out.score, mine[near]]), p.k)
+        if len(out.ids) == p.k:
+            out.kth = min(out.kth, max(far - 2 * float(out.score[-1]), 0.0) * (1 + 1e-12) + 1e-300)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -178,8 +236,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-_FOUND = "query_id long, vec_id long, score double, verified long, cell int, part int, v array<{kind}>, kth double"
-_NAMES = ["query_id", "vec_id", "score", "verified", "cell", "part", "v", "kth"]
+_FOUND = "query_id long, vec_id long, score double, verified long, opened long, cell int, part int, v array<{kind}>, kth double"
+_NAMES = ["query_id", "vec_id", "score", "verified", "opened", "cell", "part", "v", "kth"]
 
 
 def _searched(batches: Iterator[pa.RecordBatch], index: ProjectionIndex, p: AnnParams) -> Iterator[pa.RecordBatch]:
@@ -202,27 +260,24 @@ def _searched(batches: Iterator[pa.RecordBatch], index: ProjectionIndex, p: AnnP
             if c is None:
                 cid = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
                 c = np.concatenate([h[1] for h in held]) if held else np.zeros((0, x.shape[1]))
-                points = index.project(c)
-            out = []
-            for a in range(0, j - i, TOGETHER):
-                gaps = projected_gaps(index, x[a : a + TOGETHER], points)
-                out += [search(index, x[a + n], int(ids[i + a + n]), float(kth[i + a + n]), c, gap, cid, p) for n, gap in enumerate(gaps)]
-            size = np.array([len(o[0]) for o in out])
+                tree = Leaves.grow(index.project(c) if len(c) else np.zeros((0, 1)), p.leaf_rows)
+            out = [search(index, tree, x[n], int(ids[i + n]), float(kth[i + n]), c, cid, p) for n in range(j - i)]
+            size = np.array([len(o.ids) for o in out])
             total = int(size.sum())
             none = lambda kind, n: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[i:j], size)), pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), none(pa.int64(), total), none(pa.int32(), total), none(pa.int32(), total), none(v.type, total), none(pa.float64(), total)],
+                [pa.array(np.repeat(ids[i:j], size)), pa.array(np.concatenate([o.ids for o in out])), pa.array(np.concatenate([o.score for o in out])), none(pa.int64(), total), none(pa.int64(), total), none(pa.int32(), total), none(pa.int32(), total), none(v.type, total), none(pa.float64(), total)],
                 _NAMES,
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i:j]), none(pa.int64(), j - i), none(pa.float64(), j - i), pa.array([o[3] for o in out], pa.int64()), pa.array(cell[i:j]), pa.array(part[i:j]), v.slice(i, j - i), pa.array([o[2] for o in out], pa.float64())],
+                [pa.array(ids[i:j]), none(pa.int64(), j - i), none(pa.float64(), j - i), pa.array([o.verified for o in out], pa.int64()), pa.array([o.opened for o in out], pa.int64()), pa.array(cell[i:j]), pa.array(part[i:j]), v.slice(i, j - i), pa.array([o.kth for o in out], pa.float64())],
                 _NAMES,
             )
 
 
 def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score, verified: the ``k`` found for each row of ``vectors`` with ``is_query``,
-    and how many candidates the query compared in full.
+    """query_id, rank, vec_id, score, verified, opened: the ``k`` found for each row of ``vectors`` with ``is_query``,
+    how many candidates the query compared in full, and how many stood in leaves that it opened.
 
     Every other row is a candidate; rows with the query's own id are not.  Order: score (inner
     product in double precision) down, then id.  Rows with a null id, or a vector that is null, empty,
@@ -276,9 +331,9 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
     sent = sent.join(cells, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("cell <> own_cell or part <> own_part")
     more = met(sent)
     discard(dealt)
-    found = home.select("query_id", "vec_id", "score", "verified").unionAll(more.select("query_id", "vec_id", "score", "verified"))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("verified").alias("verified"))
+    found = home.select("query_id", "vec_id", "score", "verified", "opened").unionAll(more.select("query_id", "vec_id", "score", "verified", "opened"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("verified").alias("verified"), F.sum("opened").alias("opened"))
     mine = W.partitionBy("query_id")
-    ranked = found.withColumn("all", F.coalesce(F.sum("verified").over(mine), F.lit(0))).where("vec_id is not null")
+    ranked = found.withColumns({f"all_{c}": F.coalesce(F.sum(c).over(mine), F.lit(0)) for c in ("verified", "opened")}).where("vec_id is not null")
     ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy(F.desc("score"), "vec_id")).cast("int")).where(F.col("rank") <= params.k)
-    return ranked.select("query_id", "rank", "vec_id", "score", F.col("all").alias("verified"))
+    return ranked.select("query_id", "rank", "vec_id", "score", F.col("all_verified").alias("verified"), F.col("all_opened").alias("opened"))

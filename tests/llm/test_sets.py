@@ -74,6 +74,37 @@ def test_projection_index_covers_every_point():
         assert set(cell[near].tolist()) <= set(index.within(point, 5.0).tolist())
 
 
+def test_leaves_give_points_by_projected_distance():
+    """Each point is in one leaf and its box; what the search verifies is exactly what lies within the stop, and on
+    clustered vectors it opens few leaves and verifies few points."""
+    rng = np.random.default_rng(5)
+    p = vectors.AnnParams(projections=8, k=10)
+    x = 8 * rng.standard_normal((80, 32))[rng.integers(0, 80, 8000)] + rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.concatenate([x, np.tile(x[0], (200, 1))])
+    most = float((x * x).sum(axis=1).max())
+    index = vectors.ProjectionIndex.fit(x[::4], 32, most, 1, p)
+    points = index.project(x)
+    tree = vectors.Leaves.grow(points, p.leaf_rows)
+    assert sorted(tree.row.tolist()) == list(range(len(x)))
+    leaf = np.searchsorted(tree.start, np.arange(len(x)), side="right") - 1
+    assert (tree.points >= tree.low[leaf]).all() and (tree.points <= tree.high[leaf]).all()
+    assert np.diff(tree.start).max() <= 200  # the equal points; others stand in leaves of at most 64
+    ids, opened, verified, hit = np.arange(len(x)), [], [], 0
+    for q in range(1, 8000, 200):
+        got = vectors.search(index, tree, x[q], q, np.inf, x, ids, p)
+        gap = ((points - index.project(x[q][None], query=True)) ** 2).sum(axis=1)
+        within = int((gap <= index.stop * got.kth).sum())
+        assert within <= got.verified <= got.opened and got.verified <= max(p.first, within * 9 // 8 + p.first)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(got.ids.tolist()) & set(np.argsort(-s, kind="stable")[:10].tolist()))
+        opened.append(got.opened / len(x))
+        verified.append(got.verified / len(x))
+    assert hit >= 0.9 * 10 * len(opened)
+    assert np.mean(opened) < 0.5 and np.mean(verified) < 0.5, (np.mean(opened), np.mean(verified))
+
+
 def test_ann_ties_and_few_candidates(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = vectors.nearest(df, F.col("vec_id") == 0, vectors.AnnParams(cell_rows=8)).orderBy("rank").collect()

@@ -8,7 +8,7 @@ small labelled table ``LABELLED_PAGES`` says which blocks are the article.
 
 A name is a hint about a container that does not hold the page: a form or a class word around most of the page's text (or
 around its articles) says nothing, and inside an article only names of things that are never its text drop a
-part unseen; other names leave the part to its words and links.
+part unseen; other names, and longer ones that hold such a word beside a subject, leave the part to its words and links.
 """
 
 from __future__ import annotations
@@ -44,9 +44,12 @@ STATE_WORDS = frozenset("has have with without no not is open opened closed on o
 FRINGE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar rail widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs topbar cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing toolbar pagination pager popup modal overlay hidden".split())
 #: Not the text of a page, but a part of an article may be named so.
 WEAK_WORDS = frozenset("discussion related recommended side header masthead footer foot copyright legal disclaimer notice notices notification alert social tags".split())
+#: Say where or how an element stands, not what it is about.
+PLACE_WORDS = frozenset("area author bar block body bottom box button buttons card cell center column container content desktop email float form google group holder icon icons inline inner item items large left link links list main meta mobile module native outer page panel policy post reader readers right row section shell site slot small sticky text this thread tools top unit user users video wrap wrapper zone".split())
 CORE_WORDS = frozenset("article articlebody post entry story content maincontent main body text".split())
+HINT_WORDS = COMMENT_WORDS | FRINGE_WORDS | WEAK_WORDS
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -121,7 +124,10 @@ def _hints(tag: str, attrs: str, inside_core: bool) -> tuple[int, int, bool]:
                 names = {x.lower() for x in _NAME.findall(word)}
                 if names & STATE_WORDS:
                     continue
-                if names & COMMENT_WORDS:
+                # Inside an article "menu-of-the-day" is a subject, and its words and links say what it is; "menu-list" is a menu.
+                if inside_core and names & HINT_WORDS and any(len(x) > 2 for x in names - HINT_WORDS - PLACE_WORDS):
+                    hint = hint if core else max(hint, WEAK)
+                elif names & COMMENT_WORDS:
                     hint = max(hint, COMMENT)
                 elif core:
                     continue
@@ -452,6 +458,15 @@ def _labelled(seed: int) -> list[str]:
         # Text around an article that no name gives away, of any length.
         f"<body><div>-{x()}</div><div>-{x()}</div><p>-{x()}</p><h3>-{w(3)}</h3><p>-{x()}</p><article><h1>+{x()}</h1><p>+{x()}</p></article><p>-{x()}</p><h3>-{w(4)}</h3><p>-{x()}</p><p>-{w(3)}</p>",
         f"<body><div>-{x()}</div><article><p>+{x()}</p><p>+{w(4)} <a>{w(30)}</a></p><p>+{x()}</p></article><div>-{x()}</div><div>-{x()}</div>",
+        # Readers' comments behind an article, in boxes that no name gives away; their last block has nothing behind it.
+        f"<body>{menu}<article><h1>+{x()}</h1><p>+{x()}</p><p>+{x()}</p></article><div><p>-{w(30)}</p><p>-{w(30)}</p></div>",
+        f"<body><article><h1>+{w(5)}</h1><p>+{x()}</p><p>+{w(45)}</p></article><div><div><p>-{x()}</p></div><div><p>-{x()}</p><p>-{x()}</p></div><div><p>-{x()}</p></div></div>{after()}",
+        f"<body>{before()}<main><article><h1>+{x()}</h1><p>+{x()}</p><p>+{x()}</p></article><div><p>-{x()}</p><p>-{x()}</p></div></main>",
+        # Adverts and asides between the blocks of a box without a name.
+        f"<body>{before()}<div><h1>+{w(4)}</h1><aside>-{x()}</aside><p>+{w(40)}</p><div class=ad>-{x()}</div><p>+{x()}</p><p>+{w(50)}</p><form>-{x()}</form></div>{after()}",
+        f"<body>{before()}<div class=content><h1>+{x()}</h1><div class=ad>-{x()}</div><p>+{x()}</p><aside>-{x()}</aside><p>+{x()}</p></div>{after()}",
+        # Parts of an article that name their subject.
+        f"<body>{menu}<article><h1>+{w(5)}</h1><p>+{x()}</p><section class=menu-of-may><h2>+{w(2)}</h2><p>+{x()}</p><p>+{w(48)}</p></section><section class=banner-history><p>+{x()}</p></section><section class=replies-from-experts><h2>+{w(3)}</h2><p>+{w(40)}</p><p>+{x()}</p></section></article>{after()}",
     ]
 
 

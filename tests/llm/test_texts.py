@@ -96,6 +96,27 @@ def test_surroundings_go():
     assert extract.main_text(page) == "Title\nFirst bold text\nSecond <part>"
 
 
+_LONG = " ".join(f"word{i}" for i in range(48))
+_PAGE = f"<html><body><nav><a>home</a> <a>news</a></nav><article><h1>A title here</h1><p>{_LONG}.</p>%s<p>{_LONG}!</p></article>%s</body></html>"
+
+
+@pytest.mark.parametrize(("name", "times"), [("banner-history", 2), ("menu-of-the-day", 2), ("replies-from-experts", 2), ("menu-list", 0), ("wp-newsletter", 0), ("ad-slot", 0), ("comments-list", 0)])
+def test_names_in_an_article_drop_a_part_only_without_a_subject(name, times):
+    part = f'<section class="{name}"><p>inside {_LONG}</p><p>inside {_LONG}</p></section>'
+    assert extract.main_text(_PAGE % (part, "")).count("inside") == times
+
+
+@pytest.mark.parametrize("after", ["", "<footer>some words of a footer</footer>", "<div>other</div>"])
+def test_equal_comments_in_a_box_of_unknown_name_go_together(after):
+    thread = f"<div class=c-thread><p>reader {_LONG}</p><p>reader {_LONG}</p></div>"
+    assert "reader" not in extract.main_text(_PAGE % ("", thread + after))
+
+
+def test_ends_of_markup_comments():
+    text = extract.main_text(_PAGE % (f"<!-- unseen --!><p>one {_LONG}</p><!--><p>two {_LONG}</p><!-- unseen --><p>three {_LONG}</p>", "<!-- unseen"))
+    assert "unseen" not in text and all(x in text for x in ("one", "two", "three"))
+
+
 def _greedy(word, vocabulary):
     s, i, n = b" " + word, 0, 0
     while i < len(s):

@@ -143,6 +143,7 @@ class Leaves:
     """A kd-tree over one group's projected points: points in leaf order, where each leaf begins, and its tight box."""
 
     points: np.ndarray
+    square: np.ndarray
     #: For each place in leaf order the row it came from.
     row: np.ndarray
     start: np.ndarray
@@ -167,7 +168,7 @@ class Leaves:
         start = np.cumsum([0, *[len(ids) for ids in done]])
         points, at = points[row], start[:-1]
         low, high = (f.reduceat(points, at, axis=0) if done else points for f in (np.minimum, np.maximum))
-        return Leaves(points, row, start, low, high)
+        return Leaves(points, (points * points).sum(axis=1), row, start, low, high)
 
     def nearest_first(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaves by the squared distance of their box, and these distances with an infinite one at the end."""
@@ -177,10 +178,12 @@ class Leaves:
         return order, np.append(reach[order], np.inf)
 
     def opened(self, leaves: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared projected distances of the leaves' points, and their rows."""
-        at = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in leaves])
-        gap = self.points[at] - point
-        return (gap * gap).sum(axis=1), self.row[at]
+        """Squared projected distances of the leaves' points, and their rows; leaves that lie together are one product."""
+        leaves = np.sort(leaves)
+        cut = np.flatnonzero(np.diff(leaves) > 1) + 1
+        runs = [slice(self.start[leaves[i]], self.start[leaves[j - 1] + 1]) for i, j in zip([0, *cut], [*cut, len(leaves)], strict=True)]
+        gap = np.concatenate([self.square[r] - 2 * (self.points[r] @ point) for r in runs]) + point @ point
+        return np.maximum(gap, 0), np.concatenate([self.row[r] for r in runs])
 
 
 @dataclass
@@ -199,36 +202,39 @@ def search(index: ProjectionIndex, tree: Leaves, q: np.ndarray, qid: int, kth: f
     k neighbours.
 
     Leaves open by the distance of their box, and a point is verified once no unopened box is nearer than it; so points
-    come in order of projected distance.  The stop is looked at before each wave of an eighth of what was verified."""
+    come in order of projected distance.  The stop is looked at before each wave of half of what was verified."""
     far = float(q @ q) + index.most
     point = index.project(q[None, :], query=True)[0]
     order, reach = tree.nearest_first(point)
     out = Found(np.zeros(0, np.int64), np.zeros(0), kth, 0, 0)
-    gap, row, at = np.zeros(0), np.zeros(0, np.int64), 0
+    # Points of open leaves by distance, of which the first ``done`` are verified.
+    gap, row, done, at = np.zeros(0), np.zeros(0, np.int64), 0, 0
     while True:
-        nearest = gap.min(initial=np.inf)
-        if min(nearest, reach[at]) > index.stop * out.kth or (at == len(order) and not len(gap)):
+        bound = index.stop * out.kth
+        nearest = gap[done] if done < len(gap) else np.inf
+        if min(nearest, reach[at]) > bound or (at == len(order) and done == len(gap)):
             return out
-        if reach[at] <= nearest and at < len(order):
-            upto = max(at + 1, int(np.searchsorted(reach, nearest if np.isfinite(nearest) else reach[at], side="right")))
-            upto = min(upto, len(order))
+        if at < len(order) and reach[at] <= nearest:
+            upto = int(np.searchsorted(reach[:-1], max(reach[at], nearest if nearest < np.inf else 0.0), side="right"))
+            # At least half as many leaves again as are open, so that points are sorted few times.
+            upto = max(upto, min(at + 1 + at // 2, int(np.searchsorted(reach[:-1], bound, side="right"))))
             more, rows = tree.opened(order[at:upto], point)
-            gap, row, at = np.concatenate([gap, more]), np.concatenate([row, rows]), upto
-            out.opened += len(more)
+            out.opened, at = out.opened + len(more), upto
+            within = more <= bound
+            gap, row = np.concatenate([gap[done:], more[within]]), np.concatenate([row[done:], rows[within]])
+            sort = np.argsort(gap)
+            gap, row, done = gap[sort], row[sort], 0
             continue
-        ready = np.flatnonzero(gap <= min(reach[at], index.stop * out.kth))
-        wave = max(p.first, out.verified // 8)
-        if len(ready) > wave:
-            ready = ready[np.argpartition(gap[ready], wave - 1)[:wave]]
-        rows = row[ready]
-        gap, row = np.delete(gap, ready), np.delete(row, ready)
+        ready = int(np.searchsorted(gap, min(reach[at], bound), side="right"))
+        rows = np.sort(row[done : min(ready, done + max(p.first, out.verified // 2))])
+        done += len(rows)
         out.verified += len(rows)
-        rows = rows[cid[rows] != qid]
-        mine = c[rows] @ q
-        near = far - 2 * mine <= out.kth
-        out.ids, out.score = _best(np.concatenate([out.ids, cid[rows][near]]), np.concatenate([out.score, mine[near]]), p.k)
-        if len(out.ids) == p.k:
-            out.kth = min(out.kth, max(far - 2 * float(out.score[-1]), 0.0) * (1 + 1e-12) + 1e-300)
+        mine = c.take(rows, axis=0) @ q
+        near = (far - 2 * mine <= out.kth) & (cid[rows] != qid)
+        if near.any():
+            out.ids, out.score = _best(np.concatenate([out.ids, cid[rows[near]]]), np.concatenate([out.score, mine[near]]), p.k)
+            if len(out.ids) == p.k:
+                out.kth = min(out.kth, max(far - 2 * float(out.score[-1]), 0.0) * (1 + 1e-12) + 1e-300)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import render_fact
 from ..operators import cue, graph, retrieve
+from ..sources import fact_store
+from ..sources.scratch import scratch_path
 from . import views as V
 
 QUERIES: dict = {}
@@ -80,16 +82,25 @@ def edge_lookup_rel(spark, sf_dir):
     return graph.edges_with_relation(_own_pairs(spark, sf_dir), V.facts_ev(spark, sf_dir))
 
 
-@query(
-    "pool_lookup",
-    f"""{V.BASE} SELECT qc.quid, qc.rel AS r, coalesce(f.s, qc.s) AS s, f.o, f.d, f.line_no FROM qc LEFT JOIN facts f ON f.s = qc.s AND f.r = qc.rel WHERE qc.s IS NOT NULL AND qc.o IS NULL
- UNION ALL SELECT qc.quid, qc.rel, f.s, coalesce(f.o, qc.o), f.d, f.line_no FROM qc LEFT JOIN facts f ON f.o = qc.o AND f.r = qc.rel WHERE qc.o IS NOT NULL AND qc.s IS NULL""",
-)
+POOLS = f"""{V.BASE} SELECT qc.quid, qc.rel AS r, coalesce(f.s, qc.s) AS s, f.o, f.d, f.line_no FROM qc LEFT JOIN facts f ON f.s = qc.s AND f.r = qc.rel WHERE qc.s IS NOT NULL AND qc.o IS NULL
+ UNION ALL SELECT qc.quid, qc.rel, f.s, coalesce(f.o, qc.o), f.d, f.line_no FROM qc LEFT JOIN facts f ON f.o = qc.o AND f.r = qc.rel WHERE qc.o IS NOT NULL AND qc.s IS NULL"""
+
+
+@query("pool_lookup", POOLS)
 def pool_lookup(spark, sf_dir):
     q = _asked(spark, sf_dir).select("quid", "s", "o", F.col("rel").alias("r"))
     return graph.pools(q, V.facts_ev(spark, sf_dir)).select("quid", "r", "s", "o", "d", "line_no")
 
 
+@query("pool_lookup_stored", POOLS)
+def pool_lookup_stored(spark, sf_dir):
+    """The same from a graph stored in buckets, with pools above 64 facts in parts."""
+    path = scratch_path(spark)
+    fact_store.write_fact_store(V.facts_ev(spark, sf_dir), path, buckets=16, pool_rows=64)
+    q = _asked(spark, sf_dir).select("quid", "s", "o", F.col("rel").alias("r"))
+    return fact_store.stored_pools(q, path).select("quid", "r", "s", "o", "d", "line_no")
+
+
 @query("fact_render", f"{FACTS} SELECT line_no, concat_ws(chr(9), s, r, o, CAST(d AS VARCHAR)) AS fact FROM facts")
 def fact_render(spark, sf_dir):
     return V.facts_ev(spark, sf_dir).select("line_no", render_fact(F.col("s"), F.col("r"), F.col("o"), F.col("d")).alias("fact"))

@@ -77,6 +77,7 @@ def _named_or_iso(text: Column) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
+    # The three patterns of dates in texts, this one, ``iso`` and the one of a year.
     named = r"(?i)(?:(\d{1,2})\s+)?(January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{4})"
     y, m, d = part(named, 3).cast("int"), month_number(part(named, 2)), F.coalesce(part(named, 1).cast("int"), F.lit(1))
     by_name = F.coalesce(_iso(y, m, d), _iso(y, m, F.lit(1)))

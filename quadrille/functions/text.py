@@ -76,6 +76,7 @@ def question_reference(question: Column) -> Column:
     """The run of words behind the question's first cue word, without ``.``, ``,`` and ``?`` at its ends."""
     out = F.lit(None).cast("string")
     for cue in reversed(CUES):
+        # Fixed value: the pattern of a run of capitalised words.
         found = F.regexp_extract(question, rf"(?i){cue}\s+([A-Z][\w().'-]*(?:\s+[A-Z][\w().'-]*)*)", 1)
         out = F.when(F.lower(question).rlike(rf"\b{cue}\b"), found).otherwise(out)
     return F.nullif(F.regexp_replace(F.trim(out), r"^[.,?]+|[.,?]+$", ""), F.lit(""))

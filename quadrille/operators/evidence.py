@@ -59,6 +59,7 @@ def facts_of_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("rest"))
     suffix = F.explode(F.transform(fitting, lambda n: F.right(low, n)))
     known = heads.where("own is null and rest <> ''").select("quid", "pos", "k", suffix.alias("name")).join(entities, "name").groupBy("quid", "pos", "k").agg(F.max(F.length("name")).alias("n"))
+    # Fixed value: the last word, with what stands in brackets behind it.
     last = F.regexp_extract("rest", r"(\S+\s*\([^)]+\)|\S+)\s*$", 1)
     tail = F.when(F.col("own").isNotNull(), F.length("own")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.length(last))
     cut = heads.join(known, ["quid", "pos", "k"], "left").withColumn("tail", tail)

@@ -129,28 +129,32 @@ def fact_vectors(facts: DataFrame, encoder: Encoder | None = None, store: str |
     there are encoded, and kept for later runs."""
     rows = facts.select(F.col("line_no").alias("fact_id"), "fact")
     if store is None:
-        return encode_texts(rows, "fact", encoder)
+        # A small file is one task's read, but its texts are many tasks' work.
+        parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return encode_texts(rows.repartition(parts, "fact_id"), "fact", encoder)
     return kept_vectors(rows, "fact", store, encoder_name, lambda new: encode_texts(new, "text", encoder))[0]
 
 
 def cells_for(n: int) -> int:
-    """Cells of an index of n vectors: about their square root."""
+    """Cells of a kept index of n vectors: about their square root."""
     return max(1, min(1024, int(n**0.5)))
 
 
+#: Questions of a block, whose copies of the facts are the bulk of what moves.
+QUESTION_ROWS = 32_768
+
+
 def search_vectors(questions: DataFrame, known: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None, index: VectorIndex | None = None) -> DataFrame:
     """(quid, rank, fact_id, score, fact): the ``k`` best of ``known`` (fact_id, fact, vector) for each question; ``only``
-    (quid) limits the questions.  ``index`` is the kept index of the same vectors; without one, above one block of facts the search
-    makes one of about as many cells as the square root of the facts' number unless given.  All ways are exact."""
+    (quid) limits the questions.  ``index`` is the kept index of the same vectors; without one blocks are compared, as an index
+    that is made for one search of texts costs more than it spares, unless ``cells`` asks for one.  All ways are exact."""
     asked = questions if only is None else questions.join(only.select("quid"), "quid", "left_semi")
     q = encode_texts(asked.select("quid", "question"), "question", encoder).select("quid", "vector")
     corpus = known.select("fact_id", "vector")
     if index is not None:
         hits = index.search(q, k, max(1, len(index.centre) // 8))
     else:
-        n = corpus.count() if cells is None else 0
-        cells = (0 if n <= 65_536 else cells_for(n)) if cells is None else cells
-        hits = top_k_cells(q, corpus, k, cells=cells, probes=max(1, cells // 8)) if cells else top_k(q, corpus, k)
+        hits = top_k_cells(q, corpus, k, cells=cells, probes=max(1, cells // 8)) if cells else top_k(q, corpus, k, query_rows=QUESTION_ROWS)
     return gather(hits, known.select("fact_id", "fact"))
 
 

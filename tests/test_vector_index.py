@@ -112,3 +112,32 @@ def test_only_new_texts_are_encoded(spark, tmp_path):
     second, n = kept_vectors(rows("bb", "ccc", "a"), "fact", f"{tmp_path}/store", "e1", encode)
     assert n == 1 and count() == 4 and second.where("vector[0] = length(fact)").count() == 3
     assert kept_vectors(rows("a"), "fact", f"{tmp_path}/store", "e2", encode)[1] == 1  # another encoder, other vectors
+
+
+def test_a_search_of_many_texts_makes_no_index(spark, monkeypatch):
+    def no_index(*_, **__):
+        raise AssertionError("an index for one search")
+
+    monkeypatch.setattr(vector, "top_k_cells", no_index)
+    encoder = lambda texts: np.array([[float(t), 1.0] for t in texts], np.float32)
+    facts = spark.range(70_000).select(F.col("id").alias("line_no"), F.col("id").cast("string").alias("fact"))
+    questions = spark.createDataFrame([(1, "1"), (2, "-1")], "quid long, question string")
+    assert got(vector.semantic_search(questions, facts, 2, encoder)) == {(1, 1): 69_999, (1, 2): 69_998, (2, 1): 0, (2, 2): 1}
+
+
+@pytest.mark.parametrize("least", [None, "least"])
+def test_a_frame_of_queries_and_their_cells_is_bounded(least):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quadrille.operators import vector_index
+
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(64, 4))
+    shared = SimpleNamespace(value=(centre, np.ones(64, bool), np.ones(64)))
+    batch = pd.DataFrame({"quid": range(1000), "vector": list(rng.normal(size=(1000, 4))), "least": np.nan})
+    frames = list(vector_index._asking(shared, 60, least)(iter([batch])))
+    assert max(map(len, frames)) <= 16_384
+    asked = pd.concat(frames).groupby("quid").size()
+    assert len(asked) == 1000 and (asked == (4 if least else 60)).all()

@@ -22,7 +22,9 @@ ENTRIES = "fact_id long, code binary, scale float, error float, away float, vect
 #: Candidates that are broadcast to the vectors they name: at most so many rows of about 24 bytes.
 BROADCAST_ROWS = 1_000_000
 #: At most so many scores are held at a time.
-SCORES = 4_000_000
+SCORES = 1_000_000
+#: Rows (query, cell) that a frame holds, each with the query's vector.
+ASKED_ROWS = 16_384
 
 
 def cell_centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
@@ -142,22 +144,7 @@ class VectorIndex:
         spark = self.spark
         shared = spark.sparkContext.broadcast((self.centre, n > 0, radius))
 
-        def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            centre, filled, radius = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["vector"].to_list()).astype(float)
-                near = np.where(filled, _near(x, centre), -np.inf)
-                wanted = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1) < probes
-                if least:
-                    low = b["least"].to_numpy(float)[:, None]
-                    bound = x @ centre.T + np.linalg.norm(x, axis=1)[:, None] * radius
-                    wanted = ~wanted & (np.isnan(low) | (bound >= low - 1e-9 * (1 + np.abs(np.nan_to_num(low)))))
-                row, cell = np.nonzero(wanted & filled)
-                yield pd.DataFrame({"quid": b["quid"].to_numpy()[row], "vector": b["vector"].to_numpy()[row], "least": (b["least"].to_numpy(float) if least else np.full(len(b), np.nan))[row], "cell": cell.astype(np.int32)})
-
-        asked = stored(queries.mapInPandas(cells_of, "quid long, vector array<float>, least double, cell int"))
+        asked = stored(queries.mapInPandas(_asking(shared, probes, least), "quid long, vector array<float>, least double, cell int"))
         # One row a cell, of which there are a bounded number.
         here = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
         shape = spark.createDataFrame([(c, int(-(-n[c] // corpus_rows)), int(-(-m // query_rows))) for c, m in here.items()], "cell int, blocks int, askers int")
@@ -179,6 +166,28 @@ class VectorIndex:
         return rank_in(met.select("quid", "fact_id", score.alias("score")), ["quid"], [F.desc("score"), F.asc("fact_id")], k).select("quid", "rank", "fact_id", "score")
 
 
+def _asking(shared, probes: int, least: str | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Queries with each cell that they ask, in frames of at most ``ASKED_ROWS`` rows: a query may ask every cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, filled, radius = shared.value
+        step = max(1, ASKED_ROWS // max(1, len(centre)))
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                b = batch.iloc[i : i + step]
+                x = np.stack(b["vector"].to_list()).astype(float)
+                near = np.where(filled, _near(x, centre), -np.inf)
+                wanted = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1) < probes
+                if least:
+                    low = b["least"].to_numpy(float)[:, None]
+                    bound = x @ centre.T + np.linalg.norm(x, axis=1)[:, None] * radius
+                    wanted = ~wanted & (np.isnan(low) | (bound >= low - 1e-9 * (1 + np.abs(np.nan_to_num(low)))))
+                row, cell = np.nonzero(wanted & filled)
+                yield pd.DataFrame({"quid": b["quid"].to_numpy()[row], "vector": b["vector"].to_numpy()[row], "least": (b["least"].to_numpy(float) if least else np.full(len(b), np.nan))[row], "cell": cell.astype(np.int32)})
+
+    return run
+
+
 def _candidates(shared, k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"quid": pd.Series(dtype="int64"), "cell": pd.Series(dtype="int32"), "fact_id": pd.Series(dtype="int64"), "lower": pd.Series(dtype="float64"), "upper": pd.Series(dtype="float64")})

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.temporal import is_date_entity
 from ..functions.text import strip_fences
 from ..sources.scratch import stored
-from .similar import within_distance, within_ratio, within_two
+from .similar import Listed, pairs_by_deletion, ratios, within_two
 
 
 def _bare_words(text: str) -> Column:
@@ -60,10 +60,6 @@ def recognise(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return placed.select("quid", F.transform("found", lambda x: x["entity"]).alias("entities"), F.col("found").alias("spans"))
 
 
-#: Ratios above which the letter pairs of a name leave few partners.
-CLOSE_RATIO = 0.9
-
-
 def _blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int) -> tuple[DataFrame, DataFrame]:
     """Names and dictionary names, each dealt so that every block of one meets every block of the other (nb, eb)."""
     nn, ne = (max(1, -(-df.count() // rows)) for df, rows in ((names, name_rows), (entities, entity_rows)))
@@ -72,13 +68,12 @@ def _blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows:
     return a, b
 
 
-def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, name_rows: int = 1024, entity_rows: int = 4096) -> DataFrame:
     """(name, entity, distance): the dictionary name with the least edit distance, ties by code point.
 
     Names at distance 0 or 1 are found by an equi-join: two such names share themselves or a form with one letter
-    less.  Others meet the dictionary at distance 2 in the same way and then at 4 by their rarest letter pairs.  Only names that are like none, or too short for
-    that, meet the dictionary in blocks, as arrays of at most about ``block`` names, and of these only those
-    whose length does not already rule them out are compared, up to the best distance so far."""
+    less.  Others meet the dictionary at distance 2 in the same way.  Letter pairs would not tell the rest apart where many names share
+    most of them, so names that are further off meet the dictionary in blocks of about ``name_rows`` and ``entity_rows`` names."""
     asked = names.select("name").where("name is not null").distinct()
     known = entities.select("name").where("name is not null").distinct()
 
@@ -89,70 +84,67 @@ def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, block: int = 4
     close = forms(asked, "asked").join(forms(known, "entity"), "form").select(F.col("asked").alias("name"), "entity").distinct().withColumn("distance", F.levenshtein("name", "entity")).where("distance <= 1")
     close = stored(close.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
     rest = stored(asked.join(close, "name", "left_anti"))
-    for pairs in (within_two, lambda a, b: within_distance(a, b, 4)):
-        if rest.isEmpty():
-            break
-        met = stored(pairs(rest, known).groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
+    if not rest.isEmpty():
+        met = stored(within_two(rest, known).groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
         close, rest = close.unionAll(met), stored(rest.join(met, "name", "left_anti"))
-    left, dictionary = _blocks(rest, known, block, block)
-    by_length = F.array_sort(F.collect_list(F.struct(F.length("name").alias("n"), F.col("name").alias("entity"))))
-    arrays = dictionary.groupBy("nb", "eb").agg(by_length.alias("all"))
 
-    def better(best: Column, e: Column) -> Column:
-        least = F.abs(F.length("name") - e["n"])
-        found = F.struct(F.levenshtein("name", e["entity"]).alias("distance"), e["entity"].alias("entity"))
-        return F.when(best.isNull() | (least <= best["distance"]), F.least(best, found)).otherwise(best)
-
-    none = F.lit(None).cast("struct<distance:int,entity:string>")
-    far = left.join(arrays, ["nb", "eb"]).select("name", F.aggregate("all", none, better).alias("x")).groupBy("name").agg(F.min("x").alias("x"))
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        listed = sorted(b["name"])
+        block, rows = Listed(listed), []
+        for name in a["name"] if listed else ():
+            distance = block.distances(name)
+            i = int(np.argmin(distance))
+            rows.append((name, listed[i], int(distance[i])))
+        return pd.DataFrame(rows, columns=["name", "entity", "distance"])
+
+    found = _in_blocks(rest, known, name_rows, entity_rows, run, "name string, entity string, distance int")
+    far = found.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x"))
     return close.unionAll(far).select("name", "x.entity", "x.distance")
 
 
-def _letters_of(texts: list[str], width: int = 64) -> np.ndarray:
-    """How often each (hashed) letter stands in each text."""
-    out = np.zeros((len(texts), width), np.int16)
-    for i, t in enumerate(texts):
-        for c in t:
-            out[i, ord(c) % width] += 1
-    return out
+def _in_blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int, run, schema: str) -> DataFrame:
+    """``run`` on every block of names with every block of dictionary names; the pairs of blocks are dealt over all tasks."""
+    parts, keys = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["nb", "eb"]
+    left, right = (df.repartition(parts, *keys).groupBy(*keys) for df in _blocks(names, entities, name_rows, entity_rows))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+#: Names of up to so many letters meet by their forms.
+SHORT = 30
 
 
-def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, name_rows: int = 1024, entity_rows: int = 8192) -> DataFrame:
+def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, name_rows: int = 1024, entity_rows: int = 4096) -> DataFrame:
     """(name, entity): the dictionary name with the largest difflib ratio of at least ``cutoff`` (ties: the last by code
     point), else null.
 
-    Names with a ratio of ``CLOSE_RATIO`` or more are found by their rarest letter pairs.  Blocks of the others meet blocks of the
-    dictionary, which may have any size.  In a pair of blocks the letters that two names share
-    bound their ratio, and only pairs whose bound is not below the best ratio so far are compared."""
+    The letters that match are a common subsequence, so a pair with u unmatched letters of n + m has at most the ratio
+    1 - u / (n + m).  Names meet by forms with up to two letters less, which finds all pairs with u up to 2; a name of n letters is
+    settled if its best ratio is above 1 - 3 / (2 n + 3), the most that others can have.  Blocks of the others meet blocks of the
+    dictionary, which may have any size; there the longest common subsequence bounds the ratio, and only pairs whose bound is not
+    below the best ratio so far are compared."""
     asked = names.select("name").where("name is not null").distinct()
     known = entities.select("name").where("name is not null").distinct()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         listed = sorted(b["name"])
-        letters, size = _letters_of(listed), np.array([len(x) for x in listed], float)
-        rows = []
-        for name in a["name"]:
-            if not listed or not name:
-                continue
-            both = np.minimum(letters, _letters_of([name])).sum(axis=1)
-            bound = 2 * both / (size + len(name))
+        block, rows = Listed(listed), []
+        for name in a["name"] if listed else ():
+            bound = 2 * block.common(name) / (block.size + len(name))
             best, match = (cutoff, ""), difflib.SequenceMatcher()
             match.set_seq2(name)
             for i in np.argsort(-bound, kind="stable"):
                 if bound[i] < best[0]:
                     break
                 match.set_seq1(listed[i])
-                if match.quick_ratio() >= best[0]:
-                    best = max(best, (match.ratio(), listed[i]))
+                best = max(best, (match.ratio(), listed[i]))
             if best[1]:
                 rows.append((name, *best))
         return pd.DataFrame(rows, columns=["name", "ratio", "entity"])
 
-    filled = asked.where("name <> ''")
-    high = max(cutoff, CLOSE_RATIO)
-    close = stored(within_ratio(filled, known, high).groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")))
-    left, right = _blocks(stored(filled.join(close, "name", "left_anti")), known, name_rows, entity_rows)
-    found = left.groupBy("nb", "eb").cogroup(right.groupBy("nb", "eb")).applyInPandas(run, "name string, ratio double, entity string")
+    filled, n = asked.where("name <> ''"), F.length("name")
+    close = ratios(pairs_by_deletion(filled.where(n <= SHORT), known.where(n <= SHORT + 2), 2)).groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x"))
+    close = stored(close.where((F.col("x.ratio") >= cutoff) & (F.col("x.ratio") > 1 - 3 / (2 * n + 3) + 1e-9)))
+    found = _in_blocks(stored(filled.join(close, "name", "left_anti")), known, name_rows, entity_rows, run, "name string, ratio double, entity string")
     best = found.groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")).unionAll(close).select("name", "x.entity")
     return asked.join(best, "name", "left")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,70 @@ def within_ratio(names: DataFrame, entities: DataFrame, least: float) -> DataFra
             yield b.assign(ratio=ratio)[lambda x: x["ratio"] >= least]
 
     return candidate_pairs(names, entities, lost, gap).sortWithinPartitions("name").mapInPandas(run, "name string, entity string, ratio double")
+
+
+def ratios(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (name, entity) with their difflib ratio."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = difflib.SequenceMatcher()
+        for b in batches:
+            ratio, last = [], None
+            for name, entity in zip(b["name"], b["entity"], strict=True):
+                if name != last:
+                    match.set_seq2(name)
+                    last = name
+                match.set_seq1(entity)
+                ratio.append(match.ratio())
+            yield b.assign(ratio=ratio)
+
+    return pairs.sortWithinPartitions("name").mapInPandas(run, "name string, entity string, ratio double")
+
+
+class Listed:
+    """A block of texts, to which a name is compared letter by letter in all texts at once; a name's letters are the bits of a
+    word, of 64 bits or, for longer names, of Python's integers."""
+
+    def __init__(self, texts: list[str]):
+        self.size = np.array([len(t) for t in texts], int)
+        alphabet = {c: i for i, c in enumerate(sorted(set().union(*texts)), 1)}
+        self.alphabet, self.letters = alphabet, np.zeros((self.size.max(initial=0), len(texts)), int)
+        for i, t in enumerate(texts):
+            self.letters[: len(t), i] = [alphabet[c] for c in t]
+
+    def _bits(self, name: str) -> tuple[np.ndarray, type]:
+        """The places of each letter of the alphabet in the name; none for the end of a text."""
+        places = [0] * (len(self.alphabet) + 1)
+        for i, c in enumerate(name):
+            if c in self.alphabet:
+                places[self.alphabet[c]] |= 1 << i
+        word = np.uint64 if len(name) <= 64 else int
+        return np.array(places, np.uint64 if word is np.uint64 else object), word
+
+    def common(self, name: str) -> np.ndarray:
+        """The length of the longest common subsequence with each text."""
+        places, word = self._bits(name)
+        full = word((1 << len(name)) - 1)
+        rest = np.full(len(self.size), full, places.dtype)
+        for row in self.letters:
+            met = rest & places[row]
+            rest = ((rest + met) | (rest - met)) & full
+        return len(name) - np.array([x.bit_count() for x in rest.tolist()], int)
+
+    def distances(self, name: str) -> np.ndarray:
+        """The edit distance to each text."""
+        if not name:
+            return self.size.copy()
+        places, word = self._bits(name)
+        full, one, top = word((1 << len(name)) - 1), word(1), word(len(name) - 1)
+        up, down, out = np.full(len(self.size), full, places.dtype), np.zeros(len(self.size), places.dtype), np.full(len(self.size), len(name), int)
+        for j, row in enumerate(self.letters):
+            same = places[row]
+            across = (((same & up) + up) ^ up) | same
+            more, less = (down | (full ^ ((across | up) & full))), up & across
+            step = ((more >> top) & one).astype(int) - ((less >> top) & one).astype(int)
+            out += np.where(j < self.size, step, 0)
+            more, less = ((more << one) | one) & full, (less << one) & full
+            flat = same | down
+            up, down = less | (full ^ ((flat | more) & full)), more & flat
+        return out

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import ground
+from quadrille.operators import ground, similar
 from quadrille.operators.similar import pairs_by_deletion, within_distance, within_ratio, within_two
 
 
@@ -77,3 +77,41 @@ def test_pairs_grow_slower_than_the_dictionary(spark):
         asked = spark.range(0, 1000, 10).select(F.concat(F.lit("Cstmer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
         pairs.append(pairs_by_deletion(asked, known, 2).count())
     assert pairs[1] < 3 * pairs[0] and pairs[1] < 0.02 * 100 * 8000
+
+
+def test_names_of_running_numbers_meet_in_blocks_spread_over_tasks(spark, monkeypatch):
+    """Such names share most letter pairs, which are all frequent: these find nearly every pair of names."""
+
+    by_grams = similar.candidate_pairs
+
+    def no_letter_pairs(names, entities, lost, gap, q=2):
+        assert q > 2, "letter pairs of running numbers"
+        return by_grams(names, entities, lost, gap, q)
+
+    monkeypatch.setattr(similar, "candidate_pairs", no_letter_pairs)
+    known = [f"Customer#{i:09d}" for i in range(300)]
+    asked = [k[2:] + "x" for k in known[::7]] + [k[:3] + k[4:] for k in known[::11]] + ["~far", "y" * 70]
+    a, k = (spark.createDataFrame([(x,) for x in rows], "name string") for rows in (asked, known))
+    got = {r.name: (r.distance, r.entity) for r in ground.nearest_by_levenshtein(a, k, 16, 64).collect()}
+    match = {r.name: r.entity for r in ground.close_matches(a, k, name_rows=16, entity_rows=64).collect()}
+    assert match == {x: next(iter(difflib.get_close_matches(x, known, 1, 0.6)), None) for x in asked}
+    assert all(got[x[2:] + "x"] == (3, x) for x in known[::7]) and all(got[x[:3] + x[4:]] == (1, x) for x in known[::11])
+    assert got["y" * 70] == (70, known[0])
+
+
+def test_letters_in_words_equal_plain_models():
+    def both(a, b):
+        lev, common = list(range(len(b) + 1)), [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            old, lev, seen, common = lev, [i], common, [0]
+            for j, y in enumerate(b, 1):
+                lev.append(min(old[j] + 1, lev[-1] + 1, old[j - 1] + (x != y)))
+                common.append(seen[j - 1] + 1 if x == y else max(seen[j], common[-1]))
+        return lev[-1], common[-1]
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abé😀", k=rng.randint(0, 80))) for _ in range(20)] + [""]
+    listed = similar.Listed(texts)
+    for name in [*texts, "b" * 64, "ab" * 33]:
+        want = [both(name, t) for t in texts]
+        assert list(zip(listed.distances(name).tolist(), listed.common(name).tolist(), strict=True)) == want

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from quadrille.operators import retrieve
 from quadrille.operators.asof import pool_rows
 
 ASKS = "quid long, rel string, s string, o string, time_level string, at date, side int, takes string, take_last boolean"
@@ -91,3 +92,17 @@ def test_empty(spark):
     asks, facts = frames(spark, [(1, "x", "A", None, "day", DAY, 0, "all", False)], [(1, "A", "x", "P", dt.datetime(2023, 11, 20))])
     assert pool_rows(asks.limit(0), facts).count() == 0 and pool_rows(asks, facts.limit(0)).count() == 0
     assert pool_rows(asks, facts).count() == 1
+
+
+def test_rows_are_numbered_by_their_places_and_not_shuffled_again(spark):
+    start = dt.datetime(2020, 1, 1)
+    facts = [(i, "HUB", "x", f"o{i}", start + dt.timedelta(hours=7 * i)) for i in range(300)]
+    asks = [(i, "x", "HUB", None, level, (start + dt.timedelta(days=i)).date(), side, takes, i % 2 == 0) for i, (level, side, takes) in enumerate([("month", 0, "all"), ("day", 1, "day"), ("day", -1, "few"), ("day", -1, "day"), ("month", 0, "one"), ("year", None, "day")] * 4)]
+    asked, known = frames(spark, asks, facts)
+    by_quid = {}
+    for r in pool_rows(asked, known).collect():
+        by_quid.setdefault(r.quid, []).append((r.pos, r.line_no))
+    assert {q: sorted(rows) for q, rows in by_quid.items()} == {a[0]: list(enumerate(p, 1)) for a in asks if (p := plain(a, facts, 10))}
+    q = spark.createDataFrame([(1, 1, "x", "HUB", None, "month", start.date(), ["2020-01"], "equal", "entity")], "quid long, cand_rank int, rel string, s string, o string, time_level string, t date, time array<string>, qtype string, answer_type string")
+    rows = retrieve.equal_entity(q, known)
+    assert "windowspecdefinition(quid" not in rows._jdf.queryExecution().toString() and rows.count() > 60

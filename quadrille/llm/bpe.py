@@ -4,7 +4,7 @@ A pre-token's bytes are a linked list of parts.  Every pair of neighbours that t
 its rank, a heap of positions; two levels of bitmaps say which buckets hold something, so the first bit that is set names the
 next rank, the first position of its bucket the leftmost pair.  Joining a pair gives its left and right neighbours
 new ranks; their old entries stay behind and are skipped when they come up, as the list no longer agrees with them.
-So a pre-token of n bytes takes O(n log n) steps, however long.
+So a pre-token of n bytes takes O(n log n) steps, however long.  Of a short one the ranks are a list, whose least is looked for anew each time.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 #: Pre-tokens of at most so many characters are remembered, so many and those that came before them a Python worker.
 SHORT, REMEMBERED = 48, 1 << 18
+#: Pre-tokens of at most so many bytes are merged on a list of ranks.
+SHORT_BYTES = 64
 #: Ranks that share a word of the lower bitmap.
 LOW_BITS = 8
 LOW = (1 << LOW_BITS) - 1
@@ -39,11 +41,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _BIT = [1 << i for i in range(LOW + 1)]
 
 
+_NO_RANK = 1 << 62
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    n, get = len(piece), ranks.get
+    cut = list(range(n + 1))
+    at = [get(piece[i : i + 2], _NO_RANK) for i in range(n - 1)]
+    while at:
+        least = min(at)
+        if least == _NO_RANK:
+            break
+        i = at.index(least)
+        del at[i], cut[i + 1]
+        if i:
+            at[i - 1] = get(piece[cut[i - 1] : cut[i + 1]], _NO_RANK)
+        if i < len(at):
+            at[i] = get(piece[cut[i] : cut[i + 2]], _NO_RANK)
+    return [ranks[piece[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token: the pair of lowest rank, the leftmost of equal ones, is joined until none is left.
 
     A bucket with one position is that number, one with more a heap."""
     n = len(piece)
+    if n <= SHORT_BYTES:
+        return _merge_short(piece, ranks)
     kind = list if n <= 256 else lambda x: array("q", x)
     after, before, rank_at = kind(range(1, n + 1)), kind(range(-1, n)), kind([-1]) * n
     buckets: dict[int, int | list[int]] = {}

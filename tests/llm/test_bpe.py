@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -97,3 +98,16 @@ def test_query_digests(spark, tmp_path, library):
     for i, t in texts:
         ids = library.encode_ordinary(t or "")
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_short_pre_tokens_are_merged_on_a_plain_list(ranks, monkeypatch):
+    rng = random.Random(5)
+    pieces = [bytes(rng.choices(b"etaoinshr ", k=rng.randint(1, 12))) for _ in range(4000)] + [bytes(rng.choices(b"ab\xc3\xa9", k=n)) for n in range(60, 70)]
+    took, ids = {}, {}
+    for most in (0, bpe.SHORT_BYTES):
+        monkeypatch.setattr(bpe, "SHORT_BYTES", most)
+        began = time.process_time()
+        ids[most] = [merge(p, ranks) for p in pieces]
+        took[most] = time.process_time() - began
+    assert ids[0] == ids[bpe.SHORT_BYTES] and ids[0][:500] == [plain_merge(p, ranks) for p in pieces[:500]] and ids[0][-10:] == [plain_merge(p, ranks) for p in pieces[-10:]]
+    assert took[bpe.SHORT_BYTES] < 0.8 * took[0]

@@ -151,3 +151,25 @@ def test_fused_plan_equals_separate_plans(spark, facts, entities):
     for p in parts[1:]:
         separate = separate.unionByName(p)
     assert sorted(map(str, fused.collect())) == sorted(map(str, separate.collect()))
+
+
+def test_the_cue_graph_joins_no_two_large_tables(spark):
+    rows = [(i, f"s{i % 3}", "r", f"o{i * 7 % 11}", f"2020-01-{1 + i // 20:02d}") for i in range(400)]
+    facts = spark.createDataFrame(rows, "line_no long, s string, r string, o string, day string").select("line_no", "s", "r", "o", F.to_timestamp_ntz("day").alias("ts"), F.to_date("day").alias("d"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cue.cue_graph(facts, "subj")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    after = cue.after_edges(facts, "subj").collect()
+    # Each group of about 133 facts spans ranges, of which the session has four.
+    groups = {s: sorted((d, n, o) for n, x, _, o, d in rows if x == s) for s in ("s0", "s1", "s2")}
+    assert sorted((r.center, r.src, r.dst, r.time_1[:10], r.time_2[:10]) for r in after) == sorted((s, a[2], b[2], a[0], b[0]) for s, g in groups.items() for a, b in zip(g, g[1:], strict=False))
+    best = {}
+    for r in after:
+        for key, seq, x in (((r.src, r.dst, r.edge_key), (*r.write_seq.group_seq, r.write_seq.place, 0, r.center), ("after", r.fact_1, r.fact_2, r.center)), ((r.dst, r.src, f"r_{r.time_2}_{r.time_1}"), (*r.write_seq.group_seq, r.write_seq.place, 1, r.center), ("before", r.fact_2, r.fact_1, r.center))):
+            best[key] = max(best.get(key, (seq, x)), (seq, x))
+    assert {(r.src, r.dst, r.edge_key): (r.cue, r.fact_1, r.fact_2, r.center) for r in got.collect()} == {k: x for k, (_, x) in best.items()}

@@ -26,16 +26,17 @@ def dictionary_entities(questions: DataFrame, entities: DataFrame, longest: int
     question as whole words.
 
     Runs of as many words as dictionary names have (at most ``longest``, if given) meet the
-    dictionary in an equi-join on lower-cased text without signs."""
-    names = entities.select(F.array_join(_bare_words("name"), " ").alias("key"), F.size(_bare_words("name")).alias("n"), F.col("name").alias("entity")).where("n > 0")
+    dictionary in an equi-join on lower-cased text without signs.  Names are numbered in the order in which they win, so of
+    the hits only one number a question is kept."""
+    ahead = [-F.length("name"), F.col("name")]
+    ranked = entities.select("name").distinct().repartitionByRange(*ahead).sortWithinPartitions(*ahead).withColumn("rank", F.monotonically_increasing_id())
+    names = stored(ranked.select(F.array_join(_bare_words("name"), " ").alias("key"), F.size(_bare_words("name")).alias("n"), F.col("name").alias("entity"), "rank").where("n > 0"))
     lengths = sorted(r.n for r in names.select("n").distinct().collect() if longest is None or r.n <= longest)
-    q = questions.select("quid", _bare_words("question").alias("w"))
+    q = questions.where("quid is not null").select("quid", _bare_words("question").alias("w"))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("w"))
     runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
-    found = q.select("quid", F.explode(runs).alias("key")).distinct()
-    hits = found.join(names, "key")
-    longest_hit = hits.groupBy("quid").agg(F.max(F.length("entity")).alias("n"))
-    return hits.drop("n").join(longest_hit, "quid").where(F.length("entity") == F.col("n")).groupBy("quid").agg(F.min("entity").alias("entity"))
+    hits = q.select("quid", F.explode(runs).alias("key")).join(names.select("key", "rank"), "key")
+    return hits.groupBy("quid").agg(F.min("rank").alias("rank")).join(names.select("rank", "entity"), "rank").select("quid", "entity")
 
 
 def recognise(questions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -214,3 +214,11 @@ def test_long_names_and_names_with_signs(spark):
     assert {r.quid: r.entity for r in ground.dictionary_entities(q, names).collect()} == {0: long, 1: "A.B. Bardhan", 2: "ATCO Ltd.", 6: "Iran"}
     assert {r.quid for r in ground.dictionary_entities(q, names, longest=12).collect()} == {1, 2, 6}
     assert ground.dictionary_entities(q, names.limit(0)).collect() == []
+
+
+def test_the_dictionary_is_met_once_and_hits_are_numbers(spark):
+    q = spark.createDataFrame([(1, "was Rome or Bonn, or New York older than Rome?"), (2, "nothing"), (3, "rome, BONN")], "quid long, question string")
+    names = spark.createDataFrame([("Rome",), ("Bonn",), ("New York",), ("Rome",)], "name string")
+    got = ground.dictionary_entities(q, names)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and sorted(map(tuple, got.collect())) == [(1, "New York"), (3, "Bonn")]

@@ -216,6 +216,15 @@ def test_long_names_and_names_with_signs(spark):
     assert ground.dictionary_entities(q, names.limit(0)).collect() == []
 
 
+def test_a_task_sorts_a_bounded_part_of_the_pools(spark, monkeypatch):
+    from quadrille.operators import place
+    from quadrille.plans import views
+
+    monkeypatch.setattr(place, "TASK_ROWS", 100)
+    pools = views.pools(spark, "/root/testdata/sf0.001")
+    assert pools.rdd.getNumPartitions() >= pools.count() // 100 > 4
+
+
 def test_the_dictionary_is_met_once_and_hits_are_numbers(spark):
     q = spark.createDataFrame([(1, "was Rome or Bonn, or New York older than Rome?"), (2, "nothing"), (3, "rome, BONN")], "quid long, question string")
     names = spark.createDataFrame([("Rome",), ("Bonn",), ("New York",), ("Rome",)], "name string")

@@ -231,3 +231,19 @@ def test_the_dictionary_is_met_once_and_hits_are_numbers(spark):
     got = ground.dictionary_entities(q, names)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and sorted(map(tuple, got.collect())) == [(1, "New York"), (3, "Bonn")]
+
+
+def test_facts_are_read_once_by_the_filter(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(row):
+        seen.add(1)
+        return row
+
+    rows = [(q, i, "s", f"r{i % 3}", f"o{i % 2}", f"2020-01-{1 + i % 28:02d}") for q, n in ((1, 60), (2, 3), (3, 50)) for i in range(n)]
+    made = spark.sparkContext.parallelize(rows, 4).map(read)
+    facts = spark.createDataFrame(made, "quid long, pos int, s string, r string, o string, day string").select("quid", "pos", "s", "r", "o", F.to_date("day").alias("d"))
+    cues = spark.createDataFrame([(1, "after", "2020-01-10"), (2, None, None), (3, "same", "1999-01-01")], "quid long, cue string, day string").select("quid", "cue", F.to_date("day").alias("anchor"))
+    _, counts = evidence.filter_evidence(facts, cues)
+    assert {r.quid: (r.original_fact_num, r.triggered) for r in counts.collect()} == {1: (60, True), 2: (3, False), 3: (50, True)}
+    assert seen.value == len(rows)

@@ -31,8 +31,11 @@ def corpus_of(texts: DataFrame, least_words: int) -> DataFrame:
     """The different sentences of (origin, id, part, lang, text).
 
     Equal ones are gathered by an aggregate with a partial step, so a sentence that stands in a large part of all texts is no hot spot."""
-    found = texts.select("origin", "id", "part", "lang", F.posexplode(sentences_of(F.col("text"))).alias("pos", "raw")).withColumn("sentence", squeeze(F.col("raw")))
-    keyed = found.withColumn("key", normalise_answer(F.col("sentence"))).withColumn("n_words", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " ")))).where(F.col("n_words") >= least_words)
+    # Each text is the one element of an array that is exploded: a plain column would be made again wherever the filter or the aggregate names it.
+    cut = texts.select("origin", "id", "part", "lang", F.posexplode(sentences_of(F.col("text"))).alias("pos", "raw"))
+    found = cut.select("origin", "id", "part", "lang", "pos", F.explode(F.array(squeeze(F.col("raw")))).alias("sentence"))
+    found = found.select("*", F.explode(F.array(normalise_answer(F.col("sentence")))).alias("key"))
+    keyed = found.withColumn("n_words", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " ")))).where(F.col("n_words") >= least_words)
     first = F.min(F.struct("origin", "id", "part", "pos", "sentence", "lang")).alias("x")
     return keyed.groupBy("key", "n_words").agg(first, F.count(F.lit(1)).alias("n_seen")).select(
         "x.sentence", "x.id", "x.part", "x.pos", "n_seen", "n_words", cue_in_question(F.col("x.sentence")).alias("cue"), "x.origin", "x.lang"

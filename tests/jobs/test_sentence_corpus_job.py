@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from jobs import command
+from jobs import command, sentence_corpus
 from jobs.sentence_corpus import build_sentence_corpus, read_corpus
 
 DOCS = [
@@ -83,3 +83,11 @@ def test_command_line(spark, inputs, tmp_path, monkeypatch):
     args = ["--documents", inputs[0], "--conversations", inputs[1], "--out", inputs[2], "--config", str(config)]
     done = command.run(build_sentence_corpus, {"documents": "", "conversations": "", "out": ""}, args)
     assert kept.stopped and done["written"] == len(plain(DOCS, TALK, 3))
+
+
+def test_texts_are_normalised_once_each(spark):
+    rows = spark.createDataFrame([("documents", 1, 0, "en", "The cat sat. A cat  sat!\nNo.")], "origin string, id long, part long, lang string, text string")
+    got = sentence_corpus.corpus_of(rows, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(a|an|the)") == 1
+    assert [(r.sentence, r.n_seen, r.n_words) for r in got.collect()] == [("The cat sat.", 2, 2)]

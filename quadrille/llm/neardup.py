@@ -225,8 +225,8 @@ def _groups(sig: np.ndarray, cut: float) -> np.ndarray:
 
 
 def _plausible(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
-    """(key, v): each node's groups of members whose tokens agree, named by a hash of their members, so
-    that a group that many nodes hold has one name."""
+    """(key, v, least): each node's groups of members whose tokens agree, named by a hash of their members, so
+    that a group that many nodes hold has one name, with the smallest member."""
     with np.errstate(over="ignore"):
         for table in _nodes(batches, "path"):
             v, sig, edge = table.column("v").to_numpy(), _sketches(table), _edges(table.column("path").to_numpy())
@@ -243,7 +243,9 @@ def _plausible(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.Rec
             own = mix(v[row].view(np.uint64), 5)
             total = np.zeros(table.num_rows, np.uint64)
             np.add.at(total, group, own)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(total[group], 6).view(np.int64)), pa.array(v[row])], ["key", "v"])
+            least = np.full(table.num_rows, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, v[row])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(total[group], 6).view(np.int64)), pa.array(v[row]), pa.array(least[group])], ["key", "v", "least"])
 
 
 def _compare_sorted(batches: Iterator[pa.RecordBatch], percent: int, cut: float) -> Iterator[pa.RecordBatch]:
@@ -304,7 +306,8 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
     ``groups``: one row (v, doc, k1, k2, sig, sketch) for each different set, ``v`` its number and ``doc`` a document
     that has it; ``docs``: (doc_id, text).  Links between members that a node's other links connect
     are left out, no others.  Branching needs tokens alone, so full sets are made once, for the sets
-    that agree with another on enough tokens, and met once for all levels.  Rows of a level are a path and a number; tokens
+    that agree with another on enough tokens, and met once for all levels, each once where the groups that hold it are a small
+    node together.  Rows of a level are a path and a number; tokens
     are joined where they are looked at.  A large node all of whose members agree with
     one of its hubs waits as a star for the full sets; if some member is like no hub, it branches on and is not
     tried again for ``STAR_EVERY`` levels.  What is still large after ``max_depth`` levels is compared in pairs of blocks.
@@ -335,7 +338,7 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
             few = level.where(F.col("n") <= small).select("path", "v")
             deep = level.where((F.col("n") > small) & (F.col("lev") >= max_depth))
             few = _united([x for x in (few, _in_blocks(deep, small), rare) if x is not None])
-            near = _dealt(few.join(sketches, "v"), "path").mapInArrow(lambda b: _plausible(b, cut), "key long, v long")
+            near = _dealt(few.join(sketches, "v"), "path").mapInArrow(lambda b: _plausible(b, cut), "key long, v long, least long")
             found.append(checkpointed(near.distinct()))
             discard(rare)
             many = level.where((F.col("n") > small) & (F.col("lev") < max_depth))
@@ -346,7 +349,7 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
             rare = None if many is None else _rare(many, wide, n_roots, small)
             discard(level, many)
             level = step
-        keyed = found[0] if len(found) == 1 else _united(found).distinct()
+        keyed = _together(found[0] if len(found) == 1 else _united(found).distinct(), small)
         starred = _united(stars) if stars else None
         if sets is None:
             active = keyed.select("v") if starred is None else keyed.select("v").unionAll(starred.select("v"))
@@ -367,7 +370,7 @@ def similar_links(groups: DataFrame, docs: DataFrame, percent: int = 75, trees:
             if not going.isEmpty():
                 level = _branched(going.withColumn("hold", F.col("lev") + STAR_EVERY), wide, n_roots, small)
                 rare = _rare(going, wide, n_roots, small)
-        discard(*found, *stars)
+        discard(*found, *stars, keyed)
     out = checkpointed(_united(links).distinct())
     discard(sets, wide, *written)
     return out
@@ -378,6 +381,18 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _together(keyed: DataFrame, small: int) -> DataFrame:
+    """(key, v) of groups (key, v, least): groups that share members, whatever nodes they were found in, are one, so that a set
+    is in one group; they stay as found where that would be more than ``small`` sets."""
+    labels = connected_components(keyed.select(F.col("v").alias("a"), F.col("least").alias("b")))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    named = labels.join(sizes, "component").select(F.col("id").alias("v"), "component", "n")
+    one = F.when(F.col("n") <= small, F.col("component")).otherwise(F.col("key"))
+    out = checkpointed(keyed.join(named, "v").select(one.alias("key"), "v").distinct())
+    discard(labels)
+    return out
+
+
 def _rare(many: DataFrame, wide: DataFrame, n_roots: int, small: int) -> DataFrame | None:
     """(path, v): for the sets of some large nodes of the first level, nodes of the rare tokens at positions that no root has; none for
     later levels, whose sets were all in these."""
@@ -410,12 +425,18 @@ def _stars(many: DataFrame, wide: DataFrame, cut: float) -> tuple[DataFrame | No
     like = F.exists("hubs", lambda h: agreed(h["sig"]) >= cut * WIDTH)
     with_tokens = many.join(hubs, "path", "left").join(wide, "v")
     rows = checkpointed(with_tokens.select("path", "v", "n", "lev", "hold", F.col("hubs.v").alias("hubs"), F.coalesce(like, F.lit(False)).alias("like")))
-    alike = rows.groupBy("path").agg(F.min("like").alias("whole"))
-    parted = checkpointed(rows.drop("like").join(alike, "path").withColumn("star", F.xxhash64(F.array_sort("hubs"))))
-    discard(rows)
-    star, other = parted.where("whole"), parted.where(~F.col("whole")).drop("whole", "star", "hubs")
-    (other if star.isEmpty() else star).checkpoint_path = parted.checkpoint_path
-    return None if star.isEmpty() else star, None if other.isEmpty() else other
+    whole = checkpointed(rows.groupBy("path").agg(F.min("like").alias("whole")).where("whole").select("path"))
+    if whole.isEmpty():
+        discard(whole)
+        return None, rows
+    paths = _bounded(whole)
+    star = checkpointed(rows.drop("like").join(paths, "path", "left_semi").withColumn("star", F.xxhash64(F.array_sort("hubs"))))
+    other = checkpointed(rows.drop("like", "hubs").join(paths, "path", "left_anti"))
+    discard(rows, whole)
+    if other.isEmpty():
+        discard(other)
+        return star, None
+    return star, other
 
 
 def _growth(n_roots: int) -> list[float]:

@@ -131,6 +131,61 @@ def test_rows_of_a_large_template_are_bounded_and_its_pairs_found(spark, monkeyp
     assert all(got[i] == i for i in range(200, 1200)) and rows and max(rows) <= 64 * 1200
 
 
+def test_full_sets_of_small_groups_are_met_once(spark, monkeypatch):
+    """Variants of 40 texts share nodes in many groupings; each set is moved with its shingles once."""
+    df, met, dealt = spark.createDataFrame(_variants(1, 40, 8), "doc_id long, text string"), [], neardup._dealt
+
+    def counted(rows, key, *then):
+        if key == "key":
+            met.append((rows.count(), rows.select("v").distinct().count()))
+        return dealt(rows, key, *then)
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    check(df)
+    assert len(met) == 1 and met[0][0] == met[0][1] > 100
+
+
+@pytest.mark.parametrize("small", [3, 100])
+def test_groups_that_share_members_are_one_up_to_the_bound(spark, small):
+    keyed = spark.createDataFrame([(-1, 1, 1), (-1, 2, 1), (-2, 2, 2), (-2, 3, 2), (-3, 3, 3), (-3, 4, 3), (-4, 8, 8), (-4, 9, 8), (-5, 8, 8), (-5, 9, 8)], "key long, v long, least long")
+    groups = {}
+    for r in neardup._together(keyed, small).collect():
+        groups.setdefault(r.key, []).append(r.v)
+    got = sorted(sorted(g) for g in groups.values())
+    assert got == ([[1, 2], [2, 3], [3, 4], [8, 9]] if small == 3 else [[1, 2, 3, 4], [8, 9]])
+
+
+def test_rows_of_a_group_of_copies_grow_with_its_size(spark, monkeypatch):
+    """Twice the near copies give at most about twice the rows of nodes; nodes that are no stars are neither joined nor written again."""
+    shared, stars, made = neardup._shared, neardup._stars, []
+
+    def rows_of(size):
+        rng, made[:] = random.Random(9), []
+        base = sentence(rng, 80).split()
+        texts = [" ".join([*base[:i], sentence(rng, 1), *base[i + 1 :]]) for i in (rng.randrange(80) for _ in range(size))]
+        neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=25).collect()
+        return sum(made)
+
+    def counted(*args):
+        out = shared(*args)
+        made.append(out.count())
+        return out
+
+    def watched(many, *args):
+        written, store = [], neardup.checkpointed
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "checkpointed", lambda df: written.append(store(df)) or written[-1])
+            star, other = stars(many, *args)
+        rows = sum(t.count() for t in written) if star is None else many.count()
+        assert rows <= many.count()
+        return star, other
+
+    monkeypatch.setattr(neardup, "_shared", counted)
+    monkeypatch.setattr(neardup, "_stars", watched)
+    small, large = rows_of(150), rows_of(300)
+    assert 0 < large <= 2.6 * small
+
+
 def test_components_of_paths_and_hubs(spark, monkeypatch):
     from quadrille.llm import components
 

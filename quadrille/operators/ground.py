@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import Window as W
 from ..functions.temporal import is_date_entity
 from ..functions.text import strip_fences
 from ..sources.scratch import stored
-from .similar import Listed, pairs_by_deletion, ratios, within_two
+from .similar import Listed, Prefixes
+from .union import united
 
 
 def _bare_words(text: str) -> Column:
@@ -61,33 +63,63 @@ def recognise(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return placed.select("quid", F.transform("found", lambda x: x["entity"]).alias("entities"), F.col("found").alias("spans"))
 
 
-def _blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Names and dictionary names, each dealt so that every block of one meets every block of the other (nb, eb)."""
-    nn, ne = (max(1, -(-df.count() // rows)) for df, rows in ((names, name_rows), (entities, entity_rows)))
-    a = names.select("name", F.pmod(F.xxhash64("name"), F.lit(nn)).cast("int").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(ne - 1))).alias("eb"))
-    b = entities.select("name", F.pmod(F.xxhash64("name"), F.lit(ne)).cast("int").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(nn - 1))).alias("nb"))
+def _blocks(names: DataFrame, entities: DataFrame, nn: int, ne: int) -> tuple[DataFrame, DataFrame]:
+    """Names (nb, name) and dictionary names (eb, name) of ``nn`` and ``ne`` blocks, each as often as every block of one meets every
+    block of the other."""
+    a = names.select("name", "nb", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))).alias("eb"))
+    b = entities.select("name", "eb", F.explode(F.sequence(F.lit(0), F.lit(nn - 1))).alias("nb"))
     return a, b
 
 
-def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, name_rows: int = 1024, entity_rows: int = 4096) -> DataFrame:
+def _dealt(names: DataFrame, rows: int, block: str) -> tuple[DataFrame, int]:
+    """``names`` with their block by hash, of about ``rows`` names, and the number of blocks."""
+    n = max(1, -(-names.count() // rows))
+    return names.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias(block)), n
+
+
+#: Levels of unmatched letters that names meet the dictionary's prefixes at; those that are further off meet it in blocks.
+LEVELS = (1, 2, 3, 4)
+
+
+def _by_levels(asked: DataFrame, known: DataFrame, tree_names: int, tree_rows: int, run, schema: str, best: Column, settled: Callable[[int], Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows of names that are settled at one of ``LEVELS``, and the other names.
+
+    ``run(level)`` compares a block of names with one of dictionary names that are neighbours in order, so that a block is a
+    tree of few prefixes; ``best`` of a name's rows is x, and ``settled(level)`` tells whether that stands.  A level looks only at
+    names that all levels before left."""
+    ne = max(1, -(-known.count() // tree_rows))
+    ranges = stored(known.repartitionByRange(ne, "name").select("name", F.spark_partition_id().alias("eb")))
+    done, rest = [], stored(asked)
+    for level in LEVELS:
+        if done and rest.isEmpty():
+            break
+        left, nn = _dealt(rest, tree_names, "nb")
+        found = _in_blocks(left, ranges, nn, ne, run(level), schema).groupBy("name").agg(best.alias("x"))
+        found = stored(found.where(settled(level)))
+        done.append(found)
+        rest = stored(rest.join(found, "name", "left_anti"))
+    return united(*done), rest
+
+
+def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, name_rows: int = 1024, entity_rows: int = 4096, tree_names: int = 65_536, tree_rows: int = 262_144) -> DataFrame:
     """(name, entity, distance): the dictionary name with the least edit distance, ties by code point.
 
-    Names at distance 0 or 1 are found by an equi-join: two such names share themselves or a form with one letter
-    less.  Others meet the dictionary at distance 2 in the same way.  Letter pairs would not tell the rest apart where many names share
-    most of them, so names that are further off meet the dictionary in blocks of about ``name_rows`` and ``entity_rows`` names."""
+    Names at distance 1, then 2 and so on, are found in the tree of the dictionary's prefixes (``similar.Prefixes``), in blocks of
+    about ``tree_names`` and ``tree_rows``; how far names are apart bounds the prefixes that they meet, also where many share most of
+    their letters.  Names that are further off than the last level meet the dictionary in blocks of about ``name_rows`` and ``entity_rows`` names."""
     asked = names.select("name").where("name is not null").distinct()
-    known = entities.select("name").where("name is not null").distinct()
+    known = stored(entities.select("name").where("name is not null").distinct())
 
-    def forms(df: DataFrame, as_: str) -> DataFrame:
-        less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name"))), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.expr("name").substr(i + 1, F.length("name"))))
-        return df.select(F.struct("name").alias("x"), F.explode(F.array_distinct(F.concat(F.array("name"), less))).alias("form")).select(F.col("x.name").alias(as_), "form")
+    def level(most: int):
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            listed, left = sorted(b["name"]), a["name"].tolist()
+            name, text, distance = Prefixes(listed).near(left, most)
+            order = np.lexsort((text, distance, name))
+            order = order[np.diff(name[order], prepend=-1) > 0]
+            rows = [(left[i], listed[j], n) for i, j, n in zip(name[order], text[order], distance[order].tolist(), strict=True)]
+            return pd.DataFrame(rows, columns=["name", "entity", "distance"])
 
-    close = forms(asked, "asked").join(forms(known, "entity"), "form").select(F.col("asked").alias("name"), "entity").distinct().withColumn("distance", F.levenshtein("name", "entity")).where("distance <= 1")
-    close = stored(close.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
-    rest = stored(asked.join(close, "name", "left_anti"))
-    if not rest.isEmpty():
-        met = stored(within_two(rest, known).groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x")))
-        close, rest = close.unionAll(met), stored(rest.join(met, "name", "left_anti"))
+        return run
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         listed = sorted(b["name"])
@@ -98,33 +130,46 @@ def nearest_by_levenshtein(names: DataFrame, entities: DataFrame, name_rows: int
             rows.append((name, listed[i], int(distance[i])))
         return pd.DataFrame(rows, columns=["name", "entity", "distance"])
 
-    found = _in_blocks(rest, known, name_rows, entity_rows, run, "name string, entity string, distance int")
-    far = found.groupBy("name").agg(F.min(F.struct("distance", "entity")).alias("x"))
-    return close.unionAll(far).select("name", "x.entity", "x.distance")
+    schema, best = "name string, entity string, distance int", F.min(F.struct("distance", "entity"))
+    close, rest = _by_levels(asked, known, tree_names, tree_rows, level, schema, best, lambda most: F.lit(True))
+    (a, nn), (b, ne) = _dealt(rest, name_rows, "nb"), _dealt(known, entity_rows, "eb")
+    far = _in_blocks(a, b, nn, ne, run, schema).groupBy("name").agg(best.alias("x"))
+    return united(close, far).select("name", "x.entity", "x.distance")
 
 
-def _in_blocks(names: DataFrame, entities: DataFrame, name_rows: int, entity_rows: int, run, schema: str) -> DataFrame:
+def _in_blocks(names: DataFrame, entities: DataFrame, nn: int, ne: int, run, schema: str) -> DataFrame:
     """``run`` on every block of names with every block of dictionary names; the pairs of blocks are dealt over all tasks."""
     parts, keys = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["nb", "eb"]
-    left, right = (df.repartition(parts, *keys).groupBy(*keys) for df in _blocks(names, entities, name_rows, entity_rows))
+    left, right = (df.repartition(parts, *keys).groupBy(*keys) for df in _blocks(names, entities, nn, ne))
     return left.cogroup(right).applyInPandas(run, schema)
 
 
-#: Names of up to so many letters meet by their forms.
-SHORT = 30
-
-
-def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, name_rows: int = 1024, entity_rows: int = 4096) -> DataFrame:
+def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, name_rows: int = 1024, entity_rows: int = 4096, tree_names: int = 65_536, tree_rows: int = 262_144) -> DataFrame:
     """(name, entity): the dictionary name with the largest difflib ratio of at least ``cutoff`` (ties: the last by code
     point), else null.
 
     The letters that match are a common subsequence, so a pair with u unmatched letters of n + m has at most the ratio
-    1 - u / (n + m).  Names meet by forms with up to two letters less, which finds all pairs with u up to 2; a name of n letters is
-    settled if its best ratio is above 1 - 3 / (2 n + 3), the most that others can have.  Blocks of the others meet blocks of the
-    dictionary, which may have any size; there the longest common subsequence bounds the ratio, and only pairs whose bound is not
-    below the best ratio so far are compared."""
+    1 - u / (n + m).  Pairs with u up to 1, then 2 and so on, are found in the tree of the dictionary's prefixes, as in
+    ``nearest_by_levenshtein``; a name of n letters is settled at u if its best ratio is above 1 - (u + 1) / (2 n + u + 1), the most that
+    others can have.  Blocks of the others meet blocks of the dictionary, which may have any size; there the longest common
+    subsequence bounds the ratio, and only pairs whose bound is not below the best ratio so far are compared."""
     asked = names.select("name").where("name is not null").distinct()
-    known = entities.select("name").where("name is not null").distinct()
+    known = stored(entities.select("name").where("name is not null").distinct())
+
+    def level(most: int):
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            listed, left, rows = sorted(b["name"]), a["name"].tolist(), {}
+            name, text, _ = Prefixes(listed).near(left, most, 2)
+            match, last = difflib.SequenceMatcher(), -1
+            for i, j in sorted(zip(name.tolist(), text.tolist(), strict=True)):
+                if i != last:
+                    match.set_seq2(left[i])
+                    last = i
+                match.set_seq1(listed[j])
+                rows[i] = max(rows.get(i, (-1.0, "")), (match.ratio(), listed[j]))
+            return pd.DataFrame([(left[i], *x) for i, x in rows.items()], columns=["name", "ratio", "entity"])
+
+        return run
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         listed = sorted(b["name"])
@@ -143,11 +188,12 @@ def close_matches(names: DataFrame, entities: DataFrame, cutoff: float = 0.6, na
         return pd.DataFrame(rows, columns=["name", "ratio", "entity"])
 
     filled, n = asked.where("name <> ''"), F.length("name")
-    close = ratios(pairs_by_deletion(filled.where(n <= SHORT), known.where(n <= SHORT + 2), 2)).groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x"))
-    close = stored(close.where((F.col("x.ratio") >= cutoff) & (F.col("x.ratio") > 1 - 3 / (2 * n + 3) + 1e-9)))
-    found = _in_blocks(stored(filled.join(close, "name", "left_anti")), known, name_rows, entity_rows, run, "name string, ratio double, entity string")
-    best = found.groupBy("name").agg(F.max(F.struct("ratio", "entity")).alias("x")).unionAll(close).select("name", "x.entity")
-    return asked.join(best, "name", "left")
+    schema, best = "name string, ratio double, entity string", F.max(F.struct("ratio", "entity"))
+    stands = lambda u: (F.col("x.ratio") >= cutoff) & (F.col("x.ratio") > 1 - (u + 1) / (2 * n + u + 1) + 1e-9)
+    close, rest = _by_levels(filled, known, tree_names, tree_rows, level, schema, best, stands)
+    (a, nn), (b, ne) = _dealt(rest, name_rows, "nb"), _dealt(known, entity_rows, "eb")
+    far = _in_blocks(a, b, nn, ne, run, schema).groupBy("name").agg(best.alias("x"))
+    return asked.join(united(close, far).select("name", "x.entity"), "name", "left")
 
 
 def choose_entity(scored: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -180,3 +181,76 @@ class Listed:
             flat = same | down
             up, down = less | (full ^ ((flat | more) & full)), more & flat
         return out
+
+
+#: Pairs of a name and a prefix that are looked at at once.
+STEP = 1 << 16
+
+
+class Prefixes:
+    """A block of texts, all different and sorted, as the tree of their prefixes.  A search carries, for each pair of a name and a
+    prefix, the distances of the prefix to the name's prefixes of about its length, and goes on to longer prefixes only while one
+    of these is small enough: texts that begin alike are compared once."""
+
+    def __init__(self, texts: list[str]):
+        self.size, self.at, self.letters = _flat(texts)
+        common = np.full(len(texts), -1)  # letters that a text shares with the one before
+        alike, depth = np.arange(1, len(texts)), 0
+        while len(alike):
+            common[alike] = depth
+            alike = alike[(self.size[alike] > depth) & (self.size[alike - 1] > depth)]
+            alike = alike[self.letters[self.at[alike] + depth] == self.letters[self.at[alike - 1] + depth]]
+            depth += 1
+        self.first: list[np.ndarray] = []  # by length of the prefix: the first text of each
+        rows = np.arange(len(texts))
+        while len(rows):
+            self.first.append(rows[common[rows] < len(self.first)])
+            rows = rows[self.size[rows] >= len(self.first)]
+        self.longer = [np.append(np.searchsorted(b, a), len(b)) for a, b in pairwise([*self.first, np.zeros(0, int)])]
+
+    def near(self, names: list[str], most: int, change: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, text, distance), as places in their lists: all pairs of distance up to ``most``, where a letter changed counts
+        ``change``: 1, as in the edit distance, or 2, where only letters left out or added count."""
+        size, at, letters = _flat(names)
+        width, far, out = 2 * most + 1, most + 1, [np.zeros((3, 0), int)]
+        off = np.arange(width)[:, None] - most  # a row's place in the name, from the length of the prefix
+        start = np.where((off >= 0) & (off <= size), off, far).astype(np.int8)
+        todo = [(0, np.arange(len(names)), np.zeros(len(names), int), start)] if names and self.first else []
+        while todo:
+            depth, name, node, row = todo.pop()
+            count = self.longer[depth][node + 1] - self.longer[depth][node]
+            n = max(1, int(np.searchsorted(np.cumsum(count), STEP, "right")))
+            if n < len(name):
+                todo.append((depth, name[n:], node[n:], row[:, n:]))
+                name, node, row, count = name[:n], node[:n], row[:, :n], count[:n]
+            text, end = self.first[depth][node], size[name] - depth + most
+            whole = np.flatnonzero((self.size[text] == depth) & (end >= 0) & (end < width))
+            whole = whole[row[end[whole], whole] <= most]
+            out.append(np.stack([name[whole], text[whole], row[end[whole], whole]]))
+            if not count.any():
+                continue
+            place = depth + off
+            inside = (place >= 0) & (place < size[name])
+            seen = np.where(inside, letters[np.where(inside, at[name] + place, 0)] if len(letters) else 0, 0)
+            over = place >= size[name]
+            of = np.repeat(np.arange(len(name)), count)
+            child = np.arange(len(of)) + np.repeat(self.longer[depth][node] - np.cumsum(count) + count, count)
+            letter = self.letters[self.at[self.first[depth + 1][child]] + depth]
+            new = np.full((width, len(of)), far, np.int8)
+            for t in range(width):
+                best = row[t, of] + np.where(seen[t, of] == letter, 0, change).astype(np.int8)
+                if t + 1 < width:
+                    best = np.minimum(best, row[t + 1, of] + 1)
+                if t:
+                    best = np.minimum(best, new[t - 1] + 1)
+                new[t] = np.where(over[t, of], far, np.minimum(best, far))
+            kept = np.flatnonzero(new.min(axis=0) <= most)
+            if len(kept):
+                todo.append((depth + 1, name[of[kept]], child[kept], new[:, kept]))
+        return tuple(np.concatenate(out, axis=1))
+
+
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths of texts, where each begins, and the letters of all."""
+    size = np.array([len(t) for t in texts], int)
+    return size, np.cumsum(size) - size, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)

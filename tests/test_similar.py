@@ -115,3 +115,45 @@ def test_letters_in_words_equal_plain_models():
     for name in [*texts, "b" * 64, "ab" * 33]:
         want = [both(name, t) for t in texts]
         assert list(zip(listed.distances(name).tolist(), listed.common(name).tolist(), strict=True)) == want
+
+
+def test_names_a_few_letters_off_are_not_compared_with_the_dictionary(spark, monkeypatch):
+    compared, in_blocks = [], ground._in_blocks
+
+    def seen(names, entities, *rest):
+        compared.append(names.count())
+        return in_blocks(names, entities, *rest)
+
+    monkeypatch.setattr(ground, "_in_blocks", seen)
+    known = [f"Customer#{i:09d}" for i in range(300)]
+    asked = [k[2:] + "x" for k in known[::7]] + [k[:3] + k[4:] for k in known[::11]] + ["~far"]
+    a, k = (spark.createDataFrame([(x,) for x in rows], "name string") for rows in (asked, known))
+    got = {r.name: (r.distance, r.entity) for r in ground.nearest_by_levenshtein(a, k).collect()}
+    assert compared[-1] == 1 and got["stomer#000000007x"] == (3, known[7]) and got["Cusomer#000000011"] == (1, known[11])
+    match = {r.name: r.entity for r in ground.close_matches(a, k).collect()}
+    assert compared[-1] == 1 and match == {x: next(iter(difflib.get_close_matches(x, known, 1, 0.6)), None) for x in asked}
+
+
+def test_blocks_of_the_tree_equal_all_pairs(spark, tables):
+    asked, known, a, k = tables
+    got = {r.name: (r.distance, r.entity) for r in ground.nearest_by_levenshtein(a, k, 16, 64, 7, 31).collect()}
+    assert got == {x: min((distance(x, y), y) for y in known) for x in asked}
+    match = {r.name: r.entity for r in ground.close_matches(a, k, 0.6, 16, 64, 7, 31).collect()}
+    best = {x: max((difflib.SequenceMatcher(None, y, x).ratio(), y) for y in known) for x in asked}
+    assert match == {x: b[1] if x and b[0] >= 0.6 and b[1] else None for x, b in best.items()}
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_prefixes_find_all_pairs_up_to_a_distance(monkeypatch, step):
+    monkeypatch.setattr(similar, "STEP", step)
+    rng = random.Random(5)
+    some = lambda n, letters: {"".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(n)}
+    texts, names = sorted(some(60, "abé😀") | {""}), [*some(25, "abé😀z"), "", ""]
+    tree = similar.Prefixes(texts)
+    for most in (0, 1, 3, 12):
+        want = {(i, j, d) for i, x in enumerate(names) for j, y in enumerate(texts) if (d := distance(x, y)) <= most}
+        assert set(zip(*map(list, tree.near(names, most)), strict=True)) == want
+        common = similar.Listed(texts)
+        want = {(i, j, d) for i, x in enumerate(names) for j, d in enumerate((common.size + len(x) - 2 * common.common(x)).tolist()) if d <= most}
+        assert set(zip(*map(list, tree.near(names, most, 2)), strict=True)) == want
+    assert not len(similar.Prefixes([]).near(["a"], 1)[0]) and not len(tree.near([], 1)[0])

@@ -9,9 +9,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from .ground import rank_in
 from .vector_index import VectorIndex, cell_centres, kept_vectors, search_once
 
@@ -40,27 +41,60 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, larger_id_first: b
 
 
 def _best_of_blocks(q: DataFrame, c: DataFrame, k: int, larger_id_first: bool = False) -> DataFrame:
-    """(quid, fact_id, score): the ``k`` best of each query in each group (qb, cb), by one matrix product a group."""
+    """(quid, fact_id, score): the ``k`` best of each query in each group (qb, cb)."""
     sign = -1 if larger_id_first else 1
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"quid": pd.Series(dtype="int64"), "fact_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, y, ids = np.stack(a["vector"].to_list()).astype(float), np.stack(b["vector"].to_list()).astype(float).T, b["fact_id"].to_numpy(np.int64)
-        out, least, step = [], max(0, len(ids) - k), max(1, SCORES // len(ids))
-        for i in range(0, len(x), step):
-            score = x[i : i + step] @ y
-            row, col = np.nonzero(score >= np.partition(score, least, axis=1)[:, least, None])  # the k best and ties of the last
-            order = np.lexsort((sign * ids[col], -score[row, col], row))
-            row, col = row[order], col[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[kept], col[kept]
-            out.append(pd.DataFrame({"quid": a["quid"].to_numpy(np.int64)[i + row], "fact_id": ids[col], "score": score[row, col]}))
-        return pd.concat(out)
+        x, y, ids = np.stack(a["vector"].to_list()), np.stack(b["vector"].to_list()), b["fact_id"].to_numpy(np.int64)
+        row, col, score = best_pairs(x, y, sign * ids, k)
+        return pd.DataFrame({"quid": a["quid"].to_numpy(np.int64)[row], "fact_id": ids[col], "score": score})
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "quid long, fact_id long, score double")
 
 
+#: Rows of a corpus whose scores are held at a time, those that share one greatest score, and pairs that are scored in double precision at once.
+TILE, SHARED, PAIRS = 8192, 64, 8192
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``x``, row of ``y``, inner product): the ``k`` best of each row of ``x``, ties by ``order``.
+
+    Products in single precision, whose error is bounded, tell which pairs can be among the best; these are scored in double
+    precision.  The kth greatest of the greatest scores of ``SHARED`` rows each is not above the kth best score."""
+    scaled = [(v / 2.0 ** np.frexp(np.abs(v).max(initial=0))[1]).astype(np.float32) for v in (x, y)]
+    long, longest = np.linalg.norm(scaled[0].astype(float), axis=1), np.linalg.norm(scaled[1].astype(float), axis=1).max()
+    slack = 2 * x.shape[1] * (2.0**-120 + 2.0**-22 * long * longest).astype(np.float32)
+    out, step = [], max(1, SCORES // TILE)
+    for i in range(0, len(x), step):
+        some, room, found = scaled[0][i : i + step], slack[i : i + step], []
+        tops = np.full((len(some), k), -np.inf, np.float32)
+        for j in range(0, len(y), TILE):
+            score = some @ scaled[1][j : j + TILE].T
+            if score.shape[1] % SHARED:
+                score = np.pad(score, ((0, 0), (0, -score.shape[1] % SHARED)), constant_values=-np.inf)
+            score = score.reshape(len(some), SHARED, -1)
+            top = score.max(axis=1)
+            tops = np.partition(np.concatenate([tops, top], axis=1), -k, axis=1)[:, -k:]
+            least = tops.min(axis=1) - room
+            row, group = np.nonzero(top >= least[:, None])
+            rough = score[row, :, group]
+            pair, at = np.nonzero(rough >= least[row, None])
+            col = j + at * score.shape[2] + group[pair]
+            inside = col < len(y)
+            found.append((row[pair][inside], col[inside], rough[pair, at][inside]))
+        row, col, rough = (np.concatenate(f) for f in zip(*found, strict=True))
+        kept = rough >= (tops.min(axis=1) - room)[row]
+        row, col = row[kept], col[kept]
+        exact = np.concatenate([np.einsum("ij,ij->i", x[i + row[p : p + PAIRS]].astype(float), y[col[p : p + PAIRS]].astype(float)) for p in range(0, len(row), PAIRS)] or [np.zeros(0)])
+        by = np.lexsort((order[col], -exact, row))
+        row, col, exact = row[by], col[by], exact[by]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((i + row[kept], col[kept], exact[kept]))
+    return tuple(np.concatenate(f) for f in zip(*out, strict=True))
+
+
 def gather(hits: DataFrame, facts: DataFrame) -> DataFrame:
     """Hits with the text of their fact (fact_id, fact); ids without a fact are dropped."""
     return hits.join(facts, "fact_id")
@@ -159,5 +193,17 @@ def search_vectors(questions: DataFrame, known: DataFrame, k: int = 20, encoder:
 
 
 def semantic_search(questions: DataFrame, facts: DataFrame, k: int = 20, encoder: Encoder | None = None, only: DataFrame | None = None, cells: int | None = None) -> DataFrame:
-    """Encodes facts (line_no, fact) and searches them, as ``search_vectors``."""
-    return search_vectors(questions, fact_vectors(facts, encoder), k, encoder, only, cells)
+    """Encodes facts (line_no, fact) and searches them, as ``search_vectors``; equal questions are searched and equal facts compared once.
+
+    Of equal facts, which score alike, the ``k`` with the smallest ids are all that can be among a question's best, and a text that is
+    among them is among the ``k`` best texts by score and smallest id."""
+    same = W.partitionBy("fact")
+    kept = rank_in(facts.select(F.col("line_no").alias("fact_id"), "fact"), ["fact"], [F.asc("fact_id")], k, "copy")
+    kept = stored(kept.withColumn("text_id", F.min("fact_id").over(same)))
+    asked = questions if only is None else questions.join(only.select("quid"), "quid", "left_semi")
+    asked = asked.select("quid", F.coalesce("question", F.lit("")).alias("question"))
+    asked = stored(asked.withColumn("asked_id", F.min("quid").over(W.partitionBy("question"))))
+    known = fact_vectors(kept.where("copy = 1").select(F.col("fact_id").alias("line_no"), "fact"), encoder)
+    hits = search_vectors(asked.where("quid = asked_id"), known, k, encoder, cells=cells).select(F.col("quid").alias("asked_id"), F.col("fact_id").alias("text_id"), "score")
+    best = rank_in(hits.join(kept.select("text_id", "fact_id", "fact"), "text_id"), ["asked_id"], [F.desc("score"), F.asc("fact_id")], k)
+    return asked.select("quid", "asked_id").join(best, "asked_id").select("quid", "rank", "fact_id", "score", "fact")

@@ -141,3 +141,39 @@ def test_a_frame_of_queries_and_their_cells_is_bounded(least):
     assert max(map(len, frames)) <= 16_384
     asked = pd.concat(frames).groupby("quid").size()
     assert len(asked) == 1000 and (asked == (4 if least else 60)).all()
+
+
+def test_equal_questions_and_facts_are_compared_once(spark, monkeypatch):
+    compared, search = [], vector.search_vectors
+
+    def seen(questions, known, *rest, **named):
+        compared.append((questions.count(), known.count()))
+        return search(questions, known, *rest, **named)
+
+    monkeypatch.setattr(vector, "search_vectors", seen)
+    texts, asked = ["a b in 2001", "a b in 2002", "c d in 2001", None], ["When a b?", None, "When c d?"]
+    facts = spark.createDataFrame([(i, texts[i * 7 % 4]) for i in range(40)], "line_no long, fact string")
+    questions = spark.createDataFrame([(i, asked[i % 3]) for i in range(9)], "quid long, question string")
+    vectors, encode = {}, vector.hashing_encoder()
+    for t in (*texts, *asked):
+        vectors[t] = encode([t or ""])[0].astype(float)
+    for k in (3, 15):
+        want = {}
+        for q in range(9):
+            score = {i: round(float(vectors[asked[q % 3]] @ vectors[texts[i * 7 % 4]]), 9) for i in range(40)}
+            want |= {(q, rank): (i, texts[i * 7 % 4]) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:k], 1)}
+        assert {(r.quid, r.rank): (r.fact_id, r.fact) for r in vector.semantic_search(questions, facts, k).collect()} == want
+    assert set(compared) == {(3, 4)}
+
+
+@pytest.mark.parametrize(("tile", "scores", "pairs"), [(64, 64, 3), (128, 1000, 50), (8192, 4_000_000, 8192)])
+def test_best_pairs_equal_double_precision(monkeypatch, tile, scores, pairs):
+    for name, value in (("TILE", tile), ("SCORES", scores), ("PAIRS", pairs)):
+        monkeypatch.setattr(vector, name, value)
+    rng = np.random.default_rng(tile)
+    for size in (1.0, 1e-25, 1e30):
+        for y in (rng.integers(-2, 3, (300, 5)).astype(np.float32), rng.normal(size=(70, 5)), 1 + rng.normal(size=(500, 5)) * 1e-9):
+            x, order = rng.integers(-2, 3, (20, 5)) * size * 10.0 ** rng.integers(-30, 5, (20, 1)), rng.permutation(len(y))
+            score = np.einsum("id,jd->ij", x, y.astype(float))
+            want = [(i, j, score[i, j]) for i in range(20) for j in np.lexsort((order, -score[i]))[:7]]
+            assert list(zip(*vector.best_pairs(x, y, order, 7), strict=True)) == want
